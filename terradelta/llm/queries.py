@@ -8,16 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from .common import table
+from .packing import pack
 from .repetition import repetition
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered_words")
 
 
+def op5_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_suffix_repetition": op2_suffix_repetition,
+        "op5_vector_best_fit": op5_vector_best_fit,
     }
 
 
