@@ -191,7 +191,7 @@ def pack(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits()) -> Dat
             found = lines[at]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 2)), batch.column(4), batch.column(3), pa.array(found[:, 3] + rank - found[:, 1]), pa.array(found[:, 4])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = cut_pieces.join(ranks, ["length", "part"]).select("doc_id", "piece", "start", "ids_crc32", "length", "part", (F.col("nth") + F.col("before")).alias("rank"))
+    ranked = cut_pieces.join(ranks.hint("merge"), ["length", "part"]).select("doc_id", "piece", "start", "ids_crc32", "length", "part", (F.col("nth") + F.col("before")).alias("rank"))
     return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
