@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from .common import table
+from .langid import identify
 from .packing import pack
 from .repetition import repetition
+from .toxicity import severity
 
 
 def tokenizer_path() -> str:
@@ -26,10 +28,20 @@ def op5_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_ordinal_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_suffix_repetition": op2_suffix_repetition,
         "op5_vector_best_fit": op5_vector_best_fit,
+        "op8_ordinal_severity": op8_ordinal_severity,
+        "op9_nearest_centroid": op9_nearest_centroid,
     }
 
 
