@@ -23,7 +23,7 @@ class Settings:
     slots: int = 1 << 20  # hashed words and stems
     stems: tuple[int, ...] = (4, 5, 6, 7, 8)  # bytes
     words: int = 1024  # words that get a weight
-    sample: int = 20_000  # labelled texts to learn from
+    sample: int = 8_000  # labelled texts to learn from
     least_texts: int = 4
     least_z: float = 4.0
     ridge: float = 3e-5
@@ -72,7 +72,7 @@ def fit_links(x: np.ndarray, grade: np.ndarray, grades: int, ridge: float, round
 
     for t in range(1, rounds + 1):
         w, theta = unpack(p)
-        s = x @ w
+        s = (x @ w.astype(x.dtype)).astype(float)
         above = 1 / (1 + np.exp(-np.clip(s[:, None] - theta, -30, 30)))
         edge = np.concatenate([np.ones((n, 1)), above, np.zeros((n, 1))], axis=1)
         at = np.arange(n)
@@ -80,7 +80,7 @@ def fit_links(x: np.ndarray, grade: np.ndarray, grades: int, ridge: float, round
         slope = edge * (1 - edge)
         up, down = slope[at, grade] / chance, slope[at, grade + 1] / chance
         g = np.zeros_like(p)
-        g[:m] = -(x.T @ (up - down)) / n + ridge * w
+        g[:m] = -((up - down).astype(x.dtype) @ x) / n + ridge * w
         by_theta = np.zeros(grades + 1)
         np.add.at(by_theta, grade, up / n)
         np.add.at(by_theta, grade + 1, -down / n)
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, grades: DataFrame, s: Settings = Settings()) -> Model:
         return Model(weights, np.full(max(top, 1), 30.0))
     lists = found.column(1).combine_chunks()
     slot = lists.flatten().to_numpy()
-    row = np.repeat(np.arange(len(grade)), np.diff(lists.offsets.to_numpy()))
+    row = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
     bad = grade > 0
     in_bad, in_all = np.bincount(slot[bad[row]], minlength=s.slots), np.bincount(slot, minlength=s.slots)
     share = in_all / len(grade)
