@@ -10,6 +10,7 @@ from . import sql
 from .common import table
 from .langid import identify
 from .packing import pack
+from .pseudonyms import pseudonymise
 from .repetition import repetition
 from .toxicity import severity
 
@@ -28,6 +29,14 @@ def op5_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+#: The key of the pseudonyms; a user passes one that is kept secret.
+PSEUDONYM_KEY = b"terradelta-example-key"
+
+
+def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY, counts=True)
+
+
 def op8_ordinal_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_suffix_repetition": op2_suffix_repetition,
         "op5_vector_best_fit": op5_vector_best_fit,
+        "op6_feistel_pseudonyms": op6_feistel_pseudonyms,
         "op8_ordinal_severity": op8_ordinal_severity,
         "op9_nearest_centroid": op9_nearest_centroid,
     }
