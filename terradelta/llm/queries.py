@@ -12,7 +12,9 @@ from .langid import identify
 from .packing import pack
 from .pseudonyms import pseudonymise
 from .repetition import repetition
+from .secrets import scan
 from .toxicity import severity
+from .urls import Rule, judge
 
 
 def tokenizer_path() -> str:
@@ -37,6 +39,14 @@ def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY, counts=True)
 
 
+#: The rules of the url query.
+URL_RULES = [Rule("block", "net"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
+
+
+def op7_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), URL_RULES).drop("alias_of")
+
+
 def op8_ordinal_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,17 +55,25 @@ def op9_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op10_ownership_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_suffix_repetition": op2_suffix_repetition,
         "op5_vector_best_fit": op5_vector_best_fit,
         "op6_feistel_pseudonyms": op6_feistel_pseudonyms,
+        "op7_redirect_equivalence": op7_redirect_equivalence,
         "op8_ordinal_severity": op8_ordinal_severity,
         "op9_nearest_centroid": op9_nearest_centroid,
+        "op10_ownership_frequency": op10_ownership_frequency,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_suffix_repetition": sql.REPETITION,
+        "op7_redirect_equivalence": sql.URLS,
+        "op10_ownership_frequency": sql.SECRETS,
     }

@@ -34,3 +34,75 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_covered_words
 FROM q
 """
+
+URLS = r"""
+WITH RECURSIVE s AS MATERIALIZED (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+l AS MATERIALIZED (
+  SELECT url, unnest(list_filter([
+      regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+      regexp_extract(html, '(?i)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*\brel\s*=\s*["'']?canonical\b', 1),
+      regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1)], lambda x: x <> '')) AS raw
+  FROM s WHERE contains(lower(html), 'canonical') OR contains(lower(html), 'refresh')),
+link AS (
+  SELECT url, CASE WHEN contains(raw, '://') THEN raw WHEN starts_with(raw, '//') THEN 'http:' || raw
+    WHEN starts_with(raw, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || raw END AS target
+  FROM l WHERE contains(url, '://')),
+u AS (SELECT DISTINCT url FROM s UNION SELECT target FROM link WHERE target IS NOT NULL),
+p AS MATERIALIZED (
+  SELECT url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+    list_sort(list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_\w+|ref)(?:=|$)'))) AS query FROM u),
+j AS MATERIALIZED (
+  SELECT url, host, path, CASE WHEN contains(url, '://') THEN regexp_replace(host, '^(?:(?:www|m)\.)+', '')
+      || regexp_replace(path, '(?:/index)?(?:\.html?)?/*$', '') || '?' || array_to_string(query, '&') END AS form,
+    CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+      WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+      WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+      WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p),
+e AS MATERIALIZED (
+  SELECT a.form AS x, b.form AS y FROM link JOIN j a ON a.url = link.url JOIN j b ON b.url = link.target WHERE a.form <> b.form),
+pairs AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+reach(x, y) AS (SELECT x, x FROM pairs UNION SELECT reach.x, pairs.y FROM reach JOIN pairs ON reach.y = pairs.x),
+label AS (SELECT x, min(y) AS label FROM reach GROUP BY x),
+k AS (SELECT j.*, coalesce(label, form) AS label,
+    CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS given FROM j LEFT JOIN label ON form = x),
+g AS (SELECT label, CASE WHEN bool_or(given = 'allow') THEN 'allow' ELSE 'block' END AS inherited FROM k WHERE given IS NOT NULL AND label IS NOT NULL GROUP BY label)
+SELECT page_id, host, path, rule, coalesce(given, inherited, 'allow') AS verdict
+FROM s JOIN k USING (url) LEFT JOIN g ON g.label = k.label
+"""
+
+
+def _spans(kind: int, pattern: str, group: int, test: str) -> str:
+    """Rows (r, start, kind, stop, value) of one pattern's matches."""
+    return f"""
+  SELECT r, owner, doc_id, gaps + before AS start, {kind} AS kind, gaps + before + size AS stop, value FROM (
+    SELECT r, owner, doc_id, unnest(range(1, len(whole) + 1)) AS i,
+      list_sum(list_transform(pieces[1:i], lambda x: length(x)))::BIGINT AS gaps,
+      coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0)::BIGINT AS before,
+      length(whole[i]) AS size, vals[i] AS value
+    FROM (SELECT r, owner, doc_id, string_split_regex(text, '{pattern}') AS pieces, regexp_extract_all(text, '{pattern}') AS whole,
+            regexp_extract_all(text, '{pattern}', {group}) AS vals FROM d)) WHERE {test}"""
+
+
+_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+SECRETS = f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS text FROM documents),
+c AS MATERIALIZED ({_spans(0, _ASSIGN, 2, "length(value) >= 12")}
+  UNION ALL {_spans(1, "AKIA[A-Z0-9]{{14,}}".replace("{{", "{").replace("}}", "}"), 0, "true")}
+  UNION ALL {_spans(2, "[0-9a-f]{16,}", 0, "true")}
+  UNION ALL {_spans(3, "[A-Za-z0-9+/_-]{20,}", 0, "regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= 8")}),
+f AS (SELECT value, count(DISTINCT owner) AS owners FROM c GROUP BY value),
+m AS (SELECT c.*, owners < 3 AS live, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS name FROM c JOIN f USING (value)),
+g AS (
+  SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(name, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(name, ',' ORDER BY start, kind) AS spans,
+    count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied
+  FROM m WHERE kind < 3 OR live GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied
+FROM d LEFT JOIN g USING (r)
+"""
