@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sql
 from .common import table
 from .langid import identify
+from .nearcopies import near_classes
 from .packing import pack
 from .pseudonyms import pseudonymise
 from .repetition import repetition
@@ -27,6 +28,10 @@ def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered_words")
 
 
+def op4_prob_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -62,6 +67,7 @@ def op10_ownership_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_suffix_repetition": op2_suffix_repetition,
+        "op4_prob_min_hash": op4_prob_min_hash,
         "op5_vector_best_fit": op5_vector_best_fit,
         "op6_feistel_pseudonyms": op6_feistel_pseudonyms,
         "op7_redirect_equivalence": op7_redirect_equivalence,
