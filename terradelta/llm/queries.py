@@ -14,6 +14,7 @@ from .packing import pack
 from .pseudonyms import pseudonymise
 from .repetition import repetition
 from .secrets import scan
+from .suffixes import digests
 from .toxicity import severity
 from .urls import Rule, judge
 
@@ -28,6 +29,10 @@ def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered_words")
 
 
+def op3_hash_compared_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op4_prob_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ def op10_ownership_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_suffix_repetition": op2_suffix_repetition,
+        "op3_hash_compared_suffixes": op3_hash_compared_suffixes,
         "op4_prob_min_hash": op4_prob_min_hash,
         "op5_vector_best_fit": op5_vector_best_fit,
         "op6_feistel_pseudonyms": op6_feistel_pseudonyms,
@@ -80,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_suffix_repetition": sql.REPETITION,
+        "op3_hash_compared_suffixes": sql.SUFFIXES,
         "op7_redirect_equivalence": sql.URLS,
         "op10_ownership_frequency": sql.SECRETS,
     }
