@@ -86,7 +86,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_suffix_repetition": sql.REPETITION,
-        "op3_hash_compared_suffixes": sql.SUFFIXES,
         "op7_redirect_equivalence": sql.URLS,
         "op10_ownership_frequency": sql.SECRETS,
     }

@@ -106,21 +106,3 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied
 FROM d LEFT JOIN g USING (r)
 """
-
-SUFFIXES = r"""
-WITH d AS MATERIALIZED (
-  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT r, unnest(range(length(h) // 2 - 99)) AS i, h FROM d WHERE length(h) >= 200),
-again AS (
-  SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY substr(h, 2 * i + 1, 200) ORDER BY r, i) AS n FROM w) WHERE n > 1),
-step AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM again),
-island AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i - before > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS k FROM step),
-span AS (SELECT r, k, min(i) AS a, max(i) + 100 AS b FROM island GROUP BY r, k),
-gap AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS e FROM span),
-cut AS (
-  SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS e, string_agg(substr(h, 2 * e + 1, 2 * (a - e)), '' ORDER BY a) AS kept
-  FROM gap JOIN d USING (r) GROUP BY r)
-SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
-  sha256(unhex(coalesce(kept || substr(h, 2 * e + 1), h))) AS kept_sha256
-FROM d LEFT JOIN cut USING (r)
-"""
