@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sql
 from .common import table
 from .langid import identify
+from .latent import contamination
 from .nearcopies import near_classes
 from .packing import pack
 from .pseudonyms import pseudonymise
@@ -25,6 +26,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered_words")
 
@@ -71,6 +76,7 @@ def op10_ownership_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_latent_retrieval": op1_latent_retrieval,
         "op2_suffix_repetition": op2_suffix_repetition,
         "op3_hash_compared_suffixes": op3_hash_compared_suffixes,
         "op4_prob_min_hash": op4_prob_min_hash,
