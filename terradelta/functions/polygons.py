@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _edges(geometry) -> np.ndarray:
@@ -130,21 +131,21 @@ def prompt_points(geometry, n: int, grid: int = 9) -> list[dict]:
     return [{"x": float(x[i]), "y": float(y[i]), "label": 1} for i in chosen]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def intersection_area(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([common_area(p, q) for p, q in zip(a, b, strict=True)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def hull_area(a: pd.Series) -> pd.Series:
     return pd.Series([hull_size(p) for p in a], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def polygon_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if p is None or q is None else gap(p, q) for p, q in zip(a, b, strict=True)], dtype=float)
 
 
-@F.pandas_udf("array<struct<x:double,y:double,label:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("x", "double").add("y", "double").add("label", "int")))
 def positive_points(a: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if p is None else prompt_points(p, int(k)) for p, k in zip(a, n, strict=True)])

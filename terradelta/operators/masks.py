@@ -8,13 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _mask(data: bytes, width: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(-1, int(width)) > 0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def mask_iou(a: pd.Series, b: pd.Series) -> pd.Series:
     """Of two masks of one size, a byte a pixel; 0 where neither has a pixel."""
 
@@ -26,7 +27,7 @@ def mask_iou(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-@F.pandas_udf("struct<x0:int,y0:int,x1:int,y1:int,cx:double,cy:double,pixels:long>")
+@F.pandas_udf(T.StructType().add("x0", "int").add("y0", "int").add("x1", "int").add("y1", "int").add("cx", "double").add("cy", "double").add("pixels", "long"))
 def mask_shape(data: pd.Series, width: pd.Series) -> pd.DataFrame:
     """Bounds, centroid and size; nulls for an empty mask."""
     rows = []
@@ -36,7 +37,7 @@ def mask_shape(data: pd.Series, width: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["x0", "y0", "x1", "y1", "cx", "cy", "pixels"])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def ring_mask(data: pd.Series, width: pd.Series, radius: pd.Series) -> pd.Series:
     """Pixels within `radius` (square) of the mask and not in it."""
 
@@ -52,7 +53,7 @@ def ring_mask(data: pd.Series, width: pd.Series, radius: pd.Series) -> pd.Series
     return pd.Series([one(*x) for x in zip(data, width, radius, strict=True)])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def gamma_corrected(pixels: pd.Series, gamma: pd.Series) -> pd.Series:
     def one(d, g):
         table = np.clip((np.arange(256) / 255.0) ** g * 255.0, 0, 255).astype(np.uint8)
