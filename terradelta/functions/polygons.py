@@ -146,6 +146,6 @@ def polygon_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if p is None or q is None else gap(p, q) for p, q in zip(a, b, strict=True)], dtype=float)
 
 
-@F.pandas_udf(T.ArrayType(T.StructType().add("x", "double").add("y", "double").add("label", "int")))
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), T.StructField("label", T.IntegerType())])))
 def positive_points(a: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if p is None else prompt_points(p, int(k)) for p, k in zip(a, n, strict=True)])

@@ -27,7 +27,7 @@ def mask_iou(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-@F.pandas_udf(T.StructType().add("x0", "int").add("y0", "int").add("x1", "int").add("y1", "int").add("cx", "double").add("cy", "double").add("pixels", "long"))
+@F.pandas_udf(T.StructType([T.StructField(x, T.IntegerType()) for x in ("x0", "y0", "x1", "y1")] + [T.StructField("cx", T.DoubleType()), T.StructField("cy", T.DoubleType()), T.StructField("pixels", T.LongType())]))
 def mask_shape(data: pd.Series, width: pd.Series) -> pd.DataFrame:
     """Bounds, centroid and size; nulls for an empty mask."""
     rows = []
