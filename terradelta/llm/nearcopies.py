@@ -134,12 +134,12 @@ def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, block: int) -> DataFrame:
-    """Rows (key, doc_id, label, sketch) with a group in which they meet: groups of over `block` rows meet by pairs of blocks, so none is unbounded."""
+    """Rows (key, band, doc_id, label, sketch) with a group in which they meet: groups of over `block` rows meet by pairs of blocks, so none is unbounded."""
     size = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     split = rows.join(size, "key").withColumn("own", own).withColumn("other", other)
-    return split.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "key", "doc_id", "label", "sketch")
+    return split.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "key", "band", "doc_id", "label", "sketch")
 
 
 def alike_across(rows: DataFrame, kind: str, s: Settings) -> DataFrame:
@@ -159,9 +159,9 @@ def alike_across(rows: DataFrame, kind: str, s: Settings) -> DataFrame:
             yield from compare(held)
 
     def compare(batch):
-        g, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        ids, labels = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-        sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(g), -1)
+        g, key, band = (batch.column(i).to_numpy() for i in range(3))
+        ids, labels = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+        sketch = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(len(g), -1)
         at, d = np.arange(len(g)), 0
         while True:
             d += 1
@@ -171,13 +171,16 @@ def alike_across(rows: DataFrame, kind: str, s: Settings) -> DataFrame:
                 return
             x = at[(labels[at] != labels[at + d]) & (key[at] == key[at + d])]
             for part in np.array_split(x, len(x) // 20_000 + 1):
-                same = (sketch[part] == sketch[part + d]).mean(axis=1)
-                p = part[(same - 1 / 256) / (1 - 1 / 256) >= least]
+                equal = sketch[part] == sketch[part + d]
+                same = equal.mean(axis=1)
+                # a pair that shares several bands leaves from the first of them
+                first = np.argmax(equal.reshape(len(part), s.bands, s.rows).all(axis=2), axis=1)
+                p = part[((same - 1 / 256) / (1 - 1 / 256) >= least) & (first == band[part])]
                 if len(p):
                     yield pa.RecordBatch.from_pydict({"a": np.minimum(ids[p], ids[p + d]), "b": np.maximum(ids[p], ids[p + d])})
 
     spread = rows.repartition("g").sortWithinPartitions("g")
-    return spread.select("g", "key", "doc_id", "label", "sketch").mapInArrow(run, f"a {kind}, b {kind}").where("a <> b").distinct()
+    return spread.select("g", "key", "band", "doc_id", "label", "sketch").mapInArrow(run, f"a {kind}, b {kind}").where("a <> b").distinct()
 
 
 def near_classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -194,7 +197,7 @@ def near_classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     sig = cut(signatures(docs, s))
     named = sig.where("doc_id is not null")
     texts = cut(named.where("h is not null").groupBy("h").agg(F.min(F.struct("doc_id", "keys", "sketch")).alias("x")).select("h", "x.doc_id", "x.keys", "x.sketch"))
-    rows = texts.select(F.explode("keys").alias("key"), "doc_id")
+    rows = texts.select(F.posexplode("keys").alias("band", "key"), "doc_id")
     groups = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(rows.join(groups.hint("merge"), "key"))
     partners = shared.groupBy("doc_id").agg(F.sum("n").alias("partners"))
@@ -206,7 +209,7 @@ def near_classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     same = named.where("h is not null").select("doc_id", "h").join(texts.select("h", F.col("doc_id").alias("first")), "h").where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
     links = links.union(same)
     label = cut(components(links))
-    labelled = shared.select("key", "doc_id").join(label, shared.doc_id == label.node, "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    labelled = shared.select("key", "band", "doc_id").join(label, shared.doc_id == label.node, "left").select("key", "band", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     rest = cut(labelled.join(open_keys.hint("merge"), "key"))
     with_sketch = rest.join(texts.select("doc_id", "sketch").hint("merge"), "doc_id")
