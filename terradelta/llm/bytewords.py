@@ -81,7 +81,7 @@ def per_row(rows: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.n
 
 
 def lower_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased words of letters and digits: their rows, hashes, and starts in the bytes."""
+    """Words of letters and digits of a text in lower case: their rows, hashes, and starts in the bytes."""
     folded = FOLD[buf]
     starts, ends = runs(folded != 32, offsets)
     return rows_of(starts, offsets), hash64(prefix(folded), starts, ends), starts

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a task works on at once; one longer document is a batch of its own.
@@ -55,6 +56,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def utf8_lower(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same of the text in lower case, letters of all scripts."""
+    return utf8(pc.utf8_lower(column))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of text."""
     for batch in batches:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import by_batch, cut, utf8
+from .common import by_batch, cut, utf8, utf8_lower
 from .components import components
 
 _STEP, _OTHER = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
@@ -35,7 +35,7 @@ class Settings:
 
 def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of each shingle of lower-case words, repeats included, rows in order; a shorter text is one shingle."""
-    rows, words, _ = bw.lower_words(*utf8(column))
+    rows, words, _ = bw.lower_words(*utf8_lower(column))
     n = len(rows)
     pre = bw.prefix(words)
     first = np.searchsorted(rows, np.arange(len(column)))

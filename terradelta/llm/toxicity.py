@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import by_batch, cut, utf8
+from .common import by_batch, cut, utf8_lower
 
 
 @dataclass(frozen=True)
@@ -39,7 +39,7 @@ class Model:
 
 def slots_of(column: pa.Array, slots: int, stems: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Row and slot of each lower-case word and of its first bytes, so that inflected and compounded forms share a slot."""
-    buf, offsets = utf8(column)
+    buf, offsets = utf8_lower(column)
     folded = bw.FOLD[buf]
     starts, ends = bw.runs(folded != 32, offsets)
     rows, pre = bw.rows_of(starts, offsets), bw.prefix(folded)
