@@ -127,7 +127,7 @@ def fit(learning: DataFrame, s: Settings = Settings()) -> Model:
 
     made = by_batch(texts.select("text", "lang", "doc_id").withColumn("nth", F.row_number().over(pick)).where(F.col("nth") <= s.sample).select("text", "lang"), to_vectors, "lang string, x array<float>", limit=1 << 20)
 
-    def cluster(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def cluster(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["x"].to_numpy())
         x = x[np.lexsort(x[:, :8].T)]
         centres = spherical_kmeans(x, s.centroids, s.rounds)
