@@ -166,3 +166,9 @@ def utm_from_degrees(lon: Column, lat: Column, meridian: float = 15.0) -> Column
         x = x + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         y = y + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return F.struct((500000 + 0.9996 * radius * x).alias("x"), (0.9996 * radius * y).alias("y"))
+
+
+def centre_box(width: int, height: int, share: float) -> Column:
+    """The box of that share of an image about its centre."""
+    w, h = width * share / 2, height * share / 2
+    return F.struct(F.lit(width / 2 - w).alias("x0"), F.lit(height / 2 - h).alias("y0"), F.lit(width / 2 + w).alias("x1"), F.lit(height / 2 + h).alias("y1"))

@@ -131,6 +131,69 @@ def prompt_points(geometry, n: int, grid: int = 9) -> list[dict]:
     return [{"x": float(x[i]), "y": float(y[i]), "label": 1} for i in chosen]
 
 
+def middle_point(geometry) -> tuple[float, float] | None:
+    """A point inside: the middle of the widest span at half height."""
+    edges = _edges(geometry)
+    if not len(edges):
+        return None
+    y = (edges[:, [1, 3]].min() + edges[:, [1, 3]].max()) / 2 + 1e-9
+    x = np.sort(_at(edges, np.array([[y]]))[:, 0])
+    x = x[np.isfinite(x)]
+    spans = x[: len(x) // 2 * 2].reshape(-1, 2)
+    if not len(spans):
+        return None
+    a, b = spans[np.argmax(spans[:, 1] - spans[:, 0])]
+    return float((a + b) / 2), float(y)
+
+
+def ring_negatives(geometry, n: int, margin: float, share: float = 0.18, clear: float = 2.0) -> list[dict]:
+    """Up to n of 16 places around the bounds, `margin` or a share of the longer side away, that stay clear of the polygon."""
+    corners = np.array([(p["x"], p["y"]) for polygon in geometry for ring in polygon for p in ring])
+    (x0, y0), (x1, y1) = corners.min(axis=0), corners.max(axis=0)
+    away = max(margin, share * max(x1 - x0, y1 - y0))
+    t = np.linspace(0, 1, 5)[:-1]
+    across, down = x0 - away + t * (x1 - x0 + 2 * away), y0 - away + t * (y1 - y0 + 2 * away)
+    x = np.concatenate([across, np.full(4, x1 + away), across + (x1 - x0 + 2 * away) / 4, np.full(4, x0 - away)])
+    y = np.concatenate([np.full(4, y0 - away), down, np.full(4, y1 + away), down + (y1 - y0 + 2 * away) / 4])
+    keep = ~inside(geometry, x, y) & (edge_distance(geometry, x, y) > clear)
+    return [{"x": float(a), "y": float(b), "label": 0} for a, b in zip(x[keep][:n], y[keep][:n], strict=True)]
+
+
+def hole_negatives(geometry, least: float) -> list[dict]:
+    """A point in each hole of at least that area."""
+    out = []
+    for polygon in geometry:
+        for ring in polygon[1:]:
+            x, y = np.array([(p["x"], p["y"]) for p in ring]).T
+            if abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2 >= least and (found := middle_point([[ring]])):
+                out.append({"x": found[0], "y": found[1], "label": 0})
+    return out
+
+
+def raster(geometry, width: int, height: int) -> bytes:
+    """A byte a pixel, 1 where the pixel's centre lies in the polygon (pixel coordinates, rows downwards)."""
+    y, x = np.mgrid[0:height, 0:width]
+    return inside(geometry, x.ravel() + 0.5, y.ravel() + 0.5).astype(np.uint8).tobytes()
+
+
+_POINTS = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), T.StructField("label", T.IntegerType())]))
+
+
+@F.pandas_udf(_POINTS)
+def negative_points(a: pd.Series, n: pd.Series, margin: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None else ring_negatives(p, int(k), float(m)) for p, k, m in zip(a, n, margin, strict=True)])
+
+
+@F.pandas_udf(_POINTS)
+def hole_points(a: pd.Series, least: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None else hole_negatives(p, float(k)) for p, k in zip(a, least, strict=True)])
+
+
+@F.pandas_udf(T.BinaryType())
+def rasterise(a: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None else raster(p, int(w), int(h)) for p, w, h in zip(a, width, height, strict=True)])
+
+
 @F.pandas_udf(T.DoubleType())
 def intersection_area(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([common_area(p, q) for p, q in zip(a, b, strict=True)], dtype=float)
@@ -146,6 +209,6 @@ def polygon_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if p is None or q is None else gap(p, q) for p, q in zip(a, b, strict=True)], dtype=float)
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), T.StructField("label", T.IntegerType())])))
+@F.pandas_udf(_POINTS)
 def positive_points(a: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if p is None else prompt_points(p, int(k)) for p, k in zip(a, n, strict=True)])

@@ -52,6 +52,15 @@ def test_prompt_points_lie_inside(spark):
     assert len(points) == 3 and all(0 < q.x < 10 and not (2 < q.x < 4 and 2 < q.y < 4) for q in points)
 
 
+def test_negatives_and_raster(spark):
+    t = table(spark, HOLE)
+    holes, ring, image = t.select(p.hole_points("geometry", F.lit(1.0)), p.negative_points("geometry", F.lit(16), F.lit(3.0)), p.rasterise("geometry", F.lit(12), F.lit(11))).first()
+    assert len(holes) == 1 and 2 < holes[0].x < 4 and 2 < holes[0].y < 4
+    assert len(ring) == 16 and all(not (0 <= q.x <= 10 and 0 <= q.y <= 10) for q in ring)
+    assert sum(image) == 96 and len(image) == 132
+    assert t.select(p.hole_points("geometry", F.lit(5.0))).first()[0] == []
+
+
 def test_reprojection_at_the_meridian(spark):
     r = spark.range(1).select(g.utm_from_degrees(F.lit(15.0), F.lit(52.5)).alias("p"), g.utm_from_degrees(F.lit(13.4), F.lit(52.5)).alias("q")).first()
     assert r.p.x == pytest.approx(500000) and r.q.x < 500000

@@ -61,6 +61,13 @@ def test_masks(spark):
     assert r.iou == 0.4 and (r.s.x0, r.s.x1, r.s.y1, r.s.pixels) == (1, 2, 1, 4) and list(r.ring) == [1, 0, 0, 1, 0, 0]
 
 
+def test_pixels(spark):
+    df = spark.createDataFrame([(bytearray([0, 10, 20, 30]), bytearray([0, 1, 1, 0]), bytearray([0, 0, 1, 1]))], "g binary, a binary, b binary")
+    r = df.select(masks.pixel_measures("g", "a", F.lit(15)).alias("m"), masks.mask_without("a", "b").alias("w"), masks.class_mask("g", F.lit(20)).alias("c"), masks.resized("g", F.lit(2), F.lit(4)).alias("z"), masks.gamma_corrected("g", F.lit(1.0)).alias("same")).first()
+    assert (r.m.mean, r.m.std, r.m.dark) == (15.0, 5.0, 0.5) and list(r.w) == [0, 1, 0, 0] and list(r.c) == [0, 0, 1, 0]
+    assert list(r.z)[:4] == [0, 2, 8, 10] and len(r.z) == 16 and list(r.same) == [0, 10, 20, 30]
+
+
 def test_stream_of_decisions(spark, tmp_path):
     schema = "pred boolean, iou double, area_diff double, shift double"
     spark.createDataFrame([(True, 0.9, 0.0, 1.0), (True, 0.1, 0.0, 1.0)], schema).write.parquet(str(tmp_path / "in"))
