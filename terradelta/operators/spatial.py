@@ -49,7 +49,7 @@ def nearest(left: DataFrame, right: DataFrame, distance2: Column, cell: float, s
         at = lambda k: F.floor((F.col(f"{p}{k}0") + F.col(f"{p}{k}1")) / (2 * size))
         return _prefixed(df, p).withColumns({"cx": at("x"), "cy": at("y")})
 
-    open_, out, size = left, None, float(cell)
+    open_, out, size = left.persist(), None, float(cell)  # used in each round; only objects without an overlap come here
     extent = right.agg(*(f(c) for f in (F.min, F.max) for c in BOUNDS)).first()
     if extent[0] is None:
         return left.select("id", F.lit(None).cast("long").alias("match_id"), F.lit(None).cast("double").alias("distance2")).limit(0)
@@ -61,7 +61,7 @@ def nearest(left: DataFrame, right: DataFrame, distance2: Column, cell: float, s
         pairs = centred(open_, "l_", size).join(spread, ["cx", "cy"]).withColumn("d", distance2.cast("double"))
         best = pairs.groupBy(F.col("l_id").alias("id")).agg(F.min(F.struct("d", "r_id")).alias("b"))
         sure = best.where(F.col("b.d") <= max(size - slack, 0.0) ** 2) if size < reach else best
-        found = sure.select("id", F.col("b.r_id").alias("match_id"), F.col("b.d").alias("distance2"))
+        found = sure.select("id", F.col("b.r_id").alias("match_id"), F.col("b.d").alias("distance2")).persist()
         out = found if out is None else out.unionByName(found)
         if size >= reach:
             break

@@ -246,6 +246,7 @@ def footprint_shape_metrics(spark: SparkSession, sf: str) -> DataFrame:
 def polygon_iou_general(spark: SparkSession, sf: str) -> DataFrame:
     shaped = lambda df: df.withColumn("geometry", g.parse_wkt(g.box_wkt(c("x0"), c("y0"), c("x1"), c("y1"))))
     pairs = spatial.overlapping(shaped(b.old_footprints(spark, sf)), shaped(b.new_footprints(spark, sf)), CELL)
+    pairs = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_id", "r_id")  # the costly part is shared out evenly
     common = intersection_area("l_geometry", "r_geometry")
     iou = F.try_divide(c("common"), g.area(c("l_geometry")) + g.area(c("r_geometry")) - c("common"))
     return pairs.withColumn("common", common).select(c("l_id").alias("id"), c("r_id").alias("other"), F.round(iou, 9).alias("iou"))
