@@ -134,16 +134,19 @@ def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, block: int) -> DataFrame:
-    """Rows (key, band, doc_id, label, sketch) with a group in which they meet: groups of over `block` rows meet by pairs of blocks, so none is unbounded."""
+    """Rows (key, band, doc_id, label, sketch, earlier) with a group in which they meet: groups of over `block` rows meet by pairs of blocks, so none is unbounded."""
     size = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     split = rows.join(size, "key").withColumn("own", own).withColumn("other", other)
-    return split.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "key", "band", "doc_id", "label", "sketch")
+    return split.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "key", "band", "doc_id", "label", "sketch", "earlier")
 
 
 def alike_across(rows: DataFrame, kind: str, s: Settings) -> DataFrame:
-    """Pairs of different labels in one group whose sketches are alike enough, found within tasks; only those leave the task."""
+    """Pairs of different labels in one group whose sketches are alike enough, found within tasks; only those leave the task.
+
+    `earlier` has a document's keys of the bands before the row's: a pair that shares several keys leaves from the first of them.
+    """
     least = s.estimate
 
     def run(batches):
@@ -162,6 +165,9 @@ def alike_across(rows: DataFrame, kind: str, s: Settings) -> DataFrame:
         g, key, band = (batch.column(i).to_numpy() for i in range(3))
         ids, labels = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
         sketch = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(len(g), -1)
+        before = np.arange(s.bands) < band[:, None]
+        earlier = np.zeros(before.shape, np.int64)
+        earlier[before] = batch.column(6).flatten().to_numpy()
         at, d = np.arange(len(g)), 0
         while True:
             d += 1
@@ -171,16 +177,14 @@ def alike_across(rows: DataFrame, kind: str, s: Settings) -> DataFrame:
                 return
             x = at[(labels[at] != labels[at + d]) & (key[at] == key[at + d])]
             for part in np.array_split(x, len(x) // 20_000 + 1):
-                equal = sketch[part] == sketch[part + d]
-                same = equal.mean(axis=1)
-                # a pair that shares several bands leaves from the first of them
-                first = np.argmax(equal.reshape(len(part), s.bands, s.rows).all(axis=2), axis=1)
-                p = part[((same - 1 / 256) / (1 - 1 / 256) >= least) & (first == band[part])]
+                same = (sketch[part] == sketch[part + d]).mean(axis=1)
+                p = part[(same - 1 / 256) / (1 - 1 / 256) >= least]
+                p = p[~((earlier[p] == earlier[p + d]) & before[p]).any(axis=1)]
                 if len(p):
                     yield pa.RecordBatch.from_pydict({"a": np.minimum(ids[p], ids[p + d]), "b": np.maximum(ids[p], ids[p + d])})
 
     spread = rows.repartition("g").sortWithinPartitions("g")
-    return spread.select("g", "key", "band", "doc_id", "label", "sketch").mapInArrow(run, f"a {kind}, b {kind}").where("a <> b").distinct()
+    return spread.select("g", "key", "band", "doc_id", "label", "sketch", "earlier").mapInArrow(run, f"a {kind}, b {kind}").where("a <> b").distinct()
 
 
 def near_classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -212,7 +216,7 @@ def near_classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     labelled = shared.select("key", "band", "doc_id").join(label, shared.doc_id == label.node, "left").select("key", "band", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     rest = cut(labelled.join(open_keys.hint("merge"), "key"))
-    with_sketch = rest.join(texts.select("doc_id", "sketch").hint("merge"), "doc_id")
+    with_sketch = rest.join(texts.select("doc_id", "sketch", "keys").hint("merge"), "doc_id").withColumn("earlier", F.slice("keys", F.lit(1), F.col("band")))
     more = alike_across(_blocks(with_sketch, s.block), kind, s)
     ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     late = verified(cut(more.join(ordered, ["a", "b"], "left_anti")), docs, s)

@@ -148,6 +148,22 @@ def test_near_classes(spark):
     assert [got[i] for i in range(len(texts))] == plain_classes(texts)
 
 
+def test_near_classes_first_shared_band(spark, monkeypatch):
+    """A pair whose sketches agree in an earlier band that isn't a shared key meets in the band that is."""
+    base = prose(150, 700).split()
+    texts = [" ".join(base), " ".join(base[:-1] + ["edited"]), prose(150, 701), prose(150, 702), prose(150, 703)]
+    s = nearcopies.Settings(bands=4, rows=2)
+    keys = [[100 * i + band for band in range(4)] for i in range(1, 6)]
+    keys[0][3] = keys[1][3] = keys[2][3] = 7  # the only key of 0 and 1; its centre is 2, which has more partners and is unlike both
+    keys[2][1] = keys[3][1] = keys[4][1] = 8
+    sketch = [bytes([1] * 8), bytes([1] * 8), bytes(range(10, 18)), bytes(range(20, 28)), bytes(range(30, 38))]
+    rows = [(i, str(i).encode(), keys[i], sketch[i]) for i in range(5)]
+    signed = spark.createDataFrame(rows, "doc_id long, h binary, keys array<long>, sketch binary")
+    monkeypatch.setattr(nearcopies, "signatures", lambda *_: signed)
+    got = {x.doc_id: x.class_id for x in nearcopies.near_classes(documents(spark, texts), s).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+
+
 def test_near_classes_odd(spark, odd):
     got = collections.Counter((x.doc_id, x.class_id) for x in nearcopies.near_classes(odd).collect())
     assert got == {(1, 1): 1, (2, 2): 1, (3, 3): 1, (4, 4): 3, (5, 4): 1, (None, None): 2, (6, 6): 1, (7, 7): 1}
