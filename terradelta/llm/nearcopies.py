@@ -1,8 +1,9 @@
 """Near-duplicate classes by ProbMinHash (operator 4).
 
-A document's five-word shingles are weighted elements. Each runs a Poisson process whose arrivals fall on random
+A document's different five-word shingles are elements, of weight 1 each. Each runs a Poisson process whose arrivals fall on random
 components of the signature; a component keeps the element that came first, and an element stops as soon as it can
-no longer be first anywhere. Equal components estimate the probability Jaccard similarity. Bands of components gather
+no longer be first anywhere. Equal components estimate the probability Jaccard similarity, which with equal weights is the plain
+one that decides, however often a shingle repeats. Bands of components gather
 candidates; shingle sets decide, exactly, at a Jaccard similarity of `similarity` or more. Classes are the connected components.
 """
 
@@ -90,8 +91,8 @@ def signatures(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     def work(batch):
         column, n = batch.column(1), batch.num_rows
-        rows, elements, counts = shingle_sets(column, s.shingle)
-        who = prob_min_hash(rows, elements, 1 + np.log(counts), n, k)
+        rows, elements, _ = shingle_sets(column, s.shingle)
+        who = prob_min_hash(rows, elements, np.ones(len(rows)), n, k)
         has = np.bincount(rows, minlength=n) > 0
         bands = who.reshape(n, s.bands, s.rows)
         keys = np.broadcast_to(np.arange(1, s.bands + 1, dtype=np.uint64), (n, s.bands)).copy()

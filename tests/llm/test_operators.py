@@ -164,6 +164,18 @@ def test_near_classes_first_shared_band(spark, monkeypatch):
     assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
 
 
+def test_near_classes_repeated_lines(spark):
+    """Near copies that differ in a line repeated 10 to 30 times."""
+    texts = []
+    for seed in range(60):
+        base, menu = prose(104, 800 + seed), prose(16, 900 + seed)
+        texts += [base, base + (" " + menu) * (10, 20, 30)[seed % 3]]
+    got = {x.doc_id: x.class_id for x in nearcopies.near_classes(documents(spark, texts)).collect()}
+    want = plain_classes(texts)
+    assert sum(want[i] != i for i in range(len(texts))) == 60
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_near_classes_odd(spark, odd):
     got = collections.Counter((x.doc_id, x.class_id) for x in nearcopies.near_classes(odd).collect())
     assert got == {(1, 1): 1, (2, 2): 1, (3, 3): 1, (4, 4): 3, (5, 4): 1, (None, None): 2, (6, 6): 1, (7, 7): 1}
