@@ -63,8 +63,24 @@ def _target(html: Column) -> Column:
 
 
 def _absolute(link: Column, url: Column) -> Column:
+    """The link resolved against the page's url by RFC 3986, &amp; decoded; null for other schemes. A base element isn't read."""
+    link = F.regexp_replace(link, r"(?i)&(?:amp|#38|#x26);", "&")
     root = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    return F.when(link.contains("://"), link).when(link.startswith("//"), F.concat(F.lit("http:"), link)).when(link.startswith("/"), F.concat(root, link))
+    path, tail = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1)
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path))
+    parts = F.split(F.regexp_replace(whole, r"/(\.\.?)$", "/$1/"), "/")
+    up = lambda seen: F.slice(seen, F.lit(1), F.greatest(F.size(seen) - 1, F.lit(1)))
+    step = lambda seen, x: F.when(x == ".", seen).when(x == "..", up(seen)).otherwise(F.concat(seen, F.array(x)))
+    resolved = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(link.startswith("//"), F.concat(F.lit("http:"), link))
+        .when(link.startswith("#"), url)
+        .when(link.startswith("?"), F.concat(root, path_of(url), link))
+        .otherwise(F.concat(root, resolved, tail))
+    )
 
 
 def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -342,6 +342,30 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string"), RULES).count() == 0
 
 
+def test_urls_relative(spark):
+    link = '<link rel="canonical" href="{}">'
+    refresh = '<meta http-equiv="refresh" content="0; url={}">'
+    cases = [
+        ("http://c.com/a/b/x", "index2.html", "http://c.com/a/b/index2"), ("http://c.com/a/b/x?q=1", "?id=3", "http://c.com/a/b/x?id=3"), ("http://c.com/a/b/x", "../y", "http://c.com/a/y"),
+        ("http://c.com/a/b/x", "./z/../w", "http://c.com/a/b/w"), ("http://c.com/a/b/x", "../../../../up", "http://c.com/up"), ("http://c.com", "root", "http://c.com/root"),
+        ("http://c.com/a/", "sub/.", "http://c.com/a/sub/"), ("http://c.com/a/b?u=/d/e", "f", "http://c.com/a/f"), ("http://c.com/a", "/p/../o", "http://c.com/o"),
+        ("http://c.com/a", "/go?u=http://d.com/", "http://c.com/go?u=http://d.com/"), ("http://c.com/a", "go?u=../k", "http://c.com/go?u=../k"), ("http://c.com/a#f", "#g", "http://c.com/a"),
+        ("http://c.com/a", "http://d.com/v?x=1&amp;y=2", "http://d.com/v?y=2&x=1"), ("http://c.com/a", "//d.com/v", "http://d.com/v"), ("http://c.com/a", "mailto:x", None), ("http://c.com/a", "HTTPS://d.com/v", "http://d.com/v"),
+    ]
+    pages = [(i, f"http://n{i}.com" + url[len("http://c.com") :], (link if i % 2 else refresh).format(to)) for i, (url, to, _) in enumerate(cases)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = [None if to is None else to.replace("//c.com", f"//n{i}.com") for i, (_, _, to) in enumerate(cases)]
+    found = frame.select("page_id", F.transform(urls._target(F.col("html")), lambda x: urls._absolute(x, F.col("url"))).alias("t")).withColumn("form", urls.normal_form(F.col("t")[0]))
+    expected = spark.createDataFrame(list(enumerate(want)), "page_id long, w string").withColumn("want", urls.normal_form(F.col("w")))
+    for r in found.join(expected, "page_id").collect():
+        assert r.form == r.want, cases[r.page_id]
+    # aliases that only such links join take the block and the allow of the others
+    pages = [(1, "http://c.com/de/old", link.format("../a/new")), (2, "http://c.com/a/new", ""), (3, "http://c.com/v?x=1&y=2", ""), (4, "http://b.net/p", link.format("http://c.com/v?x=1&amp;y=2")), (5, "http://f.com/q/r", refresh.format("s")), (6, "http://f.com/q/s", "")]
+    rules = [urls.Rule("block", "c.com", "/de/"), urls.Rule("block", "b.net"), urls.Rule("block", "f.com", "/q/r")]
+    got = {x.page_id: x.verdict for x in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+    assert got[2] == got[6] == "block" and got[3] == got[4] == "block"
+
+
 # 8 ------------------------------------------------------------------------------------------------------------
 
 
