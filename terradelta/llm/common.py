@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,8 +12,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that a task works on at once; one longer document is a batch of its own.
-BATCH_BYTES = 4 << 20
+from . import bytewords
+
+#: Bytes of text and rows that a task works on at once; one longer document is a batch of its own.
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or a new local one where it is unset and all runs on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="terradelta-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,10 +40,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and where each row begins (one more entry for the end). Null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -61,25 +62,43 @@ def utf8_lower(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return utf8(pc.utf8_lower(column))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `limit` bytes of text."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BATCH_BYTES, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `limit` bytes of text and at most `rows` rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
         a = 0
         while a < batch.num_rows:
-            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
+            b = min(a + rows, max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1))
             yield batch.slice(a, b - a)
             a = b
 
 
-def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str, text: str = "text", limit: int = BATCH_BYTES) -> DataFrame:
-    """mapInArrow with batches of bounded bytes; work returns a batch, or columns."""
+def release() -> None:
+    """Give back what this worker holds beyond its libraries: a reused worker starts its next task small."""
+    bytewords.release()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | dict | Iterator], schema: str, text: str = "text", limit: int = BATCH_BYTES, rows: int = BATCH_ROWS) -> DataFrame:
+    """mapInArrow with batches of bounded bytes and rows; work returns a batch, or columns, or several of them."""
+
+    def made(out):
+        return out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
 
     def run(batches):
-        for batch in slices(batches, text, limit):
-            out = work(batch)
-            yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
+        try:
+            for batch in slices(batches, text, limit, rows):
+                out = work(batch)
+                if isinstance(out, pa.RecordBatch | dict):
+                    yield made(out)
+                else:
+                    yield from map(made, out)
+        finally:
+            release()
 
     return df.mapInArrow(run, schema)

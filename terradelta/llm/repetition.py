@@ -31,16 +31,16 @@ class RepetitionRules:
     max_repeat: int = 60  # words of the longest repeat
 
 
-def suffix_levels(symbols: np.ndarray) -> list[np.ndarray]:
-    """Prefix doubling: entry k ranks each position by its first 2**k symbols, equal stretches alike; the last ranks are all different.
+def suffix_array(symbols: np.ndarray) -> np.ndarray:
+    """Prefix doubling: starts of the suffixes in order.
 
     Ranks are the places of a group's head in suffix order; only positions that still share a rank are sorted again.
     """
     n = len(symbols)
     _, inverse, counts = np.unique(symbols, return_inverse=True, return_counts=True)
     rank = (np.cumsum(counts) - counts)[inverse]
-    levels, h = [rank.astype(np.int32)], 1
-    active = np.flatnonzero(counts[inverse] > 1)
+    active, h = np.flatnonzero(counts[inverse] > 1), 1
+    del inverse
     while active.size:
         after = np.zeros(active.size, np.int64)
         inside = active + h < n
@@ -56,32 +56,47 @@ def suffix_levels(symbols: np.ndarray) -> list[np.ndarray]:
         group_at = np.maximum.accumulate(np.where(new_group, place, 0))
         part_at = np.maximum.accumulate(np.where(new_part, place, 0))
         rank[active] = old + part_at - group_at
-        levels.append(rank.astype(np.int32))
         last = np.ones(active.size, bool)
         last[:-1] = new_part[1:]
         active = active[~(new_part & last)]
         h *= 2
-    return levels
+    out = np.empty(n, np.int64)
+    out[rank] = np.arange(n)
+    return out
 
 
 def longest_repeats(symbols: np.ndarray) -> np.ndarray:
-    """For each position, how many symbols from there on are found elsewhere too: the deepest LCP interval that holds its suffix."""
+    """For each position, how many symbols from there on are found elsewhere too: the deepest LCP interval that holds its suffix.
+
+    Neighbouring suffixes' common prefixes are found by doubling and then halving steps over prefix hashes of the symbols.
+    """
     n = len(symbols)
     best = np.zeros(n, np.int64)
     if n < 2:
         return best
-    levels = suffix_levels(symbols)
-    suffixes = np.empty(n, np.int64)
-    suffixes[levels[-1]] = np.arange(n)
-    a, b = suffixes[:-1], suffixes[1:]
-    pair = np.flatnonzero(levels[0][a] == levels[0][b])
-    a, b = a[pair], b[pair]
-    lcp = np.zeros(len(a), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        x, y = a + lcp, b + lcp
-        ok = (x < n) & (y < n)
-        ok[ok] = levels[k][x[ok]] == levels[k][y[ok]]
-        lcp[ok] += 1 << k
+    suffixes = suffix_array(symbols)
+    pair = np.flatnonzero(symbols[suffixes[:-1]] == symbols[suffixes[1:]])
+    a, b = suffixes[pair], suffixes[pair + 1]
+    del suffixes
+    pre = bw.prefix(symbols)
+    lcp, step = np.ones(len(a), np.int64), 1
+    open_ = np.arange(len(a))
+
+    def extend(which: np.ndarray, size: int) -> np.ndarray:
+        """Those of `which` whose suffixes agree in `size` more symbols, which are then counted."""
+        x, y = a[which] + lcp[which], b[which] + lcp[which]
+        room = np.maximum(x, y) + size <= n
+        which, x, y = which[room], x[room], y[room]
+        which = which[bw.stretch(pre, x, x + size) == bw.stretch(pre, y, y + size)]
+        lcp[which] += size
+        return which
+
+    while len(open_):  # as long as all agree, steps double
+        open_, step = extend(open_, step), 2 * step
+    every = np.arange(len(a))
+    while step > 1:
+        step //= 2
+        extend(every, step)
     np.maximum.at(best, a, lcp)
     np.maximum.at(best, b, lcp)
     return best
@@ -109,20 +124,18 @@ def measure(batch: pa.RecordBatch, rules: RepetitionRules) -> dict:
     starts, ends = bw.runs(~bw.SPACE[buf], offsets)
     rows = bw.rows_of(starts, offsets)
     n_words = bw.per_row(rows, n)
-    byte_rows = np.repeat(np.arange(n), np.diff(offsets))
-    word_chars = bw.per_row(byte_rows[~bw.SPACE[buf] & ((buf & 0xC0) != 0x80)], n)
-    n_symbols = bw.per_row(byte_rows[SYMBOLS[buf]], n)
-    pre = bw.prefix(buf)
+    word_chars = bw.count_by_row(~bw.SPACE[buf] & ((buf & 0xC0) != 0x80), offsets)
+    n_symbols = bw.count_by_row(SYMBOLS[buf], offsets)
     # lines with a word, by row and content
     a, b = bw.runs(buf != 10, offsets)
     with_word = np.searchsorted(starts, b) > np.searchsorted(starts, a)
     a, b = a[with_word], b[with_word]
     line_rows = bw.rows_of(a, offsets)
     salt = bw.mix(np.arange(1, n + 1, dtype=np.uint64))
-    _, first = np.unique(bw.hash64(pre, a, b) ^ salt[line_rows], return_index=True)
+    _, first = np.unique(bw.hashes(buf, a, b) ^ salt[line_rows], return_index=True)
     n_dup = bw.per_row(line_rows, n) - bw.per_row(line_rows[first], n)
     # a word is another symbol in each document, so no repeat crosses documents
-    best = longest_repeats(bw.hash64(pre, starts, ends) ^ salt[rows])
+    best = longest_repeats(bw.hashes(buf, starts, ends) ^ salt[rows])
     again = covered(len(best), *maximal_spans(best, rules.window))
     n_again = bw.per_row(rows[again], n)
     spans = maximal_spans(best, rules.min_repeat)

@@ -5,8 +5,10 @@ hashes: binary search finds their common extension, so a comparison takes logari
 them, and neighbours of equal hash are compared byte by byte.
 
 Not every suffix needs sorting. Each stretch of `length` bytes has an anchor, the place of its least `gram`-byte hash (the first
-of equal ones); equal stretches have their anchor at the same place. Neighbouring stretches of one anchor are a segment. Segments equal as a whole are settled by
-a grouped minimum; only segments that share the anchor's gram with a different segment have their suffixes sorted.
+of equal ones); equal stretches have their anchor at the same place. Neighbouring stretches of one anchor are a segment. A segment that an equal
+one precedes in its batch, byte by byte, is settled there, so a common segment leaves each batch once; across batches the
+gram's and the whole segment's 64-bit hashes settle it. Only segments that share the anchor's gram with a different
+segment have their suffixes sorted.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from pyspark.sql import functions as F
 from . import bytewords as bw
 from .common import by_batch, cut, utf8
 
-#: A segment's place in one number: text's number among rows of one doc_id, start, number of stretches. In order of (row, start).
-_START, _MANY = 33, 7
+#: A segment's place in its text in one number: start, number of stretches.
+_MANY = 7
 _AT = np.uint64((1 << 30) - 1)
+#: Bytes that are searched for anchors at once: longer texts are cut into overlapping stretches.
+CHUNK = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -34,12 +38,12 @@ class Settings:
     block: int = 150_000  # suffixes sorted at once
 
 
-def pack_place(number, start, many):
-    return (number << (_START + _MANY)) | (start << _MANY) | many
+def pack_place(start, many):
+    return (start << _MANY) | many
 
 
-def unpack_place(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return place >> (_START + _MANY), (place >> _MANY) & ((1 << _START) - 1), place & ((1 << _MANY) - 1)
+def unpack_place(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return place >> _MANY, place & ((1 << _MANY) - 1)
 
 
 # --- the sort -------------------------------------------------------------------------------------------------
@@ -126,6 +130,8 @@ def repeats(text: np.ndarray, at: np.ndarray, group: np.ndarray, most: int) -> n
 def segments(buf: np.ndarray, offsets: np.ndarray, s: Settings) -> dict[str, np.ndarray]:
     """row, start in the row, number of stretches, anchor's offset, gram hash and segment hash of each segment, in order."""
     n, w = len(buf), s.length - s.gram + 1
+    if n > int(_AT):
+        raise ValueError("a batch has over 2**30 bytes")
     empty = dict.fromkeys(("row", "start", "many", "off", "gram", "whole"), np.zeros(0, np.int64))
     if n < s.length:
         return empty
@@ -154,29 +160,50 @@ def segments(buf: np.ndarray, offsets: np.ndarray, s: Settings) -> dict[str, np.
     return {"row": row[a], "start": a - offsets[row[a]], "many": many, "off": off, "gram": grams[anchor[k]], "whole": whole}
 
 
+def _stretches(offsets: np.ndarray, s: Settings) -> list[tuple[int, int]]:
+    """First and last byte of overlapping stretches of at most CHUNK bytes; every string of `length` bytes is whole in one."""
+    n = int(offsets[-1])
+    return [(a, min(a + CHUNK + s.length - 1, n)) for a in range(0, n, CHUNK)]
+
+
+def same_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether buf[a:a+size] and buf[b:b+size] are equal, for arrays of places and sizes of at least 1."""
+    out = np.empty(len(a), bool)
+    for i in range(0, len(a), 10_000):
+        x, y, n = a[i : i + 10_000, None], b[i : i + 10_000, None], size[i : i + 10_000, None]
+        span = np.minimum(np.arange(n.max()), n - 1)
+        out[i : i + 10_000] = (buf[x + span] == buf[y + span]).all(axis=1)
+    return out
+
+
 def anchors(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, place, gram, whole of each segment; gram is null where an equal segment stands before it in the same batch, which settles it."""
+    """key, place, gram, whole of each segment; gram is null where an equal segment stands before it in the same batch, which settles it."""
 
     def work(batch):
-        buf, offsets = utf8(batch.column(2))
-        x = segments(buf, offsets, s)
-        ids, numbers = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        place = pack_place(numbers[x["row"]], x["start"], x["many"])
-        order = np.lexsort((place, ids[x["row"]], x["whole"]))
-        whole = x["whole"][order]
-        again = np.zeros(len(order), bool)
-        again[order[1:][whole[1:] == whole[:-1]]] = True
-        # within a batch rows come in any order of doc_id: the least place of equal segments stays
-        return {"doc_id": ids[x["row"]], "place": place, "gram": pa.array(x["gram"].view(np.int64), mask=again), "whole": x["whole"].view(np.int64)}
-
-    return by_batch(docs.select("doc_id", "number", "text"), work, "doc_id long, place long, gram long, whole long")
+        buf, offsets = utf8(batch.column(1))
+        ids = batch.column(0).to_numpy()
+        for low, high in _stretches(offsets, s):
+            near = np.clip(offsets, low, high) - low
+            x = segments(buf[low:high], near, s)
+            row, a = x["row"], x["start"] + near[x["row"]]  # a: in buf[low:high]
+            key, place = ids[row], pack_place(a + low - offsets[row], x["many"])
+            # rows come in any order of key: the least place of equal segments stays
+            order = np.lexsort((place, key, x["whole"]))
+            one, two = order[:-1], order[1:]
+            k = np.flatnonzero((x["whole"][one] == x["whole"][two]) & (x["gram"][one] == x["gram"][two]) & (x["many"][one] == x["many"][two]))
+            k = k[same_bytes(buf[low:high], a[one[k]], a[two[k]], x["many"][one[k]] - 1 + s.length)]
+            again = np.zeros(len(order), bool)
+            again[two[k]] = True
+            yield {"key": key, "place": place, "gram": pa.array(x["gram"].view(np.int64), mask=again), "whole": x["whole"].view(np.int64)}
+
+    return by_batch(docs.select("key", "text"), work, "key long, place long, gram long, whole long", limit=CHUNK, rows=1 << 20)
 
 
 def settle(found: DataFrame) -> DataFrame:
     """From anchors with a gram: segments equal to an earlier one (gram null), and the first of each where its gram has several (gram kept)."""
 
     def run(batches):
-        held = None  # the last gram's last first segment: (doc_id, place, gram, whole), and whether it was given out
+        held = None  # the last gram's last first segment: (key, place, gram, whole), and whether it was given out
         for batch in batches:
             ids, place, gram, whole = (batch.column(i).to_numpy() for i in range(4))
             out = np.ones(len(ids), bool)
@@ -195,30 +222,32 @@ def settle(found: DataFrame) -> DataFrame:
             shared = first & several[run_of]
             give = (shared | ~first) & out
             held = ((ids[last], place[last], gram[last], whole[last]), bool(several[-1]))
-            yield pa.RecordBatch.from_pydict({"doc_id": ids[give], "place": place[give], "gram": pa.array(gram[give], mask=~shared[give])})
+            yield pa.RecordBatch.from_pydict({"key": ids[give], "place": place[give], "gram": pa.array(gram[give], mask=~shared[give])})
 
-    return found.repartition("gram").sortWithinPartitions("gram", "whole", "doc_id", "place").select("doc_id", "place", "gram", "whole").mapInArrow(run, "doc_id long, place long, gram long")
+    return found.repartition("gram").sortWithinPartitions("gram", "whole", "key", "place").select("key", "place", "gram", "whole").mapInArrow(run, "key long, place long, gram long")
 
 
 # --- the operator ---------------------------------------------------------------------------------------------
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, number and text; number tells rows of one doc_id apart, in the order of their texts."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    if plain.where("doc_id is null").isEmpty() and plain.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return plain.withColumn("number", F.lit(0).cast("long"))
-    order = Window.partitionBy("doc_id").orderBy("text")
-    return cut(plain.withColumn("number", F.row_number().over(order).cast("long")).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 62)))))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """key, doc_id and text of each row. key is the doc_id where these are different whole numbers; else rows are numbered in order of doc_id and a hash of the text."""
+    plain = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    whole = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    if whole and plain.where("doc_id is null").isEmpty() and plain.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return plain.withColumn("key", F.col("doc_id").cast("long"))
+    hashed = plain.withColumn("h", F.xxhash64("text"))
+    ordered = hashed.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text")
+    return cut(ordered.select("doc_id", "text", F.monotonically_increasing_id().alias("key")))
 
 
 def _by_document(rows: DataFrame, *columns: str) -> DataFrame:
     """The rows of each document in one list; a document's segments are no more than its bytes."""
-    return rows.groupBy("doc_id", F.shiftright("place", _START + _MANY).alias("number")).agg(F.collect_list(F.struct(*columns)).alias("found"))
+    return rows.groupBy("key").agg(F.collect_list(F.struct(*columns)).alias("found"))
 
 
 def _take_suffixes(joined: DataFrame, s: Settings) -> DataFrame:
-    """bucket, doc_id, place, off and bytes of each segment to sort. A hot gram's stretches go to buckets of their own."""
+    """bucket, key, place and bytes of each segment to sort. A hot gram's stretches go to buckets of their own."""
 
     def work(batch):
         buf, offsets = utf8(batch.column(2))
@@ -226,7 +255,7 @@ def _take_suffixes(joined: DataFrame, s: Settings) -> DataFrame:
         flat = lists.flatten()
         row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
         place, gram, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-        number, start, many = unpack_place(place)
+        start, many = unpack_place(place)
         a = offsets[row] + start
         one = np.flatnonzero(hot)
         if len(one):
@@ -234,22 +263,24 @@ def _take_suffixes(joined: DataFrame, s: Settings) -> DataFrame:
             inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             k = np.repeat(one, size)
             b = a[k] + inner
-            own = bw.hash64(bw.prefix(buf), b, b + s.length).view(np.int64)
+            own, ordered = np.empty(len(b), np.int64), np.argsort(b, kind="stable")
+            own[ordered] = bw.hashes(buf, b[ordered], b[ordered] + s.length).view(np.int64)
             cold = np.flatnonzero(~hot.astype(bool))
             row, a = np.concatenate([row[cold], row[k]]), np.concatenate([a[cold], b])
-            place = np.concatenate([place[cold], pack_place(number[k], start[k] + inner, 1)])
+            place = np.concatenate([place[cold], pack_place(start[k] + inner, 1)])
             gram, many = np.concatenate([gram[cold], own]), np.concatenate([many[cold], np.ones(len(k), np.int64)])
         # the anchor: where the gram stands among the stretches is the same for equal ones
         ends = a + many - 1 + s.length
-        data = buf.tobytes()
-        pieces = [data[x:y] for x, y in zip(a.tolist(), ends.tolist(), strict=True)]
-        return {"bucket": gram, "doc_id": batch.column(0).to_numpy()[row], "place": place, "bytes": pa.array(pieces, pa.binary())}
+        data, key = buf.tobytes(), batch.column(0).to_numpy()[row]
+        for i in range(0, len(a), 100_000):
+            pieces = [data[x:y] for x, y in zip(a[i : i + 100_000].tolist(), ends[i : i + 100_000].tolist(), strict=True)]
+            yield {"bucket": gram[i : i + 100_000], "key": key[i : i + 100_000], "place": place[i : i + 100_000], "bytes": pa.array(pieces, pa.binary())}
 
-    return by_batch(joined.select("doc_id", "found", "text"), work, "bucket long, doc_id long, place long, bytes binary")
+    return by_batch(joined.select("key", "found", "text"), work, "bucket long, key long, place long, bytes binary")
 
 
 def _sorted_repeats(suffixes: DataFrame, s: Settings) -> DataFrame:
-    """doc_id and place of each run of stretches that stand earlier too: the suffix sort, bucket by bucket."""
+    """key and place of each run of stretches that stand earlier too: the suffix sort, bucket by bucket."""
 
     def anchor_in(text, pre, head, size, many, bucket):
         """Where each segment has its anchor: the first gram, among those that all its stretches hold, whose hash is the bucket's; 0 in hot buckets."""
@@ -266,7 +297,7 @@ def _sorted_repeats(suffixes: DataFrame, s: Settings) -> DataFrame:
 
     def solve(bucket, ids, place, pieces, kept):
         """The repeats among these rows; `kept` (bucket, offsets, suffixes) holds what the first bucket had before."""
-        number, start, many = unpack_place(place)
+        start, many = unpack_place(place)
         text = np.frombuffer(b"".join(pieces), np.uint8)
         size = np.array([len(x) for x in pieces])
         head = np.cumsum(size) - size
@@ -292,13 +323,13 @@ def _sorted_repeats(suffixes: DataFrame, s: Settings) -> DataFrame:
         firsts = np.flatnonzero(~joined)
         length = np.diff(np.append(firsts, len(k)))
         k = k[firsts]
-        return {"doc_id": ids[row[k]], "place": pack_place(number[row[k]], start[row[k]] + inner[k], length)}, (bucket[-1], off[fresh], [text[x : x + s.length].tobytes() for x in at[fresh].tolist()])
+        return {"key": ids[row[k]], "place": pack_place(start[row[k]] + inner[k], length)}, (bucket[-1], off[fresh], [text[x : x + s.length].tobytes() for x in at[fresh].tolist()])
 
     def run(batches):
         waiting, n, kept = [], 0, None
         for batch in batches:
             columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            many = unpack_place(columns[2])[2]
+            many = unpack_place(columns[2])[1]
             ends = np.searchsorted(np.cumsum(many), np.arange(s.block, many.sum() + s.block, s.block), "right").tolist()
             a = 0
             for b in [*dict.fromkeys(ends), len(many)]:
@@ -315,50 +346,65 @@ def _sorted_repeats(suffixes: DataFrame, s: Settings) -> DataFrame:
         if waiting:
             yield pa.RecordBatch.from_pydict(solve(*(np.concatenate(x) for x in zip(*waiting, strict=True)), kept)[0])
 
-    return suffixes.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "place").select("bucket", "doc_id", "place", "bytes").mapInArrow(run, "doc_id long, place long")
+    return suffixes.repartition("bucket").sortWithinPartitions("bucket", "key", "place").select("bucket", "key", "place", "bytes").mapInArrow(run, "key long, place long")
+
+
+def united(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of the maximal runs that the stretches [a, b) of the rows cover; touching ones are one run."""
+    order = np.lexsort((a, row))
+    row, a, b = row[order], a[order], b[order]
+    if not len(row):
+        return row, a, b
+    first = np.append(True, row[1:] != row[:-1])
+    wide = int(b.max()) + 1
+    reach = np.maximum.accumulate(b + row * wide) - row * wide  # the farthest end so far in the row
+    new = first | np.append(True, a[1:] > reach[:-1])
+    at = np.flatnonzero(new)
+    return row[at], a[at], reach[np.append(at[1:], len(row)) - 1]
 
 
 def _cut_out(joined: DataFrame, s: Settings) -> DataFrame:
     def work(batch):
         buf, offsets = utf8(batch.column(2))
-        lists = batch.column(1)
-        edge = np.zeros(len(buf) + 1, np.int64)
-        flat = lists.flatten()
-        row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()) if batch.num_rows else [])
-        if len(flat):
-            _, start, many = unpack_place(flat.field(0).to_numpy())
-            a = offsets[row] + start
-            np.add.at(edge, a, 1)
-            np.add.at(edge, a + many - 1 + s.length, -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        total = np.concatenate([[0], np.cumsum(gone)])
-        starts, _ = bw.runs(gone, offsets)
-        kept = buf[~gone].tobytes()
-        at = (offsets - total[offsets]).tolist()
-        return {"doc_id": batch.column(0), "n_bytes": np.diff(offsets), "n_removed": np.diff(total[offsets]), "n_spans": bw.per_row(bw.rows_of(starts, offsets), batch.num_rows), "kept": pa.array([kept[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())}
-
-    return by_batch(joined.select("doc_id", "found", "text"), work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        lists, n = batch.column(1), batch.num_rows
+        row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+        start, many = unpack_place(lists.flatten().field(0).to_numpy())
+        row, a, b = united(row, start, start + many - 1 + s.length)
+        data, kept, at = buf.tobytes(), [], [0] * n
+        pieces: list[list[bytes]] = [[] for _ in range(n)]
+        for r, x, y in zip(row.tolist(), a.tolist(), b.tolist(), strict=True):
+            pieces[r].append(data[offsets[r] + at[r] : offsets[r] + x])
+            at[r] = y
+        for r, p in enumerate(pieces):
+            p.append(data[offsets[r] + at[r] : offsets[r + 1]])
+            kept.append(b"".join(p))
+        size = np.diff(offsets)
+        return {"doc_id": batch.column(0), "n_bytes": size, "n_removed": size - np.array([len(x) for x in kept], np.int64), "n_spans": bw.per_row(row, n), "kept": pa.array(kept, pa.binary())}
+
+    kind = joined.schema["doc_id"].dataType.simpleString()
+    return by_batch(joined.select("doc_id", "found", "text"), work, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def remove_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes of each row.
 
-    Null and empty texts have no bytes. A null doc_id comes before all others. Rows of one doc_id come in the order of their texts, equal
-    rows in any, so one of them keeps its bytes. Other columns aren't read. An empty table gives an empty result.
+    Null and empty texts have no bytes. doc_ids may be of any type with an order; a null one comes before all others. Rows of one doc_id come in
+    the order of a hash of their texts, equal rows in any, so one of them keeps its bytes. Long texts are searched in overlapping stretches. Other
+    columns aren't read. An empty table gives an empty result.
     """
-    named = _numbered(docs)
+    named = _keyed(docs)
     found = cut(anchors(named, s))
     settled = cut(settle(found.where("gram is not null")))
     rivals = settled.where("gram is not null")
     hot = rivals.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > s.hot).select("gram", F.lit(True).alias("hot"))
-    marked = rivals.join(hot.hint("merge"), "gram", "left").select("doc_id", "place", "gram", F.coalesce("hot", F.lit(False)).alias("hot"))
+    marked = rivals.join(hot.hint("merge"), "gram", "left").select("key", "place", "gram", F.coalesce("hot", F.lit(False)).alias("hot"))
     wanted = _by_document(marked, "place", "gram", "hot")
-    suffixes = _take_suffixes(named.join(wanted.hint("merge"), ["doc_id", "number"]), s)
+    suffixes = _take_suffixes(named.join(wanted.hint("merge"), "key"), s)
     late = _sorted_repeats(suffixes, s)
-    gone = cut(found.where("gram is null").select("doc_id", "place").union(settled.where("gram is null").select("doc_id", "place")).union(late))
+    gone = cut(found.where("gram is null").select("key", "place").union(settled.where("gram is null").select("key", "place")).union(late))
     spans = _by_document(gone, "place")
-    joined = named.join(spans.hint("merge"), ["doc_id", "number"], "left").select("doc_id", F.coalesce("found", F.array().cast("array<struct<place:long>>")).alias("found"), "text")
-    return _cut_out(joined, s).withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 62), F.col("doc_id")))
+    joined = named.join(spans.hint("merge"), "key", "left").select("doc_id", F.coalesce("found", F.array().cast("array<struct<place:long>>")).alias("found"), "text")
+    return _cut_out(joined, s)
 
 
 def digests(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

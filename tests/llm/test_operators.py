@@ -75,7 +75,7 @@ def test_repetition_odd(spark, odd):
 
 def plain_removal(rows, size):
     seen, out = set(), []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
         for p in range(len(b) - size + 1):
