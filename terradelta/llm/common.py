@@ -17,6 +17,9 @@ from . import bytewords
 #: Bytes of text and rows that a task works on at once; one longer document is a batch of its own.
 BATCH_BYTES, BATCH_ROWS = 1 << 20, 2048
 
+#: What forgets things that a worker keeps between the tasks of one operator.
+HELD: list[Callable[[], None]] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -76,7 +79,9 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
 
 
 def release() -> None:
-    """Give back what this worker holds beyond its libraries: a reused worker starts its next task small."""
+    """Give back what this worker holds beyond its libraries: a reused worker starts small, whatever operator it served."""
+    for forget in HELD:
+        forget()
     bytewords.release()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -91,6 +96,7 @@ def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | di
         return out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
 
     def run(batches):
+        release()
         try:
             for batch in slices(batches, text, limit, rows):
                 out = work(batch)

@@ -1,10 +1,12 @@
 """Near-duplicate classes by ProbMinHash (operator 4).
 
-A document's different five-word shingles are elements, of weight 1 each. Each runs a Poisson process whose arrivals fall on random
+A document's different five-word shingles are elements. Each runs a Poisson process, of its weight's rate, whose arrivals fall on random
 components of the signature; a component keeps the element that came first, and an element stops as soon as it can
-no longer be first anywhere. Equal components estimate the probability Jaccard similarity, which with equal weights is the plain
-one that decides, however often a shingle repeats. Bands of components gather
-candidates; shingle sets decide, exactly, at a Jaccard similarity of `similarity` or more. Classes are the connected components.
+no longer be first anywhere. Equal components estimate the probability Jaccard similarity. Bands of components gather
+candidates; the exact probability Jaccard similarity of the weighted shingle sets decides, at `similarity` or more. Classes are the connected components.
+
+Weights are 1 + ln(count) with `count_weights`, else 1 each: the probability Jaccard similarity is then the plain one of the sets, however
+often a shingle repeats, which is what near copies are asked for by default.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from . import bytewords as bw
 from .common import by_batch, cut, utf8, utf8_lower
 from .components import components
 
+#: Elements that compete at once.
+ELEMENTS = 1 << 19
 _STEP, _OTHER = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 
 
@@ -28,6 +32,7 @@ _STEP, _OTHER = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 class Settings:
     shingle: int = 5  # words
     similarity: float = 0.8
+    count_weights: bool = False  # a shingle weighs more where it repeats in the document
     bands: int = 40
     rows: int = 6  # components in a band
     estimate: float = 0.7  # pairs beside the bands' centres are checked when their signatures say so much; 4 standard errors below 0.8
@@ -62,10 +67,21 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, n
     return rows[at], hashes[at], np.diff(np.append(at, len(rows)))
 
 
+def weights_of(counts: np.ndarray, s: Settings) -> np.ndarray:
+    return 1 + np.log(counts) if s.count_weights else np.ones(len(counts))
+
+
 def prob_min_hash(rows: np.ndarray, elements: np.ndarray, weights: np.ndarray, n: int, k: int) -> np.ndarray:
     """Signatures (n, k): in each component the element whose Poisson process of rate `weight` reached it first; 0 in rows without elements."""
     best, who = np.full(n * k, np.inf), np.zeros(n * k, np.uint64)
     latest = np.full(n, np.inf)
+    for a in range(0, len(rows), ELEMENTS):
+        _arrivals(rows[a : a + ELEMENTS], elements[a : a + ELEMENTS], weights[a : a + ELEMENTS], n, k, best, who, latest)
+    return who.reshape(n, k)
+
+
+def _arrivals(rows: np.ndarray, elements: np.ndarray, weights: np.ndarray, n: int, k: int, best: np.ndarray, who: np.ndarray, latest: np.ndarray) -> None:
+    """Let these elements' arrivals compete in best (times), who (elements) and latest (by row, the last component's time)."""
     time, t = np.zeros(len(rows)), 0
     while len(rows):
         t += 1
@@ -81,7 +97,6 @@ def prob_min_hash(rows: np.ndarray, elements: np.ndarray, weights: np.ndarray, n
         who[slot[won]] = elements[won]
         live = np.unique(rows) if t > 4 else np.arange(n)
         latest[live] = best.reshape(n, k)[live].max(axis=1)
-    return who.reshape(n, k)
 
 
 def signatures(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -91,8 +106,8 @@ def signatures(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     def work(batch):
         column, n = batch.column(1), batch.num_rows
-        rows, elements, _ = shingle_sets(column, s.shingle)
-        who = prob_min_hash(rows, elements, np.ones(len(rows)), n, k)
+        rows, elements, counts = shingle_sets(column, s.shingle)
+        who = prob_min_hash(rows, elements, weights_of(counts, s), n, k)
         has = np.bincount(rows, minlength=n) > 0
         bands = who.reshape(n, s.bands, s.rows)
         keys = np.broadcast_to(np.arange(1, s.bands + 1, dtype=np.uint64), (n, s.bands)).copy()
@@ -107,6 +122,33 @@ def signatures(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return by_batch(docs.select("doc_id", F.col("text").cast("string").alias("text")), work, f"doc_id {kind}, h binary, keys array<long>, sketch binary")
 
 
+def probability_jaccard(one: tuple, two: tuple, n: int) -> np.ndarray:
+    """By row (n of them), the probability Jaccard similarity of two weighted sets, each (rows, elements, weights); 0 for empty ones.
+
+    An element i of both adds 1 / sum over j of max(x_j / x_i, y_j / y_i). In order of x/y, the elements before i count by y, the others by x.
+    """
+    rows, elements = (np.concatenate(z) for z in zip(one[:2], two[:2], strict=True))
+    x, y = np.concatenate([one[2], np.zeros(len(two[0]))]), np.concatenate([np.zeros(len(one[0])), two[2]])
+    if not len(rows):
+        return np.zeros(n)
+    order = np.lexsort((elements, rows))
+    rows, elements, x, y = rows[order], elements[order], x[order], y[order]
+    at = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (elements[1:] != elements[:-1])))
+    rows, x, y = rows[at], np.add.reduceat(x, at), np.add.reduceat(y, at)
+    with np.errstate(divide="ignore"):
+        ratio = x / y
+    order = np.lexsort((ratio, rows))
+    rows, x, y, ratio = rows[order], x[order], y[order], ratio[order]
+    first = np.searchsorted(rows, np.arange(n + 1))
+    total_x, total_y = (np.concatenate([[0.0], np.cumsum(z)]) for z in (x, y))
+    new = np.append(True, (rows[1:] != rows[:-1]) | (ratio[1:] != ratio[:-1]))
+    low = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))  # where elements of this ratio begin
+    both = np.flatnonzero((x > 0) & (y > 0))
+    r, low = rows[both], low[both]
+    share = 1 / ((total_x[first[r + 1]] - total_x[low]) / x[both] + (total_y[low] - total_y[first[r]]) / y[both])
+    return np.bincount(r, share, n)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     """Of pairs (a, b) of doc_ids those whose shingle sets have the similarity; their whole texts meet by joins on the ids."""
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
@@ -115,23 +157,16 @@ def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batch):
-        n, chosen = batch.num_rows, []
         sets = []
         for name in ("text", "other"):
-            r, h, _ = shingle_sets(batch.column(batch.schema.get_field_index(name)), s.shingle)
-            sets.append((r, h))
-        (r1, h1), (r2, h2) = sets
-        rows, hashes = np.concatenate([r1, r2]), np.concatenate([h1, h2])
-        order = np.lexsort((hashes, rows))
-        rows, hashes = rows[order], hashes[order]
-        common = np.bincount(rows[1:][(rows[1:] == rows[:-1]) & (hashes[1:] == hashes[:-1])], minlength=n)
-        union = np.bincount(rows, minlength=n) - common
-        chosen = (common >= s.similarity * union) & (union > 0)
+            rows, elements, counts = shingle_sets(batch.column(batch.schema.get_field_index(name)), s.shingle)
+            sets.append((rows, elements, weights_of(counts, s)))
+        chosen = probability_jaccard(*sets, batch.num_rows) >= s.similarity - 1e-9
         keep = pa.array(chosen)
         return {"u": batch.column(batch.schema.get_field_index("a")).filter(keep), "v": batch.column(batch.schema.get_field_index("b")).filter(keep)}
 
     joined = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "text", "other")
-    return by_batch(joined, work, f"u {kind}, v {kind}", limit=2 << 20)
+    return by_batch(joined, work, f"u {kind}, v {kind}", limit=512 << 10)
 
 
 def _blocks(rows: DataFrame, block: int) -> DataFrame:
@@ -152,7 +187,7 @@ def alike_across(rows: DataFrame, kind: str, s: Settings) -> DataFrame:
 
     def run(batches):
         held = None
-        for batch in batches:
+        for batch in batches:  # a group has at most 2 * `block` rows
             held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
             g = held.column(0).to_numpy()
             cut_at = int(np.searchsorted(g, g[-1])) if len(g) else 0  # the last group may go on

@@ -12,20 +12,27 @@ each (length, class of sequences); pieces find their line by their rank among th
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, cut, slices
+from .common import HELD, cut, slices
 
-#: Words whose ids a worker keeps; when full it starts anew.
-CACHE_WORDS = 800_000
+#: Bytes of text tokenised at once, and words whose ids a worker keeps (about 120 MB); when full it starts anew.
+BYTES, CACHE_WORDS = 2 << 20, 800_000
+#: The worker's tokenizer and cache; another operator's task lets them go.
 _state: dict = {}
+HELD.append(_state.clear)
+_SPACE = re.compile(r"[ \t\n\r]")
 
 
 @dataclass(frozen=True)
@@ -37,6 +44,10 @@ class Limits:
     end_id: int = 1
 
 
+#: A tokenizer that treats this text's words apart as it does in the text may be given words; another gets whole texts.
+PROBE = "The cat's mat, 12 DOGS' x.y,z a1b2. don't. ÉTÉ, naïve. I\u0307, \u0130stanbul, (see: [3]) ... 日本語, привет. a-b_c @you #1 \U0001f600, 3.14 e.g., ,x .y\nnew line.\tend"
+
+
 def _tokenizer(path: str):
     if _state.get("path") != path:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,22 +56,27 @@ def _tokenizer(path: str):
         found = Tokenizer.from_file(path)
         last = np.zeros(found.get_vocab_size(), bool)
         last[[i for x, i in found.get_vocab().items() if x.endswith("</w>")]] = True
-        _state.update(path=path, tokenizer=found, last=last, cache={})
+        _state.update(path=path, tokenizer=found, last=last, cache={}, by_word=False)
+        words, whole = PROBE.split(), found.encode(PROBE, add_special_tokens=False).ids
+        _learn(set(words), found, _state["cache"])
+        _state["by_word"] = b"".join(map(_state["cache"].__getitem__, words)) == np.array(whole, "<u4").tobytes()
     return _state["tokenizer"], _state["cache"]
 
 
+def _letters(word: str) -> bool:
+    """Whether the tokenizer sees letters alone, after it has composed and lower-cased them: a few letters become several characters."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 def _learn(words: set[str], tokenizer, cache: dict[str, bytes]) -> None:
     """Add the ids of words to the cache.
 
     The tokenizer divides letters from a '.' or ',' behind them, so such a word is its stem and its mark. Stems of letters alone
     go through the tokenizer as one text: each is one run of letters, and the last token of a run ends with </w>.
     """
-    stems: dict[str, tuple[str, str]] = {}
-    for w in words:
-        x = w.lower() if w.isascii() else w
-        stems[w] = (x[:-1], x[-1]) if x[-1] in ".," and x[:-1].isalpha() else (x, "")
+    stems = {w: (w[:-1], w[-1]) if w[-1] in ".," and _letters(w[:-1]) else (w, "") for w in words}
     new = {s for pair in stems.values() for s in pair if s and s not in cache}
-    letters = [s for s in new if s.isalpha()]
+    letters = [s for s in new if _letters(s)]
     ids = np.array(tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
     ends = np.flatnonzero(_state["last"][ids]) + 1
     if len(ends) == len(letters):
@@ -73,27 +89,53 @@ def _learn(words: set[str], tokenizer, cache: dict[str, bytes]) -> None:
     for s, found in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
         cache[s] = np.array(found.ids, "<u4").tobytes()
     for w, (stem, mark) in stems.items():
-        cache[w] = cache[stem] + cache[mark] if mark else cache[stem]
+        if mark:
+            cache[w] = cache[stem] + cache[mark]
+
+
+def _parts(text: str) -> Iterator[str]:
+    """The text cut at white space into parts of little more than BYTES characters."""
+    a = 0
+    while a < len(text):
+        m = _SPACE.search(text, a + BYTES) if len(text) > a + BYTES else None
+        b = m.end() if m else len(text)
+        yield text[a:b]
+        a = b
 
 
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and no token spans it, so words are tokenised apart and kept.
-    Python's split() also divides at U+001C to U+001F; a text with those is tokenised whole.
+    The tokenizer drops white space and no token spans it, so words are tokenised apart and kept, about BYTES of text
+    at a time. Python's split() also divides at U+001C to U+001F; a text with those is tokenised whole.
     """
     tokenizer, cache = _tokenizer(path)
-    split = [(x or "").split() for x in texts]
+    out: list[list[bytes]] = [[] for _ in texts]
+    held: list[tuple[int, list[str]]] = []
+
+    def flush() -> None:
+        missing = set().union(*(w for _, w in held)) - cache.keys()
+        if len(cache) + len(missing) > CACHE_WORDS:
+            cache.clear()
+            missing = set().union(*(w for _, w in held))
+        _learn(missing, tokenizer, cache)
+        for i, w in held:
+            out[i].append(b"".join(map(cache.__getitem__, w)))
+        held.clear()
+
+    size = 0
     for i, x in enumerate(texts):
-        if x and any(c in x for c in "\x1c\x1d\x1e\x1f"):
-            split[i] = None
-    missing = set().union(*(w for w in split if w)) - cache.keys()
-    if len(cache) + len(missing) > CACHE_WORDS:
-        cache.clear()
-        missing = set().union(*(w for w in split if w))
-    _learn(missing, tokenizer, cache)
-    get = cache.__getitem__
-    return [np.array(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(get, w)) for w, x in zip(split, texts, strict=True)]
+        if x and (not _state["by_word"] or any(c in x for c in "\x1c\x1d\x1e\x1f")):
+            out[i].append(np.array(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes())
+            continue
+        for part in _parts(x or ""):
+            held.append((i, part.split()))
+            size += len(part)
+            if size > BYTES:
+                flush()
+                size = 0
+    flush()
+    return [b"".join(x) for x in out]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits()) -> DataFrame:
@@ -104,9 +146,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits()) -> D
     def run(batches):
         seen: dict[int, int] = {}
         part = TaskContext.get().partitionId()
-        for batch in slices(batches, limit=BATCH_BYTES):
+        for batch in slices(batches, limit=BYTES):
             rows, columns = [], [[] for _ in range(5)]
-            for i, ids in enumerate(token_bytes(batch.column(1).to_pylist(), tokenizer_path)):
+            for i, ids in enumerate(token_bytes(pc.ascii_lower(batch.column(1)).to_pylist(), tokenizer_path)):
                 ids += end
                 for k, a in enumerate(range(0, len(ids), 4 * size)):
                     data = ids[a : a + 4 * size]
@@ -117,7 +159,6 @@ def pieces(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits()) -> D
                     seen[n] = seen.get(n, 0) + 1
             k, start, n, crc, nth = columns
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(rows, pa.int64())), "piece": pa.array(k, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "part": pa.array([part] * len(rows), pa.int32()), "nth": pa.array(nth, pa.int64())})
-
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 

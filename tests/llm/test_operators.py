@@ -193,6 +193,28 @@ def test_signature_estimates_probability_jaccard():
     assert (s[0] == s[1]).mean() == pytest.approx(want, abs=0.03)
 
 
+def weighted_jaccard(a, b):
+    """Probability Jaccard similarity of two texts' shingles, weighted by 1 + ln(count), by its definition."""
+    x, y = (collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (re.findall(r"\w+", t.lower()) for t in (a, b)))
+    x, y = ({k: 1 + np.log(v) for k, v in z.items()} for z in (x, y))
+    return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
+
+
+def test_count_weights(spark):
+    """With weights by count the probability Jaccard similarity of the weighted sets decides."""
+    texts = []
+    for seed in range(30):
+        base, menu = prose(100, 1800 + seed), prose(12, 1900 + seed)
+        texts += [base + (" " + menu) * 2, base + (" " + menu) * (2, 3, 9, 60)[seed % 4]]
+    s = nearcopies.Settings(count_weights=True)
+    for a, b in zip(texts[::2], texts[1::2], strict=True):
+        sets = [(r, h, nearcopies.weights_of(c, s)) for r, h, c in (nearcopies.shingle_sets(pa.array([t]), 5) for t in (a, b))]
+        assert nearcopies.probability_jaccard(*sets, 1)[0] == pytest.approx(weighted_jaccard(a, b))
+    got = {x.doc_id: x.class_id for x in nearcopies.near_classes(documents(spark, texts), s).collect()}
+    want = [weighted_jaccard(a, b) >= 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    assert [got[2 * i + 1] == 2 * i for i in range(30)] == want and 5 < sum(want) < 28
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1030)] + [(5, 5), (None, 3)]
@@ -226,6 +248,54 @@ def test_contamination(spark):
     assert {x.doc_id for x in kept.collect()} == {*range(60), 67, 68}
 
 
+def test_contamination_finds_paraphrases(spark):
+    """Recall against the longest common subsequence of every item and every place, on changed, shortened, swapped and widened items."""
+    r, texts = random.Random(12), []
+    items = [prose(r.randrange(15, 60), 4000 + i) for i in range(40)]
+    for i, item in enumerate(items):
+        w = item.split()
+        half = len(w) // 2
+        for changed in (
+            [r.choice(WORDS) if r.random() < 0.15 else x for x in w],
+            [x for x in w if r.random() > 0.15],
+            [y for a, b in zip(w[::2], w[1::2], strict=False) for y in ((b, a) if r.random() < 0.3 else (a, b))],
+            w[half:] + w[:half],
+            [y for x in w for y in ([x] if r.random() > 0.2 else [x, r.choice(WORDS)])],
+            [r.choice(WORDS) if r.random() < 0.3 and k < len(w) - 6 else x for k, x in enumerate(w)],
+        ):
+            host = prose(60, 5000 + 7 * i + len(changed)).split()
+            at = r.randrange(61)
+            texts.append(" ".join(host[:at] + changed + host[at:]))
+    s, want = latent.Settings(), set()
+    for d, text in enumerate(texts):
+        words = text.split()
+        for k, item in enumerate(items):
+            w = item.split()
+            bits, answer = latent.word_bits(w), latent.word_bits(w[-5:])
+            if len(set(w) & set(words)) < 0.5 * len(set(w)):
+                continue
+            for at in range(0, len(words), 4):
+                here = words[max(0, at - len(w)) : at + 8 + len(w)]
+                common = latent.common_words(bits, len(w), here)
+                if common >= s.least_common * len(w) or (common >= s.least_paraphrase * len(w) and latent.common_words(answer, 5, here) == 5):
+                    want.add((d, k))
+                    break
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in latent.contamination(documents(spark, texts), bench, latent.Settings(items=16)).collect()}
+    assert len(want) > 120 and len(got & want) >= 0.95 * len(want) and not got - want
+    assert {x.doc_id for x in latent.keep_clean(documents(spark, texts), bench, latent.Settings(items=16)).collect()} == {*range(len(texts))} - {d for d, _ in got}
+
+
+def test_contamination_repeated_items(spark):
+    """Items of one text are each found; rows without a doc_id are judged by their text."""
+    bench = spark.createDataFrame([(i, prose(30, 1)) for i in range(50)] + [(99, prose(30, 2))], "item_id long, text string")
+    docs = spark.createDataFrame([(None, prose(20, 3) + " " + prose(30, 1), "en", "s", 1), (1, prose(40, 4), "en", "s", 1), (1, prose(30, 2), "en", "s", 1)], SCHEMA)
+    s = latent.Settings(items=1)
+    got = collections.Counter((x.doc_id, x.item_id) for x in latent.contamination(docs, bench, s).collect())
+    assert got == {(None, i): 1 for i in range(50)} | {(1, 99): 1}
+    assert [(x.doc_id, x.text) for x in latent.keep_clean(docs, bench, s).collect()] == [(1, prose(40, 4))]
+
+
 def test_contamination_odd(spark, odd):
     bench = spark.createDataFrame([(1, prose(60, 2)), (2, None)], "item_id long, text string")
     got = collections.Counter(x.doc_id for x in latent.contamination(odd, bench).collect())
