@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bytewords
 
@@ -43,6 +44,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """docs with a number for each row, in order of doc_id: the doc_id itself where these are different whole numbers; else rows are numbered by doc_id (null first) and a hash of the text."""
+    plain = docs.select("doc_id")
+    whole = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    if whole and plain.where("doc_id is null").isEmpty() and plain.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.withColumn(key, F.col("doc_id").cast("long"))
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    return cut(ordered.withColumn(key, F.monotonically_increasing_id()))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and where each row begins (one more entry for the end). Null is empty."""
     if isinstance(column, pa.ChunkedArray):

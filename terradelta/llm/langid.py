@@ -3,7 +3,8 @@
 Texts become normalised TF-IDF vectors of hashed byte 2- and 3-grams. Each language has several centroids (spherical
 k-means of its texts); the nearest by cosine names the language, and texts farther from it than nearly all of
 its own learning texts are marked as rejected. Document frequencies count every learning text; the centroids
-are fitted on at most `sample` texts of each language, those with the smallest hash of doc_id.
+are fitted on at most `sample` different texts of each language, those with the smallest hashes. A rejected text keeps
+the nearest language as its prediction, beside the mark: a name is asked for every text that has letters.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import by_batch, cut, utf8
+from .common import by_batch, cut, slices, utf8
 
 UNDETERMINED = "und"
+#: Texts whose vectors are held at once.
+ROWS = 512
 _KEEP = np.arange(256, dtype=np.uint8)
 _KEEP[[i for i in range(128) if not chr(i).isalpha()]] = 32
 
@@ -41,18 +44,22 @@ def gram_counts(column: pa.Array, features: int) -> np.ndarray:
     out = np.zeros((n, features), np.float32)
     if not len(buf):
         return out
-    text = _KEEP[buf].astype(np.uint32)
-    place = np.repeat(np.arange(n, dtype=np.int64) * features, np.diff(offsets))
-    for size in (2, 3):
-        if len(text) < size:
-            continue
-        code = np.full(len(text) - size + 1, size, np.uint32)
-        for k in range(size):
-            code = (code << np.uint32(8)) | text[k : len(text) - size + 1 + k]
-        blank = np.uint32(0x2020 if size == 2 else 0x202020)
-        use = (place[: len(code)] == place[size - 1 :]) & ((code & np.uint32(0xFFFFFF if size == 3 else 0xFFFF)) != blank)
-        slot = ((code * np.uint32(2654435761)) >> np.uint32(15)) % np.uint32(features)
-        out += np.bincount(place[: len(code)][use] + slot[use], minlength=n * features).reshape(n, features).astype(np.float32)
+    for low in range(0, len(buf), bw.CHUNK):  # a very long text's bytes a part at a time
+        high = min(low + bw.CHUNK + 2, len(buf))
+        text = _KEEP[buf[low:high]].astype(np.uint32)
+        near = np.clip(offsets, low, high)
+        place = np.repeat(np.arange(n, dtype=np.int64) * features, np.diff(near))
+        for size in (2, 3):
+            many = min(high - size + 1, low + bw.CHUNK) - low  # grams that begin in this part
+            if many < 1:
+                continue
+            code = np.full(many, size, np.uint32)
+            for k in range(size):
+                code = (code << np.uint32(8)) | text[k : many + k]
+            blank = np.uint32(0x2020 if size == 2 else 0x202020)
+            use = (place[:many] == place[size - 1 : size - 1 + many]) & ((code & np.uint32(0xFFFFFF if size == 3 else 0xFFFF)) != blank)
+            slot = ((code * np.uint32(2654435761)) >> np.uint32(15)) % np.uint32(features)
+            out += np.bincount(place[:many][use] + slot[use], minlength=n * features).reshape(n, features).astype(np.float32)
     return out
 
 
@@ -82,10 +89,8 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
 def has_letter(column: pa.Array) -> np.ndarray:
     """Whether each text has a letter of any script; null has none."""
     buf, offsets = utf8(column)
-    n = len(offsets) - 1
-    byte_rows = np.repeat(np.arange(n), np.diff(offsets))
-    found = np.bincount(byte_rows[(_KEEP[buf] != 32) & (buf < 128)], minlength=n) > 0
-    for i in np.flatnonzero(~found & (np.bincount(byte_rows[buf >= 128], minlength=n) > 0)):
+    found = bw.count_by_row((_KEEP[buf] != 32) & (buf < 128), offsets) > 0
+    for i in np.flatnonzero(~found & (bw.count_by_row(buf >= 128, offsets) > 0)):
         found[i] = any(c.isalpha() for c in column[int(i)].as_py())
     return found
 
@@ -104,11 +109,9 @@ def fit(learning: DataFrame, s: Settings = Settings()) -> Model:
 
     def frequency(batches):
         total, n = np.zeros(size, np.int64), 0
-        for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.column(0).slice(a, 512)
-                total += (gram_counts(part, size) > 0).sum(axis=0)
-                n += len(part)
+        for batch in slices(batches, rows=ROWS):
+            total += (gram_counts(batch.column(0), size) > 0).sum(axis=0)
+            n += batch.num_rows
         if n:
             yield pa.RecordBatch.from_pydict({"feature": np.arange(-1, size, dtype=np.int32), "df": np.concatenate([[n], total])})
 
@@ -117,15 +120,20 @@ def fit(learning: DataFrame, s: Settings = Settings()) -> Model:
         df[feature + 1] = many
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
 
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = learning.select("doc_id", "lang").withColumn("nth", F.row_number().over(pick)).where(F.col("nth") <= s.sample).select("doc_id").distinct()
-    texts = learning.join(F.broadcast(cut(ids)), "doc_id", "left_semi")  # at most `sample` ids a language
+    # the texts with a language's smallest hashes: a threshold leaves about twice the sample, so no group of a window is large
+    hashed = learning.withColumn("h", F.xxhash64("doc_id", "text"))
+    many = hashed.groupBy("lang").agg(F.count("*").alias("many"))
+    low = F.least(F.lit(1.0), 2.0 * s.sample / F.col("many")) * 2.0**64 - 2.0**63
+    few = hashed.select("lang", "h").join(F.broadcast(cut(many.select("lang", low.alias("low")))), "lang").where("h <= low").select("lang", "h").distinct()  # one row a language
+    pick = Window.partitionBy("lang").orderBy("h")
+    chosen = cut(few.withColumn("nth", F.row_number().over(pick)).where(F.col("nth") <= s.sample).select("lang", "h"))
+    texts = hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang")  # at most `sample` hashes a language; equal rows count once
 
     def to_vectors(batch):
         x = vectors(batch.column(0), idf)
         return {"lang": batch.column(1), "x": pa.ListArray.from_arrays(np.arange(0, x.size + 1, size, dtype=np.int32), pa.array(x.ravel(), pa.float32()))}
 
-    made = by_batch(texts.select("text", "lang", "doc_id").withColumn("nth", F.row_number().over(pick)).where(F.col("nth") <= s.sample).select("text", "lang"), to_vectors, "lang string, x array<float>", limit=1 << 20)
+    made = by_batch(texts, to_vectors, "lang string, x array<float>", rows=ROWS)
 
     def cluster(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["x"].to_numpy())
@@ -158,7 +166,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             far = ~letters | (1 - value > model.radius[top] + 1e-6)
         return {"doc_id": batch.column(0), "lang_pred": pa.array(names[best], pa.string()), "score": score, "rejected": far}
 
-    return by_batch(docs.select("doc_id", F.col("text").cast("string").alias("text")), work, f"doc_id {kind}, lang_pred string, score double, rejected boolean", limit=1 << 20)
+    return by_batch(docs.select("doc_id", F.col("text").cast("string").alias("text")), work, f"doc_id {kind}, lang_pred string, score double, rejected boolean", rows=ROWS)
 
 
 def held_out() -> F.Column:

@@ -16,11 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import by_batch, cut, utf8, utf8_lower
+from .common import by_batch, cut, keyed, utf8, utf8_lower
 from .components import components
 
 #: Elements that compete at once.
@@ -262,9 +262,8 @@ def near_classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """docs without the rows whose class has a smaller doc_id, and without repeats of one row; null doc_ids stay."""
-    gone = near_classes(docs, s).where("class_id < doc_id").select("doc_id").distinct()
-    left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.length("text"))
-    number = "row number of equal rows"
-    return left.withColumn(number, F.when(F.col("doc_id").isNotNull(), F.row_number().over(again)).otherwise(1)).where(F.col(number) == 1).drop(number)
+    """docs with one row of each class: that of the least doc_id, a null one before all. Each row is judged by its text, also where doc_ids repeat or lack."""
+    key = "number of a row of docs"
+    named = keyed(docs, key)
+    classes = near_classes(named.select(F.col(key).alias("doc_id"), "text"), s).where("class_id < doc_id").select(F.col("doc_id").alias(key))
+    return named.join(classes.hint("merge"), key, "left_anti").select(*docs.columns)

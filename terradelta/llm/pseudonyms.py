@@ -2,13 +2,14 @@
 
 Card numbers (Luhn), telephone and social security numbers, IPv4 addresses, dates and the names in mail addresses are found, validated, and
 replaced by a keyed Feistel permutation of the values of the same format. Equal values get equal pseudonyms in every
-document, different values different ones, texts keep their length, and the key's holder can invert it.
+document, a day the same one however it is written, different values different ones; texts keep their length, and the key's holder can invert it.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -50,13 +51,23 @@ def permute(value: int, a: int, b: int, key: bytes, tweak: str, inverse: bool =
     return left * b + right
 
 
+def permute_below(value: int, n: int, key: bytes, tweak: str, inverse: bool = False, same=lambda _: True) -> int:
+    """The same of 0 .. n-1, or of those for which same() holds, value among them: cycle walking in a domain of two nearly equal digits, neither under 2 values."""
+    a = max(2, math.isqrt(n - 1) + 1)
+    b = max(2, -(-n // a))
+    while True:
+        value = permute(value, a, b, key, tweak, inverse)
+        if value < n and same(value):
+            return value
+
+
 def _digits(text: str, key: bytes, tweak: str, inverse: bool, radix: int = 10, zero: int = 48) -> str:
     """The same for a string of digits (or of letters, with radix 26)."""
     n = len(text)
     value = 0
     for c in text:
         value = value * radix + ord(c) - zero
-    value = permute(value, radix ** (n // 2), radix ** (n - n // 2), key, f"{tweak}:{n}", inverse)
+    value = permute_below(value, radix**n, key, f"{tweak}:{n}", inverse)
     out = []
     for _ in range(n):
         value, c = divmod(value, radix)
@@ -85,8 +96,16 @@ def _card(text: str, key: bytes, inverse: bool) -> str | None:
 
 
 def _phone(text: str, key: bytes, inverse: bool) -> str | None:
+    """Ten digits behind a country code. North American ones (code 1 or none) have an area code from 2 to 9; ten equal digits are no number."""
     plain = re.sub(r"\D", "", text)
-    return _refill(text, plain[:-10] + _digits(plain[-10:], key, "phone", inverse))
+    code, number = plain[:-10], plain[-10:]
+    least = 2 * 10**9 if code in ("", "1") else 0
+    value, n = int(number) - least, 10**10 - least
+    equal = lambda v: len(set(f"{v + least:010d}")) == 1
+    if value < 0 or equal(value):
+        return None
+    value = permute_below(value, n, key, f"phone:{least}", inverse, lambda v: not equal(v))
+    return _refill(text, f"{code}{value + least:010d}")
 
 
 def _ssn(text: str, key: bytes, inverse: bool) -> str | None:
@@ -132,14 +151,11 @@ def _date(text: str, key: bytes, inverse: bool) -> str | None:
         return None
     if not FIRST_DAY <= value <= LAST_DAY:
         return None
-    n, a = LAST_DAY - FIRST_DAY + 1, 271
-    value -= FIRST_DAY
-    while True:  # cycle walking: 271 * 270 is a little more than the days
-        value = permute(value, a, 270, key, f"date:{american}", inverse)
-        if value < n:
-            d = datetime.date.fromordinal(FIRST_DAY + value)
-            if not american or d.day > 12:
-                break
+    # one permutation for all formats; days after the 12th stay so, so that month/day/year can still be told
+    late = lambda v: datetime.date.fromordinal(FIRST_DAY + v).day > 12
+    was_late = day > 12
+    value = permute_below(value - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date", inverse, lambda v: late(v) == was_late)
+    d = datetime.date.fromordinal(FIRST_DAY + value)
     out = (f"{d.year:04d}", f"{d.month:02d}", f"{d.day:02d}")
     return mark.join(out if year_first else (out[1], out[2], out[0]) if american else (out[2], out[1], out[0]))
 

@@ -1,8 +1,8 @@
 """Secret scans with ownership frequency (operator 10), in DataFrame functions alone.
 
 Patterns find candidates and their places. Over the whole corpus each value's hash is then counted by distinct
-repositories (documents) and owners (sources): values of many owners are copied examples, the others look live. Tokens of letters and
-digits that no base pattern names are added as spans of kind `owned` where they belong to few owners.
+repositories (documents) and owners (sources): values of many owners, or in many repositories, are copied examples, the others look live.
+Tokens of letters and digits that look live are added as spans of kind `owned`, also where a base span holds them.
 """
 
 from __future__ import annotations
@@ -20,13 +20,15 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # 18 characters and more
 HEX = r"[0-9a-f]{16,}"
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
+BLOCK = 256
 WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 
 @dataclass(frozen=True)
 class Settings:
     least_value: int = 12  # characters of an assigned value
-    example_owners: int = 3  # a value of so many owners is a copied example
+    example_owners: int = 3  # a value of so many owners is a copied example,
+    example_repositories: int = 20  # and so is one in so many repositories, whoever owns them
     distinct_chars: int = 8  # of a token that looks live
 
 
@@ -40,14 +42,20 @@ def _places(text: Column, pattern: str, kind: int, group: int, may: Column, good
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = whole if not group else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     each = F.arrays_zip(F.slice(pieces, 1, F.size(whole)).alias("gap"), F.transform(whole, F.length).alias("size"), values.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(shape).alias("out"))
+    # spans are gathered block by block, so that a list of many matches is not copied at each of them
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(each) - 1) / BLOCK).cast("int")), lambda k: F.slice(each, k * BLOCK + 1, F.lit(BLOCK)))
 
     def step(acc: Column, x: Column) -> Column:
         a, b = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["size"]
         span = F.struct(a.alias("start"), F.lit(kind).alias("kind"), b.alias("end"), x["value"].alias("value"))
         return F.struct(b.alias("at"), F.when(good(x["value"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(may, F.aggregate(each, start, step)["out"]).otherwise(F.array().cast(shape))
+    def block(acc: Column, x: Column) -> Column:
+        one = F.aggregate(x, F.struct(acc["at"].alias("at"), F.array().cast(shape).alias("out")), step)
+        return F.struct(one["at"].alias("at"), F.concat(acc["out"], F.array(one["out"])).alias("out"))
+
+    found = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{shape}>").alias("out")), block)
+    return F.when(may & (F.size(whole) > 0), F.flatten(found["out"])).otherwise(F.array().cast(shape))
 
 
 def candidates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -83,7 +91,7 @@ def scan(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     each = found.select("doc_id", "owner", "text_hash", F.explode("spans").alias("x")).select("doc_id", "owner", "text_hash", "x.start", "x.kind", "x.end", F.unhex(F.md5(F.encode("x.value", "UTF-8"))).alias("value"))
     owners = each.select("value", "owner", "doc_id").distinct().groupBy("value", "owner").agg(F.count("*").alias("repositories"))
     spread = owners.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    judged = each.join(spread, "value").withColumn("live", F.col("owners") < s.example_owners)
+    judged = each.join(spread, "value").withColumn("live", (F.col("owners") < s.example_owners) & (F.col("repositories") < s.example_repositories))
     kept = judged.where((F.col("kind") < 3) | F.col("live")).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "kind", "end", "live")).alias("all"))
     kept = kept.withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
     spans = F.coalesce("all", F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean>>"))

@@ -95,8 +95,8 @@ c AS MATERIALIZED ({_spans(0, _ASSIGN, 2, "length(value) >= 12")}
   UNION ALL {_spans(1, "AKIA[A-Z0-9]{{14,}}".replace("{{", "{").replace("}}", "}"), 0, "true")}
   UNION ALL {_spans(2, "[0-9a-f]{16,}", 0, "true")}
   UNION ALL {_spans(3, "[A-Za-z0-9+/_-]{20,}", 0, "regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= 8")}),
-f AS (SELECT value, count(DISTINCT owner) AS owners FROM c GROUP BY value),
-m AS (SELECT c.*, owners < 3 AS live, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS name FROM c JOIN f USING (value)),
+f AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT (owner, coalesce(doc_id::VARCHAR, 'null'))) AS repositories FROM c GROUP BY value),
+m AS (SELECT c.*, owners < 3 AND repositories < 20 AS live, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS name FROM c JOIN f USING (value)),
 g AS (
   SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
     string_agg(name, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(name, ',' ORDER BY start, kind) AS spans,

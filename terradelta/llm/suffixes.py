@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import by_batch, cut, utf8
+from .common import by_batch, cut, keyed, utf8
 
 #: A segment's place in its text in one number: start, number of stretches.
 _MANY = 7
@@ -230,17 +230,6 @@ def settle(found: DataFrame) -> DataFrame:
 # --- the operator ---------------------------------------------------------------------------------------------
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """key, doc_id and text of each row. key is the doc_id where these are different whole numbers; else rows are numbered in order of doc_id and a hash of the text."""
-    plain = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    whole = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
-    if whole and plain.where("doc_id is null").isEmpty() and plain.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return plain.withColumn("key", F.col("doc_id").cast("long"))
-    hashed = plain.withColumn("h", F.xxhash64("text"))
-    ordered = hashed.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text")
-    return cut(ordered.select("doc_id", "text", F.monotonically_increasing_id().alias("key")))
-
-
 def _by_document(rows: DataFrame, *columns: str) -> DataFrame:
     """The rows of each document in one list; a document's segments are no more than its bytes."""
     return rows.groupBy("key").agg(F.collect_list(F.struct(*columns)).alias("found"))
@@ -392,7 +381,7 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     the order of a hash of their texts, equal rows in any, so one of them keeps its bytes. Long texts are searched in overlapping stretches. Other
     columns aren't read. An empty table gives an empty result.
     """
-    named = _keyed(docs)
+    named = keyed(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "key")
     found = cut(anchors(named, s))
     settled = cut(settle(found.where("gram is not null")))
     rivals = settled.where("gram is not null")

@@ -18,6 +18,10 @@ from . import bytewords as bw
 from .common import by_batch, cut, utf8_lower
 
 
+#: Words whose slots are found at once.
+WORDS = 1 << 18
+
+
 @dataclass(frozen=True)
 class Settings:
     slots: int = 1 << 20  # hashed words and stems
@@ -38,18 +42,22 @@ class Model:
 
 
 def slots_of(column: pa.Array, slots: int, stems: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Row and slot of each lower-case word and of its first bytes, so that inflected and compounded forms share a slot."""
+    """Row and slot, each pair once and in order, of lower-case words and of their first bytes, so that inflected and compounded forms share a slot."""
     buf, offsets = utf8_lower(column)
     folded = bw.FOLD[buf]
     starts, ends = bw.runs(folded != 32, offsets)
-    rows, pre = bw.rows_of(starts, offsets), bw.prefix(folded)
-    found = [(rows, bw.hash64(pre, starts, ends))]
-    for n in stems:
-        long = ends - starts >= n
-        a = starts[long]
-        found.append((rows[long], bw.hash64(pre, a, a + n) + np.uint64(n)))
-    rows, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
-    return rows, (hashes % np.uint64(slots)).astype(np.int64)
+    rows = bw.rows_of(starts, offsets)
+    found = [np.zeros(0, np.int64)]
+    for i in range(0, len(starts), WORDS):  # a very long text's words a part at a time
+        a, b, row = starts[i : i + WORDS], ends[i : i + WORDS], rows[i : i + WORDS]
+        hashes, where = [bw.hashes(folded, a, b)], [row]
+        for n in stems:
+            long = b - a >= n
+            hashes.append(bw.hashes(folded, a[long], a[long] + n) + np.uint64(n))
+            where.append(row[long])
+        found.append(np.unique(np.concatenate(where) * slots + (np.concatenate(hashes) % np.uint64(slots)).astype(np.int64)))
+    pairs = np.unique(np.concatenate(found))
+    return pairs // slots, pairs % slots
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -95,17 +103,18 @@ def fit_links(x: np.ndarray, grade: np.ndarray, grades: int, ridge: float, round
 
 
 def fit(docs: DataFrame, grades: DataFrame, s: Settings = Settings()) -> Model:
-    """Learn from docs (doc_id, text) and grades (doc_id, grade). The driver gets the words of at most `sample` texts, as slots."""
+    """Learn from docs (doc_id, text) and grades (doc_id, grade). The driver gets the words of at most `sample` texts, as slots; the sample is a documented bound of the classifier."""
     some = cut(grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample))
-    texts = docs.where(F.col("text").isNotNull()).join(F.broadcast(some), "doc_id").select("text", "grade")  # at most `sample` rows of 12 bytes
+    texts = docs.where(F.col("text").isNotNull()).join(F.broadcast(some), "doc_id").select("text", "grade", "doc_id")  # at most `sample` rows of 12 bytes
+    kind = texts.schema["doc_id"].dataType.simpleString()
 
     def work(batch):
         rows, slot = slots_of(batch.column(0), s.slots, s.stems)
-        pairs = np.unique(rows * s.slots + slot)
-        ends = np.searchsorted(pairs, np.arange(batch.num_rows + 1) * s.slots).astype(np.int32)
-        return {"grade": batch.column(1), "slots": pa.ListArray.from_arrays(ends, pa.array((pairs % s.slots).astype(np.int32)))}
+        ends = np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32)
+        return {"doc_id": batch.column(2), "grade": batch.column(1), "slots": pa.ListArray.from_arrays(ends, pa.array(slot.astype(np.int32)))}
 
-    found = by_batch(texts, work, "grade int, slots array<int>").limit(2 * s.sample).toArrow()
+    # of several texts of one doc_id the one with the least slots, so at most `sample` rows go to the driver
+    found = by_batch(texts, work, f"doc_id {kind}, grade int, slots array<int>").groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("slots").alias("slots")).select("grade", "slots").toArrow()
     grade = np.array(found.column(0).to_pylist(), np.int64)
     weights = np.zeros(s.slots)
     top = int(grade.max(initial=0))
@@ -142,9 +151,7 @@ def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
         weights = np.zeros(s.slots)
         weights[used] = light
         rows, slot = slots_of(batch.column(1), s.slots, s.stems)
-        own = weights[slot] != 0
-        pairs = np.unique(rows[own] * s.slots + slot[own])
-        total = np.bincount(pairs // s.slots, weights[pairs % s.slots], batch.num_rows)
+        total = np.bincount(rows, weights[slot], batch.num_rows)
         above = 1 / (1 + np.exp(-np.clip(total[:, None] - model.thresholds, -30, 30)))
         edge = np.concatenate([np.ones((len(total), 1)), above, np.zeros((len(total), 1))], axis=1)
         return {"doc_id": batch.column(0), "severity": pa.array(np.argmax(edge[:, :-1] - edge[:, 1:], axis=1), pa.int32()), "expected_severity": above.sum(axis=1), "toxic": above[:, 0] >= s.threshold}
