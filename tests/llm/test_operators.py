@@ -351,6 +351,54 @@ def test_packing_keeps_every_capacity(spark):
     check_packing(rows, limits)
 
 
+def test_token_ids_equal_the_tokenizer(monkeypatch):
+    """Random strings of letters of many scripts, marks, digits and blanks; long texts are cut at white space."""
+    from tokenizers import Tokenizer
+
+    t, r = Tokenizer.from_file(tokenizer_path()), random.Random(1)
+    signs = "aAbBzZ  .,'!?-_0129\n\t\r\x0b\x0c\x85\xa0\u2009\u3000\u200b\x1c\x1f\u0130\u0131ÉéßſΣςяЖ日本\u0301\u0307\U0001f600\u200d\xad<|>&;"
+    texts = ["".join(r.choice(signs) for _ in range(r.randrange(1, 25))) for _ in range(4000)] + ["\u0130, i\u0307, \u0130.", "<|endoftext|> a"]
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert packing.token_bytes(texts, tokenizer_path()) == want
+    monkeypatch.setattr(packing, "BYTES", 50)
+    long = [" ".join(texts[i : i + 9]) for i in range(0, 900, 9)]
+    assert packing.token_bytes(long, tokenizer_path()) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in long]
+
+
+def plain_best_fit(lengths, limits):
+    """Piece by piece, longest first: into the open sequence with room for which the norm of what stays free is least, else into a new one."""
+    top = np.array([limits.capacity, limits.max_documents, limits.max_attention], float)
+    open_ = []
+    for n in sorted(lengths, reverse=True):
+        demand, best = np.array([n, 1, n * n], float), None
+        for i, free in enumerate(open_):
+            after = free - demand
+            if (after >= 0).all():
+                norm = float(((after / top) ** 2 * np.array(limits.weights)).sum())
+                if best is None or norm < best[0] - 1e-15:
+                    best = norm, i
+        if best is None:
+            open_.append(top - demand)
+        else:
+            open_[best[1]] = open_[best[1]] - demand
+    return len(open_)
+
+
+@pytest.mark.parametrize("limits", [packing.Limits(), packing.Limits(capacity=500, max_documents=3, max_attention=10**9), packing.Limits(capacity=500, max_documents=99, max_attention=60_000)])
+def test_plan_equals_piece_by_piece_best_fit(limits):
+    """Tokens, documents and attention cost each decide in one case."""
+    r = random.Random(5)
+    for _ in range(6):
+        lengths = [min(1 + int(r.expovariate(1 / 120)), 240) for _ in range(300)]
+        lines = packing.plan(dict(collections.Counter(lengths)), limits)
+        assert sum(x[2] for x in lines) == 300
+        used = len({x[3] + k for x in lines for k in range(x[2])})
+        assert used <= 1.01 * plain_best_fit(lengths, limits) + 1
+        token_bound = -(-sum(lengths) // limits.capacity)
+        if limits != packing.Limits():
+            assert used > 1.05 * token_bound  # another capacity decides
+
+
 def test_packing_odd(spark, odd):
     rows = packing.pack(odd, tokenizer_path()).collect()
     assert len({(x.doc_id, x.sequence_id, x.offset) for x in rows}) == len(rows) >= odd.count()
@@ -373,8 +421,33 @@ def test_pseudonyms():
     assert pseudonyms.luhn_digit(card[:-1]) == card[-1]
 
 
+def test_a_day_is_linked_in_all_formats():
+    key = b"k"
+    for day in range(1, 32):
+        iso, european, american = (pseudonyms.pseudonymise_text(x, key)[0] for x in (f"2024-12-{day:02d}", f"{day:02d}/12/2024", f"12/{day:02d}/2024"))
+        y, m, d = iso.split("-")
+        assert european == f"{d}/{m}/{y}" and (day <= 12 or american == f"{m}/{d}/{y}") and (int(d) > 12) == (day > 12)
+        for old, new in ((f"2024-12-{day:02d}", iso), (f"{day:02d}/12/2024", european), (f"12/{day:02d}/2024", american)):
+            assert pseudonyms.pseudonymise_text(new, key, True)[0] == old
+
+
+def test_short_names_and_numbers_are_mixed():
+    for key in (b"k", b"l", b"m"):
+        new = [pseudonyms.pseudonymise_text(f"{c}@mail.com", key)[0][0] for c in "abcdefghijklmnopqrstuvwxyz"]
+        assert sorted(new) == sorted("abcdefghijklmnopqrstuvwxyz")
+        assert len({(ord(y) - ord(x)) % 26 for x, y in zip("abcdefghijklmnopqrstuvwxyz", new, strict=True)}) > 5  # no constant shift
+    for n in (1, 2, 9, 10, 26, 27):
+        got = [pseudonyms.permute_below(x, n, b"k", "t") for x in range(n)]
+        assert sorted(got) == list(range(n)) and [pseudonyms.permute_below(x, n, b"k", "t", True) for x in got] == list(range(n))
+
+
+def test_pseudonyms_null_doc_id(spark):
+    got = pseudonyms.pseudonymise(spark.createDataFrame([(None, "on 2024-12-31", "en", "s", 1)], SCHEMA), b"k", counts=True).collect()
+    assert len(got) == 1 and got[0].doc_id is None and got[0].n_date == 1 and got[0].text != "on 2024-12-31"
+
+
 def test_invalid_values_stay():
-    for text in ("4111 1111 1111 1112", "300.1.1.1", "2023-02-29", "000-45-6789", "1.2.3.4.5", "abc4111111111111111", "12345"):
+    for text in ("4111 1111 1111 1112", "300.1.1.1", "2023-02-29", "000-45-6789", "1.2.3.4.5", "abc4111111111111111", "12345", "000-000-0000", "155-010-1234", "+1 (055) 010-1234", "555-555-5555"):
         assert pseudonyms.pseudonymise_text(text, b"k")[0] == text
 
 
@@ -436,9 +509,78 @@ def test_urls_relative(spark):
     assert got[2] == got[6] == "block" and got[3] == got[4] == "block"
 
 
+def test_links_against_plain_components(spark):
+    """Verdicts over generated canonical and refresh links, with chains, stars, cycles, repeated rows and links to pages that aren't there."""
+    r, n = random.Random(11), 400
+    hosts = ["a.com", "b.org", "c.net", "example.net", "d.com"]
+    url = lambda i: f"http://{hosts[i % 5]}/{('en', 'fr', 'de', 'x')[i % 4]}/p{i}"
+    link, refresh = '<link href="{}" rel="canonical">', '<meta http-equiv="refresh" content="0; url={}">'
+    edges = [(i, r.randrange(n + 40)) for i in range(n) if r.random() < 0.5] + [(i, i + 1) for i in range(100, 130)] + [(i, 7) for i in range(200, 230)] + [(310, 311), (311, 310)]
+    html = collections.defaultdict(str)
+    for k, (a, b) in enumerate(edges):
+        html[a] = html[a] or (link, refresh)[k % 2].format(url(b))
+    edges = [(a, int(re.search(r"/p(\d+)", html[a])[1])) for a in html]
+    pages = [(i, url(i), html[i]) for i in range(n)] + [(5, url(5), html[5]), (None, url(6), html[6])]
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()
+    parent = list(range(n + 40))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        parent[root(a)] = root(b)
+
+    def given(i):
+        host, path = url(i)[7:].split("/", 1)
+        fits = [x for x in RULES if (host == x.host or host.endswith("." + x.host)) and ("/" + path).startswith(x.path)]
+        return max(fits, key=lambda x: len(x.name)).verdict if fits else None
+
+    groups = collections.defaultdict(set)
+    for i in range(n):
+        groups[root(i)].add(given(i))
+    for _, b in edges:
+        groups[root(b)].add(given(b))
+    want = lambda i: given(i) or ("allow" if "allow" in groups[root(i)] else "block" if "block" in groups[root(i)] else "allow")
+    assert collections.Counter((x.page_id, x.verdict) for x in got) == collections.Counter((p, want(int(u.rsplit("p", 1)[1]))) for p, u, _ in pages)
+    assert sum(want(i) == "block" and given(i) is None for i in range(n)) > 20
+
+
 # 8 ------------------------------------------------------------------------------------------------------------
 
 
+def test_fit_links_against_plain_loss():
+    """The loss by its definition, term by term: no step in any direction from the fitted model lowers it."""
+    r = np.random.default_rng(4)
+    x = (r.random((120, 6)) < 0.4).astype(np.float32)
+    grade = np.clip((x @ np.array([2.0, 1, 0, -1, 0.5, 0]) + r.normal(0, 1, 120)).round().astype(int), 0, 2)
+    w, theta = toxicity.fit_links(x, grade, 3, 1e-2, 4000)
+
+    def loss(w, theta):
+        total = 0.0
+        for row, g in zip(x.tolist(), grade.tolist(), strict=True):
+            s = sum(a * b for a, b in zip(row, w, strict=True))
+            above = [1.0, *(1 / (1 + np.exp(t - s)) for t in theta), 0.0]
+            total -= np.log(above[g] - above[g + 1])
+        return total / len(x) + 0.5e-2 * sum(v * v for v in w)
+
+    best = loss(w, theta)
+    for _ in range(60):
+        assert loss(w + r.normal(0, 0.05, 6), theta + r.normal(0, 0.05, 2)) > best - 1e-5
+    assert theta[0] < theta[1]
+
+
+def test_toxicity_repeated_doc_ids(spark):
+    """Rows of one doc_id are one text to learn from, however many: every labelled document counts."""
+    texts = ["vile words here " + prose(20, i) if i % 2 else prose(20, i) for i in range(60)]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)] + [(0, texts[0], None, None, None)] * 300
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(1)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.toxic for x in toxicity.severity(docs, labels, toxicity.Settings(sample=60, least_z=2.0)).collect()}
+    assert got == {i: bool(i % 2) for i in range(60)}
+
+
 def test_toxicity(spark):
     r, texts, labels = random.Random(3), [], []
     for i in range(400):
@@ -480,6 +622,38 @@ def test_language(spark):
     assert [got[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3 and got[1003].lang_pred != "und"
 
 
+def test_language_against_plain_cosines():
+    """Counts, weights and cosines by their definitions, text by text and gram by gram."""
+    r = np.random.default_rng(2)
+    texts = ["The cat sat on the mat.", "élève à l'école", "", "x", "日本語 text", prose(40, 3)]
+    size = 256
+    idf, centres = r.random(size).astype(np.float32) + 1, r.random((3, size)).astype(np.float32)
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    got = langid.vectors(pa.array(texts), idf)
+    for text, vector in zip(texts, got, strict=True):
+        b = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in text.lower().encode())
+        counts = np.zeros(size)
+        for n in (2, 3):
+            for i in range(len(b) - n + 1):
+                if b[i : i + n].strip():
+                    code = n
+                    for c in b[i : i + n]:
+                        code = (code << 8 | c) & 0xFFFFFFFF
+                    counts[((code * 2654435761 & 0xFFFFFFFF) >> 15) % size] += 1
+        want = np.sqrt(counts) * idf
+        want = want / max(np.linalg.norm(want), 1e-12)
+        assert np.allclose(vector, want, atol=1e-5) and int(np.argmax(centres @ vector)) == int(np.argmax(centres @ want))
+
+
+def test_language_sample_of_repeated_rows(spark):
+    """A third of all rows are one text, of one doc_id: they count once among the learning texts and every row is named."""
+    letters = {"aa": "abcdefg", "bb": "hijklmno"}
+    text = lambda i, lang: " ".join("".join(random.Random(31 * i + k).choice(letters[lang]) for k in range(j, j + 5)) for j in range(20))
+    rows = [(i, text(i, ("aa", "bb")[i % 2]), ("aa", "bb")[i % 2], None, None) for i in range(200)] + [(1, text(1, "bb"), "bb", None, None)] * 100
+    got = langid.identify(spark.createDataFrame(rows, SCHEMA), langid.Settings(sample=20)).collect()
+    assert len(got) == 300 and all(x.lang_pred == ("aa", "bb")[x.doc_id % 2] for x in got)
+
+
 def test_language_odd(spark, odd):
     assert langid.identify(odd).count() == odd.count() and langid.identify(odd.limit(0)).count() == 0
     assert {x.lang_pred for x in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
@@ -512,6 +686,24 @@ def test_secrets(spark):
     assert all(got[i].spans == "" for i in range(8, 12))  # three owners have it: a copied example
 
 
+def test_secrets_repositories(spark):
+    """A value of one owner in many documents is a copied example too."""
+    token = "zQ8x4rTx6yPx1wBx9kLmN3"
+    docs = spark.createDataFrame([(i, f"see {token} here", "en", "one", 1) for i in range(25)] + [(99, "and Kp3x4rTx6yPx1wBx9kLmN3", "en", "one", 1)], SCHEMA)
+    got = {x.doc_id: (x.spans, x.n_live) for x in secrets.scan(docs).collect()}
+    assert all(got[i] == ("", 0) for i in range(25)) and got[99] == ("owned:4:26", 1)
+    few = {x.doc_id: x.n_live for x in secrets.scan(docs, secrets.Settings(example_repositories=26)).collect()}
+    assert all(few[i] == 1 for i in range(25))
+
+
+def test_secrets_many_matches(spark):
+    """Lists of several blocks: places by the plain pattern."""
+    r = random.Random(3)
+    text = " ".join("".join(r.choice("0123456789abcdef") for _ in range(20)) + r.choice(["", " é", " password=abcdefghijklmnop"]) for _ in range(900))
+    got = secrets.scan(documents(spark, [text])).first()
+    assert got.base_sha256 == hashlib.sha256(plain_secrets(text).encode()).hexdigest() and got.n_hex == 900
+
+
 def test_secrets_odd(spark, odd):
     assert secrets.scan(odd).count() == odd.count() and secrets.scan(odd.limit(0)).count() == 0
     plans = secrets.scan(odd)._jdf.queryExecution().toString()
@@ -520,3 +712,39 @@ def test_secrets_odd(spark, odd):
 
 def test_empty_arrow_column():
     assert nearcopies.shingle_sets(pa.array([None, ""], pa.string()), 5)[0].size == 0
+
+
+# very long texts ----------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def very_long():
+    """8 MB of words, with one passage at its begin, across the border of a stretch, and at its end."""
+    r = random.Random(77)
+    words = [r.choice(WORDS) + str(r.randrange(99_999)) for _ in range(730_000)]
+    passage = prose(40, 606).split()
+    return " ".join([*passage, *words[:180_000], *passage, *words[180_000:], *passage]), " ".join(passage)
+
+
+def test_long_text_of_each_operator(spark, very_long):
+    text, passage = very_long
+    docs = documents(spark, [text, passage + " " + prose(30, 1), text + " ending"])
+    size = len(text.encode())
+    assert 6 << 20 < size
+    q = {x.doc_id: x for x in repetition.repetition(docs).collect()}
+    assert q[0].n_words == len(text.split()) and q[0].longest_repeat == 40 and q[0].kept and q[0].n_covered_words >= 120
+    d = {x.doc_id: x for x in suffixes.digests(docs).collect()}
+    part = len(passage.encode())
+    assert 2 * part <= d[0].n_removed <= 2 * part + 4 and d[0].n_spans == 2
+    assert part <= d[1].n_removed <= part + 2 and size <= d[2].n_removed <= size + 2
+    bench = spark.createDataFrame([(0, passage)], "item_id long, text string")
+    assert {(x.doc_id, x.common) for x in latent.contamination(docs, bench).collect()} == {(0, 40), (1, 40), (2, 40)}
+    assert {x.doc_id: x.class_id for x in nearcopies.near_classes(docs).collect()} == {0: 0, 1: 1, 2: 0}
+    rows = packing.pack(docs, tokenizer_path()).collect()
+    check_packing(rows, packing.Limits())
+    p = {x.doc_id: x for x in pseudonyms.pseudonymise(documents(spark, [text + " on 2024-12-31"]), b"k", counts=True).collect()}
+    assert p[0].n_date == 1
+    labels = spark.createDataFrame([(0, 1, 1), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.severity(docs, labels).count() == 3
+    assert {x.lang_pred for x in langid.identify(docs).collect()} == {"en"}
+    assert secrets.scan(documents(spark, [text + " password=abcdefghijklmnop"])).first().n_assign == 1
