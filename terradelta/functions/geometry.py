@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 GEOMETRY = "array<array<array<struct<x:double,y:double>>>>"
 
 
+def let(value: Column, then) -> Column:
+    """then(value), where value is worked out once however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """The rectangle as a geometry."""
     corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
@@ -65,9 +70,24 @@ def _cross(e: Column) -> Column:
     return e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
 
 
+def origin(geometry: Column) -> Column:
+    """The first point; sums are taken from there, since products of map coordinates would cancel."""
+    return geometry[0][0][0]
+
+
+def moved(geometry: Column, by: Column) -> Column:
+    """The geometry less a point."""
+    point = lambda p: F.struct((p["x"] - by["x"]).alias("x"), (p["y"] - by["y"]).alias("y"))
+    return F.transform(geometry, lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, point)))
+
+
 def area(geometry: Column) -> Column:
     """Shells less holes, whatever the rings' direction."""
-    return _ring_sum(geometry, _cross, lambda s, shell: F.when(shell, F.abs(s)).otherwise(-F.abs(s)) / 2)
+    return let(moved(geometry, origin(geometry)), _size)
+
+
+def _size(near: Column) -> Column:
+    return _ring_sum(near, _cross, lambda s, shell: F.when(shell, F.abs(s)).otherwise(-F.abs(s)) / 2)
 
 
 def perimeter(geometry: Column) -> Column:
@@ -83,16 +103,106 @@ def bounds(geometry: Column) -> Column:
 def centroid(geometry: Column) -> Column:
     """Area-weighted centroid, holes taken out; null without area."""
 
-    def moment(axis: str):
+    def moment(near: Column, axis: str) -> Column:
         def outer(ring: Column, shell: Column) -> Column:
-            edges = _edges(ring)
-            turn = F.signum(_total(F.transform(edges, _cross)))
-            m = _total(F.transform(edges, lambda e: (e["a"][axis] + e["b"][axis]) * _cross(e))) / 6
-            return F.when(shell, m * turn).otherwise(-m * turn)
+            m = lambda e: (_total(F.transform(e, _cross)), _total(F.transform(e, lambda x: (x["a"][axis] + x["b"][axis]) * _cross(x))) / 6)
+            signed = lambda turn, v: F.when(shell, v * F.signum(turn)).otherwise(-v * F.signum(turn))
+            return let(_edges(ring), lambda e: signed(*m(e)))
+
+        return _total(F.flatten(F.transform(near, lambda p: F.transform(p, lambda r, i: outer(r, i == 0)))))
+
+    first = origin(geometry)
+    middle = lambda near: let(_size(near), lambda size: F.struct((F.try_divide(moment(near, "x"), size) + first["x"]).alias("x"), (F.try_divide(moment(near, "y"), size) + first["y"]).alias("y")))
+    return let(moved(geometry, first), middle)
+
+
+def edges(geometry: Column) -> Column:
+    """Edges that aren't upright, from left to right: x0, y0, x1, y1, and sign: whether the shape lies below the edge (1) or above it (-1).
+
+    Worked out once for each object, before pairs are made.
+    """
+
+    def of_ring(ring: Column, shell: Column) -> Column:
+        all_ = _edges(ring)
+        first = ring[0]
+        cross = lambda e: (e["a"]["x"] - first["x"]) * (e["b"]["y"] - first["y"]) - (e["b"]["x"] - first["x"]) * (e["a"]["y"] - first["y"])
+        turn = F.signum(_total(F.transform(all_, cross)))  # 1 counter-clockwise
+
+        def edge(e: Column) -> Column:
+            left = e["a"]["x"] < e["b"]["x"]
+            p = lambda k, axis: F.when(left, e["a" if k == 0 else "b"][axis]).otherwise(e["b" if k == 0 else "a"][axis])
+            sign = F.when(left, -turn).otherwise(turn) * F.when(shell, 1.0).otherwise(-1.0)
+            return F.struct(p(0, "x").alias("x0"), p(0, "y").alias("y0"), p(1, "x").alias("x1"), p(1, "y").alias("y1"), sign.alias("sign"))
+
+        return F.transform(F.filter(all_, lambda e: e["a"]["x"] != e["b"]["x"]), edge)
+
+    return F.flatten(F.flatten(F.transform(geometry, lambda p: F.transform(p, lambda r, i: of_ring(r, i == 0)))))
+
+
+def common_area(a: Column, b: Column) -> Column:
+    """Area common to two shapes given as edges(): holes, parts and concave rings count as they are.
+
+    A shape is the signed sum of the strips below its edges, so the common area is the sum over pairs of edges of the
+    area below both: the integral of the lower one where they stand above each other.
+    """
+    first = a[0]
+    at = lambda g, x: g["y0"] - first["y0"] + (x - g["x0"]) * (g["y1"] - g["y0"]) / (g["x1"] - g["x0"])
+
+    def lower(h: Column) -> Column:
+        """The mean of the lower edge: that of both ends' lower ones, and what a crossing between them adds."""
+        p, q = h["eu"] - h["fu"], h["ev"] - h["fv"]
+        return (F.least(h["eu"], h["fu"]) + F.least(h["ev"], h["fv"])) / 2 + F.when(p * q < 0, F.abs(p * q) / (F.abs(p) + F.abs(q)) / 2).otherwise(0.0)
+
+    def below(e: Column, f: Column) -> Column:
+        heights = lambda r: F.struct(at(e, r["u"]).alias("eu"), at(e, r["v"]).alias("ev"), at(f, r["u"]).alias("fu"), at(f, r["v"]).alias("fv"))
+        strip = lambda r: F.when(r["u"] < r["v"], e["sign"] * f["sign"] * (r["v"] - r["u"]) * let(heights(r), lower)).otherwise(0.0)
+        return let(F.struct(F.greatest(e["x0"], f["x0"]).alias("u"), F.least(e["x1"], f["x1"]).alias("v")), strip)
+
+    total = F.aggregate(a, F.lit(0.0), lambda s, e: s + F.aggregate(b, F.lit(0.0), lambda t, f: t + below(e, f)))
+    return F.coalesce(F.greatest(total, F.lit(0.0)), F.lit(0.0))
+
+
+def hull_area(geometry: Column) -> Column:
+    """Area of the convex hull: the points in order, each dropping those that it makes concave, once from below and once from above."""
+    near = moved(geometry, origin(geometry))
+    turn = lambda o, p, q: (p["x"] - o["x"]) * (q["y"] - o["y"]) - (p["y"] - o["y"]) * (q["x"] - o["x"])
+
+    def chain(ordered: Column) -> Column:
+        def add(stack: Column, q: Column) -> Column:
+            return F.concat(F.filter(stack, lambda p, i: (i == 0) | (turn(F.get(stack, i - 1), p, q) > 0)), F.array(q))
+
+        return F.aggregate(ordered, F.slice(ordered, 1, 0), add)
+
+    def around(points: Column) -> Column:
+        rings = F.array(chain(points), chain(F.reverse(points)))  # each ends where the other begins
+        return F.when(F.size(points) < 3, 0.0).otherwise(F.abs(_total(F.transform(rings, lambda r: _total(F.transform(_edges(r), _cross))))) / 2)
+
+    return let(F.array_sort(F.array_distinct(F.flatten(F.flatten(near)))), around)
+
+
+def concavity(size: Column, hull: Column) -> Column:
+    """Area against the hull's, 1 for an empty geometry."""
+    return F.coalesce(F.try_divide(size, F.when(hull > 0, hull)), F.lit(1.0))
+
+
+def polygon_parts(geometry: Column) -> Column:
+    """Each polygon as a geometry of its own, to explode."""
+    return F.transform(geometry, lambda p: F.array(p))
+
+
+def distance(a: Column, b: Column, common: Column) -> Column:
+    """Least distance of two geometries, 0 where they have area in common: that of a corner to an edge."""
+
+    def to_edge(p: Column, e: Column) -> Column:
+        dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+        t = F.least(F.greatest(F.coalesce(F.try_divide((p["x"] - e["a"]["x"]) * dx + (p["y"] - e["a"]["y"]) * dy, dx * dx + dy * dy), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+        return F.hypot(p["x"] - e["a"]["x"] - t * dx, p["y"] - e["a"]["y"] - t * dy)
 
-        return _total(F.flatten(F.transform(geometry, lambda p: F.transform(p, lambda r, i: outer(r, i == 0)))))
+    def least(g: Column, h: Column) -> Column:
+        points, sides = F.flatten(F.flatten(g)), F.flatten(F.flatten(F.transform(h, lambda p: F.transform(p, _edges))))
+        return F.aggregate(points, F.lit(float("inf")), lambda s, p: F.least(s, F.aggregate(sides, F.lit(float("inf")), lambda t, e: F.least(t, to_edge(p, e)))))
 
-    return F.struct(F.try_divide(moment("x"), area(geometry)).alias("x"), F.try_divide(moment("y"), area(geometry)).alias("y"))
+    return F.when(common > 0, 0.0).otherwise(F.least(least(a, b), least(b, a)))
 
 
 def compactness(a: Column, length: Column) -> Column:

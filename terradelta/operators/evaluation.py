@@ -51,3 +51,35 @@ def step_differences(summary: DataFrame, order: str, value: str) -> DataFrame:
 def top(df: DataFrame, by: Column, key: str, n: int) -> DataFrame:
     """The n first rows by `by`, ties by key."""
     return df.orderBy(by, key).limit(n)
+
+
+def fixed_counts(df: DataFrame | None, column: str, labels: tuple[str, ...], spark) -> DataFrame:
+    """One row with the number of rows of each label, 0 without any, without the column or without the table."""
+    if df is None or column not in df.columns:
+        return spark.range(1).select(*(F.lit(0).cast("long").alias(x) for x in labels))
+    return df.agg(*(F.count_if(F.col(column) == x).alias(x) for x in labels))
+
+
+def spread(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
+    """Mean distance of a group's points to their mean point; 0 for fewer than two. Groups are small (an object's experiments) and meet once."""
+    points = df.groupBy(by).agg(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).alias("points"))
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, a: s + a) / F.size(v)
+    cx, cy = mean(F.transform("points", lambda p: p["x"].cast("double"))), mean(F.transform("points", lambda p: p["y"].cast("double")))
+    far = mean(F.transform("points", lambda p: F.hypot(p["x"] - F.col("cx"), p["y"] - F.col("cy"))))
+    return points.withColumns({"cx": cx, "cy": cy}).select(by, F.when(F.size("points") < 2, 0.0).otherwise(far).alias("spread"))
+
+
+def united_or_empty(parts: list[DataFrame], like: DataFrame) -> DataFrame:
+    """The parts' rows, or none with the columns of `like`."""
+    out = like.limit(0)
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
+def one_row(df: DataFrame, key: str, value) -> dict:
+    """The row of that key as a dict; an error where there is none."""
+    found = df.where(F.col(key) == F.lit(value)).limit(1).collect()
+    if not found:
+        raise KeyError(f"{key} = {value!r}")
+    return found[0].asDict()

@@ -245,3 +245,12 @@ def reference_change_type(iou: Column, unchanged: float = 0.9) -> Column:
 
 def is_complex(holes: Column, concavity: Column, elongation: Column, compact: Column, least_concavity: float, most_elongation: float, least_compact: float) -> Column:
     return (holes > 0) | (concavity < least_concavity) | (elongation > most_elongation) | (compact < least_compact)
+
+
+#: Sources whose objects keep the original geometry.
+ORIGINAL_SOURCES = ("osm", "orig", "original", "keep")
+
+
+def final_geometry(source: Column, original: Column, predicted: Column) -> Column:
+    """The original geometry where the source says so, else the predicted one; no source counts as predicted."""
+    return F.when(F.coalesce(F.lower(source), F.lit("")).isin(*ORIGINAL_SOURCES), original).otherwise(predicted)

@@ -27,3 +27,23 @@ def stratified(df: DataFrame, by: str, key: str, quotas: dict[str, int], seed: i
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """A dense number from 1. All rows meet in one window: for small results such as a subset."""
     return df.withColumn(name, F.row_number().over(Window.orderBy(order)))
+
+
+def ordinals(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """A number from 0 for each row in this order, without gathering the rows: they are ranged over tasks, and each task's numbers begin after the counts of those before.
+
+    Rows that are filtered out later leave gaps, so the number is a lasting key. Ties of `order` are numbered in any order.
+    """
+    task, rank = "task of an ordinal", "rank in a task"
+    ranged = df.repartitionByRange(*order).withColumn(task, F.spark_partition_id())
+    ranked = ranged.withColumn(rank, F.row_number().over(Window.partitionBy(task).orderBy(*order)))
+    counts = ranked.groupBy(task).agg(F.count("*").alias("n"))
+    before = counts.select(task, F.coalesce(F.sum("n").over(Window.orderBy(task).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each task
+    return ranked.join(F.broadcast(before), task).withColumn(name, F.col("before") + F.col(rank) - 1).drop(task, rank, "before")
+
+
+def first_of_rounded(df: DataFrame, keys: dict[str, int], order: str) -> DataFrame:
+    """The first row, by `order`, of those whose columns are equal when rounded to so many digits."""
+    rounded = [F.round(c, digits).alias(f"rounded {c}") for c, digits in keys.items()]
+    first = df.groupBy(*rounded).agg(F.min_by(F.struct(*df.columns), order).alias("first"))
+    return first.select("first.*")

@@ -1,14 +1,18 @@
 """Best-overlap and nearest joins of footprints with bounds in x0, y0, x1, y1 columns.
 
 Bounds are put into grid cells and joined on equal cells, so the join shuffles on its key and no pair
-of far-away objects is ever made. A pair that shares several cells is kept in one of them.
+of far-away objects is ever made. A pair that shares several cells is kept in one of them. Large objects lie in larger cells.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import box_distance2
+
 BOUNDS = ("x0", "y0", "x1", "y1")
 
 
@@ -16,19 +20,41 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*(F.col(c).alias(prefix + c) for c in df.columns))
 
 
-def _cells(df: DataFrame, p: str, cell: float) -> DataFrame:
-    at = lambda k: F.floor(F.col(f"{p}{k}") / cell)
-    wide = df.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1"))))
-    return wide.withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
+#: Cells of level k are FACTOR**k times as large as those of level 0. Levels end where no coordinate in metres does.
+FACTOR, LEVELS = 4, 11
+
+
+def _level(p: str, cell: float) -> Column:
+    """The least level whose cells an object's longer side fits into, so that it lies in at most four of them."""
+    side = F.greatest(F.col(f"{p}x1") - F.col(f"{p}x0"), F.col(f"{p}y1") - F.col(f"{p}y0")).cast("double")
+    return F.least(F.greatest(F.ceil(F.log(F.greatest(side / cell, F.lit(1.0))) / math.log(FACTOR)), F.lit(0)), F.lit(LEVELS)).cast("int")
+
+
+def _cells(df: DataFrame, p: str, cell: float, levels: list[int]) -> DataFrame:
+    """Each object in its cells of its own level and of the higher ones in `levels`."""
+    size = F.lit(cell) * F.pow(F.lit(float(FACTOR)), F.col("level"))
+    at = lambda k: F.floor(F.col(f"{p}{k}") / size)
+    own = df.withColumn(f"{p}level", _level(p, cell))
+    wide = own.withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda k: k >= F.col(f"{p}level"))))
+    return wide.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
 
 
 def overlapping(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
-    """All pairs whose bounds overlap, columns prefixed l_ and r_. cell: about the size of a large object."""
-    a, b = _cells(_prefixed(left, "l_"), "l_", cell), _cells(_prefixed(right, "r_"), "r_", cell)
+    """All pairs whose bounds overlap, columns prefixed l_ and r_. cell: about the size of a usual object; a pair meets in cells of the larger one's level.
+
+    Which levels there are (at most LEVELS + 1) is found first, from the bounds alone.
+    """
+    a, b = _prefixed(left, "l_"), _prefixed(right, "r_")
+    both = a.select(_level("l_", cell).alias("k")).union(b.select(_level("r_", cell).alias("k")))
+    levels = sorted(r[0] for r in both.distinct().collect() if r[0] is not None)
+    if not levels:
+        levels = [0]
+    a, b = _cells(a, "l_", cell, levels), _cells(b, "r_", cell, levels)
     c = F.col
-    once = (c("cx") == F.floor(F.greatest(c("l_x0"), c("r_x0")) / cell)) & (c("cy") == F.floor(F.greatest(c("l_y0"), c("r_y0")) / cell))
+    size = F.lit(cell) * F.pow(F.lit(float(FACTOR)), c("level"))
+    once = (c("level") == F.greatest("l_level", "r_level")) & (c("cx") == F.floor(F.greatest(c("l_x0"), c("r_x0")) / size)) & (c("cy") == F.floor(F.greatest(c("l_y0"), c("r_y0")) / size))
     meet = (c("l_x0") < c("r_x1")) & (c("r_x0") < c("l_x1")) & (c("l_y0") < c("r_y1")) & (c("r_y0") < c("l_y1"))
-    return a.join(b, ["cx", "cy"]).where(once & meet).drop("cx", "cy")
+    return a.join(b, ["level", "cx", "cy"]).where(once & meet).drop("level", "cx", "cy", "l_level", "r_level")
 
 
 def best_overlap(left: DataFrame, right: DataFrame, score: Column, cell: float) -> DataFrame:
@@ -38,35 +64,42 @@ def best_overlap(left: DataFrame, right: DataFrame, score: Column, cell: float)
     return left.join(best.select("id", (-F.col("best.i")).alias("match_id"), F.col("best.score").alias("best_score")), "id", "left")
 
 
-def nearest(left: DataFrame, right: DataFrame, distance2: Column, cell: float, slack: float) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, distance2: Column, cell: float, slack: float | Column) -> DataFrame:
     """id, match_id and distance2 of the right object nearest to each left one, ties to the least id.
 
-    Centres meet in neighbouring cells; what is found at under cell - slack can't be beaten from outside, the rest is searched in
-    cells four times as large. slack: how much longer the distance of centres may be than `distance2`'s root. Every step is an equi-join.
+    Two joins on grid cells, nothing run while they are built. First each left object meets one right object of every occupied cell around it, at
+    all levels: the diagonal of both bounds together is more than their distance. Then it meets all right objects in the cells
+    around it of the least level that this fits into, so each object has a search of its own width; `distance2` is worked out only
+    where the bounds are near enough. It must be at least the squared distance of the bounds and at most that of their farthest corners.
+    slack: how much longer the distance of centres may be than that of the bounds, a number or an expression of l_ columns.
     """
-
-    def centred(df: DataFrame, p: str, size: float) -> DataFrame:
-        at = lambda k: F.floor((F.col(f"{p}{k}0") + F.col(f"{p}{k}1")) / (2 * size))
-        return _prefixed(df, p).withColumns({"cx": at("x"), "cy": at("y")})
-
-    open_, out, size = left.persist(), None, float(cell)  # used in each round; only objects without an overlap come here
-    extent = right.agg(*(f(c) for f in (F.min, F.max) for c in BOUNDS)).first()
-    if extent[0] is None:
-        return left.select("id", F.lit(None).cast("long").alias("match_id"), F.lit(None).cast("double").alias("distance2")).limit(0)
-    own = left.agg(*(f(c) for f in (F.min, F.max) for c in BOUNDS)).first()
-    reach = 4 * (max(float(v) for v in [*extent, *(x for x in own if x is not None)]) - min(float(v) for v in [*extent, *(x for x in own if x is not None)])) + slack + cell
-    while not open_.isEmpty():
-        around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-        spread = centred(right, "r_", size).withColumn("n", around).withColumns({"cx": F.col("cx") + F.col("n.i"), "cy": F.col("cy") + F.col("n.j")}).drop("n")
-        pairs = centred(open_, "l_", size).join(spread, ["cx", "cy"]).withColumn("d", distance2.cast("double"))
-        best = pairs.groupBy(F.col("l_id").alias("id")).agg(F.min(F.struct("d", "r_id")).alias("b"))
-        sure = best.where(F.col("b.d") <= max(size - slack, 0.0) ** 2) if size < reach else best
-        found = sure.select("id", F.col("b.r_id").alias("match_id"), F.col("b.d").alias("distance2")).persist()
-        out = found if out is None else out.unionByName(found)
-        if size >= reach:
-            break
-        open_, size = open_.join(found.select("id"), "id", "left_anti"), size * 4
-    return out if out is not None else left.select("id", F.lit(None).cast("long").alias("match_id"), F.lit(None).cast("double").alias("distance2")).limit(0)
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
+    size = F.lit(float(cell)) * F.pow(F.lit(float(FACTOR)), F.col("level"))
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+
+    def centred(df: DataFrame, p: str) -> DataFrame:
+        # the last level is one cell, so that no object is out of reach
+        at = lambda k: F.when(F.col("level") == LEVELS, 0).otherwise(F.floor((F.col(f"{p}{k}0") + F.col(f"{p}{k}1")) / (2 * size)))
+        return df.withColumns({"cx": at("x"), "cy": at("y")})
+
+    def spread(df: DataFrame) -> DataFrame:
+        wide = centred(df, "l_").withColumn("n", around).where((F.col("level") < LEVELS) | ((F.col("n.i") == 0) & (F.col("n.j") == 0)))
+        return wide.withColumns({"cx": F.col("cx") + F.col("n.i"), "cy": F.col("cy") + F.col("n.j")}).drop("n")
+
+    one, two = _prefixed(left, "l_"), _prefixed(right, "r_")
+    placed = centred(two.withColumn("level", levels), "r_")
+    names = two.columns
+    some = placed.groupBy("level", "cx", "cy").agg(F.min_by(F.struct(*names), "r_id").alias("r")).select("level", "cx", "cy", "r.*")
+    met = spread(one.withColumn("level", levels)).join(some, ["level", "cx", "cy"])
+    wide = lambda k: F.greatest(f"l_{k}1", f"r_{k}1") - F.least(f"l_{k}0", f"r_{k}0")
+    bound = met.groupBy("l_id").agg(F.min((wide("x") * wide("x") + wide("y") * wide("y")).cast("double")).alias("bound"))
+    reach = F.sqrt("bound") + (F.lit(float(slack)) if not isinstance(slack, Column) else slack)
+    fit = F.ceil(F.log(F.greatest(reach / float(cell), F.lit(1.0))) / math.log(FACTOR))
+    searching = one.join(bound, "l_id").withColumn("level", F.least(F.greatest(fit, F.lit(0)), F.lit(LEVELS)).cast("int"))
+    near = spread(searching).join(placed, ["level", "cx", "cy"]).where(box_distance2("l_", "r_") <= F.col("bound"))
+    pairs = near.withColumn("d", distance2.cast("double"))
+    best = pairs.groupBy(F.col("l_id").alias("id")).agg(F.min(F.struct("d", "r_id")).alias("b"))
+    return best.select("id", F.col("b.r_id").alias("match_id"), F.col("b.d").alias("distance2"))
 
 
 def matched_or_nearest(left: DataFrame, candidates: DataFrame, right: DataFrame, score: Column, tie: Column, distance2: Column, cell: float, slack: float) -> DataFrame:
@@ -82,13 +115,6 @@ def matched_or_nearest(left: DataFrame, candidates: DataFrame, right: DataFrame,
     return left.join(hit.unionByName(near), "id", "left")
 
 
-def cell_size(df: DataFrame, share: float = 0.9) -> float:
-    """A size that `share` of the objects fit into."""
-    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).cast("double")
-    found = df.agg(F.percentile_approx(side, share)).first()[0]
-    return max(float(found or 1.0), 1e-9)
-
-
 def hull_gap_frac(size: Column, hull: Column) -> Column:
     """(hull - size) / size, 0 if empty."""
     return F.coalesce(F.try_divide(hull - size, size), F.lit(0.0))

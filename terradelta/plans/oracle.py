@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import shapes, tables
+
 OLD = """old AS (SELECT p_partkey AS id, (p_partkey % 50 * 40)::BIGINT AS x0, (p_partkey // 50 * 40)::BIGINT AS y0, (p_partkey % 50 * 40 + 10 + p_size % 15)::BIGINT AS x1, (p_partkey // 50 * 40 + 10 + p_partkey % 13)::BIGINT AS y1 FROM part)"""
 NEW = """new AS (SELECT id, x0, y0, x0 + w AS x1, y0 + h AS y1 FROM (
   SELECT p_partkey AS id, (p_partkey % 50 * 40 + CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 5 ELSE 0 END)::BIGINT AS x0, (p_partkey // 50 * 40 + CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 3 ELSE 0 END)::BIGINT AS y0,
@@ -69,7 +71,7 @@ def oracle_sql() -> dict[str, str]:
     score = f"greatest({_iou('f', 'n')}, {_iou('o', 'n')})"
     grow = lambda k, d: f"least(greatest({k} + {d}, 0), 2000) AS {k}"
     count = lambda v: f"count(*) FILTER (decision = '{v}')"
-    return {
+    return shapes.oracle_sql(OLD, NEW, FINAL) | tables.oracle_sql(OLD, FINAL, REPORT, EXP) | {
         "snapshot_diff_status": f"WITH {DIFF} SELECT id, status, best_iou, match_id, CASE WHEN status <> 'removed_candidate' THEN match_id END AS kept_match_id FROM diff",
         "snapshot_new_candidates": f"WITH {DIFF} SELECT id, x0, y0 FROM new WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.id = new.id)",
         "matched_current_subset": f"WITH {DIFF} SELECT id, x0, y0, x1, y1 FROM new WHERE id IN (SELECT id FROM hit)",
@@ -108,7 +110,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT *, round(coalesce(mean_value - lag(mean_value) OVER (ORDER BY step), 0), 6) AS delta_previous, round(mean_value - first_value(mean_value) OVER (ORDER BY step), 6) AS delta_first FROM a""",
         "experiment_compare_topk": f"WITH {COMPARED} SELECT * FROM g ORDER BY gain DESC, id LIMIT 10",
         "experiment_compare_bottomk": f"WITH {COMPARED} SELECT * FROM g ORDER BY gain, id LIMIT 10",
-        "experiment_describe": f"WITH {EXP} SELECT experiment, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS least, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75, round(max(value), 6) AS most FROM e GROUP BY 1",
+        "experiment_describe": f"WITH {EXP} SELECT experiment, count(value) AS n, round(avg(value), 9) AS mean, round(stddev_samp(value), 9) AS std, round(min(value), 9) AS least, round(quantile_cont(value, 0.25), 9) AS q25, round(quantile_cont(value, 0.5), 9) AS q50, round(quantile_cont(value, 0.75), 9) AS q75, round(max(value), 9) AS most FROM e GROUP BY 1",
         "outer_three_way": f"WITH {EXP}, m AS (SELECT id, step, max(value) AS value FROM e WHERE decision = 'P' GROUP BY ALL) SELECT id, max(value) FILTER (step = 0) AS value_0, max(value) FILTER (step = 1) AS value_1, max(value) FILTER (step = 2) AS value_2 FROM m WHERE step < 3 GROUP BY id",
         "stratified_sample_counts": f"WITH {DIFF}, n AS (SELECT status, count(*) AS n FROM diff GROUP BY 1), k AS (SELECT status, CASE status WHEN 'unchanged_candidate' THEN least(n, 15) WHEN 'changed_candidate' THEN least(n, 40) ELSE n END AS n FROM n) SELECT status, n, n AS ids FROM k",
         "area_filter": f"WITH {OLD} SELECT id, (x1 - x0) * (y1 - y0) AS size FROM old WHERE (x1 - x0) * (y1 - y0) BETWEEN 150 AND 400",

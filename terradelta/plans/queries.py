@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..functions.polygons import hull_area, intersection_area
 from ..operators import evaluation as ev
 from ..operators import ranking, rules, sampling, spatial
-from ..sources.tables import parquet
+from ..sources.tables import parquet, written
 from . import bindings as b
+from . import shapes, tables
 
 c = F.col
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,9 +53,9 @@ def external_eval_best_match(spark: SparkSession, sf: str) -> DataFrame:
     wide = left.select("*", *(F.least("f" + k, "o" + k).alias(k) for k in ("x0", "y0")), *(F.greatest("f" + k, "o" + k).alias(k) for k in ("x1", "y1")))
     pairs = spatial.overlapping(wide, new, CELL)
     score = F.greatest(g.box_iou("l_f", "r_"), g.box_iou("l_o", "r_"))
-    slack = 1.0  # the distance is that of centres
+    slack = F.hypot(c("l_x1") - c("l_x0"), c("l_y1") - c("l_y0")) / 2 + 80.0  # half diagonals, a new object's at most 80
     plain = left.select("id", *(c("o" + k).alias(k) for k in spatial.BOUNDS))
-    found = spatial.matched_or_nearest(plain, pairs, new, score, g.centre_distance2("l_o", "r_"), g.centre_distance2("l_", "r_") / 4, CELL, slack)
+    found = spatial.matched_or_nearest(plain, pairs, new, score, g.centre_distance2("l_o", "r_"), g.centre_distance2("l_", "r_") / 4, CELL, slack)  # half of the sides' sum: within the bounds
     ref = new.select(c("id").alias("match_id"), *(c(k).alias("r" + k) for k in spatial.BOUNDS))
     both = left.join(found.select("id", "match_id"), "id").join(ref, "match_id")
     return both.select("id", "match_id", g.box_iou("f", "r").alias("iou_final"), g.box_iou("o", "r").alias("iou_orig")).withColumns({"delta": c("iou_final") - c("iou_orig"), "improved": c("iou_final") > c("iou_orig")})
@@ -63,8 +63,8 @@ def external_eval_best_match(spark: SparkSession, sf: str) -> DataFrame:
 
 def removed_behavior(spark: SparkSession, sf: str) -> DataFrame:
     gone = _diff(spark, sf).where("status = 'removed_candidate'").select("id")
-    final, new = b.final_footprints(spark, sf).join(gone, "id", "left_semi"), b.new_footprints(spark, sf)
-    slack = spatial.half_diagonal(final) + spatial.half_diagonal(new)
+    final, new = written(b.final_footprints(spark, sf).join(gone, "id", "left_semi")), b.new_footprints(spark, sf)
+    slack = F.hypot(c("l_x1") - c("l_x0"), c("l_y1") - c("l_y0")) / 2 + 80.0  # half of an object's diagonal, and the most that half a new one's may be
     found = spatial.matched_or_nearest(final, spatial.overlapping(final, new, CELL), new, g.box_iou("l_", "r_"), g.box_distance2("l_", "r_"), g.box_distance2("l_", "r_"), CELL, slack)
     return found.select("id", "match_id", c("best_score").alias("max_iou"), rules.removed_behavior(c("best_score")).alias("behavior"))
 
@@ -205,7 +205,7 @@ def experiment_compare_bottomk(spark: SparkSession, sf: str) -> DataFrame:
 
 def experiment_describe(spark: SparkSession, sf: str) -> DataFrame:
     out = ev.describe(b.experiments(spark, sf), ["experiment"], "value")
-    return out.select("experiment", "n", *(F.round(x, 6).alias(x) for x in ("mean", "std", "least", "q25", "q50", "q75", "most")))
+    return out.select("experiment", "n", *(F.round(x, 9).alias(x) for x in ("mean", "std", "least", "q25", "q50", "q75", "most")))  # quartiles end with the seventh decimal
 
 
 def outer_three_way(spark: SparkSession, sf: str) -> DataFrame:
@@ -238,18 +238,19 @@ def bbox_expand(spark: SparkSession, sf: str) -> DataFrame:
 
 def footprint_shape_metrics(spark: SparkSession, sf: str) -> DataFrame:
     p = b.old_footprints(spark, sf).withColumn("geometry", g.parse_wkt(g.box_wkt(c("x0"), c("y0"), c("x1"), c("y1"))))
-    p = p.select("id", g.area(c("geometry")).alias("size"), g.perimeter(c("geometry")).alias("length"), g.centroid(c("geometry")).alias("m"), g.bounds(c("geometry")).alias("bb"), g.holes(c("geometry")).alias("holes"), hull_area("geometry").alias("hull"))
+    p = p.select("id", g.area(c("geometry")).alias("size"), g.perimeter(c("geometry")).alias("length"), g.centroid(c("geometry")).alias("m"), g.bounds(c("geometry")).alias("bb"), g.holes(c("geometry")).alias("holes"), g.hull_area(c("geometry")).alias("hull"))
     sides = F.struct((c("bb.x1") - c("bb.x0")).alias("w"), (c("bb.y1") - c("bb.y0")).alias("h"))
     return p.withColumn("s", sides).select("id", "size", "length", c("m.x").alias("cx"), c("m.y").alias("cy"), "holes", F.round(g.compactness(c("size"), c("length")), 9).alias("compact"), F.round(spatial.hull_gap_frac(c("size"), c("hull")), 9).alias("hull_gap"), F.round(F.greatest("s.w", "s.h") / F.least("s.w", "s.h"), 9).alias("elongation"))
 
 
 def polygon_iou_general(spark: SparkSession, sf: str) -> DataFrame:
-    shaped = lambda df: df.withColumn("geometry", g.parse_wkt(g.box_wkt(c("x0"), c("y0"), c("x1"), c("y1"))))
+    def shaped(df: DataFrame) -> DataFrame:
+        whole = df.withColumn("geometry", g.parse_wkt(g.box_wkt(c("x0"), c("y0"), c("x1"), c("y1"))))
+        return whole.select("id", *spatial.BOUNDS, g.edges(c("geometry")).alias("edges"), g.area(c("geometry")).alias("size"))
+
     pairs = spatial.overlapping(shaped(b.old_footprints(spark, sf)), shaped(b.new_footprints(spark, sf)), CELL)
-    pairs = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_id", "r_id")  # the costly part is shared out evenly
-    common = intersection_area("l_geometry", "r_geometry")
-    iou = F.try_divide(c("common"), g.area(c("l_geometry")) + g.area(c("r_geometry")) - c("common"))
-    return pairs.withColumn("common", common).select(c("l_id").alias("id"), c("r_id").alias("other"), F.round(iou, 9).alias("iou"))
+    pairs = pairs.withColumn("common", g.common_area(c("l_edges"), c("r_edges")))
+    return pairs.select(c("l_id").alias("id"), c("r_id").alias("other"), F.round(F.try_divide(c("common"), c("l_size") + c("r_size") - c("common")), 9).alias("iou"))
 
 
 def rerank_candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -306,4 +307,4 @@ def queries() -> dict[str, Query]:
         area_filter, chip_windows, bbox_expand, footprint_shape_metrics, polygon_iou_general, rerank_candidates, segmentation_metrics, layer_pick, json_points, value_counts_nulls,
         affine_pixels, union_bounds, report_lines,
     )
-    return {f.__name__: f for f in names}
+    return {f.__name__: f for f in (*names, *shapes.QUERIES, *tables.QUERIES)}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +13,30 @@ from pyspark.sql.types import DataType, StructType
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.geometry import GEOMETRY, to_wkt
+from ..functions.text import after_token
 
 
 def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written once to the folder that driver and executors share (spark.checkpoint.dir; on one machine a new local one) and read again.
+
+    For what several later steps use: it is worked out once, and a lost executor costs no more than a read.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="terradelta-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """With a header and quoted fields that may hold line breaks and commas."""
     return spark.read.schema(schema).options(header=True, multiLine=True, escape='"').csv(path)
@@ -92,3 +112,42 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     if df.isEmpty():
         raise ValueError(f"no rows: {what}")
     return df
+
+
+def existing(df: DataFrame, names: list[str]) -> DataFrame:
+    """Those of the columns that df has, in this order."""
+    return df.select(*(n for n in names if n in df.columns))
+
+
+def buildings(df: DataFrame, geometry: str = "geometry", kind: str | None = None) -> DataFrame:
+    """Rows with a polygon: a geometry that isn't null, of a type (column `kind`, if there is one) of polygons."""
+    kept = df.where(F.col(geometry).isNotNull())
+    return kept if kind is None else kept.where(F.col(kind).isin("Polygon", "MultiPolygon"))
+
+
+def in_first_folder(ids: DataFrame, listing: DataFrame, folders: list[str], ending: str = ".png") -> DataFrame:
+    """id and path of each id's file (0007.png for 7) in the first of the folders that has it; ids without one are left out. listing: column path."""
+    rank = F.array_position(F.array(*map(F.lit, folders)), F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+    files = listing.withColumn("rank", rank).where("rank > 0").withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1))
+    wanted = ids.select("id", F.concat(F.lpad(F.col("id").cast("string"), 4, "0"), F.lit(ending)).alias("name"))
+    return wanted.join(files, "name").groupBy("id").agg(F.min_by("path", "rank").alias("path"))
+
+
+def resolved(paths: DataFrame, listing: DataFrame, root: str, tokens: list[str]) -> DataFrame:
+    """id and path, the first that exists of: as it is, below the root, below the root from behind a token; null if none does. listing: column path."""
+    tried = F.array(F.struct(F.lit(0).alias("k"), F.col("path").alias("p")), F.struct(F.lit(1).alias("k"), F.concat(F.lit(root + "/"), F.when(~F.col("path").startswith("/"), F.col("path"))).alias("p")), F.struct(F.lit(2).alias("k"), F.concat(F.lit(root + "/"), after_token(F.col("path"), tokens)).alias("p")))
+    each = paths.select("id", F.explode(tried).alias("t")).select("id", "t.*").where("p is not null")
+    found = each.join(listing.select(F.col("path").alias("p")).distinct(), "p").groupBy("id").agg(F.min_by("p", "k").alias("resolved"))
+    return paths.select("id").join(found, "id", "left").select("id", F.col("resolved").alias("path"))
+
+
+def csv_or_rows(spark: SparkSession, path: str, schema: StructType | str, rows: list[tuple]) -> DataFrame:
+    """The file, or the rows of a config where there is none."""
+    found = optional_csv(spark, path, schema)
+    return spark.createDataFrame(rows, schema) if found is None else found
+
+
+def write_with_config(df: DataFrame, path: str, settings: dict) -> None:
+    """The table as Parquet and, beside it, the settings that made it as JSON text."""
+    df.write.mode("overwrite").parquet(f"{path}/rows")
+    df.sparkSession.createDataFrame([(json.dumps(settings, sort_keys=True),)], "config string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
