@@ -24,61 +24,6 @@ def _at(edges: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(inside, xa + (y - ya) / (yb - ya) * (xb - xa), np.inf)
 
 
-def common_area(a, b) -> float:
-    """Area common to two geometries, exact for straight edges and holes: slabs between all corner and crossing heights, even-odd across."""
-    if a is None or b is None:
-        return 0.0
-    p, q = _edges(a), _edges(b)
-    if not len(p) or not len(q):
-        return 0.0
-    low, high = max(p[:, [1, 3]].min(), q[:, [1, 3]].min()), min(p[:, [1, 3]].max(), q[:, [1, 3]].max())
-    if low >= high:
-        return 0.0
-    d1, d2 = p[:, 2:] - p[:, :2], q[:, 2:] - q[:, :2]
-    cross = d1[:, None, 0] * d2[None, :, 1] - d1[:, None, 1] * d2[None, :, 0]
-    gap = q[None, :, :2] - p[:, None, :2]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = (gap[..., 0] * d2[None, :, 1] - gap[..., 1] * d2[None, :, 0]) / cross
-        u = (gap[..., 0] * d1[:, None, 1] - gap[..., 1] * d1[:, None, 0]) / cross
-        meet = (cross != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-        crossing = (p[:, None, 1] + t * d1[:, None, 1])[meet]
-    y = np.unique(np.concatenate([p[:, [1, 3]].ravel(), q[:, [1, 3]].ravel(), crossing]))
-    y = y[(y >= low) & (y <= high)]
-    middle, thick = (y[1:] + y[:-1]) / 2, y[1:] - y[:-1]
-    total = 0.0
-    for m, h in zip(middle, thick, strict=True):  # between two heights every edge is straight, so the middle's width is the mean
-        spans = []
-        for edges in (p, q):
-            x = _at(edges, np.array([[m]]))[:, 0]
-            x = np.sort(x[np.isfinite(x)])
-            spans.append(x[: len(x) // 2 * 2].reshape(-1, 2))
-        left = np.maximum(spans[0][:, None, 0], spans[1][None, :, 0])
-        right = np.minimum(spans[0][:, None, 1], spans[1][None, :, 1])
-        total += h * np.maximum(right - left, 0).sum()
-    return float(total)
-
-
-def hull_size(geometry) -> float | None:
-    """Area of the convex hull."""
-    if geometry is None:
-        return None
-    points = sorted({(p["x"], p["y"]) for polygon in geometry for ring in polygon for p in ring})
-    if len(points) < 3:
-        return 0.0
-
-    def half(points):
-        out: list[tuple[float, float]] = []
-        for p in points:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(p)
-        return out[:-1]
-
-    hull = np.array(half(points) + half(points[::-1]))
-    x, y = hull[:, 0], hull[:, 1]
-    return float(abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2)
-
-
 def inside(geometry, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether points lie in the geometry, by crossings to the right."""
     edges = _edges(geometry)
@@ -101,17 +46,6 @@ def edge_distance(geometry, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return best
 
 
-def gap(a, b) -> float:
-    """Least distance of two geometries, 0 if they meet."""
-    if common_area(a, b) > 0:
-        return 0.0
-    corners = lambda g: np.array([(p["x"], p["y"]) for polygon in g for ring in polygon for p in ring])
-    p, q = corners(a), corners(b)
-    if inside(b, p[:1, 0], p[:1, 1])[0] or inside(a, q[:1, 0], q[:1, 1])[0]:
-        return 0.0
-    return float(min(edge_distance(b, p[:, 0], p[:, 1]).min(), edge_distance(a, q[:, 0], q[:, 1]).min()))
-
-
 def prompt_points(geometry, n: int, grid: int = 9) -> list[dict]:
     """Up to n points deep inside: a grid over the bounds, deepest first, each as far as it can be from those before."""
     corners = np.array([(p["x"], p["y"]) for polygon in geometry for ring in polygon for p in ring])
@@ -194,21 +128,6 @@ def rasterise(a: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
     return pd.Series([None if p is None else raster(p, int(w), int(h)) for p, w, h in zip(a, width, height, strict=True)])
 
 
-@F.pandas_udf(T.DoubleType())
-def intersection_area(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([common_area(p, q) for p, q in zip(a, b, strict=True)], dtype=float)
-
-
-@F.pandas_udf(T.DoubleType())
-def hull_area(a: pd.Series) -> pd.Series:
-    return pd.Series([hull_size(p) for p in a], dtype=float)
-
-
-@F.pandas_udf(T.DoubleType())
-def polygon_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if p is None or q is None else gap(p, q) for p, q in zip(a, b, strict=True)], dtype=float)
-
-
 @F.pandas_udf(_POINTS)
 def positive_points(a: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if p is None else prompt_points(p, int(k)) for p, k in zip(a, n, strict=True)])

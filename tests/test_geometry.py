@@ -33,17 +33,49 @@ def test_wkt_round_trip(spark):
 
 def test_common_area(spark):
     t = table(spark, HOLE, MULTI, "POLYGON ((3 3, 12 3, 12 12, 3 12, 3 3))", "POLYGON ((10 0, 12 0, 12 10, 10 10, 10 0))", "POLYGON ((0 0, 4 0, 2 4, 0 0))")
-    pairs = t.alias("a").join(t.alias("b"), F.col("a.id") < F.col("b.id")).select("a.id", F.col("b.id").alias("other"), p.intersection_area("a.geometry", "b.geometry").alias("x")).collect()
+    pairs = t.alias("a").join(t.alias("b"), F.col("a.id") < F.col("b.id")).select("a.id", F.col("b.id").alias("other"), g.common_area(g.edges(F.col("a.geometry")), g.edges(F.col("b.geometry"))).alias("x")).collect()
     got = {(r.id, r.other): r.x for r in pairs}
     assert got[0, 2] == pytest.approx(48)  # 7 x 7 less the corner of the hole
     assert got[0, 3] == 0 and got[0, 1] == pytest.approx(3)
-    assert got[2, 4] == 0 and got[0, 4] == pytest.approx(7)
+    assert got[2, 4] == pytest.approx(0, abs=1e-12) and got[0, 4] == pytest.approx(7)
+
+
+def test_common_area_of_crossing_edges_and_directions(spark):
+    """Triangles that cross, in either direction of the ring, at map coordinates."""
+    at = lambda pts: "POLYGON ((" + ", ".join(f"{383_000 + x} {5_820_000 + y}" for x, y in pts) + "))"
+    up, down = [(0, 0), (8, 0), (4, 8), (0, 0)], [(0, 6), (4, -2), (8, 6), (0, 6)]
+    t = table(spark, at(up), at(up[::-1]), at(down), at(down[::-1]))
+    e = t.select("id", g.edges(F.col("geometry")).alias("e"))
+    got = {(r.i, r.j): r.x for r in e.alias("a").join(e.alias("b"), F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), g.common_area(F.col("a.e"), F.col("b.e")).alias("x")).collect()}
+    assert got[0, 1] == pytest.approx(32) and got[2, 3] == pytest.approx(32)
+    hexagon = got[0, 2]  # by pixels
+    k = 400
+    inside = sum(1 for i in range(k) for j in range(k) if (x := 8 * (i + 0.5) / k, y := 8 * (j + 0.5) / k) and y < 2 * min(x, 8 - x) and y < 6 and y > 2 * abs(x - 4) - 2)
+    assert hexagon == pytest.approx(inside * 64 / k**2, rel=0.01) and all(got[k] == pytest.approx(hexagon) for k in ((0, 3), (1, 2), (1, 3)))
+
+
+def test_measures_at_map_coordinates(spark):
+    """Centroid and area of quadrilaterals of about 10 m far from the origin, against exact fractions."""
+    import random
+    from fractions import Fraction
+
+    r, shapes = random.Random(4), []
+    for _ in range(100):
+        x, y = 383_000 + r.randrange(1000), 5_820_000 + r.randrange(1000)
+        shapes.append([(x + r.randrange(3), y + r.randrange(3)), (x + 10 + r.randrange(3), y), (x + 9, y + 9 + r.randrange(4)), (x, y + 8)])
+    t = table(spark, *("POLYGON ((" + ", ".join(f"{a} {b}" for a, b in [*s, s[0]]) + "))" for s in shapes))
+    for row in t.select("id", g.area(F.col("geometry")).alias("a"), g.centroid(F.col("geometry")).alias("m"), g.edges(F.col("geometry")).alias("e")).collect():
+        s = shapes[row.id]
+        cross = [a[0] * b[1] - b[0] * a[1] for a, b in zip(s, [*s[1:], s[0]], strict=True)]
+        size = Fraction(sum(cross), 2)
+        cx = Fraction(sum((a[0] + b[0]) * c for a, b, c in zip(s, [*s[1:], s[0]], cross, strict=True)), 1) / (6 * size)
+        assert row.a == pytest.approx(float(abs(size)), abs=1e-9) and row.m.x == pytest.approx(float(cx), abs=1e-8, rel=0)
 
 
 def test_hull_and_distance(spark):
     t = table(spark, "POLYGON ((0 0, 4 0, 4 4, 2 1, 0 4, 0 0))", "POLYGON ((7 8, 9 8, 9 9, 7 9, 7 8))")
-    assert t.where("id = 0").select(p.hull_area("geometry")).first()[0] == pytest.approx(16)
-    d = t.alias("a").join(t.alias("b"), F.col("a.id") < F.col("b.id")).select(p.polygon_distance("a.geometry", "b.geometry")).first()[0]
+    assert t.where("id = 0").select(g.hull_area(F.col("geometry"))).first()[0] == pytest.approx(16)
+    d = t.alias("a").join(t.alias("b"), F.col("a.id") < F.col("b.id")).select(g.distance(F.col("a.geometry"), F.col("b.geometry"), F.lit(0.0))).first()[0]
     assert d == pytest.approx(5)
 
 
@@ -91,9 +123,33 @@ def test_nearest_is_exact(spark):
     left, right = [make(i, 3000) for i in range(40)], [make(100 + i, 500) for i in range(25)]
     centre = lambda a, b: (a[1] + a[3] - b[1] - b[3]) ** 2 + (a[2] + a[4] - b[2] - b[4]) ** 2
     want = {a[0]: min(right, key=lambda b: (centre(a, b), b[0]))[0] for a in left}
-    got = spatial.nearest(boxes(spark, *left), boxes(spark, *right), g.centre_distance2("l_", "r_") / 4, 16.0, 1.0)
+    got = spatial.nearest(boxes(spark, *left), boxes(spark, *right), g.centre_distance2("l_", "r_") / 4, 16.0, 20.0)
     assert {x.id: x.match_id for x in got.collect()} == want
 
 
+def test_nearest_by_bounds_with_a_giant(spark):
+    import random
+
+    r = random.Random(8)
+    make = lambda i, far, side: (i, x := r.randrange(far), y := r.randrange(far), x + 1 + r.randrange(side), y + 1 + r.randrange(side))
+    left = [make(i, 4000, 9) for i in range(50)]
+    right = [make(100 + i, 900, 9) for i in range(30)] + [(500, 2000, 2000, 2900, 2300)]
+    gap = lambda a, b: max(0, b[1] - a[3], a[1] - b[3]) ** 2 + max(0, b[2] - a[4], a[2] - b[4]) ** 2
+    want = {a[0]: min(right, key=lambda b: (gap(a, b), b[0]))[0] for a in left}
+    got = spatial.nearest(boxes(spark, *left), boxes(spark, *right), g.box_distance2("l_", "r_"), 16.0, 500.0)
+    assert {x.id: x.match_id for x in got.collect()} == want
+
+
+def test_overlapping_of_very_different_sizes(spark):
+    import random
+
+    r = random.Random(9)
+    make = lambda i: (i, x := r.randrange(-500, 500), y := r.randrange(-500, 500), x + 1 + int(r.paretovariate(0.8)) % 900, y + 1 + int(r.paretovariate(0.8)) % 900)
+    left, right = [make(i) for i in range(80)], [make(i) for i in range(80)]
+    want = sorted((a[0], b[0]) for a in left for b in right if a[1] < b[3] and b[1] < a[3] and a[2] < b[4] and b[2] < a[4])
+    got = sorted((x.l_id, x.r_id) for x in spatial.overlapping(boxes(spark, *left), boxes(spark, *right), 8.0).select("l_id", "r_id").collect())
+    assert got == want
+
+
 def test_nearest_without_anything_to_find(spark):
     assert spatial.nearest(boxes(spark, (1, 0, 0, 1, 1)), boxes(spark, (2, 0, 0, 1, 1)).limit(0), g.centre_distance2("l_", "r_"), 8.0, 1.0).count() == 0
