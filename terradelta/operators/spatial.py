@@ -123,4 +123,3 @@ def hull_gap_frac(size: Column, hull: Column) -> Column:
 def half_diagonal(df: DataFrame) -> float:
     found = df.agg(F.max(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0]
     return float(found or 0.0) / 2
-

@@ -90,17 +90,15 @@ def new_building_detection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _uncertainty(spark: SparkSession, sf: str) -> DataFrame:
-    """From every pair of an object's experiments, and the spread of its values."""
+    """From every pair of an object's experiments, and the spread of its values. An object has a row for each of a few experiments, so these fit into one list."""
     e = b.experiments(spark, sf).groupBy("id", "step").agg(F.min_by("value", "key").alias("value"), F.min_by("decision", "key").alias("decision"))
-    one, two = e.alias("one"), e.alias("two")
-    pairs = one.join(two, (c("one.id") == c("two.id")) & (c("one.step") < c("two.step")))
-    likeness = F.try_divide(F.least("one.value", "two.value"), F.greatest("one.value", "two.value"))
-    pairwise = pairs.groupBy(c("one.id").alias("id")).agg(F.round(F.avg(F.coalesce(likeness, F.lit(0.0))), 9).alias("pairwise"))
-    centre = e.groupBy("id").agg(F.avg("value").alias("centre"))
-    spread = e.join(centre, "id").groupBy("id").agg(F.round(F.avg(F.abs(c("value") - c("centre"))) / 50, 9).alias("spread"))
     cv = F.when((F.count("*") < 2) | (F.avg("value") <= 0), 0.0).otherwise(F.stddev_pop("value") / F.avg("value"))
-    own = e.groupBy("id").agg(F.round(cv, 9).alias("area_cv"), (F.count_distinct("decision") > 1).alias("disagreement"))
-    u = own.join(spread, "id").join(pairwise, "id", "left").withColumn("pairwise", F.coalesce("pairwise", F.lit(0.0)))
+    own = e.groupBy("id").agg(F.round(cv, 9).alias("area_cv"), (F.count_distinct("decision") > 1).alias("disagreement"), F.avg("value").alias("centre"), F.array_sort(F.collect_list("value")).alias("values"))
+    likeness = lambda x, y: F.coalesce(F.try_divide(F.least(x, y), F.greatest(x, y)), F.lit(0.0))
+    later = lambda i: F.slice("values", i + 2, F.size("values"))
+    pairs = F.flatten(F.transform("values", lambda x, i: F.transform(later(i), lambda y: likeness(x, y))))
+    mean = lambda values: F.try_divide(F.aggregate(values, F.lit(0.0), lambda s, v: s + v), F.size(values))
+    u = own.withColumns({"pairwise": F.coalesce(F.round(mean(pairs), 9), F.lit(0.0)), "spread": F.round(mean(F.transform("values", lambda v: F.abs(v - c("centre")))) / 50, 9)})
     u = u.withColumn("points", rules.uncertainty_points(c("pairwise"), c("area_cv"), c("spread"), c("disagreement")))
     return u.withColumn("level", rules.uncertainty_level(c("points")))
 
