@@ -36,6 +36,9 @@ class Settings:
     gram: int = 36  # bytes of an anchor; length - gram < 127
     hot: int = 256  # different segments of one anchor from which each stretch is dealt by its own hash
     block: int = 150_000  # suffixes sorted at once
+    sampled: float = 1 / 64  # share of the segments in which common grams are looked for; it decides how rows are dealt, not what is found
+    common: int = 64  # a gram is common that has more of these and more than one in `tasks`, so there are fewer than `tasks` common ones
+    tasks: int = 20_000
 
 
 def pack_place(start, many):
@@ -199,8 +202,24 @@ def anchors(docs: DataFrame, s: Settings) -> DataFrame:
     return by_batch(docs.select("key", "text"), work, "key long, place long, gram long, whole long", limit=CHUNK, rows=1 << 20)
 
 
-def settle(found: DataFrame) -> DataFrame:
-    """From anchors with a gram: segments equal to an earlier one (gram null), and the first of each where its gram has several (gram kept)."""
+def settle(found: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """From anchors with a gram: segments equal to an earlier one (gram null), and the first of each where its gram has several (gram kept).
+
+    The rows of a gram meet in one task, but those of common grams: their first segments are a grouped minimum, combined before the shuffle, and are
+    all kept, so no task gets all copies of a common segment.
+    """
+    part = found.sample(s.sampled, 1).select("gram")
+    most = max(s.common, part.count() // s.tasks)
+    hot = part.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > most).select("gram", F.lit(True).alias("hot"))
+    marked = found.join(F.broadcast(hot), "gram", "left")  # fewer than `tasks` rows
+    common = marked.where("hot")
+    first = common.groupBy("gram", "whole").agg(F.min(F.struct("key", "place")).alias("x")).select("x.key", "x.place", F.lit(True).alias("first"))
+    of_common = common.join(first.hint("merge"), ["key", "place"], "left").select("key", "place", F.when(F.col("first"), F.col("gram")).alias("gram"))
+    return _settled(marked.where("hot is null").select("key", "place", "gram", "whole")).union(of_common)
+
+
+def _settled(found: DataFrame) -> DataFrame:
+    """The same, with all rows of a gram in one task."""
 
     def run(batches):
         held = None  # the last gram's last first segment: (key, place, gram, whole), and whether it was given out
@@ -383,7 +402,7 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """
     named = keyed(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "key")
     found = cut(anchors(named, s))
-    settled = cut(settle(found.where("gram is not null")))
+    settled = cut(settle(found.where("gram is not null"), s))
     rivals = settled.where("gram is not null")
     hot = rivals.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > s.hot).select("gram", F.lit(True).alias("hot"))
     marked = rivals.join(hot.hint("merge"), "gram", "left").select("key", "place", "gram", F.coalesce("hot", F.lit(False)).alias("hot"))
