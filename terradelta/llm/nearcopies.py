@@ -37,6 +37,8 @@ class Settings:
     rows: int = 6  # components in a band
     estimate: float = 0.7  # pairs beside the bands' centres are checked when their signatures say so much; 4 standard errors below 0.8
     block: int = 4096  # documents of a band's group that meet in one task; larger groups meet block by block
+    partners: int = 1_000  # a text of more pairs, and more than one in `tasks` of all, is dealt in copies, so there are fewer than `tasks` such texts
+    tasks: int = 10_000
 
 
 def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,10 +152,17 @@ def probability_jaccard(one: tuple, two: tuple, n: int) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
-    """Of pairs (a, b) of doc_ids those whose shingle sets have the similarity; their whole texts meet by joins on the ids."""
+    """Of pairs (a, b) of doc_ids, a written table, those whose shingle sets have the similarity; their whole texts meet by joins on the ids.
+
+    A text b of very many pairs goes to several tasks, each with a part of its pairs.
+    """
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+    most = max(s.partners, pairs.count() // s.tasks)
+    hubs = F.broadcast(pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > most).select("b", F.ceil(F.col("n") / most).alias("copies")))  # fewer than `tasks` rows
+    dealt = pairs.join(hubs, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("copies")), F.lit(0)).alias("copy"))
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other"))
+    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")).join(hubs, "b", "left")
+    two = two.select("b", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batch):
@@ -165,7 +174,7 @@ def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
         keep = pa.array(chosen)
         return {"u": batch.column(batch.schema.get_field_index("a")).filter(keep), "v": batch.column(batch.schema.get_field_index("b")).filter(keep)}
 
-    joined = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "text", "other")
+    joined = dealt.join(one.hint("merge"), "a").join(two.hint("merge"), ["b", "copy"]).select("a", "b", "text", "other")
     return by_batch(joined, work, f"u {kind}, v {kind}", limit=512 << 10)
 
 

@@ -86,7 +86,7 @@ def plain_removal(rows, size):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("settings", [suffixes.Settings(), suffixes.Settings(hot=1, block=300)])
+@pytest.mark.parametrize("settings", [suffixes.Settings(), suffixes.Settings(hot=1, block=300), suffixes.Settings(sampled=1.0, common=0), suffixes.Settings(sampled=1.0, common=2)])
 def test_suffixes(spark, settings):
     r = random.Random(8)
     parts = [prose(n, 100 + n) for n in (12, 20, 35, 50)] + ["ab" * 90, "z" * 300]
@@ -134,7 +134,8 @@ def plain_classes(texts):
     return [root(i) for i in range(len(texts))]
 
 
-def test_near_classes(spark):
+@pytest.mark.parametrize("settings", [nearcopies.Settings(block=7), nearcopies.Settings(partners=2)])
+def test_near_classes(spark, settings):
     r, texts = random.Random(4), []
     for seed in range(12):
         base = prose(150, seed).split()
@@ -144,7 +145,7 @@ def test_near_classes(spark):
                 w[r.randrange(len(w))] = "edit" + str(r.randrange(999))
             texts.append(" ".join(w))
     texts += [prose(80, 500 + i) for i in range(20)] + ["a b", "a b", "a b c", None, None, "", ""]
-    got = {x.doc_id: x.class_id for x in nearcopies.near_classes(documents(spark, texts), nearcopies.Settings(block=7)).collect()}
+    got = {x.doc_id: x.class_id for x in nearcopies.near_classes(documents(spark, texts), settings).collect()}
     assert [got[i] for i in range(len(texts))] == plain_classes(texts)
 
 
