@@ -152,17 +152,22 @@ def probability_jaccard(one: tuple, two: tuple, n: int) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
-    """Of pairs (a, b) of doc_ids, a written table, those whose shingle sets have the similarity; their whole texts meet by joins on the ids.
+    """Of pairs (a, b) of doc_ids, a written table, those whose shingle sets have the similarity.
 
-    A text b of very many pairs goes to several tasks, each with a part of its pairs.
+    Whole texts meet the pairs that need them by joins on the ids, where all texts are shuffled once for both sides, then each other by joins on the
+    pair. A text of very many pairs goes to several tasks, each with a part of its pairs.
     """
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
-    most = max(s.partners, pairs.count() // s.tasks)
-    hubs = F.broadcast(pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > most).select("b", F.ceil(F.col("n") / most).alias("copies")))  # fewer than `tasks` rows
-    dealt = pairs.join(hubs, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("copies")), F.lit(0)).alias("copy"))
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")).join(hubs, "b", "left")
-    two = two.select("b", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    most = max(s.partners, 2 * pairs.count() // s.tasks)
+    uses = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    hubs = F.broadcast(uses.where(F.col("n") > most).select("doc_id", F.ceil(F.col("n") / most).alias("copies")))  # fewer than `tasks` rows
+    copies = texts.join(hubs, "doc_id", "left").select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+
+    def side(end: str, name: str) -> DataFrame:
+        rows = pairs.select("a", "b", F.col(end).alias("doc_id")).join(hubs, "doc_id", "left")
+        dealt = rows.select("a", "b", "doc_id", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("copies")), F.lit(0)).alias("copy"))
+        return dealt.join(copies.hint("merge"), ["doc_id", "copy"]).select("a", "b", F.col("text").alias(name))
+
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batch):
@@ -174,7 +179,7 @@ def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
         keep = pa.array(chosen)
         return {"u": batch.column(batch.schema.get_field_index("a")).filter(keep), "v": batch.column(batch.schema.get_field_index("b")).filter(keep)}
 
-    joined = dealt.join(one.hint("merge"), "a").join(two.hint("merge"), ["b", "copy"]).select("a", "b", "text", "other")
+    joined = side("a", "text").hint("merge").join(side("b", "other"), ["a", "b"])
     return by_batch(joined, work, f"u {kind}, v {kind}", limit=512 << 10)
 
 
