@@ -154,8 +154,8 @@ def probability_jaccard(one: tuple, two: tuple, n: int) -> np.ndarray:
 def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     """Of pairs (a, b) of doc_ids, a written table, those whose shingle sets have the similarity.
 
-    Whole texts meet the pairs that need them by joins on the ids, where all texts are shuffled once for both sides, then each other by joins on the
-    pair. A text of very many pairs goes to several tasks, each with a part of its pairs.
+    Whole texts meet by joins on the ids, first of a, then of b; all texts are shuffled once for both. A text of very many pairs goes to several
+    tasks, each with a part of its pairs.
     """
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
     most = max(s.partners, 2 * pairs.count() // s.tasks)
@@ -163,24 +163,24 @@ def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     hubs = F.broadcast(uses.where(F.col("n") > most).select("doc_id", F.ceil(F.col("n") / most).alias("copies")))  # fewer than `tasks` rows
     copies = texts.join(hubs, "doc_id", "left").select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
 
-    def side(end: str, name: str) -> DataFrame:
-        rows = pairs.select("a", "b", F.col(end).alias("doc_id")).join(hubs, "doc_id", "left")
-        dealt = rows.select("a", "b", "doc_id", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("copies")), F.lit(0)).alias("copy"))
-        return dealt.join(copies.hint("merge"), ["doc_id", "copy"]).select("a", "b", F.col("text").alias(name))
+    def with_text(rows: DataFrame, end: str, name: str) -> DataFrame:
+        dealt = rows.join(hubs.withColumnRenamed("doc_id", end), end, "left").withColumn(f"{end}_copy", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("copies")), F.lit(0)))
+        met = dealt.join(copies.alias("t").hint("merge"), (F.col(end) == F.col("t.doc_id")) & (F.col(f"{end}_copy") == F.col("t.copy")))
+        return met.select(*rows.columns, F.col("t.text").alias(name))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batch):
         sets = []
-        for name in ("text", "other"):
+        for name in ("one", "other"):
             rows, elements, counts = shingle_sets(batch.column(batch.schema.get_field_index(name)), s.shingle)
             sets.append((rows, elements, weights_of(counts, s)))
         chosen = probability_jaccard(*sets, batch.num_rows) >= s.similarity - 1e-9
         keep = pa.array(chosen)
         return {"u": batch.column(batch.schema.get_field_index("a")).filter(keep), "v": batch.column(batch.schema.get_field_index("b")).filter(keep)}
 
-    joined = side("a", "text").hint("merge").join(side("b", "other"), ["a", "b"])
-    return by_batch(joined, work, f"u {kind}, v {kind}", limit=512 << 10)
+    joined = with_text(with_text(pairs, "a", "one"), "b", "other")
+    return by_batch(joined, work, f"u {kind}, v {kind}", text="one", limit=512 << 10)
 
 
 def _blocks(rows: DataFrame, block: int) -> DataFrame:
