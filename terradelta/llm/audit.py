@@ -8,6 +8,7 @@ So each id takes part in ten joins, not in one for every prefix.
 
 from __future__ import annotations
 
+import json
 from itertools import permutations
 from math import factorial
 
@@ -44,7 +45,13 @@ def failing_ids(docs: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
 
 def _bits(letters: list[str]) -> Column:
     """The letters whose bit is set in column cell."""
-    return F.filter(F.array(*map(F.lit, letters)), lambda x: (F.shiftright(F.col("cell"), (F.array_position(F.array(*map(F.lit, letters)), x) - 1).cast("int")) % 2) == 1)
+    bits = F.array(*(F.lit(1 << i) for i in range(len(letters))))
+    return F.filter(F.array(*map(F.lit, letters)), lambda x, i: F.col("cell").bitwiseAND(F.get(bits, i)) != 0)
+
+
+def _constant(rows: list[dict], fields: str) -> Column:
+    """Each of a few fixed rows, for every row."""
+    return F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>"))
 
 
 def groups(docs: DataFrame, failing: dict[str, DataFrame], labels: DataFrame) -> DataFrame:
@@ -71,7 +78,7 @@ def interactions(docs: DataFrame, failing: dict[str, DataFrame], labels: DataFra
     members = spark.createDataFrame([(p, letters[i]) for p in range(1 << n) for i in range(n) if p >> i & 1] or [(0, "")], "prefix int, filter string")
     fails = cells.select("cell").distinct().select("cell", F.explode(_bits(letters)).alias("filter"))
     gone = fails.join(members, "filter").select("prefix", "cell").distinct()  # groups that a filter of the prefix removes
-    each = F.explode(F.array(*(F.struct(F.lit(p).alias("prefix"), F.lit(f).alias("filter"), F.lit(w).alias("orders")) for p, f, w in sets)))
+    each = _constant([{"prefix": p, "filter": f, "orders": w} for p, f, w in sets], "prefix:int,filter:string,orders:long")
     judged = cells.withColumn("x", each).select("part", "cell", "n", "good", "toxic", "x.*")
     survivors = judged.join(gone, ["prefix", "cell"], "left_anti")
     removed = survivors.join(fails, ["cell", "filter"], "left_semi")
@@ -88,7 +95,7 @@ def interactions(docs: DataFrame, failing: dict[str, DataFrame], labels: DataFra
     others = F.size(F.array(*map(F.lit, letters))) - 1
     alone = F.when(F.bit_count("prefix") == others, F.col("removed")).otherwise(0)
     whole = sums.groupBy("part", "filter").agg(F.sum(F.col("removed") * F.col("orders")).alias("shapley"), F.sum(alone).alias("unique_fails"))
-    plan = F.explode(F.array(*(F.struct(F.lit(o).alias("filter_order"), F.lit(k).alias("step"), F.lit(p).alias("prefix"), F.lit(f).alias("filter")) for o, k, p, f in steps)))
+    plan = _constant([{"filter_order": o, "step": k, "prefix": p, "filter": f} for o, k, p, f in steps], "filter_order:string,step:int,prefix:int,filter:string")
     grid = cells.select("part").distinct().withColumn("x", plan).select("part", "x.*")
     out = grid.join(sums.drop("orders"), ["part", "prefix", "filter"], "left").join(whole, ["part", "filter"], "left")
     names = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
