@@ -162,22 +162,115 @@ def common_area(a: Column, b: Column) -> Column:
     return F.coalesce(F.greatest(total, F.lit(0.0)), F.lit(0.0))
 
 
+def _hull_chain(ordered: Column) -> Column:
+    """The points in order, each dropping those that it makes concave."""
+    turn = lambda o, p, q: (p["x"] - o["x"]) * (q["y"] - o["y"]) - (p["y"] - o["y"]) * (q["x"] - o["x"])
+
+    def add(stack: Column, q: Column) -> Column:
+        return F.concat(F.filter(stack, lambda p, i: (i == 0) | (turn(F.get(stack, i - 1), p, q) > 0)), F.array(q))
+
+    return F.aggregate(ordered, F.slice(ordered, 1, 0), add)
+
+
+def _hull_chains(points: Column) -> Column:
+    """Once from below and once from above; each chain ends where the other begins."""
+    return F.array(_hull_chain(points), _hull_chain(F.reverse(points)))
+
+
 def hull_area(geometry: Column) -> Column:
-    """Area of the convex hull: the points in order, each dropping those that it makes concave, once from below and once from above."""
+    """Area of the convex hull."""
     near = moved(geometry, origin(geometry))
-    turn = lambda o, p, q: (p["x"] - o["x"]) * (q["y"] - o["y"]) - (p["y"] - o["y"]) * (q["x"] - o["x"])
+    around = lambda points: F.when(F.size(points) < 3, 0.0).otherwise(F.abs(_total(F.transform(_hull_chains(points), lambda r: _total(F.transform(_edges(r), _cross))))) / 2)
+    return let(F.sort_array(F.array_distinct(F.flatten(F.flatten(near)))), around)
+
+
+def hull(geometry: Column) -> Column:
+    """The convex hull as a geometry; empty if it has no area."""
+    ring = lambda chains: F.concat(chains[0], F.slice(chains[1], 2, F.size(chains[1])))
+    around = lambda points: let(_hull_chains(points), lambda c: F.when(F.size(c[0]) + F.size(c[1]) < 5, F.slice(F.array(F.array(ring(c))), 1, 0)).otherwise(F.array(F.array(ring(c)))))
+    return F.when(F.size(geometry) > 0, let(F.sort_array(F.array_distinct(F.flatten(F.flatten(geometry)))), around)).otherwise(geometry)
+
+
+def _polygon_sides(geometry: Column) -> Column:
+    return F.flatten(F.flatten(F.transform(geometry, lambda p: F.transform(p, _edges))))
+
+
+def _side_distance2(e: Column, x: Column, y: Column) -> Column:
+    dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+    t = F.least(F.greatest(F.coalesce(F.try_divide((x - e["a"]["x"]) * dx + (y - e["a"]["y"]) * dy, dx * dx + dy * dy), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    gap = lambda v, k, d: v - e["a"][k] - t * d
+    return gap(x, "x", dx) * gap(x, "x", dx) + gap(y, "y", dy) * gap(y, "y", dy)
+
+
+def boundary_distance2(geometry: Column, x: Column, y: Column) -> Column:
+    """Squared distance of a point to the nearest ring; infinite without rings."""
+    return F.aggregate(_polygon_sides(geometry), F.lit(float("inf")), lambda s, e: F.least(s, _side_distance2(e, x, y)))
+
+
+def contains(geometry: Column, x: Column, y: Column) -> Column:
+    """Whether a point is inside, by crossings to its right. On an edge that may be either: see touches()."""
+
+    def crossed(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        return ((a["y"] > y) != (b["y"] > y)) & (x < a["x"] + F.try_divide((y - a["y"]) * (b["x"] - a["x"]), b["y"] - a["y"]))
+
+    return F.size(F.filter(_polygon_sides(geometry), crossed)) % 2 == 1
+
+
+def touches(geometry: Column, x: Column, y: Column) -> Column:
+    """Whether a point is on a ring."""
+    return boundary_distance2(geometry, x, y) == 0
+
+
+def covers(geometry: Column, x: Column, y: Column) -> Column:
+    return contains(geometry, x, y) | touches(geometry, x, y)
+
+
+def interior_point(geometry: Column) -> Column:
+    """A point inside: the middle of the widest span on a line half way between the corners next above and below the middle height.
+
+    Each polygon has its line; the first of the widest spans counts. Null for an empty geometry.
+    """
+
+    def spans(polygon: Column) -> Column:
+        heights = F.transform(F.flatten(polygon), lambda p: p["y"])
+        sides = F.flatten(F.transform(polygon, _edges))
+
+        def across(z: Column) -> Column:
+            lows, highs = F.filter(z["ys"], lambda v: v <= z["mid"]), F.filter(z["ys"], lambda v: v > z["mid"])
+            line = (F.array_max(lows) + F.coalesce(F.array_min(highs), F.array_max(z["ys"]))) / 2
+            return F.struct(z["sides"].alias("sides"), line.alias("y"))
+
+        def cut(z: Column) -> Column:
+            hit = F.filter(z["sides"], lambda e: (e["a"]["y"] > z["y"]) != (e["b"]["y"] > z["y"]))
+            at = lambda e: e["a"]["x"] + (z["y"] - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"])
+            return F.struct(F.sort_array(F.transform(hit, at)).alias("xs"), z["y"].alias("y"))
+
+        def pairs(z: Column) -> Column:
+            first = F.filter(z["xs"], lambda x, i: i % 2 == 0)
+            second = F.filter(z["xs"], lambda x, i: i % 2 == 1)
+            return F.zip_with(first, second, lambda a, b: F.struct((b - a).alias("width"), ((a + b) / 2).alias("x"), z["y"].alias("y")))
+
+        start = F.struct(heights.alias("ys"), ((F.array_min(heights) + F.array_max(heights)) / 2).alias("mid"), sides.alias("sides"))
+        return let(let(let(start, across), cut), pairs)
+
+    every = F.flatten(F.transform(geometry, spans))
+    none = F.struct(F.lit(-1.0).alias("width"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
+    best = F.aggregate(every, none, lambda s, v: F.when(v["width"] > s["width"], v).otherwise(s))
+    return F.when(F.size(geometry) > 0, let(best, lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))))
 
-    def chain(ordered: Column) -> Column:
-        def add(stack: Column, q: Column) -> Column:
-            return F.concat(F.filter(stack, lambda p, i: (i == 0) | (turn(F.get(stack, i - 1), p, q) > 0)), F.array(q))
 
-        return F.aggregate(ordered, F.slice(ordered, 1, 0), add)
+def meets_box(geometry: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Whether a geometry and a rectangle have a point in common, edges included: a side that meets it, or the rectangle within."""
 
-    def around(points: Column) -> Column:
-        rings = F.array(chain(points), chain(F.reverse(points)))  # each ends where the other begins
-        return F.when(F.size(points) < 3, 0.0).otherwise(F.abs(_total(F.transform(rings, lambda r: _total(F.transform(_edges(r), _cross))))) / 2)
+    def meets(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        near = (F.least(a["x"], b["x"]) <= x1) & (F.greatest(a["x"], b["x"]) >= x0) & (F.least(a["y"], b["y"]) <= y1) & (F.greatest(a["y"], b["y"]) >= y0)
+        side = lambda x, y: (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
+        corners = [side(x, y) for x in (x0, x1) for y in (y0, y1)]
+        return near & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
 
-    return let(F.array_sort(F.array_distinct(F.flatten(F.flatten(near)))), around)
+    return F.exists(_polygon_sides(geometry), meets) | contains(geometry, x0.cast("double"), y0.cast("double"))
 
 
 def concavity(size: Column, hull: Column) -> Column:
@@ -278,7 +371,9 @@ def utm_from_degrees(lon: Column, lat: Column, meridian: float = 15.0) -> Column
     return F.struct((500000 + 0.9996 * radius * x).alias("x"), (0.9996 * radius * y).alias("y"))
 
 
-def centre_box(width: int, height: int, share: float) -> Column:
-    """The box of that share of an image about its centre."""
-    w, h = width * share / 2, height * share / 2
-    return F.struct(F.lit(width / 2 - w).alias("x0"), F.lit(height / 2 - h).alias("y0"), F.lit(width / 2 + w).alias("x1"), F.lit(height / 2 + h).alias("y1"))
+def centre_box(width: Column | int, height: Column | int, share: float) -> Column:
+    """The box of that share of an image about its centre, within its first and last pixels."""
+    w, h = (v if isinstance(v, Column) else F.lit(float(v)) for v in (width, height))
+    near = lambda v: F.greatest(F.lit(0.0), v / 2 - v * share / 2)
+    far = lambda v: F.least(v - 1, v / 2 + v * share / 2)
+    return F.struct(near(w).alias("x0"), near(h).alias("y0"), far(w).alias("x1"), far(h).alias("y1"))

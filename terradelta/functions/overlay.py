@@ -3,6 +3,9 @@
 All geometries of an Arrow batch are worked on together, as flat arrays of edges on a grid of whole numbers: edges are split where they meet, each
 piece is labelled with the winding numbers of both inputs above and below it, pieces that separate inside from outside are kept, and these are
 traced into rings by the next edge at each vertex. Nothing loops over rows.
+
+A geometry that is made of nested lambdas in the same select can't be an argument (Spark doesn't find the function again): select it as a column first,
+and use the result in a later select.
 """
 
 from __future__ import annotations
@@ -411,6 +414,103 @@ def _repaired(a: pa.Array) -> pa.Array:
     return _made([a], lambda w: w[:, 0] > 0)
 
 
+def hulls(p: Points) -> Points:
+    """The convex hull of each row: points in order of place, of which those go that lie above their neighbours, again and again; then below."""
+    every = np.unique(np.stack([p.row, p.x, p.y], axis=1), axis=0)  # in order of row and place, each once
+    parts = []
+    for sign in (1, -1):
+        row, x, y = every[:, 0].astype(np.int64), every[:, 1], every[:, 2]
+        while len(row) > 2:
+            turn = (x[1:-1] - x[:-2]) * (y[2:] - y[:-2]) - (x[2:] - x[:-2]) * (y[1:-1] - y[:-2])
+            same = (row[1:-1] == row[:-2]) & (row[1:-1] == row[2:])
+            keep = np.concatenate([[True], ~(same & (sign * turn <= 0)), [True]])
+            if keep.all():
+                break
+            row, x, y = row[keep], x[keep], y[keep]
+        parts.append((row, x, y) if sign > 0 else (row[::-1], x[::-1], y[::-1]))
+    side = np.repeat([0, 1], [len(q[0]) for q in parts])
+    row, x, y = (np.concatenate([q[k] for q in parts]) for k in range(3))
+    order = np.lexsort((np.arange(len(row)), side, row))
+    row, x, y = row[order], x[order], y[order]
+    return Points(row, row, np.ones(len(row), bool), x, y)
+
+
+@F.arrow_udf(GEOMETRY)
+def _hull_gaps(a: pa.Array) -> pa.Array:
+    p = points(a)
+    origin = origins(len(a), p)
+    e = joined([edges(hulls(p), 0, origin), edges(p, 1, origin)])
+    return to_arrow(rings(*trace(*boundary(e, lambda w: (w[:, 0] > 0) & (w[:, 1] <= 0), 2))), origin, len(a), KIND)
+
+
+def hull_gaps(a: Column) -> Column:
+    """The parts of the convex hull outside the geometry, the largest first."""
+    return F.when(a.isNotNull(), _hull_gaps(a))
+
+
+#: Pairs of edges that meet at once.
+BLOCK = 1 << 20
+
+
+def _strips(g: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, Points]:
+    """First edge and number of edges of each row that aren't upright, and each edge as (x0, y0, x1, y1, sign): sign 1 if the shape lies below it."""
+    p = points(g)
+    n = len(g)
+    if not len(p.row):
+        return np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((0, 5)), p
+    to, (first, last) = _following(p.ring), _ring_spans(p.ring)
+    x, y = p.x - np.repeat(p.x[first], last - first + 1), p.y - np.repeat(p.y[first], last - first + 1)
+    turn = np.sign(_sums(p.ring, x * y[to] - x[to] * y)) * np.where(p.shell, 1, -1)
+    right = p.x[to] > p.x
+    a = np.where(right[:, None], np.stack([p.x, p.y], axis=1), np.stack([p.x[to], p.y[to]], axis=1))
+    b = np.where(right[:, None], np.stack([p.x[to], p.y[to]], axis=1), np.stack([p.x, p.y], axis=1))
+    slant = p.x[to] != p.x
+    begin = np.searchsorted(p.row[slant], np.arange(n + 1))
+    return begin[:-1], np.diff(begin), np.concatenate([a, b, np.where(right, -turn, turn)[:, None]], axis=1)[slant], p
+
+
+def common_areas(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """The area that both geometries of each row have in common, without an overlay.
+
+    A shape is the signed sum of the strips below its edges, so this is the sum over pairs of edges of the area below both: the integral of the
+    lower one where they stand above each other.
+    """
+    (fa, na, ea, pa_), (fb, nb, eb, _) = _strips(a), _strips(b)
+    origin = origins(len(a), pa_)
+    size = na * nb
+    out = np.zeros(len(a))
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(a):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, "right")))
+        row = np.repeat(np.arange(at, upto), size[at:upto])
+        k = np.arange(len(row)) - np.repeat(ends[at:upto] - size[at:upto] - (ends[at - 1] if at else 0), size[at:upto])
+        base = np.concatenate([origin, origin, np.zeros((len(a), 1))], axis=1)[row]
+        e, f = ea[fa[row] + k // np.maximum(nb[row], 1)] - base, eb[fb[row] + k % np.maximum(nb[row], 1)] - base
+        u, v = np.maximum(e[:, 0], f[:, 0]), np.minimum(e[:, 2], f[:, 2])
+        on = u < v
+        e, f, u, v, row = e[on], f[on], u[on], v[on], row[on]
+        height = lambda g, x: g[:, 1] + (x - g[:, 0]) * (g[:, 3] - g[:, 1]) / (g[:, 2] - g[:, 0])
+        eu, ev, fu, fv = height(e, u), height(e, v), height(f, u), height(f, v)
+        p, q = eu - fu, ev - fv
+        with np.errstate(invalid="ignore", divide="ignore"):
+            between = np.where(p * q < 0, np.abs(p * q) / (np.abs(p) + np.abs(q)) / 2, 0.0)
+        mean = (np.minimum(eu, fu) + np.minimum(ev, fv)) / 2 + between
+        out += np.bincount(row, e[:, 4] * f[:, 4] * (v - u) * mean, len(a))
+        at = upto
+    return np.maximum(out, 0.0)
+
+
+@F.arrow_udf(T.DoubleType())
+def _common_area(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array(common_areas(a, b))
+
+
+def common_area(a: Column, b: Column) -> Column:
+    """Area that two geometries have in common; 0 where one is null. It is worked out once for each row, wherever it is used."""
+    return _common_area.asNondeterministic()(a, b)
+
+
 def difference(a: Column, b: Column) -> Column:
     """The parts of a outside b, the largest first; empty where nothing is left, null where a is. A null b takes nothing away."""
     return F.when(a.isNotNull(), _difference(a, b))

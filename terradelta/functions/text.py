@@ -42,3 +42,8 @@ def fixed(value: Column, digits: int = 3, signed: bool = False) -> Column:
 def normal_id(text: Column) -> Column:
     """Whole numbers that were once read as floats, such as 17.0; null for other text."""
     return F.regexp_extract(F.trim(text), r"^(\d+)(?:\.0+)?$", 1).try_cast("bigint")
+
+
+def zero_padded(number: Column, width: int) -> Column:
+    """Whole numbers with at least `width` digits; longer ones stay whole."""
+    return F.format_string(f"%0{width}d", number.cast("long"))

@@ -1,104 +1,11 @@
-"""Image masks (binary with height and width) as vectorised functions, and the hook for a segmentation model."""
+"""The hook for a segmentation model."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def _mask(data: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(-1, int(width)) > 0
-
-
-@F.pandas_udf(T.DoubleType())
-def mask_iou(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Of two masks of one size, a byte a pixel; 0 where neither has a pixel."""
-
-    def one(x, y):
-        p, q = np.frombuffer(x, np.uint8) > 0, np.frombuffer(y, np.uint8) > 0
-        union = (p | q).sum()
-        return float((p & q).sum() / union) if union else 0.0
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
-
-
-@F.pandas_udf(T.StructType([T.StructField(x, T.IntegerType()) for x in ("x0", "y0", "x1", "y1")] + [T.StructField("cx", T.DoubleType()), T.StructField("cy", T.DoubleType()), T.StructField("pixels", T.LongType())]))
-def mask_shape(data: pd.Series, width: pd.Series) -> pd.DataFrame:
-    """Bounds, centroid and size; nulls for an empty mask."""
-    rows = []
-    for d, w in zip(data, width, strict=True):
-        y, x = np.nonzero(_mask(d, w))
-        rows.append((int(x.min()), int(y.min()), int(x.max()), int(y.max()), float(x.mean()), float(y.mean()), len(x)) if len(x) else (None, None, None, None, None, None, 0))
-    return pd.DataFrame(rows, columns=["x0", "y0", "x1", "y1", "cx", "cy", "pixels"])
-
-
-@F.pandas_udf(T.BinaryType())
-def ring_mask(data: pd.Series, width: pd.Series, radius: pd.Series) -> pd.Series:
-    """Pixels within `radius` (square) of the mask and not in it."""
-
-    def one(d, w, r):
-        m = _mask(d, w)
-        wide = np.pad(m, int(r))
-        out = np.zeros_like(m)
-        for i in range(2 * int(r) + 1):
-            for j in range(2 * int(r) + 1):
-                out |= wide[i : i + m.shape[0], j : j + m.shape[1]]
-        return (out & ~m).astype(np.uint8).tobytes()
-
-    return pd.Series([one(*x) for x in zip(data, width, radius, strict=True)])
-
-
-@F.pandas_udf(T.BinaryType())
-def gamma_corrected(pixels: pd.Series, gamma: pd.Series) -> pd.Series:
-    def one(d, g):
-        table = np.clip((np.arange(256) / 255.0) ** g * 255.0, 0, 255).astype(np.uint8)
-        return table[np.frombuffer(d, np.uint8)].tobytes()
-
-    return pd.Series([one(d, g) for d, g in zip(pixels, gamma, strict=True)])
-
-
-@F.pandas_udf(T.BinaryType())
-def class_mask(labels: pd.Series, wanted: pd.Series) -> pd.Series:
-    """1 where a label image (a byte a pixel) has the wanted class."""
-    return pd.Series([(np.frombuffer(d, np.uint8) == int(k)).astype(np.uint8).tobytes() for d, k in zip(labels, wanted, strict=True)])
-
-
-@F.pandas_udf(T.BinaryType())
-def mask_without(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Pixels of a that b lacks: what a prediction misses of its prior, or spills over it."""
-    return pd.Series([((np.frombuffer(x, np.uint8) > 0) & (np.frombuffer(y, np.uint8) == 0)).astype(np.uint8).tobytes() for x, y in zip(a, b, strict=True)])
-
-
-@F.pandas_udf(T.StructType([T.StructField(x, T.DoubleType()) for x in ("mean", "std", "dark")]))
-def pixel_measures(pixels: pd.Series, mask: pd.Series, threshold: pd.Series) -> pd.DataFrame:
-    """Mean, population deviation and share below the threshold of the grey values under a mask; nulls where it is empty."""
-
-    def one(d, m, t):
-        v = np.frombuffer(d, np.uint8)[np.frombuffer(m, np.uint8) > 0].astype(float)
-        return (v.mean(), v.std(), (v < t).mean()) if len(v) else (None, None, None)
-
-    return pd.DataFrame([one(*x) for x in zip(pixels, mask, threshold, strict=True)], columns=["mean", "std", "dark"])
-
-
-@F.pandas_udf(T.BinaryType())
-def resized(pixels: pd.Series, width: pd.Series, side: pd.Series) -> pd.Series:
-    """A grey image made `side` pixels square, bilinear between pixel centres."""
-
-    def one(d, w, n):
-        image = np.frombuffer(d, np.uint8).reshape(-1, int(w)).astype(float)
-        at = [np.clip((np.arange(n) + 0.5) * size / n - 0.5, 0, size - 1) for size in image.shape]
-        low = [np.minimum(np.floor(a).astype(int), max(size - 2, 0)) for a, size in zip(at, image.shape, strict=True)]
-        high = [np.minimum(x + 1, size - 1) for x, size in zip(low, image.shape, strict=True)]
-        fy, fx = (at[0] - low[0])[:, None], (at[1] - low[1])[None, :]
-        rows = image[low[0]] * (1 - fy) + image[high[0]] * fy
-        return np.rint(rows[:, low[1]] * (1 - fx) + rows[:, high[1]] * fx).astype(np.uint8).tobytes()
-
-    return pd.Series([one(d, w, int(n)) for d, w, n in zip(pixels, width, side, strict=True)])
 
 
 def predict(chips: DataFrame, model: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:

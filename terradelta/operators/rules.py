@@ -1,11 +1,14 @@
-"""Rule cascades as Column expressions: the first rule that holds decides. A missing measure (null) fails its rule.
+"""Rule cascades as Column expressions: the first rule that holds decides. A missing measure (null or NaN) fails its rule.
 
 Thresholds are fields of frozen dataclasses; their defaults are the published settings.
 """
 
 from __future__ import annotations
 
+import inspect
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,6 +28,23 @@ def first_match(*rules: tuple[Column, object], default: object = None) -> Column
     return out.otherwise(default)
 
 
+def nan_fails(*measures: str) -> Callable:
+    """The rules with NaN as null in these measures: to Spark NaN is larger than every number, so it would pass any lower bound."""
+
+    def of(rules: Callable) -> Callable:
+        signature = inspect.signature(rules)
+
+        @wraps(rules)
+        def run(*args, **named):
+            given = signature.bind(*args, **named)
+            for k in measures:
+                given.arguments[k] = F.nanvl(given.arguments[k], F.lit(None).cast("double"))
+            return rules(*given.args, **given.kwargs)
+
+        return run
+
+    return of
+
 
 @dataclass(frozen=True)
 class UpdateRules:
@@ -34,6 +54,7 @@ class UpdateRules:
     update_iou: float = 0.25
 
 
+@nan_fails("iou", "area_diff", "shift")
 def update_decision(predicted: Column, iou: Column, area_diff: Column, shift: Column, r: UpdateRules = UpdateRules()) -> Column:
     """keep, update, flag_review, or flag_no_prediction where nothing was predicted."""
     stable = (iou >= r.keep_iou) & (F.abs(area_diff) <= r.keep_area) & (shift <= r.keep_shift)
@@ -55,6 +76,7 @@ class KeepBiasRules:
     review_shift: float = 1.2
 
 
+@nan_fails("score", "iou", "area_diff", "shift")
 def keep_bias_decision(score: Column, iou: Column, area_diff: Column, shift: Column, r: KeepBiasRules = KeepBiasRules()) -> Column:
     """keep unless the evidence for an update or a review is strong."""
     a = F.abs(area_diff)
@@ -68,6 +90,7 @@ def final_source(decision: Column) -> Column:
     return first_match((decision == "update", "sam2"), (decision == "flag_review", "osm_review"), default="osm")
 
 
+@nan_fails("best_iou")
 def snapshot_status(best_iou: Column, removed: float = 0.1, unchanged: float = 0.85) -> Column:
     """Of an old object by its best overlap with the new snapshot; none is 0."""
     iou = F.coalesce(best_iou, F.lit(0.0))
@@ -79,10 +102,12 @@ def evaluation_mode(status: Column, has_reference: Column) -> Column:
     return first_match((matched, "matched_reference"), (status == "removed_candidate", "removed_against_any_current"), default="unmatched")
 
 
+@nan_fails("best_iou")
 def removed_behavior(best_iou: Column) -> Column:
     return first_match((best_iou < 0.10, "still_removed_like"), (best_iou < 0.25, "weak_overlap_with_current"), default="snapped_to_current_building")
 
 
+@nan_fails("iou")
 def detection(iou: Column, good: float = 0.6, partial: float = 0.3) -> Column:
     """Of a new building."""
     return first_match((iou >= good, "good_detection"), (iou >= partial, "partial_detection"), default="missed_detection")
@@ -100,6 +125,7 @@ class UncertaintyRules:
     high: int = 4
 
 
+@nan_fails("pairwise_iou", "area_cv", "spread")
 def uncertainty_points(pairwise_iou: Column, area_cv: Column, spread: Column, disagreement: Column, r: UncertaintyRules = UncertaintyRules()) -> Column:
     """0 to 7; every bound is strict."""
     return (
@@ -141,6 +167,7 @@ class RouteRules:
     edges: float = 0.1
 
 
+@nan_fails("dark", "drop", "hull_gap", "compact", "edges")
 def auto_route_v1(dark: Column, drop: Column, hull_gap: Column, compact: Column, edges: Column, level: Column, primary: Column, r: RouteRules = RouteRules()) -> Column:
     shape = (hull_gap >= r.hull_gap) | (compact <= r.compact) | F.coalesce(edges >= r.edges, F.lit(False))
     return first_match(((dark >= r.dark) & (drop >= r.drop), "shadow_refine"), (shape, "topology_refine"), ((level == "medium") & (primary == "stable_case"), "review_keep"), default="no_refine")
@@ -157,6 +184,7 @@ class RouteRulesV2:
     edges: float = 0.16
 
 
+@nan_fails("dark", "drop", "inside_std", "hull_gap", "compact", "edges")
 def auto_route_v2(dark: Column, drop: Column, inside_std: Column, hull_gap: Column, compact: Column, edges: Column, level: Column, r: RouteRulesV2 = RouteRulesV2()) -> Column:
     shadow = ((dark >= r.dark) & (drop >= r.drop)) | ((inside_std >= r.inside_std) & (drop >= r.drop_relaxed))
     shape = (hull_gap >= r.hull_gap) | (compact <= r.compact) | F.coalesce((edges >= r.edges) & level.isin("medium", "high"), F.lit(False))
@@ -172,6 +200,7 @@ class AcceptanceRules:
     reject_review: bool = True
 
 
+@nan_fails("score", "iou", "area", "old_iou", "old_area")
 def selective_acceptance(route: Column, score: Column, decision: Column, iou: Column, area: Column, old_iou: Column, old_area: Column, r: AcceptanceRules = AcceptanceRules()) -> tuple[Column, Column]:
     """Whether the second pass is taken, and why: each condition by name, or not_applicable."""
     on = route.isin(*r.routes)
@@ -198,6 +227,7 @@ class ShadowRules:
     most_ratio: float = 1.3
 
 
+@nan_fails("score", "iou", "shift", "ratio")
 def shadow_acceptance(score: Column, iou: Column, shift: Column, ratio: Column, r: ShadowRules = ShadowRules()) -> Column:
     """A missing prediction is never accepted."""
     return F.coalesce((score >= r.score) & (iou >= r.iou) & (shift <= r.shift) & (ratio >= r.least_ratio) & (ratio <= r.most_ratio), F.lit(False))
@@ -218,6 +248,7 @@ class ChangeRules:
     special_iou: float = 0.45
 
 
+@nan_fails("score", "iou", "area_diff", "shift")
 def change_type(decision: Column, score: Column, iou: Column, area_diff: Column, shift: Column, route: Column, level: Column, special: Column, r: ChangeRules = ChangeRules()) -> Column:
     """Struct (type, reason) from what is known at run time; special: a specialised pass was accepted."""
     a, special = F.abs(area_diff), F.coalesce(special, F.lit(False))
@@ -239,12 +270,14 @@ def change_type(decision: Column, score: Column, iou: Column, area_diff: Column,
     )
 
 
+@nan_fails("iou")
 def reference_change_type(iou: Column, unchanged: float = 0.9) -> Column:
     return first_match((iou >= unchanged, "unchanged"), default="modified")
 
 
+@nan_fails("concavity", "elongation", "compact")
 def is_complex(holes: Column, concavity: Column, elongation: Column, compact: Column, least_concavity: float, most_elongation: float, least_compact: float) -> Column:
-    return (holes > 0) | (concavity < least_concavity) | (elongation > most_elongation) | (compact < least_compact)
+    return F.coalesce((holes > 0) | (concavity < least_concavity) | (elongation > most_elongation) | (compact < least_compact), F.lit(False))
 
 
 #: Sources whose objects keep the original geometry.

@@ -24,11 +24,6 @@ def stratified(df: DataFrame, by: str, key: str, quotas: dict[str, int], seed: i
     return taken.unionByName(df.where(~F.coalesce(F.col(by).isin(*quotas), F.lit(False))))
 
 
-def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
-    """A dense number from 1. All rows meet in one window: for small results such as a subset."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(order)))
-
-
 def ordinals(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """A number from 0 for each row in this order, without gathering the rows: they are ranged over tasks, and each task's numbers begin after the counts of those before.
 

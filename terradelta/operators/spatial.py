@@ -1,7 +1,8 @@
-"""Best-overlap and nearest joins of footprints with bounds in x0, y0, x1, y1 columns.
+"""Best-overlap and nearest joins of objects with an id and bounds in x0, y0, x1, y1 columns.
 
-Bounds are put into grid cells and joined on equal cells, so the join shuffles on its key and no pair
-of far-away objects is ever made. A pair that shares several cells is kept in one of them. Large objects lie in larger cells.
+Ids and bounds alone go through grid cells and are joined on equal cells, so no pair of far-away objects is ever made and no geometry is shuffled
+before there are pairs; other columns come back by id. A pair that shares several cells is kept in one of them. Large objects lie in larger cells.
+Nothing is run while a join is built, and ids are unique on each side.
 """
 
 from __future__ import annotations
@@ -14,112 +15,143 @@ from pyspark.sql import functions as F
 from ..functions.geometry import box_distance2
 
 BOUNDS = ("x0", "y0", "x1", "y1")
+#: Cells of level k are STEP**k times as large as those of level 0. An object that is larger than a cell of the last level lies in many of these.
+STEP, TOP = 8, 3
+#: All small objects meet the few large ones in large cells: they are dealt out over so many parts of a cell of each level, large ones are in all parts.
+PARTS = (1, 4, 16, 64)
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*(F.col(c).alias(prefix + c) for c in df.columns))
 
 
-#: Cells of level k are FACTOR**k times as large as those of level 0. Levels end where no coordinate in metres does.
-FACTOR, LEVELS = 4, 11
+def _bounds(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select(F.col("id").alias(f"{prefix}id"), *(F.col(k).alias(prefix + k) for k in BOUNDS))
 
 
-def _level(p: str, cell: float) -> Column:
+def _level(p: str, cell: float, step: int, top: int) -> Column:
     """The least level whose cells an object's longer side fits into, so that it lies in at most four of them."""
     side = F.greatest(F.col(f"{p}x1") - F.col(f"{p}x0"), F.col(f"{p}y1") - F.col(f"{p}y0")).cast("double")
-    return F.least(F.greatest(F.ceil(F.log(F.greatest(side / cell, F.lit(1.0))) / math.log(FACTOR)), F.lit(0)), F.lit(LEVELS)).cast("int")
+    return F.least(F.greatest(F.ceil(F.log(F.greatest(side / cell, F.lit(1.0))) / math.log(step)), F.lit(0)), F.lit(top)).cast("int")
 
 
-def _cells(df: DataFrame, p: str, cell: float, levels: list[int]) -> DataFrame:
-    """Each object in its cells of its own level and of the higher ones in `levels`."""
-    size = F.lit(cell) * F.pow(F.lit(float(FACTOR)), F.col("level"))
-    at = lambda k: F.floor(F.col(f"{p}{k}") / size)
-    own = df.withColumn(f"{p}level", _level(p, cell))
-    wide = own.withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda k: k >= F.col(f"{p}level"))))
-    return wide.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
+def _size(cell: float, step: int, level: Column) -> Column:
+    return F.lit(float(cell)) * F.pow(F.lit(float(step)), level)
 
 
-def overlapping(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
-    """All pairs whose bounds overlap, columns prefixed l_ and r_. cell: about the size of a usual object; a pair meets in cells of the larger one's level.
+def _small(df: DataFrame, p: str, cell: float, least: int) -> DataFrame:
+    """Each object in the cells of all levels from its own, and `least` above that, in one part of each cell."""
+    own = df.withColumn("own", _level(p, cell, STEP, TOP))
+    wide = own.where(F.col("own") + least <= TOP).withColumn("level", F.explode(F.sequence(F.col("own") + least, F.lit(TOP))))
+    return _placed(wide, p, cell).withColumn("part", F.pmod(F.xxhash64(f"{p}id"), F.get(F.array(*map(F.lit, PARTS)), F.col("level"))).cast("int")).drop("own")
 
-    Which levels there are (at most LEVELS + 1) is found first, from the bounds alone.
+
+def _large(df: DataFrame, p: str, cell: float) -> DataFrame:
+    """Each object in the cells of its own level, in all parts of each."""
+    wide = _placed(df.withColumn("level", _level(p, cell, STEP, TOP)), p, cell)
+    return wide.withColumn("part", F.explode(F.sequence(F.lit(0), F.get(F.array(*map(F.lit, PARTS)), F.col("level")) - 1)))
+
+
+def _placed(df: DataFrame, p: str, cell: float) -> DataFrame:
+    at = lambda k: F.floor(F.col(p + k) / _size(cell, STEP, F.col("level")))
+    return df.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
+
+
+def overlapping(left: DataFrame, right: DataFrame, cell: float, touching: bool = False) -> DataFrame:
+    """All pairs whose bounds overlap (or touch), with all columns, prefixed l_ and r_. cell: about the size of a usual object.
+
+    A pair meets in cells of the level of its larger object, wherever the other one is smaller.
     """
-    a, b = _prefixed(left, "l_"), _prefixed(right, "r_")
-    both = a.select(_level("l_", cell).alias("k")).union(b.select(_level("r_", cell).alias("k")))
-    levels = sorted(r[0] for r in both.distinct().collect() if r[0] is not None)
-    if not levels:
-        levels = [0]
-    a, b = _cells(a, "l_", cell, levels), _cells(b, "r_", cell, levels)
+    a, b = _bounds(left, "l_"), _bounds(right, "r_")
     c = F.col
-    size = F.lit(cell) * F.pow(F.lit(float(FACTOR)), c("level"))
-    once = (c("level") == F.greatest("l_level", "r_level")) & (c("cx") == F.floor(F.greatest(c("l_x0"), c("r_x0")) / size)) & (c("cy") == F.floor(F.greatest(c("l_y0"), c("r_y0")) / size))
-    meet = (c("l_x0") < c("r_x1")) & (c("r_x0") < c("l_x1")) & (c("l_y0") < c("r_y1")) & (c("r_y0") < c("l_y1"))
-    return a.join(b, ["level", "cx", "cy"]).where(once & meet).drop("level", "cx", "cy", "l_level", "r_level")
+    once = lambda k: c("c" + k) == F.floor(F.greatest(f"l_{k}0", f"r_{k}0") / _size(cell, STEP, c("level")))
+    before = (lambda x, y: c(x) <= c(y)) if touching else (lambda x, y: c(x) < c(y))
+    meet = before("l_x0", "r_x1") & before("r_x0", "l_x1") & before("l_y0", "r_y1") & before("r_y0", "l_y1")
+    keys = ["level", "cx", "cy", "part"]
+    smaller_left = _small(a, "l_", cell, 0).join(_large(b, "r_", cell), keys)
+    smaller_right = _large(a, "l_", cell).join(_small(b, "r_", cell, 1), keys)
+    names = ["l_id", "r_id", *("l_" + k for k in BOUNDS), *("r_" + k for k in BOUNDS)]
+    pairs = smaller_left.select(*keys, *names).unionByName(smaller_right.select(*keys, *names)).where(once("x") & once("y") & meet).select(*names)
+    return _widened(pairs, left, right)
+
+
+def _widened(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs with the other columns of both sides."""
+    for df, p in ((left, "l_"), (right, "r_")):
+        more = [k for k in df.columns if k not in BOUNDS]
+        if more != ["id"]:
+            pairs = pairs.join(_prefixed(df.select(*more), p), f"{p}id")
+    return pairs
+
+
+def matches(scored: DataFrame) -> DataFrame:
+    """id, match_id and best_score: of `scored` (l_id, r_id, score) the best over 0 of each l_id; ties go to the least r_id, several may choose one."""
+    best = scored.where("score > 0").groupBy(F.col("l_id").alias("id")).agg(F.max(F.struct("score", (-F.col("r_id")).alias("i"))).alias("_best"))
+    return best.select("id", (-F.col("_best.i")).alias("match_id"), F.col("_best.score").alias("best_score"))
 
 
 def best_overlap(left: DataFrame, right: DataFrame, score: Column, cell: float) -> DataFrame:
-    """left with match_id and best_score of the right object (column id) of the highest score over 0; ties go to the least id, several may choose one."""
-    scored = overlapping(left, right, cell).withColumn("score", score).where("score > 0")
-    best = scored.groupBy(F.col("l_id").alias("id")).agg(F.max(F.struct("score", (-F.col("r_id")).alias("i"))).alias("best"))
-    return left.join(best.select("id", (-F.col("best.i")).alias("match_id"), F.col("best.score").alias("best_score")), "id", "left")
+    """left with match_id and best_score (null where there is none) of the right object of the highest `score` of l_ and r_ columns."""
+    return left.join(matches(overlapping(left, right, cell).select("l_id", "r_id", score.alias("score"))), "id", "left")
 
 
-def nearest(left: DataFrame, right: DataFrame, distance2: Column, cell: float, slack: float | Column) -> DataFrame:
+#: Levels of the nearest search; the last one is one cell.
+NEAR_STEP, NEAR_TOP = 4, 11
+
+
+def nearest(left: DataFrame, right: DataFrame, distance2: Column, cell: float) -> DataFrame:
     """id, match_id and distance2 of the right object nearest to each left one, ties to the least id.
 
-    Two joins on grid cells, nothing run while they are built. First each left object meets one right object of every occupied cell around it, at
-    all levels: the diagonal of both bounds together is more than their distance. Then it meets all right objects in the cells
-    around it of the least level that this fits into, so each object has a search of its own width; `distance2` is worked out only
-    where the bounds are near enough. It must be at least the squared distance of the bounds and at most that of their farthest corners.
-    slack: how much longer the distance of centres may be than that of the bounds, a number or an expression of l_ columns.
+    Two joins on grid cells. First each left object meets one right object of every occupied cell around it, at all levels: the diagonal of both
+    bounds together is more than their distance. Then it looks at all cells that its bounds, widened by that, lie in: of the least level that this
+    width fits into, where all right objects up to this size are, and of every higher level, where only the right objects of that size are. So each
+    object has a search of its own width, whatever the sizes of the objects it may find. `distance2` (of l_ and r_ columns) is worked out only where the
+    bounds are near enough. It must be at least the squared distance of the bounds and at most that of their farthest corners.
     """
-    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
-    size = F.lit(float(cell)) * F.pow(F.lit(float(FACTOR)), F.col("level"))
+    c = F.col
+    one, two = _bounds(left, "l_"), _bounds(right, "r_")
+    size = _size(cell, NEAR_STEP, c("level"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(NEAR_TOP)))
     around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    at = lambda value: F.when(c("level") == NEAR_TOP, 0).otherwise(F.floor(value / size))
+    middle = lambda df, p: df.withColumns({"c" + k: at((c(f"{p}{k}0") + c(f"{p}{k}1")) / 2) for k in "xy"})
 
-    def centred(df: DataFrame, p: str) -> DataFrame:
-        # the last level is one cell, so that no object is out of reach
-        at = lambda k: F.when(F.col("level") == LEVELS, 0).otherwise(F.floor((F.col(f"{p}{k}0") + F.col(f"{p}{k}1")) / (2 * size)))
-        return df.withColumns({"cx": at("x"), "cy": at("y")})
-
-    def spread(df: DataFrame) -> DataFrame:
-        wide = centred(df, "l_").withColumn("n", around).where((F.col("level") < LEVELS) | ((F.col("n.i") == 0) & (F.col("n.j") == 0)))
-        return wide.withColumns({"cx": F.col("cx") + F.col("n.i"), "cy": F.col("cy") + F.col("n.j")}).drop("n")
-
-    one, two = _prefixed(left, "l_"), _prefixed(right, "r_")
-    placed = centred(two.withColumn("level", levels), "r_")
-    names = two.columns
-    some = placed.groupBy("level", "cx", "cy").agg(F.min_by(F.struct(*names), "r_id").alias("r")).select("level", "cx", "cy", "r.*")
-    met = spread(one.withColumn("level", levels)).join(some, ["level", "cx", "cy"])
+    some = middle(two.withColumn("level", every), "r_").groupBy("level", "cx", "cy").agg(F.min_by(F.struct(*two.columns), "r_id").alias("r")).select("level", "cx", "cy", "r.*")
+    spread = middle(one.withColumn("level", every), "l_").withColumn("n", around).where((c("level") < NEAR_TOP) | ((c("n.i") == 0) & (c("n.j") == 0)))
+    met = spread.withColumns({"cx": c("cx") + c("n.i"), "cy": c("cy") + c("n.j")}).drop("n").join(some, ["level", "cx", "cy"])
     wide = lambda k: F.greatest(f"l_{k}1", f"r_{k}1") - F.least(f"l_{k}0", f"r_{k}0")
     bound = met.groupBy("l_id").agg(F.min((wide("x") * wide("x") + wide("y") * wide("y")).cast("double")).alias("bound"))
-    reach = F.sqrt("bound") + (F.lit(float(slack)) if not isinstance(slack, Column) else slack)
-    fit = F.ceil(F.log(F.greatest(reach / float(cell), F.lit(1.0))) / math.log(FACTOR))
-    searching = one.join(bound, "l_id").withColumn("level", F.least(F.greatest(fit, F.lit(0)), F.lit(LEVELS)).cast("int"))
-    near = spread(searching).join(placed, ["level", "cx", "cy"]).where(box_distance2("l_", "r_") <= F.col("bound"))
-    pairs = near.withColumn("d", distance2.cast("double"))
-    best = pairs.groupBy(F.col("l_id").alias("id")).agg(F.min(F.struct("d", "r_id")).alias("b"))
-    return best.select("id", F.col("b.r_id").alias("match_id"), F.col("b.d").alias("distance2"))
 
-
-def matched_or_nearest(left: DataFrame, candidates: DataFrame, right: DataFrame, score: Column, tie: Column, distance2: Column, cell: float, slack: float) -> DataFrame:
-    """left with match_id and best_score: the best of `candidates` (l_ and r_ columns) by score, then least tie, then least id; the nearest where there is none.
-
-    Objects without an overlap aren't lost: only they take the nearest search.
+    own = two.withColumn("own", _level("r_", cell, NEAR_STEP, NEAR_TOP))
+    held = own.withColumn("level", F.explode(F.sequence("own", F.lit(NEAR_TOP)))).withColumn("any", F.explode(F.when(c("own") == c("level"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))).drop("own")
+    cells = lambda k, p, by: F.explode(F.sequence(at(c(f"{p}{k}0") - by), at(c(f"{p}{k}1") + by)))
+    held = held.withColumn("cx", cells("x", "r_", 0)).withColumn("cy", cells("y", "r_", 0))
+    reach = F.sqrt("bound")
+    side = 2 * reach + F.greatest(c("l_x1") - c("l_x0"), c("l_y1") - c("l_y0"))
+    fit = F.least(F.greatest(F.ceil(F.log(F.greatest(side / float(cell), F.lit(1.0))) / math.log(NEAR_STEP)), F.lit(0)), F.lit(NEAR_TOP)).cast("int")
+    looking = one.join(bound, "l_id").withColumn("fit", fit).withColumn("level", F.explode(F.sequence("fit", F.lit(NEAR_TOP)))).withColumn("any", c("fit") == c("level"))
+    looking = looking.withColumn("cx", cells("x", "l_", reach)).withColumn("cy", cells("y", "l_", reach)).drop("fit")
+    near = looking.join(held, ["level", "any", "cx", "cy"]).where(box_distance2("l_", "r_") <= c("bound"))
+    names = ["l_id", "r_id", *("l_" + k for k in BOUNDS), *("r_" + k for k in BOUNDS)]
+    pairs = _widened(near.select(*names).distinct(), left, right).select("l_id", "r_id", distance2.cast("double").alias("_d"))
+    best = pairs.groupBy(c("l_id").alias("id")).agg(F.min(F.struct("_d", "r_id")).alias("_best"))
+    return best.select("id", c("_best.r_id").alias("match_id"), c("_best._d").alias("distance2"))
+
+
+def matched_or_nearest(left: DataFrame, scored: DataFrame, right: DataFrame, distance2: Column, cell: float, carried: dict[str, float] | None = None) -> DataFrame:
+    """left with match_id and best_score: of `scored` (l_id, r_id, score, tie) the best by score, then least tie, then least id; the nearest where there is none.
+
+    Objects without an overlap aren't lost: only they take the nearest search. carried: more columns of `scored` that come along, and what they are
+    for an object without one.
     """
-    scored = candidates.withColumns({"score": score, "tie": tie}).where("score > 0")
-    best = scored.groupBy(F.col("l_id").alias("id")).agg(F.max(F.struct("score", (-F.col("tie")).alias("t"), (-F.col("r_id")).alias("i"))).alias("b"))
-    hit = best.select("id", (-F.col("b.i")).alias("match_id"), F.col("b.score").alias("best_score"))
+    extra = carried or {}
+    best = scored.where("score > 0").groupBy(F.col("l_id").alias("id")).agg(F.max(F.struct("score", (-F.col("tie")).alias("t"), (-F.col("r_id")).alias("i"), *extra)).alias("_best"))
+    hit = best.select("id", (-F.col("_best.i")).alias("match_id"), F.col("_best.score").alias("best_score"), *(F.col(f"_best.{k}").alias(k) for k in extra))
     missed = left.join(hit.select("id"), "id", "left_anti")
-    near = nearest(missed, right, distance2, cell, slack).select("id", "match_id", F.lit(0.0).alias("best_score"))
+    near = nearest(missed, right, distance2, cell).select("id", "match_id", F.lit(0.0).alias("best_score"), *(F.lit(v).alias(k) for k, v in extra.items()))
     return left.join(hit.unionByName(near), "id", "left")
 
 
 def hull_gap_frac(size: Column, hull: Column) -> Column:
     """(hull - size) / size, 0 if empty."""
     return F.coalesce(F.try_divide(hull - size, size), F.lit(0.0))
-
-
-def half_diagonal(df: DataFrame) -> float:
-    found = df.agg(F.max(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0]
-    return float(found or 0.0) / 2

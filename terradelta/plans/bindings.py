@@ -10,14 +10,14 @@ from ..sources.tables import parquet
 c = F.col
 
 
-def _boxes(df: DataFrame, id_: Column, x0: Column, y0: Column, w: Column, h: Column, *more: Column) -> DataFrame:
+def boxes(df: DataFrame, id_: Column, x0: Column, y0: Column, w: Column, h: Column, *more: Column) -> DataFrame:
     wide = df.select(id_.cast("long").alias("id"), x0.cast("long").alias("x0"), y0.cast("long").alias("y0"), w.cast("long").alias("w"), h.cast("long").alias("h"), *more)
     return wide.select("id", "x0", "y0", (c("x0") + c("w")).alias("x1"), (c("y0") + c("h")).alias("y1"), *(m for m in wide.columns[5:]))
 
 
 def old_footprints(spark: SparkSession, sf: str) -> DataFrame:
     k = c("p_partkey")
-    return _boxes(parquet(spark, sf, "part"), k, k % 50 * 40, F.floor(k / 50) * 40, 10 + c("p_size") % 15, 10 + k % 13)
+    return boxes(parquet(spark, sf, "part"), k, k % 50 * 40, F.floor(k / 50) * 40, 10 + c("p_size") % 15, 10 + k % 13)
 
 
 def new_footprints(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,15 +25,15 @@ def new_footprints(spark: SparkSession, sf: str) -> DataFrame:
     k = c("p_partkey")
     moved = F.when(k % 4 == 0, 1).otherwise(0)
     width = F.when(k % 29 == 0, 70).otherwise(10 + c("p_size") % 15 + F.when(k % 7 == 0, 6).otherwise(0))
-    stay = _boxes(parquet(spark, sf, "part").where(k % 17 != 0), k, k % 50 * 40 + moved * (k % 5), F.floor(k / 50) * 40 + moved * (k % 3), width, 10 + k % 13)
+    stay = boxes(parquet(spark, sf, "part").where(k % 17 != 0), k, k % 50 * 40 + moved * (k % 5), F.floor(k / 50) * 40 + moved * (k % 3), width, 10 + k % 13)
     s = c("s_suppkey")
-    return stay.unionByName(_boxes(parquet(spark, sf, "supplier"), s + 1_000_000_000, s * 40 + 100_000, F.lit(0), F.lit(20), F.lit(20)))
+    return stay.unionByName(boxes(parquet(spark, sf, "supplier"), s + 1_000_000_000, s * 40 + 100_000, F.lit(0), F.lit(20), F.lit(20)))
 
 
 def final_footprints(spark: SparkSession, sf: str) -> DataFrame:
     """What an update left of the old objects."""
     k = c("p_partkey")
-    return _boxes(parquet(spark, sf, "part"), k, k % 50 * 40 + c("p_size") % 4, F.floor(k / 50) * 40, 10 + c("p_size") % 15 + k % 3, 10 + k % 13)
+    return boxes(parquet(spark, sf, "part"), k, k % 50 * 40 + c("p_size") % 4, F.floor(k / 50) * 40, 10 + c("p_size") % 15 + k % 3, 10 + k % 13)
 
 
 def reports(spark: SparkSession, sf: str) -> DataFrame:

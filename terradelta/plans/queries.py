@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions.text import zero_padded
 from ..operators import evaluation as ev
 from ..operators import ranking, rules, sampling, spatial
 from ..sources.tables import parquet, written
 from . import bindings as b
-from . import shapes, tables
+from . import overlays, shapes, tables
 
 c = F.col
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,21 +52,18 @@ def external_eval_best_match(spark: SparkSession, sf: str) -> DataFrame:
     old = b.old_footprints(spark, sf).select("id", *(c(k).alias("o" + k) for k in spatial.BOUNDS))
     left = final.select("id", *(c(k).alias("f" + k) for k in spatial.BOUNDS)).join(old, "id")
     wide = left.select("*", *(F.least("f" + k, "o" + k).alias(k) for k in ("x0", "y0")), *(F.greatest("f" + k, "o" + k).alias(k) for k in ("x1", "y1")))
-    pairs = spatial.overlapping(wide, new, CELL)
-    score = F.greatest(g.box_iou("l_f", "r_"), g.box_iou("l_o", "r_"))
-    slack = F.hypot(c("l_x1") - c("l_x0"), c("l_y1") - c("l_y0")) / 2 + 80.0  # half diagonals, a new object's at most 80
+    scored = spatial.overlapping(wide, new, CELL).select("l_id", "r_id", g.box_iou("l_f", "r_").alias("iou_final"), g.box_iou("l_o", "r_").alias("iou_orig"), g.centre_distance2("l_o", "r_").alias("tie"))
     plain = left.select("id", *(c("o" + k).alias(k) for k in spatial.BOUNDS))
-    found = spatial.matched_or_nearest(plain, pairs, new, score, g.centre_distance2("l_o", "r_"), g.centre_distance2("l_", "r_") / 4, CELL, slack)  # half of the sides' sum: within the bounds
-    ref = new.select(c("id").alias("match_id"), *(c(k).alias("r" + k) for k in spatial.BOUNDS))
-    both = left.join(found.select("id", "match_id"), "id").join(ref, "match_id")
-    return both.select("id", "match_id", g.box_iou("f", "r").alias("iou_final"), g.box_iou("o", "r").alias("iou_orig")).withColumns({"delta": c("iou_final") - c("iou_orig"), "improved": c("iou_final") > c("iou_orig")})
+    carried = {"iou_final": 0.0, "iou_orig": 0.0}
+    found = spatial.matched_or_nearest(plain, scored.withColumn("score", F.greatest("iou_final", "iou_orig")), new, g.centre_distance2("l_", "r_") / 4, CELL, carried)  # half of the sides' sum: within the bounds
+    return found.select("id", "match_id", *carried, (c("iou_final") - c("iou_orig")).alias("delta"), (c("iou_final") > c("iou_orig")).alias("improved"))
 
 
 def removed_behavior(spark: SparkSession, sf: str) -> DataFrame:
     gone = _diff(spark, sf).where("status = 'removed_candidate'").select("id")
     final, new = written(b.final_footprints(spark, sf).join(gone, "id", "left_semi")), b.new_footprints(spark, sf)
-    slack = F.hypot(c("l_x1") - c("l_x0"), c("l_y1") - c("l_y0")) / 2 + 80.0  # half of an object's diagonal, and the most that half a new one's may be
-    found = spatial.matched_or_nearest(final, spatial.overlapping(final, new, CELL), new, g.box_iou("l_", "r_"), g.box_distance2("l_", "r_"), g.box_distance2("l_", "r_"), CELL, slack)
+    scored = spatial.overlapping(final, new, CELL).select("l_id", "r_id", g.box_iou("l_", "r_").alias("score"), g.box_distance2("l_", "r_").alias("tie"))
+    found = spatial.matched_or_nearest(final, scored, new, g.box_distance2("l_", "r_"), CELL)
     return found.select("id", "match_id", c("best_score").alias("max_iou"), rules.removed_behavior(c("best_score")).alias("behavior"))
 
 
@@ -294,7 +292,7 @@ def union_bounds(spark: SparkSession, sf: str) -> DataFrame:
 
 def report_lines(spark: SparkSession, sf: str) -> DataFrame:
     e = b.experiments(spark, sf).groupBy("experiment").agg(F.round(F.avg("value"), 3).alias("m"), F.count_if(c("decision") == "O").alias("o"), F.count_if(c("decision") == "F").alias("f"))
-    return e.select("experiment", F.concat_ws(" & ", F.replace("experiment", F.lit("-"), F.lit(r"\_")), F.concat_ws("/", "o", "f"), F.lpad(c("o").cast("string"), 6, "0")).alias("line"))
+    return e.select("experiment", F.concat_ws(" & ", F.replace("experiment", F.lit("-"), F.lit(r"\_")), F.concat_ws("/", "o", "f"), zero_padded(c("o"), 6)).alias("line"))
 
 
 def queries() -> dict[str, Query]:
@@ -305,4 +303,4 @@ def queries() -> dict[str, Query]:
         area_filter, chip_windows, bbox_expand, footprint_shape_metrics, polygon_iou_general, rerank_candidates, segmentation_metrics, layer_pick, json_points, value_counts_nulls,
         affine_pixels, union_bounds, report_lines,
     )
-    return {f.__name__: f for f in (*names, *shapes.QUERIES, *tables.QUERIES)}
+    return {f.__name__: f for f in (*names, *shapes.QUERIES, *overlays.QUERIES, *tables.QUERIES)}

@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import overlay
 from ..operators import spatial
-from ..sources.tables import written
 from . import bindings as b
 
 c = F.col
 CELL = 80.0
 
 
-def _shape_wkt() -> Column:
+def shape_wkt() -> Column:
     """id % 3: 0 the box, 1 without its upper right quarter, 2 with a hole in the middle (its middle third, by whole numbers)."""
     x0, y0, x1, y1 = c("x0"), c("y0"), c("x1"), c("y1")
     mx, my = F.floor((x0 + x1) / 2), F.floor((y0 + y1) / 2)
@@ -29,57 +29,61 @@ def _shape_wkt() -> Column:
 
 
 def _shaped(df: DataFrame) -> DataFrame:
-    """id, bounds, geometry, edges, area and centroid of each object, worked out once, before pairs are made."""
-    shaped = df.select("id", *spatial.BOUNDS, g.parse_wkt(_shape_wkt()).alias("geometry"))
-    return written(shaped.select("*", g.edges(c("geometry")).alias("edges"), g.area(c("geometry")).alias("size"), g.centroid(c("geometry")).alias("middle")))
+    """id, bounds, geometry and area of each object."""
+    return df.select("id", *spatial.BOUNDS, g.parse_wkt(shape_wkt()).alias("geometry")).withColumn("size", g.area(c("geometry")))
 
 
-def _iou(a: str, b_: str) -> Column:
-    ratio = lambda common: F.try_divide(common, c(f"{a}size") + c(f"{b_}size") - common)
-    return F.round(F.coalesce(g.let(g.common_area(c(f"{a}edges"), c(f"{b_}edges")), ratio), F.lit(0.0)), 9)
+def _iou(common: Column, a: str, b_: str) -> Column:
+    return F.round(F.coalesce(F.try_divide(common, c(f"{a}size") + c(f"{b_}size") - common), F.lit(0.0)), 9)
+
+
+def _scored(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs whose bounds overlap, with the area that they have in common, worked out once for each."""
+    pairs = spatial.overlapping(left, right, CELL)
+    return pairs.select("l_id", "r_id", "l_size", "r_size", overlay.common_area(c("l_geometry"), c("r_geometry")).alias("common")).select("l_id", "r_id", _iou(c("common"), "l_", "r_").alias("score"))
 
 
 def polygon_best_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Each old shape's new shape of the highest IoU over 0."""
-    found = spatial.best_overlap(_shaped(b.old_footprints(spark, sf)), _shaped(b.new_footprints(spark, sf)), _iou("l_", "r_"), CELL)
-    return found.select("id", "match_id", "best_score")
+    old = _shaped(b.old_footprints(spark, sf))
+    best = spatial.matches(_scored(old, _shaped(b.new_footprints(spark, sf))))
+    return old.select("id").join(best, "id", "left")
 
 
 def polygon_external_match(spark: SparkSession, sf: str) -> DataFrame:
     """For each updated shape the reference shape of the highest IoU with it or with the original, then the nearest centroid to the original's."""
-    old = _shaped(b.old_footprints(spark, sf)).select("id", *(c(k).alias("o" + k) for k in (*spatial.BOUNDS, "edges", "size", "middle")))
-    left = written(_shaped(b.final_footprints(spark, sf)).select("id", *(c(k).alias("f" + k) for k in (*spatial.BOUNDS, "edges", "size"))).join(old, "id"))
+    named = lambda df, p: df.select("id", *(c(k).alias(p + k) for k in (*spatial.BOUNDS, "geometry", "size")))
+    old, new = _shaped(b.old_footprints(spark, sf)).withColumn("middle", g.centroid(c("geometry"))), _shaped(b.new_footprints(spark, sf)).withColumn("middle", g.centroid(c("geometry")))
+    left = named(_shaped(b.final_footprints(spark, sf)), "f").join(named(old, "o").join(old.select("id", "middle"), "id"), "id")
     wide = left.select("*", *(F.least("f" + k, "o" + k).alias(k) for k in ("x0", "y0")), *(F.greatest("f" + k, "o" + k).alias(k) for k in ("x1", "y1")))
-    new = _shaped(b.new_footprints(spark, sf)).drop("geometry")
     d2 = lambda m: F.round((c(m)["x"] - c("r_middle")["x"]) ** 2 + (c(m)["y"] - c("r_middle")["y"]) ** 2, 6)
-    plain = left.select("id", *(c("o" + k).alias(k) for k in spatial.BOUNDS), c("omiddle").alias("middle"))
-    slack = 160.0  # a centroid is inside its bounds, whose half diagonals are under 80
-    found = spatial.matched_or_nearest(plain, spatial.overlapping(wide, new, CELL), new, F.greatest(_iou("l_f", "r_"), _iou("l_o", "r_")), d2("l_omiddle"), d2("l_middle"), CELL, slack)
-    pairs = left.join(written(found.select("id", "match_id")), "id").join(new.select(c("id").alias("match_id"), *(c(k).alias("r_" + k) for k in ("edges", "size"))), "match_id")
-    return pairs.select("id", "match_id", _iou("f", "r_").alias("iou_final"), _iou("o", "r_").alias("iou_orig"))
+    pairs = spatial.overlapping(wide, new, CELL)
+    common = pairs.select("l_id", "r_id", "l_fsize", "l_osize", "r_size", d2("l_middle").alias("tie"), overlay.common_area(c("l_fgeometry"), c("r_geometry")).alias("f"), overlay.common_area(c("l_ogeometry"), c("r_geometry")).alias("o"))
+    scored = common.select("l_id", "r_id", "tie", _iou(c("f"), "l_f", "r_").alias("iou_final"), _iou(c("o"), "l_o", "r_").alias("iou_orig")).withColumn("score", F.greatest("iou_final", "iou_orig"))
+    carried = {"iou_final": 0.0, "iou_orig": 0.0}
+    found = spatial.matched_or_nearest(old.select("id", *spatial.BOUNDS, "middle"), scored, new.select("id", *spatial.BOUNDS, "middle"), d2("l_middle"), CELL, carried)
+    return found.select("id", "match_id", *carried)
 
 
 def polygon_best_any(spark: SparkSession, sf: str) -> DataFrame:
     """For each updated shape the reference shape of the highest IoU, or the one at the least distance where none overlaps; and the original's best IoU."""
     final, new = _shaped(b.final_footprints(spark, sf)), _shaped(b.new_footprints(spark, sf))
-    common = g.common_area(c("l_edges"), c("r_edges"))
-    d2 = g.let(F.round(g.distance(c("l_geometry"), c("r_geometry"), common), 6), lambda d: d * d)
-    slack = F.hypot(c("l_x1") - c("l_x0"), c("l_y1") - c("l_y0")) / 2 + 80.0  # and a reference shape's half diagonal
-    found = spatial.matched_or_nearest(final, spatial.overlapping(final, new, CELL), new, _iou("l_", "r_"), F.lit(0.0), d2, CELL, slack)
-    orig = spatial.best_overlap(_shaped(b.old_footprints(spark, sf)), new, _iou("l_", "r_"), CELL).select("id", c("best_score").alias("orig_iou"))
-    return found.join(orig, "id").select("id", "match_id", c("best_score").alias("max_iou"), F.coalesce("orig_iou", F.lit(0.0)).alias("orig_max_iou"))
+    d2 = g.let(F.round(g.distance(c("l_geometry"), c("r_geometry"), F.lit(0.0)), 6), lambda d: d * d)  # of objects without an overlap
+    found = spatial.matched_or_nearest(final, _scored(final, new).withColumn("tie", F.lit(0.0)), new, d2, CELL)
+    orig = spatial.matches(_scored(_shaped(b.old_footprints(spark, sf)), new)).select("id", c("best_score").alias("orig_iou"))
+    return found.join(orig, "id", "left").select("id", "match_id", c("best_score").alias("max_iou"), F.coalesce("orig_iou", F.lit(0.0)).alias("orig_max_iou"))
 
 
 def polygon_measures(spark: SparkSession, sf: str) -> DataFrame:
     """Area, perimeter, centroid, holes, hull and concavity, moved to map coordinates."""
     far = b.old_footprints(spark, sf).withColumns({k: c(k) + (383_000 if k[0] == "x" else 5_820_000) for k in spatial.BOUNDS})
-    m = _shaped(far).select("id", "size", "middle", g.perimeter(c("geometry")).alias("length"), g.holes(c("geometry")).alias("holes"), g.hull_area(c("geometry")).alias("hull"))
+    m = _shaped(far).select("id", "size", g.centroid(c("geometry")).alias("middle"), g.perimeter(c("geometry")).alias("length"), g.holes(c("geometry")).alias("holes"), g.hull_area(c("geometry")).alias("hull"))
     return m.select("id", F.round("size", 6).alias("size"), F.round("length", 6).alias("length"), F.round("middle.x", 6).alias("cx"), F.round("middle.y", 6).alias("cy"), "holes", F.round("hull", 6).alias("hull"), F.round(g.concavity(c("size"), c("hull")), 9).alias("concavity"))
 
 
 def polygon_parts_iterator(spark: SparkSession, sf: str) -> DataFrame:
     """Two shapes as one geometry of several parts, and each part again."""
-    whole = F.concat(g.parse_wkt(_shape_wkt()), g.box(c("x0") + 1000, c("y0"), c("x0") + 1001, c("y0") + 2))
+    whole = F.concat(g.parse_wkt(shape_wkt()), g.box(c("x0") + 1000, c("y0"), c("x0") + 1001, c("y0") + 2))
     parts = b.old_footprints(spark, sf).select("id", F.posexplode(g.polygon_parts(whole)).alias("part", "geometry"))
     return parts.select("id", "part", F.round(g.area(c("geometry")), 6).alias("size"))
 
@@ -87,17 +91,18 @@ def polygon_parts_iterator(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = (polygon_best_overlap, polygon_external_match, polygon_best_any, polygon_measures, polygon_parts_iterator)
 
 
+def boxes(name: str, of: str) -> str:
+    m = "SELECT *, (x0 + x1) // 2 AS mx, (y0 + y1) // 2 AS my, id % 3 AS k FROM " + of
+    return f"""{name} AS (SELECT id, x0 AS a, y0 AS b, x1 AS c, y1 AS d FROM {of} WHERE id % 3 = 0
+      UNION ALL SELECT id, x0, y0, x1, my FROM ({m}) WHERE k = 1 UNION ALL SELECT id, x0, my, mx, y1 FROM ({m}) WHERE k = 1
+      UNION ALL SELECT id, x0, y0, x1, y0 + 3 FROM {of} WHERE id % 3 = 2 UNION ALL SELECT id, x0, y1 - 3, x1, y1 FROM {of} WHERE id % 3 = 2
+      UNION ALL SELECT id, x0, y0 + 3, x0 + 3, y1 - 3 FROM {of} WHERE id % 3 = 2 UNION ALL SELECT id, x1 - 3, y0 + 3, x1, y1 - 3 FROM {of} WHERE id % 3 = 2),
+    {name}_m AS (SELECT id, sum((c - a) * (d - b))::DOUBLE AS size, sum((c - a) * (d - b) * (a + c)) / 2 / sum((c - a) * (d - b))::DOUBLE AS cx, sum((c - a) * (d - b) * (b + d)) / 2 / sum((c - a) * (d - b))::DOUBLE AS cy FROM {name} GROUP BY id)"""
+
+
 def oracle_sql(old: str, new: str, final: str) -> dict[str, str]:
     """Every shape as boxes that don't overlap, so that areas, centroids and distances are sums and least values over boxes."""
 
-    def boxes(name: str, of: str) -> str:
-        m = "SELECT *, (x0 + x1) // 2 AS mx, (y0 + y1) // 2 AS my, id % 3 AS k FROM " + of
-        return f"""{name} AS (SELECT id, x0 AS a, y0 AS b, x1 AS c, y1 AS d FROM {of} WHERE id % 3 = 0
-          UNION ALL SELECT id, x0, y0, x1, my FROM ({m}) WHERE k = 1 UNION ALL SELECT id, x0, my, mx, y1 FROM ({m}) WHERE k = 1
-          UNION ALL SELECT id, x0, y0, x1, y0 + 3 FROM {of} WHERE id % 3 = 2 UNION ALL SELECT id, x0, y1 - 3, x1, y1 FROM {of} WHERE id % 3 = 2
-          UNION ALL SELECT id, x0, y0 + 3, x0 + 3, y1 - 3 FROM {of} WHERE id % 3 = 2 UNION ALL SELECT id, x1 - 3, y0 + 3, x1, y1 - 3 FROM {of} WHERE id % 3 = 2),
-        {name}_m AS (SELECT id, sum((c - a) * (d - b))::DOUBLE AS size, sum((c - a) * (d - b) * (a + c)) / 2 / sum((c - a) * (d - b))::DOUBLE AS cx, sum((c - a) * (d - b) * (b + d)) / 2 / sum((c - a) * (d - b))::DOUBLE AS cy FROM {name} GROUP BY id)"""
-
     def ious(name: str, left: str, right: str) -> str:
         return f"""{name} AS (SELECT x.l, x.r, round(x.common / (p.size + q.size - x.common), 9) AS iou FROM (
           SELECT p.id AS l, q.id AS r, sum((least(p.c, q.c) - greatest(p.a, q.a)) * (least(p.d, q.d) - greatest(p.b, q.b)))::DOUBLE AS common FROM {left} p JOIN {right} q ON p.a < q.c AND q.a < p.c AND p.b < q.d AND q.b < p.d GROUP BY ALL) x

@@ -107,8 +107,8 @@ def path_resolution(spark: SparkSession, sf: str) -> DataFrame:
 
 def first_folder_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Each object's chip in the first folder that has it."""
-    s = c("s_suppkey")
-    of = lambda folder, m: parquet(spark, sf, "supplier").where(s % m == 0).select(F.concat(F.lit(folder + "/"), F.lpad(s.cast("string"), 4, "0"), F.lit(".png")).alias("path"))
+    s = c("s_suppkey") * 313  # of one to six digits
+    of = lambda folder, m: parquet(spark, sf, "supplier").where(s % m == 0).select(F.concat(F.lit(folder + "/"), F.when(s < 1000, F.lpad(s.cast("string"), 4, "0")).otherwise(s.cast("string")), F.lit(".png")).alias("path"))
     listing = of("tight", 3).unionByName(of("wide", 2)).unionByName(of("other", 1).where(F.length("path") < 12))
     return src.in_first_folder(parquet(spark, sf, "supplier").select(s.alias("id")), listing, ["tight", "wide"])
 
@@ -233,7 +233,7 @@ def oracle_sql(old: str, final: str, report: str, exp: str) -> dict[str, str]:
         "last_duplicate_lookup": "WITH e AS (SELECT o_custkey AS key, max(o_orderkey) AS entry, arg_max(o_orderdate, o_orderkey) AS found FROM orders GROUP BY 1) SELECT c_custkey AS id, CASE WHEN c_custkey % 7 > 0 THEN c_custkey END::BIGINT AS key, entry, strftime(found, '%Y-%m-%d') AS found FROM customer LEFT JOIN e ON key = CASE WHEN c_custkey % 7 > 0 THEN c_custkey END",
         "stem_join": "SELECT p_partkey || '.v1' AS stem, 'train' AS folder, 'masks/' || (s_suppkey * 3) || '.v1.png' AS mask FROM part JOIN supplier ON p_partkey = s_suppkey * 3",
         "path_resolution": "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 > 0 THEN '/data/chips/' || p_partkey || '.png' END AS path FROM part",
-        "first_folder_lookup": "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'tight/' ELSE 'wide/' END || CASE WHEN s_suppkey < 1000 THEN lpad(s_suppkey::VARCHAR, 4, '0') ELSE left(s_suppkey::VARCHAR, 4) END || '.png' AS path FROM supplier WHERE s_suppkey % 3 = 0 OR s_suppkey % 2 = 0",
+        "first_folder_lookup": "SELECT s_suppkey * 313 AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'tight/' ELSE 'wide/' END || printf('%04d', s_suppkey * 313) || '.png' AS path FROM supplier WHERE s_suppkey % 3 = 0 OR s_suppkey % 2 = 0",
         "dense_numbers": "SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS subset_id FROM supplier WHERE s_acctbal > 5000",
         "ordinal_key": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx FROM orders",
         "gap_keeping_ordinal": "SELECT id, p_partkey FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) AS id FROM part) WHERE p_size > 25",

@@ -13,28 +13,33 @@ from pyspark.sql.types import DataType, StructType
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.geometry import GEOMETRY, to_wkt
-from ..functions.text import after_token
+from ..functions.text import after_token, zero_padded
 
 
 def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written once to the folder that driver and executors share (spark.checkpoint.dir; on one machine a new local one) and read again.
-
-    For what several later steps use: it is worked out once, and a lost executor costs no more than a read.
-    """
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A place of its own in the folder that driver and executors share: spark.checkpoint.dir, or on one machine (local mode) a new local folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="terradelta-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/written-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written once to the folder that driver and executors share (spark.checkpoint.dir; on one machine a new local one) and read again.
+
+    For what several later steps use: it is worked out once, and a lost executor costs no more than a read.
+    """
+    path = new_path(df.sparkSession, "written")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -129,7 +134,7 @@ def in_first_folder(ids: DataFrame, listing: DataFrame, folders: list[str], endi
     """id and path of each id's file (0007.png for 7) in the first of the folders that has it; ids without one are left out. listing: column path."""
     rank = F.array_position(F.array(*map(F.lit, folders)), F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
     files = listing.withColumn("rank", rank).where("rank > 0").withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1))
-    wanted = ids.select("id", F.concat(F.lpad(F.col("id").cast("string"), 4, "0"), F.lit(ending)).alias("name"))
+    wanted = ids.select("id", F.concat(zero_padded(F.col("id"), 4), F.lit(ending)).alias("name"))
     return wanted.join(files, "name").groupBy("id").agg(F.min_by("path", "rank").alias("path"))
 
 
@@ -141,6 +146,24 @@ def resolved(paths: DataFrame, listing: DataFrame, root: str, tokens: list[str])
     return paths.select("id").join(found, "id", "left").select("id", F.col("resolved").alias("path"))
 
 
+def write_snapshots(df: DataFrame, date: str = "snapshot_date") -> str:
+    """States of objects, a partition for each snapshot's date; the path."""
+    path = new_path(df.sparkSession, "snapshots")
+    df.repartition(F.col(date)).write.partitionBy(date).parquet(path)
+    return path
+
+
+def snapshots(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def as_of(df: DataFrame, key: str, tie: str, day: str, date: str = "snapshot_date") -> DataFrame:
+    """The latest state of each object up to a day: partitions of later dates aren't read; of several states of one date the greatest `tie`."""
+    rest = [k for k in df.columns if k != key]
+    latest = df.where(F.col(date) <= F.lit(day).cast("date")).groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(date, tie)).alias("_last"))
+    return latest.select(key, *(F.col(f"_last.{k}").alias(k) for k in rest))
+
+
 def csv_or_rows(spark: SparkSession, path: str, schema: StructType | str, rows: list[tuple]) -> DataFrame:
     """The file, or the rows of a config where there is none."""
     found = optional_csv(spark, path, schema)

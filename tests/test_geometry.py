@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from terradelta.functions import geometry as g
-from terradelta.functions import polygons as p
 from terradelta.operators import spatial
 
 HOLE = "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (2 2, 4 2, 4 4, 2 4, 2 2))"
@@ -79,20 +78,6 @@ def test_hull_and_distance(spark):
     assert d == pytest.approx(5)
 
 
-def test_prompt_points_lie_inside(spark):
-    points = table(spark, HOLE).select(p.positive_points("geometry", F.lit(3))).first()[0]
-    assert len(points) == 3 and all(0 < q.x < 10 and not (2 < q.x < 4 and 2 < q.y < 4) for q in points)
-
-
-def test_negatives_and_raster(spark):
-    t = table(spark, HOLE)
-    holes, ring, image = t.select(p.hole_points("geometry", F.lit(1.0)), p.negative_points("geometry", F.lit(16), F.lit(3.0)), p.rasterise("geometry", F.lit(12), F.lit(11))).first()
-    assert len(holes) == 1 and 2 < holes[0].x < 4 and 2 < holes[0].y < 4
-    assert len(ring) == 16 and all(not (0 <= q.x <= 10 and 0 <= q.y <= 10) for q in ring)
-    assert sum(image) == 96 and len(image) == 132
-    assert t.select(p.hole_points("geometry", F.lit(5.0))).first()[0] == []
-
-
 def test_reprojection_at_the_meridian(spark):
     r = spark.range(1).select(g.utm_from_degrees(F.lit(15.0), F.lit(52.5)).alias("p"), g.utm_from_degrees(F.lit(13.4), F.lit(52.5)).alias("q")).first()
     assert r.p.x == pytest.approx(500000) and r.q.x < 500000
@@ -123,7 +108,7 @@ def test_nearest_is_exact(spark):
     left, right = [make(i, 3000) for i in range(40)], [make(100 + i, 500) for i in range(25)]
     centre = lambda a, b: (a[1] + a[3] - b[1] - b[3]) ** 2 + (a[2] + a[4] - b[2] - b[4]) ** 2
     want = {a[0]: min(right, key=lambda b: (centre(a, b), b[0]))[0] for a in left}
-    got = spatial.nearest(boxes(spark, *left), boxes(spark, *right), g.centre_distance2("l_", "r_") / 4, 16.0, 20.0)
+    got = spatial.nearest(boxes(spark, *left), boxes(spark, *right), g.centre_distance2("l_", "r_") / 4, 16.0)
     assert {x.id: x.match_id for x in got.collect()} == want
 
 
@@ -136,7 +121,7 @@ def test_nearest_by_bounds_with_a_giant(spark):
     right = [make(100 + i, 900, 9) for i in range(30)] + [(500, 2000, 2000, 2900, 2300)]
     gap = lambda a, b: max(0, b[1] - a[3], a[1] - b[3]) ** 2 + max(0, b[2] - a[4], a[2] - b[4]) ** 2
     want = {a[0]: min(right, key=lambda b: (gap(a, b), b[0]))[0] for a in left}
-    got = spatial.nearest(boxes(spark, *left), boxes(spark, *right), g.box_distance2("l_", "r_"), 16.0, 500.0)
+    got = spatial.nearest(boxes(spark, *left), boxes(spark, *right), g.box_distance2("l_", "r_"), 16.0)
     assert {x.id: x.match_id for x in got.collect()} == want
 
 
@@ -152,4 +137,32 @@ def test_overlapping_of_very_different_sizes(spark):
 
 
 def test_nearest_without_anything_to_find(spark):
-    assert spatial.nearest(boxes(spark, (1, 0, 0, 1, 1)), boxes(spark, (2, 0, 0, 1, 1)).limit(0), g.centre_distance2("l_", "r_"), 8.0, 1.0).count() == 0
+    assert spatial.nearest(boxes(spark, (1, 0, 0, 1, 1)), boxes(spark, (2, 0, 0, 1, 1)).limit(0), g.centre_distance2("l_", "r_"), 8.0).count() == 0
+
+
+def test_nearest_finds_giants_and_its_way_around_clashing_columns(spark):
+    left = boxes(spark, (1, 0, 0, 10, 10), (2, 5000, 5000, 5001, 5001)).withColumns({k: F.lit("x") for k in ("level", "cx", "part", "own", "match_id", "best_score", "_best", "bound")})
+    right = boxes(spark, (7, 12, 0, 2012, 10), (8, -12, 0, -10, 2)).withColumns({k: F.lit("y") for k in ("level", "cy", "i", "t", "fit", "any")})
+    got = {r.id: (r.match_id, r.distance2) for r in spatial.nearest(left, right, g.box_distance2("l_", "r_"), 16.0).collect()}
+    assert got == {1: (7, 4.0), 2: (7, 2988.0**2 + 4990.0**2)}  # the long one is nearer than the small one at 10
+    pairs = spatial.overlapping(left, right, 8.0, touching=True)
+    assert set(pairs.columns) == {"l_" + k for k in left.columns} | {"r_" + k for k in right.columns} and pairs.count() == 0
+
+
+def test_touching_bounds(spark):
+    left, right = boxes(spark, (1, 0, 0, 8, 8), (2, -80, -80, 0, 0)), boxes(spark, (5, 8, 8, 16, 16), (6, 0, -300, 700, 0), (7, 9, 0, 10, 8))
+    found = lambda t: sorted((r.l_id, r.r_id) for r in spatial.overlapping(left, right, 8.0, touching=t).collect())
+    assert found(True) == [(1, 5), (1, 6), (2, 6)] and found(False) == []
+
+
+def test_nearest_against_all_pairs_of_very_different_sizes(spark):
+    import random
+
+    r = random.Random(19)
+    make = lambda i: (i, x := r.randrange(-9000, 9000), y := r.randrange(-9000, 9000), x + 1 + int(r.paretovariate(0.6)) % 3000, y + 1 + int(r.paretovariate(0.6)) % 3000)
+    left, right = [make(i) for i in range(60)], [make(100 + i) for i in range(50)]
+    gap = lambda a, b: max(0, b[1] - a[3], a[1] - b[3]) ** 2 + max(0, b[2] - a[4], a[2] - b[4]) ** 2
+    centre = lambda a, b: (a[1] + a[3] - b[1] - b[3]) ** 2 + (a[2] + a[4] - b[2] - b[4]) ** 2
+    for column, plain in ((g.box_distance2("l_", "r_"), gap), (g.centre_distance2("l_", "r_") / 4, centre)):
+        want = {a[0]: min(right, key=lambda b: (plain(a, b), b[0]))[0] for a in left}  # noqa: B023
+        assert {x.id: x.match_id for x in spatial.nearest(boxes(spark, *left), boxes(spark, *right), column, 16.0).collect()} == want

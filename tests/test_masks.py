@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terradelta.functions import geometry as g
 from terradelta.functions import masks as m
 
-from .test_overlay import area, column, inside, pairs, shapes, turn
+from .test_overlay import area, column, inside, local, pairs, shapes, turn
 
 W, H = 40, 30
 
@@ -121,7 +121,7 @@ def plain_fill(geometry):
 
 def test_fill():
     r = random.Random(5)
-    cases = [[[[(x % 383_000 * 2 + dx, y % 383_000 * 2 + dy) for x, y in ring] for ring in polygon] for polygon in a] for a, _ in shapes(60, 6) for dx, dy in [(r.uniform(-9, 20), r.uniform(-9, 15))]]
+    cases = [[[[(x * 2 + dx, y * 2 + dy) for x, y in ring] for ring in polygon] for polygon in local(a)] for a, _ in shapes(60, 6) for dx, dy in [(r.uniform(-9, 20), r.uniform(-9, 15))]]
     n = len(cases)
     got = m.to_arrow(m.filled(column([*cases, None, []]), pa.array([W] * (n + 2)), pa.array([H] * (n + 2))), n + 2).to_pylist()
     assert got == [*(runs(plain_fill(c)) for c in cases), [], []]
@@ -166,5 +166,5 @@ def test_columns(spark):
     rows = masks.select("id", m.pixels(c), m.bounds(c), m.centroid(c), m.pixels(m.ring(c, 8, wide, high)), m.iou(c, m.dilate(c, 1, wide, high)), F.size(m.polygons(c)), m.deepest(c, F.lit(1), 5, wide, high)).collect()
     assert rows[0][1] == 60 - 8 and tuple(rows[0][2]) == (2, 3, 11, 8) and rows[0][3].x == 6.5
     assert rows[0][4] == 20 * 17 - 60 + 8 and rows[0][5] == 52 / 96 and rows[0][6] == 1  # 17 lines: the image ends above; growth by 1 closes the hole
-    assert rows[1][1:] == (None,) * 7
+    assert rows[1][1:] == (None, None, None, None, 0.0, None, None)  # a missing mask has nothing in common with any
     assert rows[2][1] == 0 and rows[2][2] is None and rows[2][6] == 0 and rows[2][7] == []

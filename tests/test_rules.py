@@ -69,3 +69,19 @@ def test_acceptance_reason(spark):
     assert one(spark, accepted, **values) is True
     assert one(spark, reason, **values | {"d": "flag_review"}) == "score=True;iou_drop=True;area=True;review=False"
     assert one(spark, reason, **values | {"r": "no_refine"}) == "not_applicable"
+
+
+def test_a_measure_that_is_no_number_fails_its_rule(spark):
+    nan = float("nan")
+    assert one(spark, rules.auto_route_v2(c("d"), c("r"), c("s"), c("h"), c("k"), c("e"), F.lit("low")), d=nan, r=20.0, s=0.0, h=0.0, k=0.9, e=0.0) == "no_refine"
+    assert one(spark, rules.auto_route_v1(c("d"), c("r"), c("h"), c("k"), c("e"), F.lit("low"), F.lit("x")), d=nan, r=nan, h=nan, k=nan, e=nan) == "no_refine"
+    assert one(spark, rules.update_decision(F.lit(True), c("i"), c("a"), c("s")), i=nan, a=0.0, s=0.0) == "flag_review"
+    assert one(spark, rules.keep_bias_decision(c("c"), c("i"), c("a"), c("s")), c=nan, i=0.1, a=nan, s=nan) == "keep"
+    assert one(spark, rules.detection(c("i")), i=nan) == "missed_detection"
+    assert one(spark, rules.selective_acceptance(F.lit("topology_refine"), c("s"), F.lit("keep"), c("i"), c("a"), c("o"), c("p"))[0], s=nan, i=0.9, a=0.0, o=0.9, p=0.0) is False
+    assert one(spark, rules.uncertainty_points(c("i"), c("a"), c("s"), F.lit(False)), i=0.9, a=nan, s=nan) == 0
+
+
+@pytest.mark.parametrize(("holes", "concavity", "elongation", "compact", "want"), [(1, 1.0, 1.0, 1.0, True), (0, 0.79, 1.0, 1.0, True), (0, 0.8, 3.0, 0.3, False), (0, 0.9, 3.1, 1.0, True), (0, 0.9, 1.0, 0.29, True), (0, float("nan"), float("nan"), float("nan"), False)])
+def test_complexity(spark, holes, concavity, elongation, compact, want):
+    assert one(spark, rules.is_complex(c("h"), c("c"), c("e"), c("k"), 0.8, 3.0, 0.3), h=holes, c=concavity, e=elongation, k=compact) is want

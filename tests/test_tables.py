@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from terradelta.functions import geometry, text
+from terradelta.functions import geometry, images, text
 from terradelta.operators import evaluation, masks, ranking, sampling
 from terradelta.sources import tables
 from terradelta.streaming import feed
@@ -56,17 +56,43 @@ def test_ranking_falls_back(spark):
     assert got == {1: (0, 0.9, True), 2: (1, 0.4, False)}
 
 
-def test_masks(spark):
-    df = spark.createDataFrame([(bytearray([0, 1, 1, 0, 1, 1]), bytearray([1, 1, 0, 0, 1, 0]))], "a binary, b binary")
-    r = df.select(masks.mask_iou("a", "b").alias("iou"), masks.mask_shape("a", F.lit(3)).alias("s"), masks.ring_mask("a", F.lit(3), F.lit(1)).alias("ring")).first()
-    assert r.iou == 0.4 and (r.s.x0, r.s.x1, r.s.y1, r.s.pixels) == (1, 2, 1, 4) and list(r.ring) == [1, 0, 0, 1, 0, 0]
+def test_images(spark):
+    df = spark.createDataFrame([(bytearray([0, 10, 20, 30]), 2, 4), (bytearray([7] * 6), 3, 3), (None, 2, 2), (bytearray(), 2, 2)], "g binary, w int, n int")
+    rows = df.select(images.class_mask(F.col("g"), F.col("w"), F.lit(20)).alias("c"), images.resized(F.col("g"), F.col("w"), F.col("n")).alias("z"), images.gamma_corrected(F.col("g"), F.lit(1.0)).alias("same"), images.gamma_corrected(F.col("g"), F.col("w") / 2).alias("dark")).collect()
+    assert [[tuple(x) for x in r.c] if r.c is not None else None for r in rows] == [[(1, 0, 0)], [], None, []]
+    assert list(rows[0].z)[:4] == [0, 2, 8, 10] and len(rows[0].z) == 16 and list(rows[1].z) == [7] * 9 and rows[2].z is None and not rows[3].z
+    assert list(rows[0].same) == [0, 10, 20, 30] and list(rows[1].dark) == [int((7 / 255) ** 1.5 * 255)] * 6
 
 
-def test_pixels(spark):
-    df = spark.createDataFrame([(bytearray([0, 10, 20, 30]), bytearray([0, 1, 1, 0]), bytearray([0, 0, 1, 1]))], "g binary, a binary, b binary")
-    r = df.select(masks.pixel_measures("g", "a", F.lit(15)).alias("m"), masks.mask_without("a", "b").alias("w"), masks.class_mask("g", F.lit(20)).alias("c"), masks.resized("g", F.lit(2), F.lit(4)).alias("z"), masks.gamma_corrected("g", F.lit(1.0)).alias("same")).first()
-    assert (r.m.mean, r.m.std, r.m.dark) == (15.0, 5.0, 0.5) and list(r.w) == [0, 1, 0, 0] and list(r.c) == [0, 0, 1, 0]
-    assert list(r.z)[:4] == [0, 2, 8, 10] and len(r.z) == 16 and list(r.same) == [0, 10, 20, 30]
+def test_model_hook(spark):
+    """Each task makes its model once and gives out rows of another shape."""
+
+    def model():
+        calls = []
+
+        def infer(batch):
+            calls.append(1)
+            return batch.assign(score=batch["id"] * 0.5, call=len(calls))[["id", "score", "call"]]
+
+        return infer
+
+    got = masks.predict(spark.range(50, numPartitions=2), model, "id long, score double, call int").collect()
+    assert sorted((r.id, r.score) for r in got) == [(i, i / 2) for i in range(50)]
+
+
+def test_file_names_of_long_ids(spark):
+    ids = spark.createDataFrame([(7,), (12345,), (999,)], "id long")
+    listing = spark.createDataFrame([("tight/12345.png",), ("wide/0007.png",), ("tight/0007.png",), ("tight/1234.png",)], "path string")
+    assert sorted(tuple(r) for r in tables.in_first_folder(ids, listing, ["tight", "wide"]).collect()) == [(7, "tight/0007.png"), (12345, "tight/12345.png")]
+    assert spark.range(1).select(text.zero_padded(F.lit(1234567), 6), text.zero_padded(F.lit(5), 4)).first() == ("1234567", "0005")
+
+
+def test_as_of(spark):
+    states = spark.createDataFrame([(1, "a", 1, "2020-01-01"), (1, "b", 2, "2020-02-01"), (1, "c", 3, "2020-03-01"), (2, "d", 4, "2020-03-01"), (3, None, 5, "2020-01-01"), (3, "e", 6, "2020-01-01")], "id int, state string, key int, day string").select("id", "state", "key", F.to_date("day").alias("snapshot_date"))
+    df = tables.snapshots(spark, tables.write_snapshots(states))
+    found = tables.as_of(df, "id", "key", "2020-02-15")
+    assert sorted((r.id, r.state) for r in found.collect()) == [(1, "b"), (3, "e")]
+    assert "PartitionFilters: [isnotnull(snapshot_date" in found._jdf.queryExecution().toString()
 
 
 def test_stream_of_decisions(spark, tmp_path):
