@@ -26,6 +26,8 @@ from .common import by_batch, cut, keyed, utf8
 #: A segment's place in its text in one number: start, number of stretches.
 _MANY = 7
 _AT = np.uint64((1 << 30) - 1)
+#: Parts of what settle() gives out.
+SURE, COMMON, FIRST = 0, 1, 2
 #: Bytes that are searched for anchors at once: longer texts are cut into overlapping stretches.
 CHUNK = 2 << 20
 
@@ -206,16 +208,17 @@ def settle(found: DataFrame, s: Settings = Settings()) -> DataFrame:
     """From anchors with a gram: segments equal to an earlier one (gram null), and the first of each where its gram has several (gram kept).
 
     The rows of a gram meet in one task, but those of common grams: their first segments are a grouped minimum, combined before the shuffle, and are
-    all kept, so no task gets all copies of a common segment.
+    all kept, so no task gets all copies of a common segment. All segments of common grams come with a null gram too, in part COMMON, without having
+    been shuffled: those that are also in part FIRST stay.
     """
     part = found.sample(s.sampled, 1).select("gram")
     most = max(s.common, part.count() // s.tasks)
     hot = part.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > most).select("gram", F.lit(True).alias("hot"))
     marked = found.join(F.broadcast(hot), "gram", "left")  # fewer than `tasks` rows
     common = marked.where("hot")
-    first = common.groupBy("gram", "whole").agg(F.min(F.struct("key", "place")).alias("x")).select("x.key", "x.place", F.lit(True).alias("first"))
-    of_common = common.join(first.hint("merge"), ["key", "place"], "left").select("key", "place", F.when(F.col("first"), F.col("gram")).alias("gram"))
-    return _settled(marked.where("hot is null").select("key", "place", "gram", "whole")).union(of_common)
+    first = common.groupBy("gram", "whole").agg(F.min(F.struct("key", "place")).alias("x")).select("x.key", "x.place", "gram", F.lit(FIRST).alias("part"))
+    every = common.select("key", "place", F.lit(None).cast("long").alias("gram"), F.lit(COMMON).alias("part"))
+    return _settled(marked.where("hot is null").select("key", "place", "gram", "whole")).withColumn("part", F.lit(SURE)).union(every).union(first)
 
 
 def _settled(found: DataFrame) -> DataFrame:
@@ -376,7 +379,11 @@ def _cut_out(joined: DataFrame, s: Settings) -> DataFrame:
         buf, offsets = utf8(batch.column(2))
         lists, n = batch.column(1), batch.num_rows
         row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
-        start, many = unpack_place(lists.flatten().field(0).to_numpy())
+        place, part = (lists.flatten().field(i).to_numpy() for i in range(2))
+        # the first segments among those of common grams stay
+        named = row * (int(place.max(initial=0)) + 1) + place
+        goes = (part == SURE) | ((part == COMMON) & ~np.isin(named, named[part == FIRST]))
+        row, (start, many) = row[goes], unpack_place(place[goes])
         row, a, b = united(row, start, start + many - 1 + s.length)
         data, kept, at = buf.tobytes(), [], [0] * n
         pieces: list[list[bytes]] = [[] for _ in range(n)]
@@ -409,9 +416,10 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     wanted = _by_document(marked, "place", "gram", "hot")
     suffixes = _take_suffixes(named.join(wanted.hint("merge"), "key"), s)
     late = _sorted_repeats(suffixes, s)
-    gone = cut(found.where("gram is null").select("key", "place").union(settled.where("gram is null").select("key", "place")).union(late))
-    spans = _by_document(gone, "place")
-    joined = named.join(spans.hint("merge"), "key", "left").select("doc_id", F.coalesce("found", F.array().cast("array<struct<place:long>>")).alias("found"), "text")
+    sure = found.where("gram is null").select("key", "place").union(late).withColumn("part", F.lit(SURE))
+    gone = cut(sure.union(settled.where(f"gram is null or part = {FIRST}").select("key", "place", "part")))
+    spans = _by_document(gone, "place", "part")
+    joined = named.join(spans.hint("merge"), "key", "left").select("doc_id", F.coalesce("found", F.array().cast("array<struct<place:long,part:int>>")).alias("found"), "text")
     return _cut_out(joined, s)
 
 
