@@ -158,8 +158,8 @@ def test_near_classes_first_shared_band(spark, monkeypatch):
     keys[0][3] = keys[1][3] = keys[2][3] = 7  # the only key of 0 and 1; its centre is 2, which has more partners and is unlike both
     keys[2][1] = keys[3][1] = keys[4][1] = 8
     sketch = [bytes([1] * 8), bytes([1] * 8), bytes(range(10, 18)), bytes(range(20, 28)), bytes(range(30, 38))]
-    rows = [(i, str(i).encode(), keys[i], sketch[i]) for i in range(5)]
-    signed = spark.createDataFrame(rows, "doc_id long, h binary, keys array<long>, sketch binary")
+    rows = [(i, str(i).encode(), keys[i], sketch[i], 0.0) for i in range(5)]
+    signed = spark.createDataFrame(rows, "doc_id long, h binary, keys array<long>, sketch binary, extra float")
     monkeypatch.setattr(nearcopies, "signatures", lambda *_: signed)
     got = {x.doc_id: x.class_id for x in nearcopies.near_classes(documents(spark, texts), s).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
@@ -194,26 +194,40 @@ def test_signature_estimates_probability_jaccard():
     assert (s[0] == s[1]).mean() == pytest.approx(want, abs=0.03)
 
 
+def counted_shingles(text):
+    return collections.Counter(tuple(w[i : i + 5]) for w in [re.findall(r"\w+", text.lower())] for i in range(max(1, len(w) - 4)))
+
+
 def weighted_jaccard(a, b):
-    """Probability Jaccard similarity of two texts' shingles, weighted by 1 + ln(count), by its definition."""
-    x, y = (collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (re.findall(r"\w+", t.lower()) for t in (a, b)))
-    x, y = ({k: 1 + np.log(v) for k, v in z.items()} for z in (x, y))
+    """Probability Jaccard similarity of two texts' shingles, which weigh 1.5 - 0.5 / count, by its definition."""
+    x, y = ({k: 1.5 - 0.5 / v for k, v in counted_shingles(t).items()} for t in (a, b))
     return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
 
 
+def plain_jaccard(a, b):
+    x, y = (counted_shingles(t).keys() for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
 def test_count_weights(spark):
-    """With weights by count the probability Jaccard similarity of the weighted sets decides."""
+    """The weighted similarity or the plain one decides: pairs that only one of them links are linked."""
     texts = []
-    for seed in range(30):
-        base, menu = prose(100, 1800 + seed), prose(12, 1900 + seed)
-        texts += [base + (" " + menu) * 2, base + (" " + menu) * (2, 3, 9, 60)[seed % 4]]
-    s = nearcopies.Settings(count_weights=True)
+    for seed in range(60):
+        base, menu = prose(94 + seed % 20, 1800 + seed), prose(12 + seed % 9, 1900 + seed)
+        if seed % 2:  # what they share repeats: the weighted one is higher
+            texts += [(base[: len(base) // 2] + "\n") * 9 + base + " " + prose(8 + seed % 13, 2000 + seed), (base[: len(base) // 2] + "\n") * 9 + base + " " + prose(8 + seed % 13, 2100 + seed)]
+        else:  # where they differ repeats: the plain one is higher
+            texts += [base + (" " + menu) * 2, base + (" " + prose(6, 2200 + seed)) * (2, 3, 9, 60)[seed % 4]]
+    s = nearcopies.Settings()
+    both = []
     for a, b in zip(texts[::2], texts[1::2], strict=True):
         sets = [(r, h, nearcopies.weights_of(c, s)) for r, h, c in (nearcopies.shingle_sets(pa.array([t]), 5) for t in (a, b))]
-        assert nearcopies.probability_jaccard(*sets, 1)[0] == pytest.approx(weighted_jaccard(a, b))
+        weighted, plain = nearcopies.similarities(*sets, 1)
+        both.append((weighted_jaccard(a, b), plain_jaccard(a, b)))
+        assert (weighted[0], plain[0]) == pytest.approx(both[-1])
     got = {x.doc_id: x.class_id for x in nearcopies.near_classes(documents(spark, texts), s).collect()}
-    want = [weighted_jaccard(a, b) >= 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True)]
-    assert [got[2 * i + 1] == 2 * i for i in range(30)] == want and 5 < sum(want) < 28
+    assert [got[2 * i + 1] == 2 * i for i in range(60)] == [max(x) >= 0.8 - 1e-9 for x in both]
+    assert any(w >= 0.8 > p for w, p in both) and any(p >= 0.8 > w for w, p in both) and any(max(x) < 0.8 for x in both)
 
 
 def test_components(spark):
@@ -242,11 +256,14 @@ def test_contamination(spark):
     half = " ".join(w if i % 4 else "other" for i, w in enumerate(items[3].split()[:-5])) + " " + " ".join(items[3].split()[-5:])
     texts = [prose(120, i) for i in range(60)]
     texts += [prose(50, 70) + " " + items[k] + " " + prose(31, 71 + k) for k in range(5)] + [items[2].upper(), half, None, ""]
-    bench = spark.createDataFrame([*enumerate(items), (8, None), (9, "too short")], "item_id long, text string")
-    got = {(x.doc_id, x.item_id) for x in latent.contamination(documents(spark, texts), bench).collect()}
-    assert got == {(60 + k, k) for k in range(5)} | {(65, 2), (66, 3)}
+    texts += [prose(30, 80) + " too short " + prose(9, 81), prose(30, 82) + "\n  Too  short!\n" + prose(9, 83), "too short", "one\nToo short one\n..."]  # a short item is a whole line
+    bench = spark.createDataFrame([*enumerate(items), (8, None), (9, "too short"), (10, "..."), (11, "one"), (12, "Too short")], "item_id long, text string")
+    found = latent.contamination(documents(spark, texts), bench)
+    got = {(x.doc_id, x.item_id) for x in found.collect()}
+    assert got == {(60 + k, k) for k in range(5)} | {(65, 2), (66, 3)} | {(70, 9), (70, 12), (71, 9), (71, 12), (72, 11)}
+    assert {tuple(x[2:]) for x in found.where("item_id = 9").collect()} == {(1.0, 2, 2, 30, 32), (1.0, 2, 2, 0, 2)}
     kept = latent.keep_clean(documents(spark, texts, item_id=3), bench)
-    assert {x.doc_id for x in kept.collect()} == {*range(60), 67, 68}
+    assert {x.doc_id for x in kept.collect()} == {*range(60), 67, 68, 69}
 
 
 def test_contamination_finds_paraphrases(spark):
