@@ -298,6 +298,11 @@ def distance(a: Column, b: Column, common: Column) -> Column:
     return F.when(common > 0, 0.0).otherwise(F.least(least(a, b), least(b, a)))
 
 
+def centroid_shift(a: Column, b: Column) -> Column:
+    """Distance of two centroids; infinite where one is missing."""
+    return F.coalesce(F.hypot(a["x"] - b["x"], a["y"] - b["y"]), F.lit(float("inf")))
+
+
 def compactness(a: Column, length: Column) -> Column:
     """4 pi A / P^2, 0 for an empty geometry."""
     return F.coalesce(F.try_divide(4 * math.pi * a, length * length), F.lit(0.0))
@@ -342,13 +347,23 @@ def centre_distance2(a: str, b: str) -> Column:
     return d("x") * d("x") + d("y") * d("y")
 
 
-def chip_window(x0: Column, y0: Column, x1: Column, y1: Column, context: float = 1.35, padding: float = 6.0, least: float = 35.0, most: float = 110.0) -> Column:
-    """The square around a box: its longer side times context and padding, clamped, about its centre."""
+def chip_window(x0: Column, y0: Column, x1: Column, y1: Column, context: float = 1.35, padding: float = 6.0, least: float = 35.0, most: float = 110.0, centre: Column | None = None) -> Column:
+    """The square around a box: its longer side times context and padding, clamped, about its centre or another point."""
     side = F.least(F.greatest(F.greatest(x1 - x0, y1 - y0) * context + 2 * padding, F.lit(least)), F.lit(most))
-    cx, cy = (x0 + x1) / 2, (y0 + y1) / 2
+    cx, cy = ((x0 + x1) / 2, (y0 + y1) / 2) if centre is None else (centre["x"], centre["y"])
     return F.struct((cx - side / 2).alias("left"), (cy - side / 2).alias("bottom"), (cx + side / 2).alias("right"), (cy + side / 2).alias("top"))
 
 
+def pixel_crop(window: Column, left: Column, bottom: Column, right: Column, top: Column, width: int, height: int) -> Column:
+    """Whole pixels (x0, y0) to (x1, y1), the last ones not included, of a window in an image with these bounds, cut to it; null where nothing is left."""
+    near = world_to_pixel(window["left"], window["top"], left, bottom, right, top, width, height)
+    far = world_to_pixel(window["right"], window["bottom"], left, bottom, right, top, width, height)
+    low = lambda v: F.greatest(F.floor(v), F.lit(0)).cast("long")
+    high = lambda v, most: F.least(F.ceil(v), F.lit(most)).cast("long")
+    crop = F.struct(low(near["x"]).alias("x0"), low(near["y"]).alias("y0"), high(far["x"], width).alias("x1"), high(far["y"], height).alias("y1"))
+    return let(crop, lambda p: F.when((p["x0"] < p["x1"]) & (p["y0"] < p["y1"]), p))
+
+
 def world_to_pixel(x: Column, y: Column, left: Column, bottom: Column, right: Column, top: Column, width: int, height: int) -> Column:
     """Column and row of a point; rows count down from the top."""
     return F.struct(((x - left) / (right - left) * width).alias("x"), ((top - y) / (top - bottom) * height).alias("y"))

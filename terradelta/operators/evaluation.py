@@ -14,8 +14,33 @@ def value_counts(df: DataFrame, *by: str) -> DataFrame:
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """count, mean, std (sample), min, quartiles (exact, interpolated) and max of each group."""
     c = F.col(value)
-    quartile = lambda q, name: F.percentile(c, q).alias(name)
-    return df.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("least"), quartile(0.25, "q25"), quartile(0.5, "q50"), quartile(0.75, "q75"), F.max(c).alias("most"))
+    plain = df.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("least"), F.max(c).alias("most"))
+    middle = quantiles(df, by, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75}).withColumnsRenamed({k: f"group {k}" for k in by})
+    same = [F.col(k).eqNullSafe(F.col(f"group {k}")) for k in by]
+    return plain.join(middle, same, "left").select(*by, "n", "mean", "std", "least", "q25", "q50", "q75", "most")
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles of each group, interpolated between neighbours, without a group's values in one task.
+
+    Equal values are counted together first; what is left is ranged over tasks by group and value, so a large group is in many. Each task adds up its
+    own counts, and those of earlier tasks (a row for each task and group) come before them.
+    """
+    task, before, upto = "task of a value", "values before", "values up to"
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("k"))
+    ranged = counts.repartitionByRange(*by, "v").withColumn(task, F.spark_partition_id())
+    summed = ranged.withColumn(upto, F.sum("k").over(Window.partitionBy(task, *by).orderBy("v")))
+    parts = summed.groupBy(task, *by).agg(F.sum("k").alias("k"))
+    earlier = Window.partitionBy(*by).orderBy(task)
+    parts = parts.select(task, *by, F.coalesce(F.sum("k").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before), F.sum("k").over(Window.partitionBy(*by)).alias("n"))
+    parts = parts.withColumnsRenamed({x: f"other {x}" for x in (task, *by)})
+    placed = summed.join(parts, [F.col(x).eqNullSafe(F.col(f"other {x}")) for x in (task, *by)])
+    last = F.col(before) + F.col(upto)
+    wanted = {f"{name} {end}": f((F.col("n") - 1) * F.lit(q)).cast("long") for name, q in shares.items() for end, f in (("low", F.floor), ("high", F.ceil))}
+    held = {k: F.max(F.when((at >= last - F.col("k")) & (at < last), F.col("v"))).alias(k) for k, at in wanted.items()}
+    found = placed.groupBy(*by, "n").agg(*held.values())
+    mixed = lambda name, q: F.col(f"{name} low") + (F.col(f"{name} high") - F.col(f"{name} low")) * ((F.col("n") - 1) * F.lit(q) - F.floor((F.col("n") - 1) * F.lit(q)))
+    return found.select(*by, *(mixed(name, q).alias(name) for name, q in shares.items()))
 
 
 def crosstab(df: DataFrame, row: str, column: str, rows: list[str], columns: list[str]) -> DataFrame:
@@ -60,6 +85,11 @@ def fixed_counts(df: DataFrame | None, column: str, labels: tuple[str, ...], spa
     return df.agg(*(F.count_if(F.col(column) == x).alias(x) for x in labels))
 
 
+def mean_or_null(df: DataFrame, column: str) -> DataFrame:
+    """One row with the column's mean; null where df has no such column."""
+    return df.agg(F.avg(column).alias("mean")) if column in df.columns else df.sparkSession.range(1).select(F.lit(None).cast("double").alias("mean"))
+
+
 def spread(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
     """Mean distance of a group's points to their mean point; 0 for fewer than two. Groups are small (an object's experiments) and meet once."""
     points = df.groupBy(by).agg(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).alias("points"))

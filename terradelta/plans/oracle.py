@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import overlays, shapes, tables
+from . import measures, overlays, shapes, tables
 
 OLD = """old AS (SELECT p_partkey AS id, (p_partkey % 50 * 40)::BIGINT AS x0, (p_partkey // 50 * 40)::BIGINT AS y0, (p_partkey % 50 * 40 + 10 + p_size % 15)::BIGINT AS x1, (p_partkey // 50 * 40 + 10 + p_partkey % 13)::BIGINT AS y1 FROM part)"""
 NEW = """new AS (SELECT id, x0, y0, x0 + w AS x1, y0 + h AS y1 FROM (
@@ -71,7 +71,7 @@ def oracle_sql() -> dict[str, str]:
     score = f"greatest({_iou('f', 'n')}, {_iou('o', 'n')})"
     grow = lambda k, d: f"least(greatest({k} + {d}, 0), 2000) AS {k}"
     count = lambda v: f"count(*) FILTER (decision = '{v}')"
-    return shapes.oracle_sql(OLD, NEW, FINAL) | overlays.oracle_sql(OLD, NEW, FINAL, shapes.boxes) | tables.oracle_sql(OLD, FINAL, REPORT, EXP) | {
+    return shapes.oracle_sql(OLD, NEW, FINAL) | overlays.oracle_sql(OLD, NEW, FINAL, shapes.boxes) | measures.oracle_sql(OLD, NEW, FINAL, REPORT, shapes.boxes) | tables.oracle_sql(OLD, FINAL, REPORT, EXP) | {
         "snapshot_diff_status": f"WITH {DIFF} SELECT id, status, best_iou, match_id, CASE WHEN status <> 'removed_candidate' THEN match_id END AS kept_match_id FROM diff",
         "snapshot_new_candidates": f"WITH {DIFF} SELECT id, x0, y0 FROM new WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.id = new.id)",
         "matched_current_subset": f"WITH {DIFF} SELECT id, x0, y0, x1, y1 FROM new WHERE id IN (SELECT id FROM hit)",

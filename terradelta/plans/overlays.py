@@ -17,7 +17,7 @@ c = F.col
 SIDE = 64
 
 
-def _shapes(df: DataFrame) -> DataFrame:
+def shapes(df: DataFrame) -> DataFrame:
     return df.select("id", *spatial.BOUNDS, g.parse_wkt(shape_wkt()).alias("geometry"))
 
 
@@ -35,7 +35,7 @@ def _area(geometry: Column) -> Column:
 def polygon_difference(spark: SparkSession, sf: str) -> DataFrame:
     """The parts of each old shape's hull outside it, of 5 and more square metres, the largest first, at map coordinates."""
     far = b.old_footprints(spark, sf).withColumns({k: c(k) + (383_000 if k[0] == "x" else 5_820_000) for k in spatial.BOUNDS})
-    gaps = _shapes(far).select("id", overlay.hull_gaps(c("geometry")).alias("gaps"))
+    gaps = shapes(far).select("id", overlay.hull_gaps(c("geometry")).alias("gaps"))
     pieces = gaps.select("id", F.posexplode(g.polygon_parts(prompts.of_size(c("gaps"), 5.0))).alias("piece", "p"))
     found = pieces.select("id", "piece", g.area(c("p")).alias("size"), g.bounds(c("p")).alias("b"), F.size(c("p")[0][0]).alias("n"))
     return found.select("id", "piece", _whole(c("size")).alias("size"), *(F.round(c("b." + k), 3).alias(k) for k in spatial.BOUNDS), (c("n") - 1).alias("corners"))
@@ -43,7 +43,7 @@ def polygon_difference(spark: SparkSession, sf: str) -> DataFrame:
 
 def polygon_change(spark: SparkSession, sf: str) -> DataFrame:
     """What an update took from each shape, what it added, and both together."""
-    both = _shapes(b.old_footprints(spark, sf)).select("id", c("geometry").alias("old")).join(_shapes(b.final_footprints(spark, sf)).select("id", c("geometry").alias("new")), "id")
+    both = shapes(b.old_footprints(spark, sf)).select("id", c("geometry").alias("old")).join(shapes(b.final_footprints(spark, sf)).select("id", c("geometry").alias("new")), "id")
     made = both.select("id", overlay.difference(c("old"), c("new")).alias("lost"), overlay.difference(c("new"), c("old")).alias("won"), overlay.union(c("old"), c("new")).alias("all"), overlay.intersection(c("old"), c("new")).alias("kept"))
     return made.select("id", *(_whole(_area(c(k))).alias(k) for k in ("lost", "won", "all", "kept")))
 
@@ -51,7 +51,7 @@ def polygon_change(spark: SparkSession, sf: str) -> DataFrame:
 def polygon_union_largest(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks of five neighbours: the union of their old and new shapes, its parts, and the largest one."""
     old, new = b.old_footprints(spark, sf), b.new_footprints(spark, sf).where(c("id") < 1_000_000_000)
-    every = _shapes(old).unionByName(_shapes(new)).select(F.floor(c("id") / 5).alias("block"), "geometry")
+    every = shapes(old).unionByName(shapes(new)).select(F.floor(c("id") / 5).alias("block"), "geometry")
     one = dissolve.dissolve(every, ["block"], "geometry", CELL)
     return one.select("block", F.size("geometry").alias("parts"), _whole(_area(c("geometry"))).alias("size"), _whole(_area(dissolve.largest("geometry"))).alias("largest"))
 
@@ -83,7 +83,7 @@ def objects_in_window(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of 6 by 5 and the shapes that have a point in common with them, edges included: not those that hold them in a hole or beside them."""
     s = c("s_suppkey")
     windows = b.boxes(t.parquet(spark, sf, "supplier"), s, s * 37 % 1960, s * 53 % 700, F.lit(6), F.lit(5))
-    shapes = _shapes(b.old_footprints(spark, sf))
+    shapes = shapes(b.old_footprints(spark, sf))
     near = spatial.overlapping(windows, shapes.drop("geometry"), CELL, touching=True).select(c("l_id").alias("window"), c("r_id").alias("id"), *(c("l_" + k).alias("w" + k) for k in spatial.BOUNDS))
     met = near.join(shapes.select("id", "geometry"), "id").where(g.meets_box(c("geometry"), c("wx0"), c("wy0"), c("wx1"), c("wy1")))
     return met.select("window", "id")
@@ -91,7 +91,7 @@ def objects_in_window(spark: SparkSession, sf: str) -> DataFrame:
 
 def interior_points(spark: SparkSession, sf: str) -> DataFrame:
     """A point in each shape, whether its centroid is covered, and how far both are from the edge."""
-    found = _shapes(b.old_footprints(spark, sf)).select("id", "geometry", g.interior_point(c("geometry")).alias("p"), g.centroid(c("geometry")).alias("m"))
+    found = shapes(b.old_footprints(spark, sf)).select("id", "geometry", g.interior_point(c("geometry")).alias("p"), g.centroid(c("geometry")).alias("m"))
     deep = lambda k: F.round(g.boundary_distance2(c("geometry"), c(k)["x"], c(k)["y"]), 6)
     return found.select("id", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"), deep("p").alias("depth2"), g.contains(c("geometry"), c("p.x"), c("p.y")).alias("inside"), g.covers(c("geometry"), c("m.x"), c("m.y")).alias("centroid_inside"))
 
@@ -100,17 +100,17 @@ def _listed(points: Column) -> Column:
     return F.array_join(F.transform(points, lambda p: F.concat_ws(" ", F.round(p["x"] * 1000).cast("long"), F.round(p["y"] * 1000).cast("long"))), ",")
 
 
-def _pixel_shapes(df: DataFrame, old: DataFrame, at: int = 8) -> DataFrame:
+def pixel_shapes(df: DataFrame, old: DataFrame, at: int = 8) -> DataFrame:
     """Shapes of df in the pixels of a chip whose corner lies `at` before that of the old footprint of the same id, a metre a pixel."""
     corner = old.select("id", (c("x0") - at).alias("cx"), (c("y0") - at).alias("cy"))
     moved = df.join(corner, "id").select("id", *((c(k) - c("c" + k[0])).alias(k) for k in spatial.BOUNDS))
-    return _shapes(moved)
+    return shapes(moved)
 
 
 def prompt_positives(spark: SparkSession, sf: str) -> DataFrame:
     """Three points deep inside each shape of a chip, and what a complex one gets besides, as whole thousandths."""
     old = b.old_footprints(spark, sf)
-    grid = _pixel_shapes(old, old).select("id", "geometry", prompts.grid(c("geometry")).alias("grid"))
+    grid = pixel_shapes(old, old).select("id", "geometry", prompts.grid(c("geometry")).alias("grid"))
     deep = grid.select("id", (F.size(c("geometry")[0]) > 1).alias("complex"), prompts.candidates(c("geometry"), c("grid")).alias("deep"))
     found = deep.select("id", prompts.spread(c("deep"), F.lit(3)).alias("p"), prompts.extra(c("deep"), 1, 2, c("complex")).alias("e"))
     return found.select("id", _listed(c("p")).alias("points"), _listed(c("e")).alias("extra"))
@@ -119,7 +119,7 @@ def prompt_positives(spark: SparkSession, sf: str) -> DataFrame:
 def prompt_negatives(spark: SparkSession, sf: str) -> DataFrame:
     """Four places around each shape of a chip, a point in each large hole, and one in each large part of the hull outside it."""
     old = b.old_footprints(spark, sf)
-    shape = _pixel_shapes(old, old).select("id", "geometry", overlay.hull_gaps(c("geometry")).alias("gaps"))
+    shape = pixel_shapes(old, old).select("id", "geometry", overlay.hull_gaps(c("geometry")).alias("gaps"))
     found = shape.select("id", prompts.around(c("geometry"), F.lit(4), 2.5, SIDE, SIDE).alias("a"), prompts.in_holes(c("geometry"), 2, 30.0).alias("h"), prompts.in_gaps(prompts.of_size(c("gaps"), 20.0), 2).alias("g"))
     return found.select("id", _listed(c("a")).alias("ring"), _listed(c("h")).alias("holes"), _listed(c("g")).alias("gaps"))
 
@@ -128,7 +128,7 @@ def prompt_negatives(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _masks(df: DataFrame, old: DataFrame) -> DataFrame:
-    return _pixel_shapes(df, old).select("id", m.fill(c("geometry"), F.lit(SIDE), F.lit(SIDE)).alias("mask"))
+    return pixel_shapes(df, old).select("id", m.fill(c("geometry"), F.lit(SIDE), F.lit(SIDE)).alias("mask"))
 
 
 def _bar() -> Column:
@@ -157,7 +157,7 @@ def mask_pair_iou(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("id", F.round("iou", 9).alias("iou"), "missing", "spill", "all", "box.*", F.round("mid.x", 6).alias("cx"), F.round("mid.y", 6).alias("cy"))
 
 
-def _image() -> Column:
+def chip_image() -> Column:
     """A grey chip, a byte a pixel: (x * x + 3 * y + id) % 256."""
     value = lambda i: (i % SIDE * (i % SIDE) + 3 * F.floor(i / SIDE) + c("id")) % 256
     return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), lambda i: F.lpad(F.hex(value(i)), 2, "0")), ""))
@@ -166,7 +166,7 @@ def _image() -> Column:
 def mask_ring_measures(spark: SparkSession, sf: str) -> DataFrame:
     """Grey values under each mask against its ring of 8 pixels: mean, deviation, share 12 under the mean, and the drop."""
     old = b.old_footprints(spark, sf)
-    made = _masks(old, old).select("id", "mask", m.ring(c("mask"), 8, F.lit(SIDE), F.lit(SIDE)).alias("ring"), _image().alias("image"))
+    made = _masks(old, old).select("id", "mask", m.ring(c("mask"), 8, F.lit(SIDE), F.lit(SIDE)).alias("ring"), chip_image().alias("image"))
     found = made.select("id", m.pixels(c("ring")).alias("ring_pixels"), m.grey(c("image"), F.lit(SIDE), c("mask"), c("ring")).alias("v"))
     return found.select("id", "ring_pixels", *(F.round(c("v")[k], 6).alias(k) for k in ("mean", "deviation", "dark", "ring_mean", "drop")))
 
@@ -174,7 +174,7 @@ def mask_ring_measures(spark: SparkSession, sf: str) -> DataFrame:
 def mask_largest_part(spark: SparkSession, sf: str) -> DataFrame:
     """Each mask less a bar through its middle: the larger of the parts that are left."""
     old = b.old_footprints(spark, sf)
-    made = _pixel_shapes(old, old).select("id", m.difference(m.fill(c("geometry"), F.lit(SIDE), F.lit(SIDE)), _bar()).alias("mask"))
+    made = pixel_shapes(old, old).select("id", m.difference(m.fill(c("geometry"), F.lit(SIDE), F.lit(SIDE)), _bar()).alias("mask"))
     part = made.select("id", m.pixels(c("mask")).alias("pixels"), m.largest_part(c("mask")).alias("p"))
     return part.select("id", "pixels", m.pixels(c("p")).alias("largest"), m.bounds(c("p"))["x0"].alias("x0"), m.bounds(c("p"))["x1"].alias("x1"))
 
@@ -182,7 +182,7 @@ def mask_largest_part(spark: SparkSession, sf: str) -> DataFrame:
 def mask_polygons(spark: SparkSession, sf: str) -> DataFrame:
     """The same masks as polygons along the edges of pixels, largest first."""
     old = b.old_footprints(spark, sf)
-    made = _pixel_shapes(old, old).select("id", m.polygons(m.difference(m.fill(c("geometry"), F.lit(SIDE), F.lit(SIDE)), F.when(c("id") % 2 == 0, _bar()).otherwise(F.slice(_bar(), 1, 0)))).alias("g"))
+    made = pixel_shapes(old, old).select("id", m.polygons(m.difference(m.fill(c("geometry"), F.lit(SIDE), F.lit(SIDE)), F.when(c("id") % 2 == 0, _bar()).otherwise(F.slice(_bar(), 1, 0)))).alias("g"))
     each = made.select("id", F.posexplode(g.polygon_parts(c("g"))).alias("part", "p"))
     return each.select("id", "part", F.round(g.area(c("p"))).cast("long").alias("pixels"), F.size(c("p")[0]).alias("rings"), F.aggregate(c("p")[0], F.lit(0), lambda s, r: s + F.size(r) - 1).alias("corners"), *(g.bounds(c("p"))[k].cast("long").alias(k) for k in spatial.BOUNDS))
 

@@ -13,7 +13,7 @@ from ..operators import evaluation as ev
 from ..operators import ranking, rules, sampling, spatial
 from ..sources.tables import parquet, written
 from . import bindings as b
-from . import overlays, shapes, tables
+from . import measures, overlays, shapes, tables
 
 c = F.col
 Query = Callable[[SparkSession, str], DataFrame]
@@ -303,4 +303,4 @@ def queries() -> dict[str, Query]:
         area_filter, chip_windows, bbox_expand, footprint_shape_metrics, polygon_iou_general, rerank_candidates, segmentation_metrics, layer_pick, json_points, value_counts_nulls,
         affine_pixels, union_bounds, report_lines,
     )
-    return {f.__name__: f for f in (*names, *shapes.QUERIES, *overlays.QUERIES, *tables.QUERIES)}
+    return {f.__name__: f for f in (*names, *shapes.QUERIES, *overlays.QUERIES, *measures.QUERIES, *tables.QUERIES)}

@@ -76,6 +76,14 @@ def write_geojson(df: DataFrame, path: str, geometry: str = "geometry") -> None:
     df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), rest.alias("properties"), F.struct(F.lit("MultiPolygon").alias("type"), coordinates.alias("coordinates")).alias("geometry")))).write.mode("overwrite").text(path)
 
 
+def geojson_lines(spark: SparkSession, path: str, properties: str) -> DataFrame:
+    """What write_geojson wrote: a row for each feature with its properties (a DDL string) and geometry."""
+    fields = ",".join(":".join(f.split()) for f in properties.split(","))
+    read = spark.read.schema(f"properties struct<{fields}>, geometry struct<coordinates:array<array<array<array<double>>>>>").json(path)
+    point = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
+    return read.select("properties.*", F.transform("geometry.coordinates", lambda p: F.transform(p, lambda r: F.transform(r, point))).alias("geometry"))
+
+
 def layer(spark: SparkSession, path: str, preferred: str) -> DataFrame:
     """The preferred layer of a dataset written by write_layers, else its first."""
     layers = spark.read.parquet(path)
@@ -92,10 +100,10 @@ def write_layers(path: str, layers: dict[str, DataFrame]) -> list[str]:
 
 
 def write_csv(df: DataFrame, path: str, geometry: str | None = "geometry", keep_wkt: bool = False) -> None:
-    """Without the geometry, or with its text."""
+    """Without the geometry, or with its text; quotes in a field are doubled, as csv() reads them."""
     if geometry in df.columns:
         df = df.withColumn(geometry, to_wkt(F.col(geometry))) if keep_wkt else df.drop(geometry)
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(header=True, escape='"').csv(path)
 
 
 def config(path: str) -> dict:
