@@ -40,6 +40,16 @@ def class_runs(images: pa.Array, width: np.ndarray, wanted: np.ndarray) -> masks
     return masks.merged(masks.Runs(number, number + 1))
 
 
+def colour_runs(images: pa.Array, width: np.ndarray, colour: tuple[int, int, int]) -> masks.Runs:
+    values, ends = data(images)
+    size = np.diff(ends) // 3
+    row, t = masks._spread(size)
+    at = ends[row] + 3 * t
+    hit = np.flatnonzero(np.logical_and.reduce([values[at + k] == v for k, v in enumerate(colour)])) if len(at) else at
+    number = masks._number(row[hit], t[hit] // width[row[hit]], t[hit] % width[row[hit]])
+    return masks.merged(masks.Runs(number, number + 1))
+
+
 def square_bytes(images: pa.Array, width: np.ndarray, side: np.ndarray) -> pa.Array:
     values, ends = data(images)
     height = np.diff(ends) // np.maximum(width, 1)
@@ -81,6 +91,26 @@ def class_mask(labels: Column, width: Column, wanted: Column) -> Column:
     return F.when(labels.isNotNull(), _class(labels, width, wanted))
 
 
+def colour_mask(labels: Column, width: Column, colour: tuple[int, int, int]) -> Column:
+    """The mask of the pixels of a colour-coded label image, three bytes a pixel, that have that colour."""
+
+    @F.arrow_udf(masks.RUNS)
+    def mask(images: pa.Array, wide: pa.Array) -> pa.Array:
+        return masks.to_arrow(colour_runs(images, masks._ints(wide), colour), len(images))
+
+    return F.when(labels.isNotNull(), mask(labels, width))
+
+
+def preprocessed(image: Column, settings: dict) -> Column:
+    """The image as a config asks: {"mode": "none"} or {"mode": "gamma", "gamma": number}; other modes are an error, not a silent copy."""
+    mode = settings.get("mode", "none")
+    if mode == "none":
+        return image
+    if mode == "gamma":
+        return gamma_corrected(image, F.lit(float(settings.get("gamma", 1.0))))
+    raise ValueError(f"no such preprocessing: {mode}")
+
+
 def resized(image: Column, width: Column, side: Column) -> Column:
     """An image made `side` pixels square, bilinear between pixel centres."""
     return F.when(image.isNotNull(), _square(image, width, side))

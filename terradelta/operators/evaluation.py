@@ -26,20 +26,22 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]
     Equal values are counted together first; what is left is ranged over tasks by group and value, so a large group is in many. Each task adds up its
     own counts, and those of earlier tasks (a row for each task and group) come before them.
     """
-    task, before, upto = "task of a value", "values before", "values up to"
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("k"))
-    ranged = counts.repartitionByRange(*by, "v").withColumn(task, F.spark_partition_id())
-    summed = ranged.withColumn(upto, F.sum("k").over(Window.partitionBy(task, *by).orderBy("v")))
-    parts = summed.groupBy(task, *by).agg(F.sum("k").alias("k"))
+    # names that no column of by has
+    task, before, upto, same, every, v = "task of a value", "values before", "values up to", "values like it", "values of the group", "value itself"
+    c, n = F.col, F.col(every)
+    counts = df.where(c(value).isNotNull()).groupBy(*by, c(value).alias(v)).agg(F.count("*").alias(same))
+    ranged = counts.repartitionByRange(*by, v).withColumn(task, F.spark_partition_id())
+    summed = ranged.withColumn(upto, F.sum(same).over(Window.partitionBy(task, *by).orderBy(v)))
+    parts = summed.groupBy(task, *by).agg(F.sum(same).alias(same))
     earlier = Window.partitionBy(*by).orderBy(task)
-    parts = parts.select(task, *by, F.coalesce(F.sum("k").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before), F.sum("k").over(Window.partitionBy(*by)).alias("n"))
+    parts = parts.select(task, *by, F.coalesce(F.sum(same).over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before), F.sum(same).over(Window.partitionBy(*by)).alias(every))
     parts = parts.withColumnsRenamed({x: f"other {x}" for x in (task, *by)})
-    placed = summed.join(parts, [F.col(x).eqNullSafe(F.col(f"other {x}")) for x in (task, *by)])
-    last = F.col(before) + F.col(upto)
-    wanted = {f"{name} {end}": f((F.col("n") - 1) * F.lit(q)).cast("long") for name, q in shares.items() for end, f in (("low", F.floor), ("high", F.ceil))}
-    held = {k: F.max(F.when((at >= last - F.col("k")) & (at < last), F.col("v"))).alias(k) for k, at in wanted.items()}
-    found = placed.groupBy(*by, "n").agg(*held.values())
-    mixed = lambda name, q: F.col(f"{name} low") + (F.col(f"{name} high") - F.col(f"{name} low")) * ((F.col("n") - 1) * F.lit(q) - F.floor((F.col("n") - 1) * F.lit(q)))
+    placed = summed.join(parts, [c(x).eqNullSafe(c(f"other {x}")) for x in (task, *by)])
+    last = c(before) + c(upto)
+    wanted = {f"{name} {end}": f((n - 1) * F.lit(q)).cast("long") for name, q in shares.items() for end, f in (("low", F.floor), ("high", F.ceil))}
+    held = [F.max(F.when((at >= last - c(same)) & (at < last), c(v))).alias(k) for k, at in wanted.items()]
+    found = placed.groupBy(*by, every).agg(*held)
+    mixed = lambda name, q: c(f"{name} low") + (c(f"{name} high") - c(f"{name} low")) * ((n - 1) * F.lit(q) - F.floor((n - 1) * F.lit(q)))
     return found.select(*by, *(mixed(name, q).alias(name) for name, q in shares.items()))
 
 

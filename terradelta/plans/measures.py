@@ -141,6 +141,15 @@ def class_masks(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("id", F.size("mask").alias("runs"), m.pixels(c("mask")).alias("pixels"), F.aggregate("mask", F.lit(0).cast("long"), lambda s, r: s + r["y"] * 64 + r["x0"]).alias("places"))
 
 
+def colour_masks(spark: SparkSession, sf: str) -> DataFrame:
+    """Pixels of one colour of colour-coded labels, and those of the grey chips of the same objects after two preprocessings of a config."""
+    value = lambda i: F.concat(F.lpad(F.hex((i + c("id")) % 5), 2, "0"), F.lpad(F.hex(F.floor(i / SIDE) % 3), 2, "0"), F.lit("07"))
+    coded = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), value), ""))
+    chips = b.old_footprints(spark, sf).where("id % 5 = 2").select("id", coded.alias("labels"), chip_image().alias("image"))
+    made = chips.select("id", images.colour_mask(c("labels"), F.lit(SIDE), (3, 1, 7)).alias("mask"), images.preprocessed(c("image"), {"mode": "gamma", "gamma": 2.0}).alias("dark"), images.preprocessed(c("image"), {}).alias("same"))
+    return made.select("id", F.size("mask").alias("runs"), m.pixels(c("mask")).alias("pixels"), F.sha2("dark", 256).alias("dark"), F.sha2("same", 256).alias("same"))
+
+
 def image_resized(spark: SparkSession, sf: str) -> DataFrame:
     """Chips made half and twice as large, bilinear."""
     chips = b.old_footprints(spark, sf).where("id % 5 = 1").select("id", chip_image().alias("image"))
@@ -197,7 +206,7 @@ def config_sink(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = (
-    geometry_uncertainty, centroid_shift, shape_complexity, projected_points, centre_prompts, chip_windows_fixed, pixel_crops, sample_sizes, optional_metric, rerank_shapes, image_gamma, class_masks, image_resized,
+    geometry_uncertainty, centroid_shift, shape_complexity, projected_points, centre_prompts, chip_windows_fixed, pixel_crops, sample_sizes, optional_metric, rerank_shapes, image_gamma, class_masks, colour_masks, image_resized,
     csv_round_trip, geojson_round_trip, layer_round_trip, optional_source, config_sink,
 )
 
@@ -246,6 +255,8 @@ def oracle_sql(old: str, new: str, final: str, report: str, boxes) -> dict[str,
         "image_gamma": f"WITH {old}, {grey.format('old')} SELECT id, {blob.format(f'trunc(pow(v / {d(255)}, CASE WHEN id % 2 = 0 THEN {d(0.5)} ELSE {d(2)} END) * 255)::INT')} AS digest FROM px GROUP BY id",
         "class_masks": f"""WITH {old}, five AS (SELECT * FROM old WHERE id % 5 = 0), {grey.format('five')}, h AS (SELECT id, y, x, x - row_number() OVER (PARTITION BY id, y ORDER BY x) AS isle FROM px WHERE v = id % 7), r AS (SELECT id, y, isle, min(x) AS x0, count(*) AS n FROM h GROUP BY ALL)
           SELECT five.id, count(r.id) AS runs, coalesce(sum(n), 0)::BIGINT AS pixels, coalesce(sum(y * 64 + r.x0), 0)::BIGINT AS places FROM five LEFT JOIN r USING (id) GROUP BY 1""",
+        "colour_masks": f"""WITH {old}, five AS (SELECT * FROM old WHERE id % 5 = 2), {grey.format('five')}, n AS (SELECT id, count(*) AS pixels FROM px WHERE (y * 64 + x + id) % 5 = 3 AND y % 3 = 1 GROUP BY 1)
+          SELECT id, pixels AS runs, pixels, {blob.format(f'trunc(pow(v / {d(255)}, 2) * 255)::INT')} AS dark, {blob.format('v')} AS same FROM px JOIN n USING (id) GROUP BY id, pixels""",
         "image_resized": f"""WITH {old}, five AS (SELECT id, CASE WHEN id % 2 = 0 THEN 32 ELSE 128 END AS n FROM old WHERE id % 5 = 1), g AS (SELECT id, n, y, x, {axis('y', 'n', 64)} AS py, {axis('x', 'n', 64)} AS px FROM five, range(128) t(x), range(128) u(y) WHERE x < n AND y < n),
           f AS (SELECT *, least(floor(py), 62)::INT AS y0, least(floor(px), 62)::INT AS x0 FROM g), v AS (SELECT id, y, x, py - y0 AS fy, px - x0 AS fx, (x0 * x0 + 3 * y0 + id) % 256 AS a, (x0 * x0 + 3 * (y0 + 1) + id) % 256 AS b, ((x0 + 1) * (x0 + 1) + 3 * y0 + id) % 256 AS c, ((x0 + 1) * (x0 + 1) + 3 * (y0 + 1) + id) % 256 AS d FROM f)
           SELECT id, {blob.format('round_even((a * (1 - fy) + b * fy) * (1 - fx) + (c * (1 - fy) + d * fy) * fx, 0)::INT')} AS digest FROM v GROUP BY id""",

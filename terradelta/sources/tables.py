@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,16 +23,45 @@ def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A place of its own in the folder that driver and executors share: spark.checkpoint.dir, or on one machine (local mode) a new local folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+#: The part of the shared folder that scratch() has opened here, if any.
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir (or a part of it, within scratch()), or in local mode a new local one."""
+    folder = _SCRATCH.get() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         master = spark.conf.get("spark.master", "local")
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="terradelta-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        folder = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="terradelta-"))
+    return folder.rstrip("/")
+
+
+#: The local folder of each application in local mode.
+_LOCAL: dict[str, str] = {}
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A place of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A part of the shared folder for what queries write on their way; it and all in it go at the end, so collect or write results inside.
+
+        with scratch(spark):
+            query(spark, folder).write.parquet(path)
+    """
+    path = new_path(spark, "scratch")
+    before = _SCRATCH.set(path)
+    try:
+        yield path
+    finally:
+        _SCRATCH.reset(before)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -87,6 +87,39 @@ def test_file_names_of_long_ids(spark):
     assert spark.range(1).select(text.zero_padded(F.lit(1234567), 6), text.zero_padded(F.lit(5), 4)).first() == ("1234567", "0005")
 
 
+def test_scratch_goes(spark):
+    from pathlib import Path
+
+    with tables.scratch(spark) as path:
+        folder = Path(path.removeprefix("file://"))
+        assert tables.written(spark.range(5)).count() == 5 and len(list(folder.glob("written-*"))) == 1
+        assert tables.shared_folder(spark) == path
+    assert not folder.exists() and folder.parent.exists() and tables.shared_folder(spark) != path
+
+
+def test_preprocessing_by_config(spark):
+    df = spark.createDataFrame([(bytearray([0, 100, 255]),)], "g binary")
+    r = df.select(images.preprocessed(F.col("g"), {"mode": "gamma", "gamma": 2}).alias("d"), images.preprocessed(F.col("g"), {"mode": "none"}).alias("s"), images.colour_mask(F.col("g"), F.lit(1), (0, 100, 255)).alias("m")).first()
+    assert list(r.d) == [0, 39, 255] and list(r.s) == [0, 100, 255] and [tuple(x) for x in r.m] == [(0, 0, 0)]
+    with pytest.raises(ValueError, match="no such preprocessing"):
+        images.preprocessed(F.col("g"), {"mode": "clahe"})
+
+
+def test_quantiles_of_large_groups(spark):
+    """Against a sort, with ties, groups of one, nulls and more tasks than groups."""
+    import random
+
+    r = random.Random(2)
+    rows = [(k, r.choice([None, float(r.randrange(50)), r.random()])) for k in [None, 1, 1, 1, 1, 2, 3] for _ in range(200)] + [(7, 5.0), (8, None)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(6)
+    got = {x.k: tuple(x)[1:] for x in evaluation.describe(df, ["k"], "v").collect()}
+    for key in {k for k, _ in rows}:
+        values = sorted(v for k, v in rows if k == key and v is not None)
+        at = lambda q: (lambda p: values[int(p)] + (values[min(int(p) + 1, len(values) - 1)] - values[int(p)]) * (p - int(p)))((len(values) - 1) * q)  # noqa: B023, E731
+        assert got[key][0] == len(values)
+        assert (got[key][4], got[key][5], got[key][6]) == (pytest.approx((at(0.25), at(0.5), at(0.75))) if values else (None, None, None))
+
+
 def test_as_of(spark):
     states = spark.createDataFrame([(1, "a", 1, "2020-01-01"), (1, "b", 2, "2020-02-01"), (1, "c", 3, "2020-03-01"), (2, "d", 4, "2020-03-01"), (3, None, 5, "2020-01-01"), (3, "e", 6, "2020-01-01")], "id int, state string, key int, day string").select("id", "state", "key", F.to_date("day").alias("snapshot_date"))
     df = tables.snapshots(spark, tables.write_snapshots(states))
