@@ -50,12 +50,18 @@ def op5_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-#: The key of the pseudonyms; a user passes one that is kept secret.
+#: The key of the pseudonyms where the session has none: an example, known to everyone.
 PSEUDONYM_KEY = b"terradelta-example-key"
 
 
+def pseudonym_key(spark: SparkSession) -> bytes:
+    """The secret key that the caller gives in terradelta.pseudonym.key of the session, or the example."""
+    found = spark.conf.get("terradelta.pseudonym.key", None)
+    return found.encode() if found else PSEUDONYM_KEY
+
+
 def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY, counts=True)
+    return pseudonymise(table(spark, sf_dir, "documents"), pseudonym_key(spark), counts=True)
 
 
 #: The rules of the url query.

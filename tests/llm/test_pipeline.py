@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from terradelta.llm import packing, pseudonyms
 from terradelta.llm.queries import PSEUDONYM_KEY, tokenizer_path
 
@@ -32,8 +34,15 @@ def test_run(spark, tmp_path):
 
 
 def test_stages_keep_the_columns(spark, tmp_path):
-    docs = spark.createDataFrame([(1, prose(40, 1), "en", "s", 1), (None, None, None, None, None)], SCHEMA)
+    """Nulls everywhere, empty and very long texts, repeated rows, and columns named like results."""
+    rows = [(1, prose(40, 1), "en", "s", 1), (1, prose(40, 1), "en", "s", 1), (None, None, None, None, None), (2, "", "en", "s", 0), (3, prose(20_000, 2), None, "s", 1), (None, prose(50, 3), "en", None, 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name in ("kept", "class_id", "label", "item_id", "number", "found", "spans"):
+        docs = docs.withColumn(name, F.lit("x"))
     spark.createDataFrame([(0, prose(30, 7))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns
+        want = {"quality rules": [1, 1, 3, None], "near copies": [1, 2, 3, None, None]}.get(name, [1, 1, 2, 3, None, None])
+        assert sorted((r.doc_id for r in kept.collect()), key=lambda i: (i is None, i)) == want
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
