@@ -178,7 +178,8 @@ def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Learn from the rows that aren't held out and have a doc_id, text and lang; predict every row from its text.
 
     Null texts and those without a letter get 'und' and score 0; so does everything if there is nothing to learn from. Repeated
-    rows get a row each; other columns aren't read; an empty table gives an empty result.
+    rows get a row each; of languages equally near the first by name is taken; a very long text is a batch of its own. Other columns aren't read; an
+    empty table gives an empty result.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     learning = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())

@@ -254,7 +254,7 @@ def near_classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id and class_id (the least doc_id of its class) for each row.
 
     Equal texts are one class, also without words; a null text is in a class of its own; rows of one doc_id are one document, whatever their
-    texts; a null doc_id has a null class. Other columns aren't read, and an empty table gives an empty result.
+    texts; a null doc_id has a null class; a very long text is a batch of its own. Other columns aren't read, and an empty table gives an empty result.
 
     1. One document stands for each text. 2. In each group of equal band keys the one with most partners overall is the
     centre, and every other is checked against it. 3. What is then joined needs no more checks; all pairs of documents that share a group

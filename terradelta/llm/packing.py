@@ -205,7 +205,7 @@ def pack(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits()) -> Dat
     """One row for each piece with its sequence_id and offset.
 
     Null and empty texts have the end id alone. Documents longer than the capacity are cut into pieces of the capacity
-    and a rest; no other is cut. A null doc_id is passed on, repeated rows are packed each, an empty table gives
+    and a rest; no other is cut, and a very long text is tokenised as a batch of its own. Pieces of equal length may change places. A null doc_id is passed on, repeated rows are packed each, an empty table gives
     an empty result, and other columns of docs are not read.
     """
     spark = docs.sparkSession

@@ -153,7 +153,7 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 def repetition(docs: DataFrame, rules: RepetitionRules = RepetitionRules()) -> DataFrame:
     """One row of measures for each document, in one pass without a shuffle.
 
-    Null and empty texts have no words and fail the base rule. A null doc_id is passed on. Repeated rows each get their row.
+    Null and empty texts have no words and fail the base rule. A very long text is sorted whole, as a batch of its own. A null doc_id is passed on. Repeated rows each get their row.
     Other columns of docs, whatever their names, are not read. An empty table gives an empty result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()

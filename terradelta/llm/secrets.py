@@ -84,7 +84,7 @@ def _joined(spans: Column) -> Column:
 def scan(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row for each document: counts of the base kinds, their digest, all spans, and how many values look live or copied.
 
-    Null texts are empty and have none. Rows that repeat doc_id and text share their spans; a null doc_id or source is a value of its own. Other
+    Null texts are empty and have none; very long ones are searched whole. Spans that start together are in order of their kinds. Rows that repeat doc_id and text share their spans; a null doc_id or source is a value of its own. Other
     columns aren't read. An empty table gives an empty result.
     """
     found = cut(candidates(docs, s))

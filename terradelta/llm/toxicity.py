@@ -163,7 +163,8 @@ def severity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
     """Fit on the labelled texts and score every document.
 
     Null and empty texts have no words and get what the thresholds alone say. Repeated rows get a row each. Without labels of both
-    kinds nothing is toxic. Other columns aren't read; an empty table gives an empty result.
+    kinds nothing is toxic. A doc_id with several labels has its worst one, one with several texts that whose list of word slots comes first. A very long text is a batch of
+    its own. A null doc_id is scored and never learnt from. Other columns aren't read; an empty table gives an empty result.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return score(docs, fit(docs, graded(labels), settings), settings)
