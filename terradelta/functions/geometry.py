@@ -355,11 +355,14 @@ def chip_window(x0: Column, y0: Column, x1: Column, y1: Column, context: float =
 
 
 def pixel_crop(window: Column, left: Column, bottom: Column, right: Column, top: Column, width: int, height: int) -> Column:
-    """Whole pixels (x0, y0) to (x1, y1), the last ones not included, of a window in an image with these bounds, cut to it; null where nothing is left."""
+    """Whole pixels (x0, y0) to (x1, y1), the last ones not included, of a window in an image with these bounds, cut to it; null where nothing is left.
+
+    Places within a millionth of a pixel of a whole one are that one.
+    """
     near = world_to_pixel(window["left"], window["top"], left, bottom, right, top, width, height)
     far = world_to_pixel(window["right"], window["bottom"], left, bottom, right, top, width, height)
-    low = lambda v: F.greatest(F.floor(v), F.lit(0)).cast("long")
-    high = lambda v, most: F.least(F.ceil(v), F.lit(most)).cast("long")
+    low = lambda v: F.greatest(F.floor(F.round(v, 6)), F.lit(0)).cast("long")
+    high = lambda v, most: F.least(F.ceil(F.round(v, 6)), F.lit(most)).cast("long")
     crop = F.struct(low(near["x"]).alias("x0"), low(near["y"]).alias("y0"), high(far["x"], width).alias("x1"), high(far["y"], height).alias("y1"))
     return let(crop, lambda p: F.when((p["x0"] < p["x1"]) & (p["y0"] < p["y1"]), p))
 

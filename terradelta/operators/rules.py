@@ -1,6 +1,6 @@
 """Rule cascades as Column expressions: the first rule that holds decides. A missing measure (null or NaN) fails its rule.
 
-Thresholds are fields of frozen dataclasses; their defaults are the published settings.
+Thresholds are fields of frozen dataclasses. Fixed values: their defaults, the order of the rules, and the reason strings are the published ones.
 """
 
 from __future__ import annotations

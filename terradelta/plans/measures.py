@@ -242,7 +242,7 @@ def oracle_sql(old: str, new: str, final: str, report: str, boxes) -> dict[str,
         "centre_prompts": f'SELECT p_partkey, 0.0::DOUBLE AS "left", p_size::DOUBLE AS "right", (p_partkey % 40)::DOUBLE AS bottom, round((p_size + 1) / {d(4)}, 6) AS x0, round((p_partkey % 40 + 1) / {d(4)}, 6) AS y0, round(least(p_size, 3 * (p_size + 1) / {d(4)}), 6) AS x1, round(least(p_partkey % 40, 3 * (p_partkey % 40 + 1) / {d(4)}), 6) AS y1 FROM part',
         "chip_windows_fixed": f'WITH {old}, {shape}, v AS (SELECT id, cx, cy, greatest(60, 2 * greatest(w, h) + 20) / {d(2)} AS half FROM s JOIN ob_m USING (id)) SELECT id, round(cx - half, 6) AS "left", round(cy - half, 6) AS bottom, round(cx + half, 6) AS "right", round(cy + half, 6) AS top FROM v',
         "pixel_crops": f"""WITH {new}, v AS (SELECT id, (x0 + x1) / {d(2)} AS cx, (y0 + y1) / {d(2)} AS cy, least(greatest(greatest(x1 - x0, y1 - y0) * {d('1.35')} + 12, 35), 110) / 2 AS half FROM new),
-          p AS (SELECT id, greatest(0, floor((cx - half) * 2))::BIGINT AS x0, greatest(0, floor((800 - cy - half) * 2))::BIGINT AS y0, least(4000, ceil((cx + half) * 2))::BIGINT AS x1, least(1600, ceil((800 - cy + half) * 2))::BIGINT AS y1 FROM v) SELECT * FROM p WHERE x0 < x1 AND y0 < y1""",
+          p AS (SELECT id, greatest(0, floor(round((cx - half) * 2, 6)))::BIGINT AS x0, greatest(0, floor(round((800 - cy - half) * 2, 6)))::BIGINT AS y0, least(4000, ceil(round((cx + half) * 2, 6)))::BIGINT AS x1, least(1600, ceil(round((800 - cy + half) * 2, 6)))::BIGINT AS y1 FROM v) SELECT * FROM p WHERE x0 < x1 AND y0 < y1""",
         "sample_sizes": "WITH n AS (SELECT count(*) AS n FROM supplier) SELECT k, CASE WHEN k = 2 THEN n ELSE least(n, 5) END AS n, CASE WHEN k = 2 THEN n ELSE least(n, 5) END AS ids FROM n, (VALUES (0), (1), (2), (9)) t(k)",
         "optional_metric": f"WITH {report} SELECT 'iou' AS metric, round(avg(iou), 6) AS mean FROM r UNION ALL SELECT 'shift', round(avg(shift), 6) FROM r UNION ALL SELECT 'no_such_measure', NULL",
         "rerank_shapes": f"""WITH {old}, {final}, {near}, p AS (SELECT *, 0 AS part FROM ({chip('z', 'old').split(' AS ', 1)[1]})), f AS (SELECT *, 0 AS part FROM ({chip('z', 'final').split(' AS ', 1)[1]}) UNION ALL SELECT *, 1 FROM ({chip('z', 'near').split(' AS ', 1)[1]})),

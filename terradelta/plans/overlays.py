@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,9 +85,9 @@ def objects_in_window(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of 6 by 5 and the shapes that have a point in common with them, edges included: not those that hold them in a hole or beside them."""
     s = c("s_suppkey")
     windows = b.boxes(t.parquet(spark, sf, "supplier"), s, s * 37 % 1960, s * 53 % 700, F.lit(6), F.lit(5))
-    shapes = shapes(b.old_footprints(spark, sf))
-    near = spatial.overlapping(windows, shapes.drop("geometry"), CELL, touching=True).select(c("l_id").alias("window"), c("r_id").alias("id"), *(c("l_" + k).alias("w" + k) for k in spatial.BOUNDS))
-    met = near.join(shapes.select("id", "geometry"), "id").where(g.meets_box(c("geometry"), c("wx0"), c("wy0"), c("wx1"), c("wy1")))
+    objects = shapes(b.old_footprints(spark, sf))
+    near = spatial.overlapping(windows, objects.drop("geometry"), CELL, touching=True).select(c("l_id").alias("window"), c("r_id").alias("id"), *(c("l_" + k).alias("w" + k) for k in spatial.BOUNDS))
+    met = near.join(objects.select("id", "geometry"), "id").where(g.meets_box(c("geometry"), c("wx0"), c("wy0"), c("wx1"), c("wy1")))
     return met.select("window", "id")
 
 
@@ -158,9 +160,10 @@ def mask_pair_iou(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chip_image() -> Column:
-    """A grey chip, a byte a pixel: (x * x + 3 * y + id) % 256."""
-    value = lambda i: (i % SIDE * (i % SIDE) + 3 * F.floor(i / SIDE) + c("id")) % 256
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), lambda i: F.lpad(F.hex(value(i)), 2, "0")), ""))
+    """A grey chip, a byte a pixel: (x * x + 3 * y + id) % 256. There are 256 different lines, by (3 * y + id) % 256."""
+    lines = ["".join(f"{(x * x + k) % 256:02x}" for x in range(SIDE)) for k in range(256)]
+    known = F.from_json(F.lit(json.dumps(lines)), "array<string>")
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda y: F.get(known, ((3 * y + c("id")) % 256).cast("int"))), ""))
 
 
 def mask_ring_measures(spark: SparkSession, sf: str) -> DataFrame:
