@@ -210,8 +210,8 @@ def pseudonymise(docs: DataFrame, key: bytes, inverse: bool = False, counts: boo
     """docs with the text replaced, all other columns as they were; with counts, only doc_id, text and n_<kind> columns.
 
     One pass without a shuffle. Null texts stay null, empty ones empty. Values that fail their check (Luhn, calendar, octets) stay.
-    Repeated rows are treated alike, and so are equal values anywhere; kinds are looked for in a fixed order. A very long text is a
-    batch of its own, read once for each kind. A null doc_id is passed on. An empty table gives an empty result.
+    Repeated rows are treated alike, and so are equal values anywhere. A mail address is one value, whatever numbers it holds; else the first from the
+    left counts where values overlap. A very long text is a batch of its own. A null doc_id is passed on. An empty table gives an empty result.
     """
     if counts:
         docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))

@@ -41,8 +41,11 @@ class Model:
     thresholds: np.ndarray
 
 
-def slots_of(column: pa.Array, slots: int, stems: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Row and slot, each pair once and in order, of lower-case words and of their first bytes, so that inflected and compounded forms share a slot."""
+def slots_of(column: pa.Array, slots: int, stems: tuple[int, ...], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row and slot, each pair once and in order, of lower-case words and of their first bytes, so that inflected and compounded forms share a slot.
+
+    wanted: by slot, whether it matters; others are left out before pairs are made unique.
+    """
     buf, offsets = utf8_lower(column)
     folded = bw.FOLD[buf]
     starts, ends = bw.runs(folded != 32, offsets)
@@ -55,7 +58,10 @@ def slots_of(column: pa.Array, slots: int, stems: tuple[int, ...]) -> tuple[np.n
             long = b - a >= n
             hashes.append(bw.hashes(folded, a[long], a[long] + n) + np.uint64(n))
             where.append(row[long])
-        found.append(np.unique(np.concatenate(where) * slots + (np.concatenate(hashes) % np.uint64(slots)).astype(np.int64)))
+        row, slot = np.concatenate(where), (np.concatenate(hashes) % np.uint64(slots)).astype(np.int64)
+        if wanted is not None:
+            row, slot = row[wanted[slot]], slot[wanted[slot]]
+        found.append(np.unique(row * slots + slot))
     pairs = np.unique(np.concatenate(found))
     return pairs // slots, pairs % slots
 
@@ -150,7 +156,7 @@ def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
     def work(batch):
         weights = np.zeros(s.slots)
         weights[used] = light
-        rows, slot = slots_of(batch.column(1), s.slots, s.stems)
+        rows, slot = slots_of(batch.column(1), s.slots, s.stems, weights != 0)
         total = np.bincount(rows, weights[slot], batch.num_rows)
         above = 1 / (1 + np.exp(-np.clip(total[:, None] - model.thresholds, -30, 30)))
         edge = np.concatenate([np.ones((len(total), 1)), above, np.zeros((len(total), 1))], axis=1)
@@ -163,8 +169,8 @@ def severity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
     """Fit on the labelled texts and score every document.
 
     Null and empty texts have no words and get what the thresholds alone say. Repeated rows get a row each. Without labels of both
-    kinds nothing is toxic. A doc_id with several labels has its worst one, one with several texts that whose list of word slots comes first. A very long text is a batch of
-    its own. A null doc_id is scored and never learnt from. Other columns aren't read; an empty table gives an empty result.
+    kinds nothing is toxic. A doc_id with several labels has its worst one; of its texts that whose list of word slots comes first is learnt from. A
+    very long text is a batch of its own. A null doc_id is scored and never learnt from. Other columns aren't read; an empty table gives an empty result.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return score(docs, fit(docs, graded(labels), settings), settings)
