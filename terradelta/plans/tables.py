@@ -179,6 +179,13 @@ def conditional_empty(spark: SparkSession, sf: str) -> DataFrame:
     return ev.united_or_empty([df.where(c("p_brand") == x) for x in wanted], df)
 
 
+def conditional_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Strata that have rows, united: some of the wanted ones have none."""
+    df = parquet(spark, sf, "part").select("p_partkey", "p_brand")
+    wanted = [x for x in ("Brand#13", "no such brand", "Brand#5") if not df.where(c("p_brand") == x).isEmpty()]
+    return ev.united_or_empty([df.where(c("p_brand") == x) for x in wanted], df)
+
+
 def rounded_points(spark: SparkSession, sf: str) -> DataFrame:
     """Points that are equal to a tenth count once, the first stays."""
     k = c("l_orderkey") * 10 + c("l_linenumber")
@@ -201,7 +208,7 @@ def centre_spread(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = (
     rerank_topology, rerank_shadow, rerank_new_buildings, rerank_prior_guided, mask_fill_ratio, join_suffix_coalesce, manifest_context, last_duplicate_lookup, stem_join, path_resolution, first_folder_lookup,
-    dense_numbers, ordinal_key, gap_keeping_ordinal, final_geometry_choice, case_table, checked_scan, date_slices, report_numbers, fixed_category_counts, conditional_empty, rounded_points, prompt_labels, centre_spread,
+    dense_numbers, ordinal_key, gap_keeping_ordinal, final_geometry_choice, case_table, checked_scan, date_slices, report_numbers, fixed_category_counts, conditional_empty, conditional_union, rounded_points, prompt_labels, centre_spread,
 )
 
 
@@ -244,6 +251,7 @@ def oracle_sql(old: str, final: str, report: str, exp: str) -> dict[str, str]:
         "report_numbers": f"WITH {exp}, m AS (SELECT experiment, (sum(key) % 997)::DOUBLE / 8 AS m FROM e GROUP BY 1) SELECT experiment, printf('%.3f', m) || ' ' || printf('%+.3f', m - 50) || ' -' AS line FROM m",
         "fixed_category_counts": "SELECT count(*) FILTER (o_orderstatus = 'F') AS keep, count(*) FILTER (o_orderstatus = 'O') AS update, 0::BIGINT AS flag_review, 0 AS k FROM orders UNION ALL SELECT 0, 0, 0, 1 UNION ALL SELECT 0, 0, 0, 2",
         "conditional_empty": "SELECT p_partkey, p_brand FROM part WHERE false",
+        "conditional_union": "SELECT p_partkey, p_brand FROM part WHERE p_brand IN ('Brand#13', 'Brand#5')",
         "rounded_points": "WITH p AS (SELECT l_orderkey * 10 + l_linenumber AS k, (max(l_partkey) % 40)::DOUBLE / 16 AS x, (max(l_suppkey) % 40)::DOUBLE / 16 AS y FROM lineitem GROUP BY 1) SELECT k, x, y FROM p QUALIFY row_number() OVER (PARTITION BY round(x, 1), round(y, 1) ORDER BY k) = 1",
         "prompt_labels": "SELECT p_partkey, repeat('1', (p_size % 4)::BIGINT) || repeat('0', (p_partkey % 3)::BIGINT) AS labels FROM part",
         "centre_spread": "WITH p AS (SELECT o_custkey AS id, (o_orderkey % 100)::DOUBLE AS x, (o_orderkey % 37)::DOUBLE AS y FROM orders), m AS (SELECT id, avg(x) AS cx, avg(y) AS cy, count(*) AS n FROM p GROUP BY 1) SELECT id, round(CASE WHEN any_value(n) < 2 THEN 0 ELSE avg(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))) END, 6) AS spread FROM p JOIN m USING (id) GROUP BY id",
