@@ -501,6 +501,25 @@ def common_areas(a: pa.Array, b: pa.Array) -> np.ndarray:
     return np.maximum(out, 0.0)
 
 
+@F.arrow_udf(T.StructType([T.StructField(k, T.DoubleType()) for k in ("size", "x", "y")]))
+def _sizes(a: pa.Array) -> pa.Array:
+    p, n = points(a), len(a)
+    origin = origins(n, p)
+    x, y, to = p.x - origin[p.row, 0], p.y - origin[p.row, 1], _following(p.ring)
+    cross = x * y[to] - x[to] * y
+    cross *= np.sign(_sums(p.ring, cross)) * np.where(p.shell, 1, -1)
+    total = lambda v: np.bincount(p.row, v, n)
+    size = total(cross) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        middle = [np.where(size > 0, total((v + v[to]) * cross) / 6 / size + origin[:, k], np.nan) for k, v in enumerate((x, y))]
+    return pa.StructArray.from_arrays([pa.array(size), *(pa.array(v, from_pandas=True) for v in middle)], names=["size", "x", "y"])
+
+
+def size_and_middle(a: Column) -> Column:
+    """Struct (size, x, y): area and centroid, as geometry.area and geometry.centroid have them, in one pass; null where the geometry is."""
+    return F.when(a.isNotNull(), _sizes(a))
+
+
 @F.arrow_udf(T.DoubleType())
 def _common_area(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(common_areas(a, b))

@@ -29,8 +29,10 @@ def shape_wkt() -> Column:
 
 
 def _shaped(df: DataFrame) -> DataFrame:
-    """id, bounds, geometry and area of each object."""
-    return df.select("id", *spatial.BOUNDS, g.parse_wkt(shape_wkt()).alias("geometry")).withColumn("size", g.area(c("geometry")))
+    """id, bounds, geometry, area and centroid of each object."""
+    known = df.select("id", *spatial.BOUNDS, g.parse_wkt(shape_wkt()).alias("geometry"))
+    sized = known.select("id", *spatial.BOUNDS, "geometry", overlay.size_and_middle(c("geometry")).alias("m"))
+    return sized.select("id", *spatial.BOUNDS, "geometry", c("m.size").alias("size"), F.struct("m.x", "m.y").alias("middle"))
 
 
 def _iou(common: Column, a: str, b_: str) -> Column:
@@ -53,7 +55,7 @@ def polygon_best_overlap(spark: SparkSession, sf: str) -> DataFrame:
 def polygon_external_match(spark: SparkSession, sf: str) -> DataFrame:
     """For each updated shape the reference shape of the highest IoU with it or with the original, then the nearest centroid to the original's."""
     named = lambda df, p: df.select("id", *(c(k).alias(p + k) for k in (*spatial.BOUNDS, "geometry", "size")))
-    old, new = _shaped(b.old_footprints(spark, sf)).withColumn("middle", g.centroid(c("geometry"))), _shaped(b.new_footprints(spark, sf)).withColumn("middle", g.centroid(c("geometry")))
+    old, new = _shaped(b.old_footprints(spark, sf)), _shaped(b.new_footprints(spark, sf))
     left = named(_shaped(b.final_footprints(spark, sf)), "f").join(named(old, "o").join(old.select("id", "middle"), "id"), "id")
     wide = left.select("*", *(F.least("f" + k, "o" + k).alias(k) for k in ("x0", "y0")), *(F.greatest("f" + k, "o" + k).alias(k) for k in ("x1", "y1")))
     d2 = lambda m: F.round((c(m)["x"] - c("r_middle")["x"]) ** 2 + (c(m)["y"] - c("r_middle")["y"]) ** 2, 6)
@@ -77,7 +79,7 @@ def polygon_best_any(spark: SparkSession, sf: str) -> DataFrame:
 def polygon_measures(spark: SparkSession, sf: str) -> DataFrame:
     """Area, perimeter, centroid, holes, hull and concavity, moved to map coordinates."""
     far = b.old_footprints(spark, sf).withColumns({k: c(k) + (383_000 if k[0] == "x" else 5_820_000) for k in spatial.BOUNDS})
-    m = _shaped(far).select("id", "size", g.centroid(c("geometry")).alias("middle"), g.perimeter(c("geometry")).alias("length"), g.holes(c("geometry")).alias("holes"), g.hull_area(c("geometry")).alias("hull"))
+    m = far.select("id", *spatial.BOUNDS, g.parse_wkt(shape_wkt()).alias("geometry")).select("id", g.area(c("geometry")).alias("size"), g.centroid(c("geometry")).alias("middle"), g.perimeter(c("geometry")).alias("length"), g.holes(c("geometry")).alias("holes"), g.hull_area(c("geometry")).alias("hull"))
     return m.select("id", F.round("size", 6).alias("size"), F.round("length", 6).alias("length"), F.round("middle.x", 6).alias("cx"), F.round("middle.y", 6).alias("cy"), "holes", F.round("hull", 6).alias("hull"), F.round(g.concavity(c("size"), c("hull")), 9).alias("concavity"))
 
 

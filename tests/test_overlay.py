@@ -147,3 +147,17 @@ def test_columns(spark):
     size = lambda x: F.round(F.aggregate(g.polygon_parts(x), F.lit(0.0), lambda s, p: s + g.area(p)), 4)
     rows = df.select("id", size(o.difference(a, b)), size(o.intersection(a, b)), size(o.union(a, b)), size(o.repaired(a))).collect()
     assert [tuple(r) for r in rows] == [(1, 12, 4, 28, 16), (2, None, None, 0.5, None), (3, 4, None, 4, 4)]
+
+
+def test_sizes_and_middles(spark):
+    """The two ways to measure shapes agree."""
+    cases = [a for pair in shapes(60, 21) for a in pair]
+    df = spark.createDataFrame([*enumerate(column(cases).to_pylist()), (999, None), (998, [])], "id int, geometry array<array<array<struct<x:double,y:double>>>>")
+    made = df.select("id", "geometry", o.size_and_middle(F.col("geometry")).alias("m")).select("id", "m", g.area(F.col("geometry")).alias("size"), g.centroid(F.col("geometry")).alias("c"))
+    for r in made.collect():
+        if r.id == 999:
+            assert r.m is None
+        elif r.id == 998:
+            assert tuple(r.m) == (0.0, None, None)
+        else:
+            assert tuple(r.m) == pytest.approx((r.size, r.c.x, r.c.y), rel=1e-9) and r.size == pytest.approx(area(cases[r.id]), rel=1e-9)
