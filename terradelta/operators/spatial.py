@@ -2,7 +2,7 @@
 
 Ids and bounds alone go through grid cells and are joined on equal cells, so no pair of far-away objects is ever made and no geometry is shuffled
 before there are pairs; other columns come back by id. A pair that shares several cells is kept in one of them. Large objects lie in larger cells.
-Nothing is run while a join is built, and ids are unique on each side.
+Ids are unique on each side. Nothing is run while a join is built, but for the matches of matched_or_nearest, which are written once.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box_distance2
+from ..sources.tables import written
 
 BOUNDS = ("x0", "y0", "x1", "y1")
 #: Cells of level k are STEP**k times as large as those of level 0. An object that is larger than a cell of the last level lies in many of these.
@@ -142,11 +143,11 @@ def matched_or_nearest(left: DataFrame, scored: DataFrame, right: DataFrame, dis
     """left with match_id and best_score: of `scored` (l_id, r_id, score, tie) the best by score, then least tie, then least id; the nearest where there is none.
 
     Objects without an overlap aren't lost: only they take the nearest search. carried: more columns of `scored` that come along, and what they are
-    for an object without one.
+    for an object without one. The matches are written to the shared folder, since they are used twice and a score may be dear.
     """
     extra = carried or {}
     best = scored.where("score > 0").groupBy(F.col("l_id").alias("id")).agg(F.max(F.struct("score", (-F.col("tie")).alias("t"), (-F.col("r_id")).alias("i"), *extra)).alias("_best"))
-    hit = best.select("id", (-F.col("_best.i")).alias("match_id"), F.col("_best.score").alias("best_score"), *(F.col(f"_best.{k}").alias(k) for k in extra))
+    hit = written(best.select("id", (-F.col("_best.i")).alias("match_id"), F.col("_best.score").alias("best_score"), *(F.col(f"_best.{k}").alias(k) for k in extra)))
     missed = left.join(hit.select("id"), "id", "left_anti")
     near = nearest(missed, right, distance2, cell).select("id", "match_id", F.lit(0.0).alias("best_score"), *(F.lit(v).alias(k) for k, v in extra.items()))
     return left.join(hit.unionByName(near), "id", "left")
