@@ -1,8 +1,9 @@
 """Quality rules by repetition (operator 2).
 
-Each document's words get a suffix array by prefix doubling; longest-common-prefix intervals give the
-longest repeat at each word; maximal repeats of at least `min_repeat` words are united into
-spans, and a document is rejected when they cover too much of it or one of them is too long.
+Each document's words get a suffix array by prefix doubling. The longest repeat at a word is the depth of the deepest longest-common-prefix interval
+that holds its suffix, which is the larger of the common prefixes with its two neighbours; the intervals themselves needn't be listed. Common prefixes
+are found by 64-bit hashes of the words. Maximal repeats of at least `min_repeat` words are united into spans, and a document is rejected when they
+cover too much of it or one of them is too long.
 """
 
 from __future__ import annotations
