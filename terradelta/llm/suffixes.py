@@ -213,12 +213,12 @@ def settle(found: DataFrame, s: Settings = Settings()) -> DataFrame:
     """
     part = found.sample(s.sampled, 1).select("gram")
     most = max(s.common, part.count() // s.tasks)
-    hot = part.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > most).select("gram", F.lit(True).alias("hot"))
-    marked = found.join(F.broadcast(hot), "gram", "left")  # fewer than `tasks` rows
-    common = marked.where("hot")
+    hot = F.broadcast(part.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > most).select("gram"))  # fewer than `tasks` rows
+    common = found.join(hot, "gram", "left_semi")
     first = common.groupBy("gram", "whole").agg(F.min(F.struct("key", "place")).alias("x")).select("x.key", "x.place", "gram", F.lit(FIRST).alias("part"))
     every = common.select("key", "place", F.lit(None).cast("long").alias("gram"), F.lit(COMMON).alias("part"))
-    return _settled(marked.where("hot is null").select("key", "place", "gram", "whole")).withColumn("part", F.lit(SURE)).union(every).union(first)
+    rest = found.join(hot, "gram", "left_anti").select("key", "place", "gram", "whole")
+    return _settled(rest).withColumn("part", F.lit(SURE)).union(every).union(first)
 
 
 def _settled(found: DataFrame) -> DataFrame:

@@ -95,6 +95,17 @@ def test_suffixes(spark, settings):
     assert sorted(got, key=str) == plain_removal(list(enumerate(texts)), 100)
 
 
+def test_suffixes_split_common_grams(spark):
+    """Rows of common grams and the others are told apart without an outer join: each row is in one part, and no row is made more."""
+    rows = [(i, i, 7, i % 3) for i in range(60)] + [(100 + i, i, 50 + i, i) for i in range(30)] + [(200 + i, i, 9, 5) for i in range(2)]
+    found = spark.createDataFrame(rows, "key long, place long, gram long, whole long")
+    settled = suffixes.settle(found, suffixes.Settings(sampled=1.0, common=2))
+    got = collections.Counter((x.key, x.gram, x.part) for x in settled.collect())
+    assert got == collections.Counter([(i, None, suffixes.COMMON) for i in range(60)] + [(i, 7, suffixes.FIRST) for i in range(3)] + [(201, None, suffixes.SURE)])
+    plan = settled._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "LeftAnti" in plan and "LeftOuter" not in plan
+
+
 def test_suffixes_odd(spark, odd):
     got = sorted((tuple(x) for x in suffixes.digests(odd).collect()), key=str)
     assert got == plain_removal([(x.doc_id, x.text) for x in odd.collect()], 100)
