@@ -1,10 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval (operator 1).
 
-Passages are TF-IDF vectors of hashed words. A randomised SVD of the benchmark's passages and a sample of the corpus's gives a latent space; passages near
+Passages are TF-IDF vectors of hashed words. A randomised SVD of all passages of the benchmark and of the corpus gives a latent space; passages near
 a benchmark item in it by cosine are candidates, and the longest common subsequence of words decides: nearly the whole item, or most of it and its
-answer (its last words). Frequencies count all words of the corpus; the sample has the `sample` passages
-with the smallest hashes of all; every passage of every document is searched. Items of fewer words than a latent vector can tell apart are found
-exactly: where a whole line has their words and no others.
+answer (its last words). Frequencies count all words of the corpus, the space is fitted on all words of all rows, and every passage of every document
+is searched. Items of fewer words than a latent vector can tell apart are found exactly: where a whole line has their words and no others.
 """
 
 from __future__ import annotations
@@ -17,22 +16,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import by_batch, cut, release, slices, utf8_lower
+from .common import by_batch, cut, release, slices, utf8, utf8_lower
 
 
 @dataclass(frozen=True)
 class Settings:
     slots: int = 1 << 15  # hashed words
     rank: int = 96
-    sample: int = 2_000  # passages of the corpus that the basis is fitted on, beside all items
-    share: float = 0.25  # their energy against the items'
+    share: float = 0.25  # the corpus's energy against the items' in what the basis is fitted on
     passages: tuple[int, ...] = (8, 16, 32)  # words; an item is searched with the longest that it fills
     least_cosine: float = 0.4
     least_common: float = 0.8  # share of the item's words, in order
     least_paraphrase: float = 0.6  # the same where the answer is found too
     answer: int = 5  # last words of an item
     least_words: int = 5  # shorter items can't be told from chance within a sentence: they are found where they are a whole line
-    fitted: int = 4_096  # different items that the basis is fitted on, those with the smallest hashes; all are searched
     items: int = 1_024  # different items that one scan searches
     seed: int = 7
 
@@ -67,95 +64,153 @@ def _passages(rows: np.ndarray, slot: np.ndarray, weights: np.ndarray, n: int, s
         yield size, np.repeat(first[:-1], count) + at * BLOCK, total
 
 
-def _windows(rows: np.ndarray, size: int, step: int) -> np.ndarray:
-    """Starts of passages of `size` words, every `step` words of a row and at its end; shorter rows have none."""
-    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else np.zeros(0, np.int64)
-    many = np.diff(np.append(first, len(rows)))
-    full = many >= size
-    first, many = first[full], many[full]
-    n = -(-(many - size) // step) + 1
-    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.repeat(first, n) + np.minimum(k * step, np.repeat(many - size, n))
-
-
-def statistics(docs: DataFrame, s: Settings) -> DataFrame:
-    """slot and count of all words; and each task's passages with the smallest hashes (slot null, their slots in words)."""
-    size = max(s.passages)
+def slots_of(docs: DataFrame, s: Settings) -> DataFrame:
+    """The slots of each row's words as bytes."""
+    kind = np.min_scalar_type(s.slots - 1)  # short integers are smaller and sorted faster
+
+    def work(batch):
+        rows, words, _ = bw.lower_words(*utf8_lower(batch.column(0)))
+        ends = np.searchsorted(rows, np.arange(batch.num_rows + 1)) * kind.itemsize
+        slot = (words % np.uint64(s.slots)).astype(kind)
+        return {"slots": pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(slot)])}
+
+    return by_batch(docs.select("text"), work, "slots binary")
+
+
+def _pieces(column: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """slots_of() cut up: all slots, where passages begin (one more entry for the end), and their rows. Passages don't overlap; a row's last may be shorter than the others."""
+    data, offsets = utf8(column)
+    slot = data.view(np.min_scalar_type(s.slots - 1))
+    first, size = offsets // slot.itemsize, max(s.passages)
+    many = -(-np.diff(first) // size)
+    k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return slot, np.append(np.repeat(first[:-1], many) + size * k, len(slot)), np.repeat(np.arange(len(many)), many)
+
+
+def _latent_sums(slot: np.ndarray, begin: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's passage, and each passage's latent sum."""
+    length = np.diff(begin)
+    size, passage = int(length.max()), np.repeat(np.arange(len(length)), length)
+    filled = np.full((size, len(length)), len(weights) - 1)  # the last weights are zeros
+    filled[np.arange(len(slot)) - np.repeat(begin[:-1], length), passage] = slot
+    total = np.zeros((len(length), weights.shape[1]), np.float32)
+    held = np.empty((1024, weights.shape[1]), np.float32)
+    for a in range(0, len(total), 1024):  # so few that their sums stay in the processor's cache
+        x = total[a : a + 1024]
+        for j in range(size):
+            np.take(weights, filled[j, a : a + 1024], axis=0, out=held[: len(x)], mode="clip")
+            x += held[: len(x)]
+    return passage, total
+
+
+#: Rows that are added up at once for one slot, and passages that are multiplied at once.
+LEVELS, GROUP = 32, 8192
+
+
+def add_rows(total: np.ndarray, slot: np.ndarray, at: np.ndarray, x: np.ndarray) -> None:
+    """total[slot] += x[at], slots repeat: each slot's rows are dealt into parts of up to LEVELS, all parts' j-th rows are added at once, and the parts' sums in the same way."""
+    while len(slot):
+        order = np.argsort(slot, kind="stable")
+        slot, at = slot[order], at[order]
+        first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+        many = np.diff(np.append(first, len(slot)))
+        parts = -(-many // LEVELS)
+        k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin, size = np.repeat(first, parts) + LEVELS * k, np.minimum(np.repeat(many, parts) - LEVELS * k, LEVELS)
+        longest = np.argsort(-size, kind="stable")
+        begin, size, own = begin[longest], size[longest], np.repeat(slot[first], parts)[longest]
+        sums, held = np.empty((len(begin), x.shape[1]), x.dtype), np.empty((2048, x.shape[1]), x.dtype)
+        for a in range(0, len(begin), 2048):
+            b, n, y = begin[a : a + 2048], size[a : a + 2048], sums[a : a + 2048]
+            np.take(x, at[b], axis=0, out=y, mode="clip")
+            for j in range(1, int(n[0])):
+                m = int(np.searchsorted(-n, -j))  # these have more than j rows
+                np.take(x, at[b[:m] + j], axis=0, out=held[:m], mode="clip")
+                y[:m] += held[:m]
+        if len(own) == len(first):
+            total[own] += sums
+            return
+        slot, at, x = own, np.arange(len(own)), sums
+
+
+def counted(words: DataFrame, s: Settings) -> tuple[np.ndarray, int]:
+    """How often each slot stands in all rows of slots_of(), and how many passages these are cut into."""
 
     def run(batches):
-        counts, hashes, found = np.zeros(s.slots, np.int64), np.zeros(0, np.uint64), np.zeros((0, size), np.int32)
-        for batch in slices(batches):
-            rows, words, _ = bw.lower_words(*utf8_lower(batch.column(0)))
-            slot = (words % np.uint64(s.slots)).astype(np.int64)
+        counts, passages = np.zeros(s.slots, np.int64), 0
+        for batch in slices(batches, "slots"):
+            slot, begin, _ = _pieces(batch.column(0), s)
             counts += np.bincount(slot, minlength=s.slots)
-            starts = _windows(rows, size, size)
-            if not len(starts):
-                continue
-            h = bw.hash64(bw.prefix(words), starts, starts + size)
-            low = np.argsort(h, kind="stable")[: s.sample]
-            hashes = np.concatenate([hashes, h[low]])
-            found = np.concatenate([found, slot[starts[low][:, None] + np.arange(size)].astype(np.int32)])
-            hashes, at = np.unique(hashes, return_index=True)  # copies of a passage count once
-            hashes, found = hashes[: s.sample], found[at][: s.sample]
+            passages += len(begin) - 1
         used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(used.astype(np.int32)), "n": counts[used], "hash": pa.nulls(len(used), pa.int64()), "words": pa.nulls(len(used), pa.list_(pa.int32()))})
-        for a in range(0, len(hashes), 4000):
-            x = found[a : a + 4000]
-            lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, size, dtype=np.int32), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_pydict({"slot": pa.nulls(len(x), pa.int32()), "n": pa.nulls(len(x), pa.int64()), "hash": (hashes[a : a + 4000] >> np.uint64(1)).astype(np.int64), "words": lists})
-        release()
+        yield pa.RecordBatch.from_pydict({"slot": used.astype(np.int32), "n": counts[used]})
+        yield pa.RecordBatch.from_pydict({"slot": pa.nulls(1, pa.int32()), "n": np.array([passages])})
+
+    counts, passages = np.zeros(s.slots), 0
+    for slot, n in words.select("slots").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n")).collect():  # one row a slot
+        if slot is None:
+            passages = n
+        else:
+            counts[slot] = n
+    return counts, passages
 
-    return docs.select("text").mapInArrow(run, "slot int, n long, hash long, words array<int>")
 
+def _weights(basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """(slots + 1, rank + 1): what a word adds to a latent vector, and to the squared norm; zeros in the last row."""
+    return np.pad(np.concatenate([basis * idf[:, None], (idf**2)[:, None]], axis=1).astype(np.float32), ((0, 1), (0, 0)))
 
-def randomised_svd(passages: DataFrame, idf: np.ndarray, s: Settings) -> np.ndarray:
-    """An orthonormal basis (slots, rank) of the passages' strongest directions. passages: words, a list of slots, and weight.
 
-    Each task multiplies its own rows; sums by slot meet in a grouped sum. The driver holds matrices of slots times rank only.
+def randomised_svd(rows: DataFrame, idf: np.ndarray, s: Settings) -> np.ndarray:
+    """An orthonormal basis (slots, rank) of the strongest directions of all passages of all rows. rows: slots and weight.
+
+    Each task multiplies its own passages; sums by slot meet in a grouped sum. A task's sums are as large as the basis whatever it reads, so there are
+    two tasks a core. The driver holds matrices of slots times rank only.
     """
+    spark = rows.sparkSession
+
+    def given(total: np.ndarray):
+        used = np.flatnonzero(total.any(axis=1))
+        for a in range(0, len(used), 2000):
+            x = total[used[a : a + 2000]]
+            yield pa.RecordBatch.from_pydict({"slot": used[a : a + 2000].astype(np.int32), "x": pa.array([v.tobytes() for v in x], pa.binary())})
 
-    def multiply(basis: np.ndarray | None) -> np.ndarray:
-        """A'A times basis; without one, times a random matrix that every task makes from the seed."""
-        rank = s.rank
+    def multiply(basis: np.ndarray) -> np.ndarray:
+        """A'A times basis, where A has a row of norm `weight` for each passage."""
+        shared = spark.sparkContext.broadcast(_weights(basis, idf))
 
         def run(batches):
-            basis_ = np.random.default_rng(s.seed).standard_normal((s.slots, rank)).astype(np.float32) if basis is None else basis
-            total = np.zeros((s.slots, rank), np.float32)
-            for batch in batches:
-                lists = batch.column(0)
-                slot, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-                norm = np.sqrt(np.bincount(row, idf[slot] ** 2, len(ends) - 1))
-                value = idf[slot] / np.maximum(norm[row], 1e-9) * batch.column(1).to_numpy()[row]
-                y = np.add.reduceat(basis_[slot] * value[:, None], ends[:-1]) if len(slot) else np.zeros((0, rank))
-                order = np.argsort(slot, kind="stable")
-                heads = np.flatnonzero(np.append(True, slot[order][1:] != slot[order][:-1])) if len(slot) else np.zeros(0, np.int64)
-                if len(heads):
-                    total[slot[order][heads]] += np.add.reduceat(y[row[order]] * value[order][:, None], heads)
-            used = np.flatnonzero(total.any(axis=1))
-            for a in range(0, len(used), 2000):
-                x = total[used[a : a + 2000]]
-                yield pa.RecordBatch.from_pydict({"slot": used[a : a + 2000].astype(np.int32), "x": pa.array([v.tobytes() for v in x], pa.binary())})
+            total = np.zeros((s.slots, s.rank), np.float32)
+            for batch in slices(batches, "slots"):
+                slot, begin, row = _pieces(batch.column(0), s)
+                weight = batch.column(1).to_numpy()[row] ** 2
+                for a in range(0, len(row), GROUP):
+                    own = begin[a : a + GROUP + 1]
+                    some = slot[own[0] : own[-1]]
+                    passage, latent = _latent_sums(some, own - own[0], shared.value)
+                    scale = (weight[a : a + GROUP] / np.maximum(latent[:, -1], 1e-9)).astype(np.float32)
+                    add_rows(total, some, passage, latent[:, :-1] * scale[:, None])
+            total *= idf[:, None]
+            yield from given(total)
+            release()
 
         def add(batches):
+            total = np.zeros((s.slots, s.rank), np.float32)
             for batch in batches:
                 slot = batch.column(0).to_numpy()
-                x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(len(slot), -1)
-                order = np.argsort(slot, kind="stable")
-                heads = np.flatnonzero(np.append(True, slot[order][1:] != slot[order][:-1])) if len(slot) else np.zeros(0, np.int64)
-                if len(heads):
-                    y = np.add.reduceat(x[order], heads)
-                    yield pa.RecordBatch.from_pydict({"slot": slot[order][heads], "x": pa.array([v.tobytes() for v in y], pa.binary())})
-
-        part = passages.select("words", "weight").mapInArrow(run, "slot int, x binary")
-        summed = part.repartition("slot").mapInArrow(add, "slot int, x binary").toArrow()  # a few rows for each slot
-        out = np.zeros((s.slots, rank), np.float32)
-        x = b"".join(summed.column("x").to_pylist())
-        np.add.at(out, summed.column("slot").to_numpy(), np.frombuffer(x, np.float32).reshape(-1, rank))
+                add_rows(total, slot, np.arange(len(slot)), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(len(slot), s.rank))
+            yield from given(total)
+
+        part = rows.select("slots", "weight").coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(run, "slot int, x binary")
+        summed = part.repartition("slot").mapInArrow(add, "slot int, x binary").toArrow()  # one row a slot
+        shared.unpersist()
+        out = np.zeros((s.slots, s.rank), np.float32)
+        out[summed.column("slot").to_numpy()] = np.frombuffer(b"".join(summed.column("x").to_pylist()), np.float32).reshape(-1, s.rank)
         return out
 
-    first = np.linalg.qr(multiply(None))[0]
-    return np.linalg.qr(multiply(np.ascontiguousarray(first)))[0].astype(np.float32)
+    basis = np.random.default_rng(s.seed).standard_normal((s.slots, s.rank)).astype(np.float32)
+    for _ in range(2):
+        basis = np.linalg.qr(multiply(basis))[0].astype(np.float32)
+    return basis
 
 
 def word_bits(item: list[int]) -> dict[int, int]:
@@ -218,7 +273,7 @@ def _short_lines(column: pa.Array, rows: np.ndarray, words: np.ndarray, starts:
 
 
 def encode_items(table: pa.Table, weights: np.ndarray, s: Settings) -> Items:
-    """weights (slots + 1, rank + 1): the basis times the inverse frequencies, and these squared."""
+    """The items that are searched with these weights."""
     column = table.column("text").combine_chunks()
     rows, words, _ = bw.lower_words(*utf8_lower(column))
     slot = (words % np.uint64(s.slots)).astype(np.int64)
@@ -307,41 +362,19 @@ def find(column: pa.Array, items: Items, weights: np.ndarray, s: Settings) -> di
     return best
 
 
-@dataclass
-class Corpus:
-    """What is known of the corpus: the inverse frequency of each slot, and sampled passages."""
-
-    idf: np.ndarray
-    passages: DataFrame
-
-
-def corpus(docs: DataFrame, s: Settings = Settings()) -> Corpus:
-    found = cut(statistics(docs.where("text is not null").select(F.col("text").cast("string").alias("text")), s))
-    counts = np.zeros(s.slots)
-    for slot, n in found.where("slot is not null").groupBy("slot").agg(F.sum("n")).collect():  # one row a slot
-        counts[slot] = n
+def fitted(docs: DataFrame, texts: DataFrame, s: Settings = Settings()) -> np.ndarray:
+    """The weights (slots + 1, rank + 1) for the texts of docs and the benchmark's: frequencies from all words of docs, the basis from all passages of both."""
+    words, own = (cut(slots_of(x.select(F.col("text").cast("string").alias("text")), s)) for x in (docs, texts))
+    (counts, passages), (_, many) = counted(words, s), counted(own, s)
     idf = (np.log((1 + counts.sum()) / (1 + counts)) ** 2).astype(np.float32)  # squared: common words make nothing alike
-    return Corpus(idf, cut(found.where("words is not null").dropDuplicates(["hash"]).orderBy("hash").limit(s.sample).select("hash", "words")))
-
-
-def basis(known: Corpus, items: pa.Table, s: Settings = Settings()) -> np.ndarray:
-    """weights (slots + 1, rank + 1) for the items: what a word adds to a latent vector, and to the squared norm; zeros in the last row."""
-    spark = known.passages.sparkSession
-    rows, words, _ = bw.lower_words(*utf8_lower(items.column("text").combine_chunks()))
-    slot = (words % np.uint64(s.slots)).astype(np.int32)
-    ends = np.searchsorted(rows, np.arange(len(items) + 1))
-    own = [(i, slot[a:b].tolist()) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
-    light = float(np.sqrt(s.share * max(len(own), 1) / s.sample))
-    rows_of_items = spark.createDataFrame(own, "hash long, words array<int>").withColumn("weight", F.lit(1.0))
-    together = known.passages.withColumn("weight", F.lit(light)).union(rows_of_items).repartition(4, "hash")  # a bounded sample, dealt to a few tasks
-    weights = np.concatenate([randomised_svd(together, known.idf, s) * known.idf[:, None], (known.idf**2)[:, None]], axis=1)
-    return np.concatenate([weights, np.zeros((1, s.rank + 1), np.float32)])
+    light = float(np.sqrt(s.share * many / max(passages, 1)))
+    return _weights(randomised_svd(words.withColumn("weight", F.lit(light)).union(own.withColumn("weight", F.lit(1.0))), idf, s), idf)
 
 
 def _searches(docs: DataFrame, benchmark: DataFrame, s: Settings):
     """The benchmark's different texts (number, text), and for each scan what it searches: items and weights, broadcast."""
     texts = cut(cut(benchmark.where("text is not null").select(F.col("text").cast("string").alias("text")).distinct()).select("text", F.monotonically_increasing_id().alias("item_id")))
-    weights = basis(corpus(docs, s), texts.orderBy(F.xxhash64("text"), "text").limit(s.fitted).toArrow(), s)
+    weights = fitted(docs, texts, s)
     blocks = 1
     block = lambda: F.pmod(F.xxhash64("item_id"), F.lit(blocks))
     while (texts.groupBy(block().alias("b")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > s.items:

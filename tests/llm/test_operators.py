@@ -315,6 +315,46 @@ def test_contamination_finds_paraphrases(spark):
     assert {x.doc_id for x in latent.keep_clean(documents(spark, texts), bench, latent.Settings(items=16)).collect()} == {*range(len(texts))} - {d for d, _ in got}
 
 
+def test_latent_basis_is_fitted_on_everything(spark):
+    """The basis against plain matrices of all passages of all rows, short ones and copies too, and of all items."""
+    s = latent.Settings(slots=128, rank=6)
+    texts = [prose(70, i) for i in range(900)] + [prose(3, i) for i in range(300)] + ["again and again"] * 400 + [None, "", "..."]
+    items = [prose(40, 9000 + i) for i in range(60)]
+
+    def slots(text):
+        words = text.encode()
+        _, found, _ = bw.lower_words(np.frombuffer(words, np.uint8), np.array([0, len(words)]))
+        return (found % np.uint64(s.slots)).astype(int)
+
+    def matrix(rows):
+        cuts = [x[a : a + 32] for x in map(slots, rows) for a in range(0, len(x), 32)]
+        return np.array([np.bincount(x, minlength=s.slots) * idf / np.sqrt((idf[x] ** 2).sum()) for x in cuts])
+
+    own = [x for x in texts if x]
+    counts = np.bincount(np.concatenate([slots(x) for x in own]), minlength=s.slots)
+    idf = np.log((1 + counts.sum()) / (1 + counts)) ** 2
+    a, b = matrix(own), matrix(items)
+    assert len(a) == 900 * 3 + 300 + 400 and len(b) == 120
+    both = np.concatenate([a * np.sqrt(s.share * len(b) / len(a)), b])
+    basis = np.random.default_rng(s.seed).standard_normal((s.slots, s.rank))
+    for _ in range(2):
+        basis = np.linalg.qr(both.T @ (both @ basis))[0]
+    got = latent.fitted(documents(spark, texts), spark.createDataFrame([(x,) for x in items], "text string"), s)
+    assert np.allclose(got[:-1, -1], idf**2, rtol=1e-4) and not got[-1].any()
+    found = got[:-1, :-1] / idf[:, None]
+    assert np.allclose(found @ found.T, basis @ basis.T, atol=2e-3)
+
+
+def test_add_rows():
+    r = np.random.default_rng(3)
+    for n, slots in ((0, 5), (1, 1), (5000, 3), (5000, 900)):
+        slot, at, x = (r.zipf(1.3, n) % slots).astype(np.uint16), r.integers(0, 70, n), r.integers(0, 9, (70, 4)).astype(np.float32)
+        got, want = np.zeros((slots, 4), np.float32), np.zeros((slots, 4), np.float32)
+        np.add.at(want, slot, x[at])
+        latent.add_rows(got, slot, at, x)
+        assert (got == want).all()
+
+
 def test_contamination_repeated_items(spark):
     """Items of one text are each found; rows without a doc_id are judged by their text."""
     bench = spark.createDataFrame([(i, prose(30, 1)) for i in range(50)] + [(99, prose(30, 2))], "item_id long, text string")
