@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from terradelta.llm import packing, pseudonyms
+from terradelta.llm import latent, packing, pseudonyms
 from terradelta.llm.queries import PSEUDONYM_KEY, tokenizer_path
 
 from .test_operators import SCHEMA, check_packing, plain_classes, plain_repetition, prose
@@ -46,3 +46,13 @@ def test_stages_keep_the_columns(spark, tmp_path):
         want = {"quality rules": [1, 1, 3, None], "near copies": [1, 2, 3, None, None]}.get(name, [1, 1, 2, 3, None, None])
         assert sorted((r.doc_id for r in kept.collect()), key=lambda i: (i is None, i)) == want
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_decontamination_is_fitted_on_every_row(spark, tmp_path, monkeypatch):
+    """All rows that the stage is given and all items make the basis, with no bound on either."""
+    seen, plain = [], latent.randomised_svd
+    monkeypatch.setattr(latent, "randomised_svd", lambda rows, *more: seen.append(rows.count()) or plain(rows, *more))
+    docs = spark.createDataFrame([(i, prose(33, i), "en", "s", 1) for i in range(2100)], SCHEMA)
+    spark.createDataFrame([(i, prose(6, 10_000 + i)) for i in range(4200)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert seen == [2100 + 4200]
