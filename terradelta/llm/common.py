@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import shared_folder
+from ..sources.tables import new_path
 from . import bytewords
 
 #: Bytes of text and rows that a task works on at once; one longer document is a batch of its own.
@@ -26,13 +26,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it again: lost executors cost no recomputation, and lineage ends here."""
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+def cut(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write df once to the shared folder (to `path` if given) and read it again: lost executors cost no recomputation, and lineage ends here."""
+    path = path or new_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """What runs inside deletes its shuffle files when it ends; else they stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def keyed(docs: DataFrame, key: str) -> DataFrame:
     """docs with a number for each row, in order of doc_id: the doc_id itself where these are different whole numbers; else rows are numbered by doc_id (null first) and a hash of the text."""
     plain = docs.select("doc_id")

@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import new_path, scratch
 from . import bytewords as bw
-from .common import by_batch, cut, keyed, utf8
+from .common import by_batch, cut, keyed, tidy, utf8
 
 #: A segment's place in its text in one number: start, number of stretches.
 _MANY = 7
@@ -400,6 +401,24 @@ def _cut_out(joined: DataFrame, s: Settings) -> DataFrame:
     return by_batch(joined.select("doc_id", "found", "text"), work, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def _gone(named: DataFrame, s: Settings, path: str) -> DataFrame:
+    """key, place and part of the segments and runs that _cut_out() goes by, written to `path`. What is written on the way goes as soon as the next step has it."""
+    spark = named.sparkSession
+    with scratch(spark):
+        here = new_path(spark, "cut")
+        with scratch(spark):
+            found = cut(anchors(named, s))
+            again = found.where("gram is null").select("key", "place", "gram", F.lit(SURE).alias("part"))
+            settled = cut(settle(found.where("gram is not null"), s).union(again), here)
+        rivals = settled.where("gram is not null")
+        hot = rivals.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > s.hot).select("gram", F.lit(True).alias("hot"))
+        marked = rivals.join(hot.hint("merge"), "gram", "left").select("key", "place", "gram", F.coalesce("hot", F.lit(False)).alias("hot"))
+        wanted = _by_document(marked, "place", "gram", "hot")
+        suffixes = _take_suffixes(named.join(wanted.hint("merge"), "key"), s)
+        late = _sorted_repeats(suffixes, s).withColumn("part", F.lit(SURE))
+        return cut(late.union(settled.where(f"gram is null or part = {FIRST}").select("key", "place", "part")), path)
+
+
 def remove_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes of each row.
 
@@ -407,17 +426,10 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     the order of a hash of their texts, equal rows in any, so one of them keeps its bytes. Long texts are searched in overlapping stretches. Other
     columns aren't read. An empty table gives an empty result.
     """
-    named = keyed(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "key")
-    found = cut(anchors(named, s))
-    settled = cut(settle(found.where("gram is not null"), s))
-    rivals = settled.where("gram is not null")
-    hot = rivals.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > s.hot).select("gram", F.lit(True).alias("hot"))
-    marked = rivals.join(hot.hint("merge"), "gram", "left").select("key", "place", "gram", F.coalesce("hot", F.lit(False)).alias("hot"))
-    wanted = _by_document(marked, "place", "gram", "hot")
-    suffixes = _take_suffixes(named.join(wanted.hint("merge"), "key"), s)
-    late = _sorted_repeats(suffixes, s)
-    sure = found.where("gram is null").select("key", "place").union(late).withColumn("part", F.lit(SURE))
-    gone = cut(sure.union(settled.where(f"gram is null or part = {FIRST}").select("key", "place", "part")))
+    spark = docs.sparkSession
+    with tidy(spark):
+        named = keyed(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "key")
+        gone = _gone(named, s, new_path(spark, "cut"))
     spans = _by_document(gone, "place", "part")
     joined = named.join(spans.hint("merge"), "key", "left").select("doc_id", F.coalesce("found", F.array().cast("array<struct<place:long,part:int>>")).alias("found"), "text")
     return _cut_out(joined, s)

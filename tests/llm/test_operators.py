@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from terradelta.llm import bytewords as bw
 from terradelta.llm import components, langid, latent, nearcopies, packing, pseudonyms, repetition, secrets, suffixes, toxicity, urls
 from terradelta.llm.queries import tokenizer_path
+from terradelta.sources.tables import scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 RNG = random.Random(5)
@@ -106,6 +109,23 @@ def test_suffixes_split_common_grams(spark):
     assert "LeftSemi" in plan and "LeftAnti" in plan and "LeftOuter" not in plan
 
 
+def test_suffixes_keep_no_disk(spark):
+    """When the result is ready to be read, what was written on the way is gone: one table is left, and no shuffle file."""
+    files = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    texts, name = [prose(60, i % 7) + prose(30, i) for i in range(40)], "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    docs, setting = documents(spark, texts), spark.conf.get(name)
+    with scratch(spark) as folder:
+        before = files()
+        found = suffixes.digests(docs)
+        for _ in range(50):  # they are deleted in the background
+            if files() <= before:
+                break
+            time.sleep(0.1)
+        assert files() <= before and len(os.listdir(folder.removeprefix("file://"))) == 1
+        assert sorted((tuple(x) for x in found.collect()), key=str) == plain_removal(list(enumerate(texts)), 100)
+    assert spark.conf.get(name) == setting
+
+
 def test_suffixes_odd(spark, odd):
     got = sorted((tuple(x) for x in suffixes.digests(odd).collect()), key=str)
     assert got == plain_removal([(x.doc_id, x.text) for x in odd.collect()], 100)
