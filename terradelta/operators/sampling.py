@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows without replacement, or all if there are fewer."""
@@ -27,10 +29,11 @@ def stratified(df: DataFrame, by: str, key: str, quotas: dict[str, int], seed: i
 def ordinals(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """A number from 0 for each row in this order, without gathering the rows: they are ranged over tasks, and each task's numbers begin after the counts of those before.
 
-    Rows that are filtered out later leave gaps, so the number is a lasting key. Ties of `order` are numbered in any order.
+    Rows that are filtered out later leave gaps, so the number is a lasting key. Ties of `order` are numbered in any order. The ranged rows are written to
+    the shared folder: ranges come from a sample that each run of a plan draws anew, so counts and numbers have to see the same rows in the same task.
     """
     task, rank = "task of an ordinal", "rank in a task"
-    ranged = df.repartitionByRange(*order).withColumn(task, F.spark_partition_id())
+    ranged = written(df.repartitionByRange(*order).withColumn(task, F.spark_partition_id()))
     ranked = ranged.withColumn(rank, F.row_number().over(Window.partitionBy(task).orderBy(*order)))
     counts = ranked.groupBy(task).agg(F.count("*").alias("n"))
     before = counts.select(task, F.coalesce(F.sum("n").over(Window.orderBy(task).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each task

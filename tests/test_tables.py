@@ -173,3 +173,15 @@ def test_ordinals_of_many_tasks(spark):
     df = spark.range(5000).select(((F.col("id") * 7919) % 5000).alias("k")).repartition(7)
     assert [tuple(r) for r in sampling.ordinals(df, ["k"], "n").orderBy("k").collect()] == [(i, i) for i in range(5000)]
     assert sampling.ordinals(df.limit(0), ["k"], "n").count() == 0
+
+
+def test_ordinals_of_sampled_ranges(spark):
+    """More rows than the range sample takes, and a filter on a column that only the numbered rows carry."""
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(0, 200_000, 1, 4).select(F.col("id").alias("k"), F.pmod(F.xxhash64("id"), F.lit(50)).alias("v"))
+        kept = sampling.ordinals(df, ["k"], "n").where("v > 25").select("k", "n").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(kept) == df.where("v > 25").count() and all(r.k == r.n for r in kept)
