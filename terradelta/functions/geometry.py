@@ -31,18 +31,20 @@ def box_wkt(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 def parse_wkt(wkt: Column) -> Column:
     """POLYGON and MULTIPOLYGON text as a geometry; anything else, or numbers that can't be read, is null."""
-    body = F.regexp_replace(F.regexp_replace(F.upper(F.trim(wkt)), r"\s*([(),])\s*", "$1"), r"^MULTIPOLYGON(?: ?Z)?\(|^POLYGON(?: ?Z)? ?", "")
-    multi = F.upper(F.trim(wkt)).startswith("MULTIPOLYGON")
-    inner = F.when(multi, F.regexp_replace(body, r"\)$", "")).otherwise(body)
-    polygons = F.split(F.regexp_replace(inner, r"^\(\(|\)\)$", ""), r"\)\),\(\(")
+    head = r"^MULTIPOLYGON(?: ?Z)?\(|^POLYGON(?: ?Z)? ?"
 
     def point(text: Column) -> Column:
-        xy = F.split(text, r"\s+")
-        return F.struct(xy[0].try_cast("double").alias("x"), F.get(xy, F.lit(1)).try_cast("double").alias("y"))
+        return let(F.split(text, " "), lambda xy: F.struct(xy[0].try_cast("double").alias("x"), F.get(xy, F.lit(1)).try_cast("double").alias("y")))
 
-    out = F.transform(polygons, lambda p: F.transform(F.split(p, r"\),\("), lambda r: F.transform(F.split(r, ","), point)))
-    good = wkt.rlike(r"(?i)^\s*(MULTI)?POLYGON(\s*Z)?\s*\(\(") & ~F.exists(F.flatten(F.flatten(out)), lambda p: p["x"].isNull() | p["y"].isNull())
-    return F.when(good, out)
+    def parts(text: Column) -> Column:
+        body = F.regexp_replace(text, head, "")
+        inner = F.when(text.startswith("MULTIPOLYGON"), F.regexp_replace(body, r"\)$", "")).otherwise(body)
+        polygons = F.split(F.regexp_replace(inner, r"^\(\(|\)\)$", ""), r"\)\),\(\(")
+        return F.transform(polygons, lambda p: F.transform(F.split(p, r"\),\("), lambda r: F.transform(F.split(r, ","), point)))
+
+    plain = F.regexp_replace(F.regexp_replace(F.upper(F.trim(wkt)), r"\s*([(),])\s*", "$1"), r"\s+", " ")
+    whole = lambda out: F.when(~F.exists(out, lambda p: F.exists(p, lambda r: F.exists(r, lambda q: q["x"].isNull() | q["y"].isNull()))), out)
+    return F.when(wkt.rlike(r"(?i)^\s*(MULTI)?POLYGON(\s*Z)?\s*\(\("), let(let(plain, parts), whole))
 
 
 def to_wkt(geometry: Column) -> Column:
@@ -81,9 +83,14 @@ def moved(geometry: Column, by: Column) -> Column:
     return F.transform(geometry, lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, point)))
 
 
+def _near(geometry: Column) -> Column:
+    """The geometry less its first point, which is worked out once for all points."""
+    return let(origin(geometry), lambda by: moved(geometry, by))
+
+
 def area(geometry: Column) -> Column:
     """Shells less holes, whatever the rings' direction."""
-    return let(moved(geometry, origin(geometry)), _size)
+    return let(geometry, lambda g: let(_near(g), _size))
 
 
 def _size(near: Column) -> Column:

@@ -166,3 +166,11 @@ def test_nearest_against_all_pairs_of_very_different_sizes(spark):
     for column, plain in ((g.box_distance2("l_", "r_"), gap), (g.centre_distance2("l_", "r_") / 4, centre)):
         want = {a[0]: min(right, key=lambda b: (plain(a, b), b[0]))[0] for a in left}  # noqa: B023
         assert {x.id: x.match_id for x in spatial.nearest(boxes(spark, *left), boxes(spark, *right), column, 16.0).collect()} == want
+
+
+def test_area_works_out_its_geometry_once(spark):
+    """area(parse_wkt(...)) parsed the text again for each point."""
+    assert str(g.area(F.upper("a text"))).count("a text") == 1
+    texts = ["POLYGON ((0 0, 4 0, 4 3, 0 0))", " multipolygon  z (((0 0 7,  1 0 7, 1 \n 1 7, 0 0 7)), ((5 5 1, 7 5 1, 7 6 1, 5 5 1)))", "POLYGON ((0 0, 1 x, 1 1, 0 0))", "POINT (1 1)", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(g.area(g.parse_wkt(F.col("t")))).collect()] == [6.0, 1.5, None, None, None]

@@ -185,3 +185,7 @@ def test_ordinals_of_sampled_ranges(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert len(kept) == df.where("v > 25").count() and all(r.k == r.n for r in kept)
+
+
+def test_rows_are_dealt_to_all_cores(spark):
+    assert tables.dealt(spark.range(100).coalesce(1)).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
