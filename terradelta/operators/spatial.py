@@ -1,7 +1,7 @@
 """Best-overlap and nearest joins of objects with an id and bounds in x0, y0, x1, y1 columns.
 
 Ids and bounds alone go through grid cells and are joined on equal cells, so no pair of far-away objects is ever made and no geometry is shuffled
-before there are pairs; other columns come back by id. A pair that shares several cells is kept in one of them. Large objects lie in larger cells.
+before there are pairs; other columns come back by id. All these joins sort and merge: none gathers a side in the driver. A pair that shares several cells is kept in one of them. Large objects lie in larger cells.
 Ids are unique on each side. Nothing is run while a join is built, but for the matches of matched_or_nearest, which are written once.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box_distance2
-from ..sources.tables import written
+from ..sources.tables import merging, written
 
 BOUNDS = ("x0", "y0", "x1", "y1")
 #: Cells of level k are STEP**k times as large as those of level 0. An object that is larger than a cell of the last level lies in many of these.
@@ -69,8 +69,8 @@ def overlapping(left: DataFrame, right: DataFrame, cell: float, touching: bool =
     before = (lambda x, y: c(x) <= c(y)) if touching else (lambda x, y: c(x) < c(y))
     meet = before("l_x0", "r_x1") & before("r_x0", "l_x1") & before("l_y0", "r_y1") & before("r_y0", "l_y1")
     keys = ["level", "cx", "cy", "part"]
-    smaller_left = _small(a, "l_", cell, 0).join(_large(b, "r_", cell), keys)
-    smaller_right = _large(a, "l_", cell).join(_small(b, "r_", cell, 1), keys)
+    smaller_left = _small(a, "l_", cell, 0).join(merging(_large(b, "r_", cell)), keys)
+    smaller_right = _large(a, "l_", cell).join(merging(_small(b, "r_", cell, 1)), keys)
     names = ["l_id", "r_id", *("l_" + k for k in BOUNDS), *("r_" + k for k in BOUNDS)]
     pairs = smaller_left.select(*keys, *names).unionByName(smaller_right.select(*keys, *names)).where(once("x") & once("y") & meet).select(*names)
     return _widened(pairs, left, right)
@@ -81,7 +81,7 @@ def _widened(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     for df, p in ((left, "l_"), (right, "r_")):
         more = [k for k in df.columns if k not in BOUNDS]
         if more != ["id"]:
-            pairs = pairs.join(_prefixed(df.select(*more), p), f"{p}id")
+            pairs = pairs.join(merging(_prefixed(df.select(*more), p)), f"{p}id")
     return pairs
 
 
@@ -93,7 +93,7 @@ def matches(scored: DataFrame) -> DataFrame:
 
 def best_overlap(left: DataFrame, right: DataFrame, score: Column, cell: float) -> DataFrame:
     """left with match_id and best_score (null where there is none) of the right object of the highest `score` of l_ and r_ columns."""
-    return left.join(matches(overlapping(left, right, cell).select("l_id", "r_id", score.alias("score"))), "id", "left")
+    return left.join(merging(matches(overlapping(left, right, cell).select("l_id", "r_id", score.alias("score")))), "id", "left")
 
 
 #: Levels of the nearest search; the last one is one cell.
@@ -119,7 +119,7 @@ def nearest(left: DataFrame, right: DataFrame, distance2: Column, cell: float) -
 
     some = middle(two.withColumn("level", every), "r_").groupBy("level", "cx", "cy").agg(F.min_by(F.struct(*two.columns), "r_id").alias("r")).select("level", "cx", "cy", "r.*")
     spread = middle(one.withColumn("level", every), "l_").withColumn("n", around).where((c("level") < NEAR_TOP) | ((c("n.i") == 0) & (c("n.j") == 0)))
-    met = spread.withColumns({"cx": c("cx") + c("n.i"), "cy": c("cy") + c("n.j")}).drop("n").join(some, ["level", "cx", "cy"])
+    met = spread.withColumns({"cx": c("cx") + c("n.i"), "cy": c("cy") + c("n.j")}).drop("n").join(merging(some), ["level", "cx", "cy"])
     wide = lambda k: F.greatest(f"l_{k}1", f"r_{k}1") - F.least(f"l_{k}0", f"r_{k}0")
     bound = met.groupBy("l_id").agg(F.min((wide("x") * wide("x") + wide("y") * wide("y")).cast("double")).alias("bound"))
 
@@ -130,9 +130,9 @@ def nearest(left: DataFrame, right: DataFrame, distance2: Column, cell: float) -
     reach = F.sqrt("bound")
     side = 2 * reach + F.greatest(c("l_x1") - c("l_x0"), c("l_y1") - c("l_y0"))
     fit = F.least(F.greatest(F.ceil(F.log(F.greatest(side / float(cell), F.lit(1.0))) / math.log(NEAR_STEP)), F.lit(0)), F.lit(NEAR_TOP)).cast("int")
-    looking = one.join(bound, "l_id").withColumn("fit", fit).withColumn("level", F.explode(F.sequence("fit", F.lit(NEAR_TOP)))).withColumn("any", c("fit") == c("level"))
+    looking = one.join(merging(bound), "l_id").withColumn("fit", fit).withColumn("level", F.explode(F.sequence("fit", F.lit(NEAR_TOP)))).withColumn("any", c("fit") == c("level"))
     looking = looking.withColumn("cx", cells("x", "l_", reach)).withColumn("cy", cells("y", "l_", reach)).drop("fit")
-    near = looking.join(held, ["level", "any", "cx", "cy"]).where(box_distance2("l_", "r_") <= c("bound"))
+    near = looking.join(merging(held), ["level", "any", "cx", "cy"]).where(box_distance2("l_", "r_") <= c("bound"))
     names = ["l_id", "r_id", *("l_" + k for k in BOUNDS), *("r_" + k for k in BOUNDS)]
     pairs = _widened(near.select(*names).distinct(), left, right).select("l_id", "r_id", distance2.cast("double").alias("_d"))
     best = pairs.groupBy(c("l_id").alias("id")).agg(F.min(F.struct("_d", "r_id")).alias("_best"))
@@ -148,9 +148,9 @@ def matched_or_nearest(left: DataFrame, scored: DataFrame, right: DataFrame, dis
     extra = carried or {}
     best = scored.where("score > 0").groupBy(F.col("l_id").alias("id")).agg(F.max(F.struct("score", (-F.col("tie")).alias("t"), (-F.col("r_id")).alias("i"), *extra)).alias("_best"))
     hit = written(best.select("id", (-F.col("_best.i")).alias("match_id"), F.col("_best.score").alias("best_score"), *(F.col(f"_best.{k}").alias(k) for k in extra)))
-    missed = left.join(hit.select("id"), "id", "left_anti")
+    missed = left.join(merging(hit.select("id")), "id", "left_anti")
     near = nearest(missed, right, distance2, cell).select("id", "match_id", F.lit(0.0).alias("best_score"), *(F.lit(v).alias(k) for k, v in extra.items()))
-    return left.join(hit.unionByName(near), "id", "left")
+    return left.join(merging(hit.unionByName(near)), "id", "left")
 
 
 def hull_gap_frac(size: Column, hull: Column) -> Column:

@@ -11,7 +11,7 @@ from ..functions import geometry as g
 from ..functions.text import zero_padded
 from ..operators import evaluation as ev
 from ..operators import ranking, rules, sampling, spatial
-from ..sources.tables import parquet, written
+from ..sources.tables import merging, parquet, written
 from . import bindings as b
 from . import measures, overlays, shapes, tables
 
@@ -34,11 +34,11 @@ def _matches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def snapshot_new_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return b.new_footprints(spark, sf).join(_matches(spark, sf), "id", "left_anti").select("id", "x0", "y0")
+    return b.new_footprints(spark, sf).join(merging(_matches(spark, sf)), "id", "left_anti").select("id", "x0", "y0")
 
 
 def matched_current_subset(spark: SparkSession, sf: str) -> DataFrame:
-    return b.new_footprints(spark, sf).join(_matches(spark, sf), "id", "left_semi").select("id", "x0", "y0", "x1", "y1")
+    return b.new_footprints(spark, sf).join(merging(_matches(spark, sf)), "id", "left_semi").select("id", "x0", "y0", "x1", "y1")
 
 
 def status_union_missing_cols(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,7 +50,7 @@ def status_union_missing_cols(spark: SparkSession, sf: str) -> DataFrame:
 def external_eval_best_match(spark: SparkSession, sf: str) -> DataFrame:
     final, new = b.final_footprints(spark, sf), b.new_footprints(spark, sf)
     old = b.old_footprints(spark, sf).select("id", *(c(k).alias("o" + k) for k in spatial.BOUNDS))
-    left = final.select("id", *(c(k).alias("f" + k) for k in spatial.BOUNDS)).join(old, "id")
+    left = final.select("id", *(c(k).alias("f" + k) for k in spatial.BOUNDS)).join(merging(old), "id")
     wide = left.select("*", *(F.least("f" + k, "o" + k).alias(k) for k in ("x0", "y0")), *(F.greatest("f" + k, "o" + k).alias(k) for k in ("x1", "y1")))
     scored = spatial.overlapping(wide, new, CELL).select("l_id", "r_id", g.box_iou("l_f", "r_").alias("iou_final"), g.box_iou("l_o", "r_").alias("iou_orig"), g.centre_distance2("l_o", "r_").alias("tie"))
     plain = left.select("id", *(c("o" + k).alias(k) for k in spatial.BOUNDS))
@@ -61,7 +61,7 @@ def external_eval_best_match(spark: SparkSession, sf: str) -> DataFrame:
 
 def removed_behavior(spark: SparkSession, sf: str) -> DataFrame:
     gone = _diff(spark, sf).where("status = 'removed_candidate'").select("id")
-    final, new = written(b.final_footprints(spark, sf).join(gone, "id", "left_semi")), b.new_footprints(spark, sf)
+    final, new = written(b.final_footprints(spark, sf).join(merging(gone), "id", "left_semi")), b.new_footprints(spark, sf)
     scored = spatial.overlapping(final, new, CELL).select("l_id", "r_id", g.box_iou("l_", "r_").alias("score"), g.box_distance2("l_", "r_").alias("tie"))
     found = spatial.matched_or_nearest(final, scored, new, g.box_distance2("l_", "r_"), CELL)
     return found.select("id", "match_id", c("best_score").alias("max_iou"), rules.removed_behavior(c("best_score")).alias("behavior"))

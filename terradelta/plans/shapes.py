@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import overlay
 from ..operators import spatial
+from ..sources.tables import dealt, merging, written
 from . import bindings as b
 
 c = F.col
@@ -29,10 +30,10 @@ def shape_wkt() -> Column:
 
 
 def _shaped(df: DataFrame) -> DataFrame:
-    """id, bounds, geometry, area and centroid of each object."""
-    known = df.select("id", *spatial.BOUNDS, g.parse_wkt(shape_wkt()).alias("geometry"))
+    """id, bounds, geometry, area and centroid of each object, written once: searches and joins read them again and again."""
+    known = dealt(df).select("id", *spatial.BOUNDS, g.parse_wkt(shape_wkt()).alias("geometry"))
     sized = known.select("id", *spatial.BOUNDS, "geometry", overlay.size_and_middle(c("geometry")).alias("m"))
-    return sized.select("id", *spatial.BOUNDS, "geometry", c("m.size").alias("size"), F.struct("m.x", "m.y").alias("middle"))
+    return written(sized.select("id", *spatial.BOUNDS, "geometry", c("m.size").alias("size"), F.struct("m.x", "m.y").alias("middle")))
 
 
 def _iou(common: Column, a: str, b_: str) -> Column:
@@ -49,14 +50,14 @@ def polygon_best_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Each old shape's new shape of the highest IoU over 0."""
     old = _shaped(b.old_footprints(spark, sf))
     best = spatial.matches(_scored(old, _shaped(b.new_footprints(spark, sf))))
-    return old.select("id").join(best, "id", "left")
+    return old.select("id").join(merging(best), "id", "left")
 
 
 def polygon_external_match(spark: SparkSession, sf: str) -> DataFrame:
     """For each updated shape the reference shape of the highest IoU with it or with the original, then the nearest centroid to the original's."""
     named = lambda df, p: df.select("id", *(c(k).alias(p + k) for k in (*spatial.BOUNDS, "geometry", "size")))
     old, new = _shaped(b.old_footprints(spark, sf)), _shaped(b.new_footprints(spark, sf))
-    left = named(_shaped(b.final_footprints(spark, sf)), "f").join(named(old, "o").join(old.select("id", "middle"), "id"), "id")
+    left = named(_shaped(b.final_footprints(spark, sf)), "f").join(merging(named(old, "o").join(merging(old.select("id", "middle")), "id")), "id")
     wide = left.select("*", *(F.least("f" + k, "o" + k).alias(k) for k in ("x0", "y0")), *(F.greatest("f" + k, "o" + k).alias(k) for k in ("x1", "y1")))
     d2 = lambda m: F.round((c(m)["x"] - c("r_middle")["x"]) ** 2 + (c(m)["y"] - c("r_middle")["y"]) ** 2, 6)
     pairs = spatial.overlapping(wide, new, CELL)
@@ -73,7 +74,7 @@ def polygon_best_any(spark: SparkSession, sf: str) -> DataFrame:
     d2 = g.let(F.round(g.distance(c("l_geometry"), c("r_geometry"), F.lit(0.0)), 6), lambda d: d * d)  # of objects without an overlap
     found = spatial.matched_or_nearest(final, _scored(final, new).withColumn("tie", F.lit(0.0)), new, d2, CELL)
     orig = spatial.matches(_scored(_shaped(b.old_footprints(spark, sf)), new)).select("id", c("best_score").alias("orig_iou"))
-    return found.join(orig, "id", "left").select("id", "match_id", c("best_score").alias("max_iou"), F.coalesce("orig_iou", F.lit(0.0)).alias("orig_max_iou"))
+    return found.join(merging(orig), "id", "left").select("id", "match_id", c("best_score").alias("max_iou"), F.coalesce("orig_iou", F.lit(0.0)).alias("orig_max_iou"))
 
 
 def polygon_measures(spark: SparkSession, sf: str) -> DataFrame:

@@ -37,3 +37,9 @@ def test_query(spark, duck, name):
 
 def test_every_query_has_sql():
     assert set(queries()) == set(oracle_sql())
+
+
+@pytest.mark.parametrize("name", ("snapshot_diff_status", "status_union_missing_cols", "external_eval_best_match", "removed_behavior", "stratified_sample_counts", "polygon_best_overlap", "polygon_external_match", "polygon_best_any"))
+def test_no_side_is_broadcast(spark, name):
+    """Nor planned to be by a table's small files: Spark doesn't know how many rows explode makes of them."""
+    assert "Broadcast" not in queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
