@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,10 +18,11 @@ SIDE = 9
 BLOCK = 512
 
 _POINT = [T.StructField(k, T.DoubleType()) for k in ("x", "y", "depth2")]
+_PLACES = T.ArrayType(T.StructType(_POINT[:2]))
 
 
 def _measured(p: overlay.Points, row: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether points are in their row's geometry or on its edge, and their squared distance to the nearest edge."""
+    """Whether points are in their row's geometry (on an edge that may be either), and their squared distance to the nearest edge."""
     to = overlay._following(p.ring)
     begin = np.searchsorted(p.row, np.arange(row.max() + 2))
     count = np.diff(begin)[row]
@@ -34,7 +36,20 @@ def _measured(p: overlay.Points, row: np.ndarray, x: np.ndarray, y: np.ndarray)
     far = (px - ax - t * dx) ** 2 + (py - ay - t * dy) ** 2
     first = np.cumsum(count) - count
     depth2 = np.minimum.reduceat(far, first)
-    return (np.add.reduceat(crossed.astype(np.int64), first) % 2 == 1) | (depth2 == 0), depth2
+    return np.add.reduceat(crossed.astype(np.int64), first) % 2 == 1, depth2
+
+
+def _bounds(p: overlay.Points) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows that have points, and their least and greatest x and y."""
+    rows, first = np.unique(p.row, return_index=True)
+    return rows, *(np.stack([f.reduceat(v, first) for v in (p.x, p.y)]) for f in (np.minimum, np.maximum))
+
+
+def _lists(row: np.ndarray, n: int, x: np.ndarray, y: np.ndarray, known: np.ndarray | None = None) -> pa.Array:
+    """Points in the order of their rows as n lists; null where not known."""
+    ends = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"]))
+    return lists if known is None else pc.if_else(pa.array(known), lists, pa.scalar(None, lists.type))
 
 
 def _grid_points(geometry: pa.Array) -> tuple[np.ndarray, ...]:
@@ -42,13 +57,12 @@ def _grid_points(geometry: pa.Array) -> tuple[np.ndarray, ...]:
     p = overlay.points(geometry)
     if not len(p.row):
         return (np.zeros(0, np.int64), *(np.zeros(0),) * 3)
-    rows, first = np.unique(p.row, return_index=True)
-    low = np.stack([np.minimum.reduceat(v, first) for v in (p.x, p.y)])
-    high = np.stack([np.maximum.reduceat(v, first) for v in (p.x, p.y)])
+    rows, low, high = _bounds(p)
     step = np.arange(SIDE) / (SIDE - 1)
     across, down = (low[k][:, None] + step * (high[k] - low[k])[:, None] for k in (0, 1))
     row, x, y = np.repeat(rows, SIDE * SIDE), np.tile(across, (1, SIDE)).ravel(), np.repeat(down, SIDE, axis=1).ravel()
     inside, depth2 = _measured(p, row, x, y)
+    inside |= depth2 == 0
     return row[inside], x[inside], y[inside], depth2[inside]
 
 
@@ -81,7 +95,7 @@ def spread(points: Column, n: Column) -> Column:
 def once(points: Column) -> Column:
     """Points (x, y) without those that agree with an earlier one in tenths."""
     key = lambda p: F.struct(F.bround(p["x"], 1), F.bround(p["y"], 1))
-    return g.let(F.transform(points, key), lambda keys: F.filter(points, lambda p, i: F.array_position(keys, key(p)) == i + 1))
+    return g.let(F.transform(points, key), lambda keys: F.filter(points, lambda _, i: F.array_position(keys, F.get(keys, i)) == i + 1))
 
 
 def grid(geometry: Column) -> Column:
@@ -108,19 +122,31 @@ def extra(points: Column, base: int, more: int, complex_: Column) -> Column:
 def around(geometry: Column, n: Column, margin: float, width: int, height: int, share: float = 0.18, clear: float = 2.0) -> Column:
     """Up to n of 16 places on a frame around the bounds, at least `margin` or a share of the longer side away, within the image and clear of the shape."""
 
-    def places(b: Column) -> Column:
-        away = F.greatest(F.lit(float(margin)), share * F.greatest(b["x1"] - b["x0"], b["y1"] - b["y0"]))
-        ex0, ey0 = F.greatest(F.lit(0.0), b["x0"] - away), F.greatest(F.lit(0.0), b["y0"] - away)
-        ex1, ey1 = F.least(F.lit(float(width - 1)), b["x1"] + away), F.least(F.lit(float(height - 1)), b["y1"] + away)
-        xs = (ex0, (ex0 + b["x0"]) / 2, (b["x0"] + b["x1"]) / 2, (b["x1"] + ex1) / 2, ex1)
-        ys = (ey0, (ey0 + b["y0"]) / 2, (b["y0"] + b["y1"]) / 2, (b["y1"] + ey1) / 2, ey1)
+    def free(geometry: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        p = overlay.points(geometry)
+        if not len(p.row):
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        rows, low, high = _bounds(p)
+        away = np.maximum(float(margin), share * np.maximum(*(high - low)))
+        at = []
+        for a, b, most in zip(low, high, (width, height), strict=True):
+            first, last = np.maximum(0.0, a - away), np.minimum(float(most - 1), b + away)
+            at.append((first, (first + a) / 2, (a + b) / 2, (b + last) / 2, last))
         # fixed values: order of the places, corners and middles first, clockwise from the first corner
         order = ((0, 0), (2, 0), (4, 0), (4, 2), (4, 4), (2, 4), (0, 4), (0, 2), (1, 0), (3, 0), (4, 1), (4, 3), (3, 4), (1, 4), (0, 3), (0, 1))
-        return F.array(*(F.struct(xs[i].alias("x"), ys[j].alias("y")) for i, j in order))
-
-    free = lambda p: ~g.contains(geometry, p["x"], p["y"]) & (g.boundary_distance2(geometry, p["x"], p["y"]) >= clear * clear)
-    kept = g.let(g.bounds(geometry), lambda b: F.filter(places(b), free))
-    return F.when(F.size(geometry) > 0, g.let(kept, lambda points: g.let(once(points), lambda p: spread(p, n))))
+        row = np.repeat(rows, len(order))
+        x, y = (np.stack([at[k][o[k]] for o in order], axis=1).ravel() for k in (0, 1))
+        inside, depth2 = _measured(p, row, x, y)
+        kept = ~inside & (depth2 >= clear * clear)
+        return row[kept], x[kept], y[kept]
+
+    @F.arrow_udf(_PLACES)
+    def places(geometry: pa.Array) -> pa.Array:
+        out = [(r + a, x, y) for a in range(0, len(geometry), BLOCK) for r, x, y in [free(geometry.slice(a, BLOCK))]]
+        row, x, y = (np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in range(3))
+        return _lists(row, len(geometry), x, y, np.asarray(overlay._lengths(geometry) > 0))
+
+    return g.let(g.let(places(geometry), once), lambda p: spread(p, n))
 
 
 def in_holes(geometry: Column, n: int, least: float) -> Column:

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from terradelta.functions import geometry as g
+from terradelta.plans import overlays
 from terradelta.functions import overlay, prompts
+from terradelta.plans import overlays
 from terradelta.operators import dissolve
 
 from .test_overlay import area, column, inside, local, off_edge, shapes, turn
@@ -176,3 +178,10 @@ def test_dissolve(spark, df, cases):
             x, y = r.uniform(-8, 25), r.uniform(-8, 25)
             if all(off_edge(c, x, y) > 1e-4 for c in every):
                 assert inside(found, x, y) == any(inside(c, x, y) for c in every)
+
+
+def test_places_around_are_measured_in_batches(spark):
+    """Sides were gathered again for each of the 16 places, and few tasks had all rows."""
+    assert "zip_with" not in str(prompts.around(F.col("geometry"), F.lit(4), 2.5, W, H))
+    old = spark.range(20).select("id", *((F.col("id") * 40 + k).alias(n) for n, k in (("x0", 0), ("y0", 0), ("x1", 12), ("y1", 10)))).coalesce(1)
+    assert overlays.pixel_shapes(old, old).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
