@@ -1,5 +1,8 @@
 import json
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +192,18 @@ def test_ordinals_of_sampled_ranges(spark):
 
 def test_rows_are_dealt_to_all_cores(spark):
     assert tables.dealt(spark.range(100).coalesce(1)).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_resizing_takes_blocks_of_images():
+    side = np.where(np.arange(300) % 2 == 0, 32, 128)
+    chips = [bytes((x * x + 3 * y + k) % 256 for y in range(64) for x in range(64)) for k in range(3)] * 100
+    chips[7] = None
+    width = np.full(300, 64)
+    tracemalloc.start()
+    made = images.square_bytes(pa.array(chips, pa.binary()), width, side)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 250e6
+    alone = [images.square_bytes(pa.array([c], pa.binary()), width[:1], side[k : k + 1])[0] for k, c in enumerate(chips)]
+    assert made.to_pylist() == [a.as_py() for a in alone]
+    assert len(images.square_bytes(pa.array([], pa.binary()), width[:0], side[:0])) == 0
